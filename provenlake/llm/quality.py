@@ -4,11 +4,13 @@ Two generative models over hashed n-grams, one of the target (labelled good text
 document the log ratio of its probabilities, its importance weight; the k documents with the greatest weight plus Gumbel
 noise are kept, a sample without replacement in proportion to the weights (Gumbel top-k).
 
-* n-grams: word unigrams, word bigrams, bigrams of word shapes; each kind has 2^bits buckets. A repeated word counts as one
-  and the same bigram.
+* n-grams: word unigrams, word bigrams, bigrams of word shapes; each kind has 2^bits buckets, and a
+  bucket counts once in a document, as a word that one text uses a hundred times says no more of the corpus. Where four of
+  seven neighbouring pairs are of equal words, the bigram is replaced by the quarter of the text that
+  such bigrams make up.
 * Counts of the raw model cover all documents. Those of the target come from at most ``max_labelled`` labelled documents
   (the documented bound; by hash of doc_id, so the same for any partitioning).
-* Buckets whose share in target and raw differs by less than a factor of two, or by less than 4 standard deviations, share
+* Buckets whose share in target and raw differs by less than a factor of three, or by less than 4 standard deviations, share
   one parameter: they cancel, and long clean texts gain nothing from their length.
 * k: as many documents as reach the cut that parts the labelled sample best (true less false positive rate).
 * ``sharpness`` is the exponent of the weights in the sampling.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, mix, spread, stash, utf8, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, grouped, mix, spread, stash, utf8, words_of
 
 KINDS = 3
 _LETTERS, _DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
@@ -51,7 +53,7 @@ _SAME = U64(0x5851F42D4C957F2D)
 
 
 def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every n-gram, row of every n-gram) of a batch."""
+    """(bucket, row) of a batch's n-grams, each bucket once per row."""
     words = [words_of(x) for x in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
     flat = [w for x in words for w in x]
@@ -60,11 +62,17 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     shift = U64(64 - bits)
     inner = row[1:] == row[:-1]
     two = mix(h[:-1], h[1:])
-    two[h[:-1] == h[1:]] = _SAME
+    same = np.cumsum(np.concatenate([[False], (h[:-1] == h[1:]) & inner, np.zeros(6, bool)]))
+    again = same[7:] - same[:-7] >= 4
+    share = np.bincount(row[:-1][again], minlength=len(texts)) / np.maximum(n, 1)
+    two[again] = mix(np.full(int(again.sum()), _SAME), np.ceil(4 * share)[row[:-1][again]].astype(np.uint64))
     one = mix(h, U64(1)) >> shift
     pair = (mix(two, U64(2)) >> shift)[inner] + U64(1 << bits)
     shape = (mix(mix(s[:-1], s[1:]), U64(3)) >> shift)[inner] + U64(2 << bits)
-    return np.concatenate([one, pair, shape]).astype(np.int64), np.concatenate([row, row[1:][inner], row[1:][inner]])
+    found = np.concatenate([one, pair, shape]).astype(np.int64) | np.concatenate([row, row[1:][inner], row[1:][inner]]) << 40
+    found.sort()
+    found = found[grouped(found)]
+    return found & (1 << 40) - 1, found >> 40
 
 
 def labelled_sample(labels: DataFrame, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +138,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, bits: int, prior: float = 1.0
         if r.sum() and t.sum():
             e = r * (t.sum() / r.sum())
             x = np.log((t + prior) / (e + prior))
-            out[own] = np.where((np.abs(x) >= np.log(2)) & (np.abs(t - e) >= 4 * np.sqrt(e + 1)), x, 0)
+            out[own] = np.where((np.abs(x) >= np.log(3)) & (np.abs(t - e) >= 4 * np.sqrt(e + 1)), x, 0)
     return out
 
 
@@ -185,7 +193,7 @@ def kth_largest(scored: DataFrame, k: int) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_labelled: int = 20_000, sharpness: float = 4.0, seed: int = 17) -> tuple[Weights, DataFrame, float]:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, max_labelled: int = 20_000, sharpness: float = 8.0, seed: int = 17) -> tuple[Weights, DataFrame, float]:
     """(weights, stashed scores (doc_id, log_weight, gumbel_key) of all documents, least key that is kept)."""
     arrow_batches(docs.sparkSession)
     read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
