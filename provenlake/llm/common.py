@@ -138,6 +138,12 @@ def grouped(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
 
 
+def spans(cut: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs that begin at cut, over n places."""
+    ends = cut.tolist()[1:] + [n]
+    return zip(cut.tolist(), ends[: len(cut)], strict=True)
+
+
 # -- exchanges of packed arrays ---------------------------------------------------------------------------------------
 
 
@@ -168,8 +174,8 @@ def by_shard(h: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     if len(h):
         s = shard_of(h, n)
         cut = grouped(s)
-        for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
-            yield int(s[a]), slice(int(a), int(b))
+        for a, b in spans(cut, len(h)):
+            yield int(s[a]), slice(a, b)
 
 
 def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "shard") -> DataFrame:
@@ -179,8 +185,7 @@ def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "s
         held, at = [], None
         for batch in batches:
             k = batch.column(key).to_numpy(zero_copy_only=False)
-            cut = [int(x) for x in grouped(k)]
-            for a, b in zip(cut, [*cut[1:], len(k)], strict=True):
+            for a, b in spans(grouped(k), len(k)):
                 if held and k[a] != at:
                     yield from reduce(at, pa.Table.from_batches(held))
                     held = []
@@ -192,6 +197,54 @@ def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "s
     return df.repartition(n, F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+#: Counters in a slice of sum_counters.
+SLICE = 1 << 16
+
+
+def sum_counters(df: DataFrame, count: Callable, size: int, schema_cols: int = 1) -> list[np.ndarray]:
+    """Sums of arrays of ``size`` counters over all tasks: count(batches) gives one task's arrays. Tasks' arrays are added up
+    slice by slice in two rounds, so no task holds more than a few slices; the result is bounded by size."""
+    rounds = 64
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        arrays = count(batches)
+        group = TaskContext.get().partitionId() % rounds
+        for k, a in enumerate(arrays):
+            for i in range(0, size, SLICE):
+                part = a[i : i + SLICE]
+                if part.any():
+                    yield pa.record_batch([pa.array([(k * (-(-size // SLICE)) + i // SLICE) * rounds + group], pa.int32()), pa.array([pack(part.astype(np.int64))], pa.binary())], ["shard", "a"])
+
+    def fold(down: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, total = None, None
+            for batch in batches:
+                for shard, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if shard != at and at is not None:
+                        yield pa.record_batch([pa.array([at // down], pa.int32()), pa.array([pack(total)], pa.binary())], ["shard", "a"])
+                        total = None
+                    at, x = shard, unpack(a, np.int64)
+                    total = x.copy() if total is None else total + x
+            if at is not None:
+                yield pa.record_batch([pa.array([at // down], pa.int32()), pa.array([pack(total)], pa.binary())], ["shard", "a"])
+
+        return run
+
+    n = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.mapInArrow(first, "shard int, a binary")
+    for down in (rounds, 1):
+        rows = rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(fold(down), "shard int, a binary")
+    out = [np.zeros(size, np.int64) for _ in range(schema_cols)]
+    slices = -(-size // SLICE)
+    for row in rows.collect():  # size counters for each array at most
+        k, i = divmod(row["shard"], slices)
+        part = unpack(bytes(row["a"]), np.int64)
+        out[k][i * SLICE : i * SLICE + len(part)] = part
+    return out
+
+
 # -- texts to token ids -----------------------------------------------------------------------------------------------
 
 _ODD_SPACE = re.compile(r" \s|\s ")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, grouped, mix, spread, stash, utf8, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, grouped, mix, spread, stash, sum_counters, utf8, words_of
 
 KINDS = 3
 _LETTERS, _DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
@@ -110,23 +110,17 @@ def _counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray, bits: int) -> tu
     shared = docs.sparkSession.sparkContext.broadcast(ids[good])
     size = KINDS << bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        raw, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
         for batch in batches:
             bucket, row = features(utf8(batch.column(1)), bits)
-            raw += np.bincount(bucket, minlength=size)
+            np.add.at(raw, bucket, 1)
             own = np.isin(_ids(batch.column(0)), shared.value)
-            target += np.bincount(bucket[own[row]], minlength=size)
-        at = np.flatnonzero(raw)
-        for a in range(0, len(at), 65_536):
-            x = at[a : a + 65_536]
-            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(raw[x], pa.int64()), pa.array(target[x], pa.int64())], ["bucket", "raw", "target"])
-
-    rows = docs.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(size), np.zeros(size)
-    at = rows["bucket"].to_numpy()
-    raw[at], target[at] = rows["raw"].to_numpy(), rows["target"].to_numpy()
-    return raw, target
+            np.add.at(target, bucket[own[row]], 1)
+        return [raw, target]
+
+    raw, target = sum_counters(docs, count, size, 2)
+    return raw.astype(np.float64), target.astype(np.float64)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, bits: int, prior: float = 1.0) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenlake.llm import bpe, packing, quality, rans
+from provenlake.llm import bpe, jaccard_join, packing, quality, rans, suffix_dedup
 from provenlake.llm.common import documents, vocabulary
 
 
@@ -16,10 +16,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir), length=100)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.group_documents(documents(spark, sf_dir), words=3, per=90)
+
+
 def op9_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -30,7 +38,9 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op9_rans_ids": op9_rans_ids,
     "op10_importance_resampling": op10_importance_resampling,
 }
