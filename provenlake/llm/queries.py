@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenlake.llm import bpe, jaccard_join, packing, quality, rans, suffix_dedup
+from provenlake.llm import bpe, jaccard_join, kneser_ney, packing, quality, rans, suffix_dedup
 from provenlake.llm.common import documents, vocabulary
 
 
@@ -28,6 +28,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.group_documents(documents(spark, sf_dir), words=3, per=90)
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(documents(spark, sf_dir))
+
+
 def op9_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_kneser_ney": op7_kneser_ney,
     "op9_rans_ids": op9_rans_ids,
     "op10_importance_resampling": op10_importance_resampling,
 }
