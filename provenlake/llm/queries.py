@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenlake.llm import bpe, jaccard_join, kneser_ney, packing, quality, rans, suffix_dedup
+from provenlake.llm import bpe, cross_polytope, jaccard_join, kneser_ney, packing, quality, rans, suffix_dedup, voronoi_knn
 from provenlake.llm.common import documents, vocabulary
 
 
@@ -28,10 +28,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.group_documents(documents(spark, sf_dir), words=3, per=90)
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.search(documents(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(documents(spark, sf_dir))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(documents(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -45,7 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_voronoi_knn": op5_voronoi_knn,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_cross_polytope": op8_cross_polytope,
     "op9_rans_ids": op9_rans_ids,
     "op10_importance_resampling": op10_importance_resampling,
 }
