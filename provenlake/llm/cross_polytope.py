@@ -68,6 +68,10 @@ def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
 
 
+def _pair_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (q * x).sum(-1) / (np.sqrt((q * q).sum(-1)) * np.sqrt((x * x).sum(-1)))
+
+
 def search(table: DataFrame, k: int = 5, every: int = 50, tables: int = 12, probes: int = 6, seed: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by ``every``, the k nearest found by cosine."""
     spark = table.sparkSession
@@ -122,7 +126,7 @@ def search(table: DataFrame, k: int = 5, every: int = 50, tables: int = 12, prob
                         yield _rows(first[p[use]] + s * groups[p[use]] + salt[i] // 64 % groups[p[use]], 1, ids[i], x[i])
 
     n = int((blocks * groups).sum())
-    return top_k(solve_blocks(rows.mapInArrow(route, BLOCKS), min(n, tables * shards_for(table, 24_000_000)), d, k, _cosine, "double"), k)
+    return top_k(solve_blocks(rows.mapInArrow(route, BLOCKS), min(n, tables * shards_for(table, 24_000_000)), d, k, _cosine, "double", _pair_cosine), k)
 
 
 def _rows(shard: np.ndarray, kind: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:

@@ -67,9 +67,10 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 BLOCKS = "shard int, kind int, vec_id long, v array<double>"
 
 
-def solve_blocks(rows: DataFrame, partitions: int, d: int, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
+def solve_blocks(rows: DataFrame, partitions: int, d: int, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows of BLOCKS (kind 0: data, 1: queries), one block in a shard: each query's k best within the block, itself left
-    out: query_id, vec_id, score."""
+    out: query_id, vec_id, score. exact(queries, vectors) scores pairs along the last axis, the same in whatever block they
+    meet; products of whole matrices may differ in the last bit."""
     dtype = {"long": np.int64, "double": np.float64}[kind]
 
     def reduce(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def solve_blocks(rows: DataFrame, partitions: int, d: int, k: int, score: Callab
             s = score(x[q], x[data])
             own = ids[data][None] == ids[q][:, None]
             place = best(ids[data], np.where(own, -np.inf, s), min(k + 1, len(data)))
-            found = np.take_along_axis(s, place, 1)
+            found = np.take_along_axis(s, place, 1) if exact is None else exact(x[q][:, None], x[data][place])
             keep = ~np.take_along_axis(own, place, 1)
             query = np.repeat(ids[q], place.shape[1]).reshape(place.shape)
             yield pa.record_batch([pa.array(query[keep]), pa.array(ids[data][place[keep]]), pa.array(found[keep].astype(dtype))], ["query_id", "vec_id", "score"])
@@ -95,4 +96,5 @@ def solve_blocks(rows: DataFrame, partitions: int, d: int, k: int, score: Callab
 def top_k(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query over all blocks, ties to the smaller vec_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
