@@ -178,7 +178,7 @@ def by_shard(h: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield int(s[a]), slice(a, b)
 
 
-def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "shard") -> DataFrame:
+def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "shard", partitions: int | None = None) -> DataFrame:
     """Rows by shard: reduce(shard, rows) gets one shard's rows at a time as a pyarrow table and yields record batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "s
         if held:
             yield from reduce(at, pa.Table.from_batches(held))
 
-    return df.repartition(n, F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(partitions or n, F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 #: Counters in a slice of sum_counters.
@@ -254,51 +254,86 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 class ChunkCache:
     """Encodes whole texts by parting them at single spaces, where no token can cross, and remembering each chunk's ids.
 
-    encode(list of str) -> list of bytes (ids, little-endian uint32) does the true work, once for each new chunk.
-    with_space: a chunk after a space is encoded with that space before it, as byte-level vocabularies have it.
-    The cache is cleared at LIMIT chunks, and chunks over LONG characters are not kept: memory is bounded.
+    encode(list of str) -> list of bytes (ids, little-endian uint32) does the true work, for chunks that are not known.
+    with_space: a chunk after a space is encoded with that space before it, as byte-level vocabularies have it. When LIMIT
+    chunks are held, those that came only once go; chunks over LONG characters are not kept: memory is bounded.
     """
 
-    LIMIT, LONG = 300_000, 200
+    LIMIT, LONG = 600_000, 200
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], with_space: bool):
         self.encode, self.prefix = encode, " " if with_space else ""
         self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {} if with_space else self.first
+        self.rest: dict[str, bytes] = {}
+        self.again: set[str] = set()
+
+    def _know(self, cache: dict[str, bytes], seen: set[str], prefix: str) -> list[str]:
+        """Makes cache hold all of seen; the long ones among them, which are to go again."""
+        new = list(seen.difference(cache))
+        if cache is self.rest:
+            self.again.update(seen.difference(new))
+        if len(cache) + len(new) > self.LIMIT:
+            kept = {x: cache[x] for x in self.again if x in cache} if cache is self.rest and len(self.again) < self.LIMIT // 2 else {x: cache[x] for x in seen if x in cache}
+            cache.clear()
+            cache.update(kept)
+            self.again = set()
+        cache.update(zip(new, self.encode([prefix + x for x in new]), strict=True))
+        return [x for x in new if len(x) > self.LONG]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [_BETWEEN.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
-        heads, tails = {p[0] for p in parts}, set()
+        tails: set[str] = set()
         for p in parts:
-            tails.update(p[1:] if self.prefix else p)
-        kept = ()
-        for cache, seen, prefix in ((self.first, heads, ""), (self.rest, tails, self.prefix)):
-            if len(cache) + len(seen) > self.LIMIT:
-                cache.clear()
-            new = list(seen.difference(cache))
-            cache.update(zip(new, self.encode([prefix + x for x in new]), strict=True))
-            kept += tuple((cache, x) for x in new if len(x) > self.LONG)
+            tails.update(p)
+        long_heads = self._know(self.first, {p[0] for p in parts}, "")
+        long_tails = self._know(self.rest, tails, self.prefix)
         get = self.rest.__getitem__
-        out = [b"".join([self.first[p[0]], *map(get, p[1:])]) for p in parts]
-        for cache, x in kept:
-            cache.pop(x, None)
+        out = []
+        for p in parts:
+            head = self.first[p[0]]
+            del p[0]
+            out.append(head + b"".join(map(get, p)))
+        for cache, long in ((self.first, long_heads), (self.rest, long_tails)):
+            for x in long:
+                del cache[x]
         return out
 
 
 _ENCODERS: dict = {}
 
 
-def library_encoder(path: str, with_space: bool) -> ChunkCache:
-    """Ids by the tokenizers library from a vocabulary file; one per Python worker."""
+def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
+    """Ids by the tokenizers library from a vocabulary file; one per Python worker.
+
+    Unknown chunks are encoded many at a time, joined by ``mark``: a string that the vocabulary's rules always make one
+    token of its own. Chunks that hold a character of the mark, or white space within, are encoded by themselves.
+    """
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        (mark_id,) = tok.encode(mark, add_special_tokens=False).ids
+        odd = re.compile(f"[{re.escape(mark.strip() or mark)}]|\\s" if not with_space else f"[{re.escape(mark)}]|.\\s|\\s\\Z", re.S)
 
         def encode(chunks: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, "<u4").tobytes() for i in range(0, len(chunks), 4096) for e in tok.encode_batch(chunks[i : i + 4096], add_special_tokens=False)]
+            out = [b""] * len(chunks)
+            alone = [i for i, x in enumerate(chunks) if not x or odd.search(x)]
+            for i, e in zip(alone, tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
+                out[i] = np.asarray(e.ids, "<u4").tobytes()
+            skip = set(alone)
+            plain = [i for i in range(len(chunks)) if i not in skip]
+            for a in range(0, len(plain), 2048):
+                own = plain[a : a + 2048]
+                ids = np.asarray(tok.encode_batch_fast([mark.join([chunks[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
+                at = np.flatnonzero(ids == mark_id)
+                if len(at) != len(own) - 1:
+                    raise ValueError("the mark is no token of its own in this vocabulary")
+                raw, starts, ends = ids.tobytes(), [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(ids) * 4]
+                for i, x, y in zip(own, starts, ends, strict=True):
+                    out[i] = raw[x:y]
+            return out
 
         _ENCODERS[path] = ChunkCache(encode, with_space)
     return _ENCODERS[path]

@@ -161,6 +161,17 @@ def from_block(payload: bytes, table: Table, checkpoint: int | None = None) -> t
 
 # -- tables -----------------------------------------------------------------------------------------------------------
 
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where that is enough, after a byte that says so."""
+    short = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"2" if short else b"4") + pack(ids.astype("<u2" if short else "<u4"))
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return unpack(b[1:], "<u2" if b[:1] == b"2" else "<u4")
+
+
 _RAW = "bucket int, block int, n long, docs binary, lengths binary, ids binary"
 
 
@@ -174,7 +185,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int, with_space: bool =
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = library_encoder(tokenizer, with_space)
+        enc = library_encoder(tokenizer, with_space, "\n" if with_space else " 0 ")
         for batch in batches:
             ids = [np.frombuffer(x + end, "<u4") for x in enc([x or "" for x in batch.column(1).to_pylist()])]
             own = np.array([_NULL if x is None else x for x in batch.column(0).to_pylist()], np.int64)
@@ -183,14 +194,14 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int, with_space: bool =
             rows: list[list] = [[], [], [], []]
             for b in np.unique(bucket):
                 part = order[bucket[order] == b]
-                for col, x in zip(rows, (int(b), pack(own[part]), pack(np.array([len(ids[i]) for i in part], np.uint32)), pack(np.concatenate([ids[i] for i in part]))), strict=True):
+                for col, x in zip(rows, (int(b), pack(own[part]), pack(np.array([len(ids[i]) for i in part], np.uint32)), _packed(np.concatenate([ids[i] for i in part]))), strict=True):
                     col.append(x)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "lengths", "ids"])
 
     def order(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         own = np.concatenate([unpack(x, "<i8") for x in rows["docs"].to_pylist()])
         n = np.concatenate([unpack(x, "<u4") for x in rows["lengths"].to_pylist()]).astype(np.int64)
-        flat = np.concatenate([unpack(x, "<u4") for x in rows["ids"].to_pylist()])
+        flat = np.concatenate([_unpacked(x) for x in rows["ids"].to_pylist()])
         ends = np.cumsum(n)
         crc = np.zeros(len(n), np.uint32)
         again = np.isin(own, own[np.sort(own).searchsorted(own, "right") - np.sort(own).searchsorted(own) > 1]) if len(np.unique(own)) < len(own) else np.zeros(len(own), bool)
@@ -201,7 +212,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int, with_space: bool =
         for b in np.unique(block):
             part = rank[block == b]
             ids = np.concatenate([flat[ends[i] - n[i] : ends[i]] for i in part])
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([int(b)], pa.int32()), pa.array([len(ids)], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in (own[part], n[part].astype(np.uint32), ids))], ["bucket", "block", "n", "docs", "lengths", "ids"])
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([int(b)], pa.int32()), pa.array([len(ids)], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack(own[part]), pack(n[part].astype(np.uint32)), _packed(ids)))], ["bucket", "block", "n", "docs", "lengths", "ids"])
 
     arrow_batches(docs.sparkSession)
     read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
@@ -215,7 +226,7 @@ def id_counts(raw: DataFrame) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                c = np.bincount(unpack(x, "<u4"))
+                c = np.bincount(_unpacked(x))
                 if len(c) > len(total):
                     total, c = c.astype(np.int64), total
                 total[: len(c)] += c
@@ -241,7 +252,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, with_spac
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pydict()
-                block = to_block(unpack(row["docs"][0], "<i8"), unpack(row["lengths"][0], "<u4"), unpack(row["ids"][0], "<u4"), table)
+                block = to_block(unpack(row["docs"][0], "<i8"), unpack(row["lengths"][0], "<u4"), _unpacked(row["ids"][0]), table)
                 yield pa.record_batch([pa.array(row["bucket"], pa.int32()), pa.array(row["block"], pa.int32()), pa.array(row["n"], pa.int64()), pa.array([block], pa.binary())], ["bucket", "block", "n", "payload"])
 
     with tuned(spark):
@@ -259,8 +270,9 @@ def read_table(spark, path: str) -> np.ndarray:
     return freq
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """Documents of block files: doc_id, start (ids before it), n_tokens, ids_crc32, ids (binary, little-endian uint32)."""
+def read_ids(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents of block files: doc_id, start (ids before it), n_tokens, ids_crc32 and, with_ids, the ids themselves (binary,
+    little-endian uint32)."""
     shared = spark.sparkContext.broadcast(read_table(spark, path))
     blocks = spark.read.parquet(f"{path}/blocks")
     by_bucket = blocks.groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -278,12 +290,12 @@ def read_ids(spark, path: str) -> DataFrame:
                     texts = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends[part].tolist(), n[part].tolist(), strict=True)]
                     k = len(texts)
                     yield pa.record_batch(
-                        [pa.array([bucket] * k, pa.int32()), pa.array([block] * k, pa.int32()), pa.array([None if x == _NULL else x for x in own[part].tolist()], pa.int64()), pa.array(ends[part] - n[part], pa.int64()), pa.array(n[part].astype(np.int64)), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(texts, pa.binary())],
-                        ["bucket", "block", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
+                        [pa.array([bucket] * k, pa.int32()), pa.array([block] * k, pa.int32()), pa.array([None if x == _NULL else x for x in own[part].tolist()], pa.int64()), pa.array(ends[part] - n[part], pa.int64()), pa.array(n[part].astype(np.int64)), pa.array([zlib.crc32(x) for x in texts], pa.int64()), *([pa.array(texts, pa.binary())] if with_ids else [])],
+                        ["bucket", "block", "doc_id", "at", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                     )
 
-    read = blocks.select("bucket", "block", "payload").mapInArrow(run, "bucket int, block int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
-    return read.join(base, ["bucket", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    read = blocks.select("bucket", "block", "payload").mapInArrow(run, "bucket int, block int, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return read.join(base, ["bucket", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
@@ -291,4 +303,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer, end_id)
-    return stash(read_ids(spark, path).drop("ids"), "rans-read")
+    return stash(read_ids(spark, path, with_ids=False), "rans-read")

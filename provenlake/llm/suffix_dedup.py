@@ -359,6 +359,7 @@ class RepeatFinder:
             raise ValueError("8 <= anchor < length <= 255")
         self.docs, self.length, self.anchor, self.crowd, self.flush = docs, length, anchor, crowd, flush
         self.n = shards_for(docs) | 1
+        self.texts = 4 * self.n  # an index holds a hundred bytes for each byte of its shard while it is built
 
     def marks(self) -> list[DataFrame]:
         """Stashed tables of marked byte ranges by document (kind MARKS; other kinds are to be passed over)."""
@@ -366,7 +367,7 @@ class RepeatFinder:
         if found.where(F.col("kind") == OPEN).limit(1).isEmpty():
             return [found]
         texts = self.beside(found.where(F.col("kind") == OPEN)).mapInArrow(self._open_texts(), _BLOBS)
-        more = stash(exchange(texts, self.n, self._windows(), _BLOBS), "repeats-open")
+        more = stash(exchange(texts, self.texts, self._windows(), _BLOBS), "repeats-open")
         return [found, more]
 
     def beside(self, blobs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -430,7 +431,7 @@ class RepeatFinder:
         return reduce
 
     def _open_texts(self):
-        n, length, flush = self.n, self.length, self.flush
+        n, shards, length, flush = self.n, self.texts, self.length, self.flush
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, held, entries, seen = None, [], None, set()
@@ -443,7 +444,7 @@ class RepeatFinder:
                 rows = []
                 plain = np.flatnonzero(crowded == 0)
                 plain = plain[np.argsort(key[plain], kind="stable")]
-                for shard, own in by_shard(key[plain] << U64(24), n):
+                for shard, own in by_shard(key[plain] << U64(24), shards):
                     k = plain[own]
                     rows.append((shard, TEXTS, doc[k], start[k], count[k], np.frombuffer(b"".join([parts[i] for i in k]), np.uint8)))
                 hot = np.flatnonzero(crowded)
@@ -458,7 +459,7 @@ class RepeatFinder:
                     order, head, later = _first_copies(h, np.zeros(len(h), np.uint64), d, s)
                     copies, keep = order[later], order[head]
                     rows += _by_doc(MARKS, n, *merged(d[copies], s[copies], s[copies] + length))
-                    for shard, own in by_shard(h[keep], n):
+                    for shard, own in by_shard(h[keep], shards):
                         k = keep[own]
                         rows.append((shard, WINDOWS, h[k], d[k], s[k]))
                 return _blobs(rows)
@@ -485,7 +486,7 @@ class RepeatFinder:
                         s, count = int(entries[1][i]), int(entries[2][i])
                         part = raw[s : s + count - 1 + length]
                         texts.append((int(entries[3][i]), row["doc"], s, count, int(entries[4][i]), part))
-                        size += len(part)
+                        size += 40 * len(part) if entries[4][i] else len(part)
                     if size >= flush:
                         yield emit()
                         texts, size = [], 0
