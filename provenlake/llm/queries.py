@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provenlake.llm import bpe, cross_polytope, jaccard_join, kneser_ney, packing, quality, rans, suffix_dedup, voronoi_knn
+from provenlake.llm import bpe, cross_polytope, jaccard_join, kneser_ney, packing, quality, rans, suffix_dedup, voronoi_knn, warc
 from provenlake.llm.common import documents, vocabulary
 
 
@@ -32,6 +33,13 @@ def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.search(documents(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the crawl that the pages make, resolved; headers as sorted text."""
+    found = warc.resolve_revisits(warc.captures(documents(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.withColumn("headers", headers)
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(documents(spark, sf_dir))
 
@@ -54,10 +62,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_voronoi_knn": op5_voronoi_knn,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_cross_polytope": op8_cross_polytope,
     "op9_rans_ids": op9_rans_ids,
     "op10_importance_resampling": op10_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CANONICAL = r"""
+    SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM (
+      SELECT *,
+        regexp_replace(regexp_replace(lower(regexp_extract(url, '{parts}', 2)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
+        regexp_replace(regexp_extract(url, '{parts}', 3), '/$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_extract(url, '{parts}', 4), '^\?', ''), '&'),
+          lambda x: x <> '' AND NOT regexp_matches(x, '{tracking}'))), '&') AS kept
+      FROM page)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": rf"""
+WITH page AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest FROM pages WHERE page_id IS NOT NULL),
+own AS ({_CANONICAL.format(parts=warc.URL_PARTS, tracking=warc.TRACKING)}),
+dated AS (SELECT *, strftime(make_timestamp(page_id * 60000000), '%Y-%m-%d %H:%M:%S') AS day, '"' || substr(digest, 1, 16) || '"' AS tag FROM own),
+asked AS (
+  SELECT r.*, o.page_id AS o_page, o.digest AS o_digest, o.tag AS o_tag, o.day AS o_day
+  FROM (SELECT *, (page_id + 1000) * 60 + 30 AS at FROM dated) r ASOF LEFT JOIN (SELECT *, page_id * 60 AS at FROM dated WHERE canonical IS NOT NULL) o
+  ON r.canonical = o.canonical AND r.at > o.at),
+judged AS (
+  SELECT *, CASE WHEN o_page IS NULL THEN 'no_original'
+    WHEN page_id % 4 = 3 THEN 'no_validator'
+    WHEN CASE page_id % 4 WHEN 0 THEN tag = o_tag WHEN 1 THEN day = o_day ELSE digest = o_digest END THEN 'resolved' ELSE 'validator_mismatch' END AS resolution
+  FROM asked)
+SELECT page_id * 2 + 1 AS record_id, canonical, resolution, o_page * 2 AS original_id, o_page * 60 AS original_at,
+  CASE WHEN resolution = 'resolved' THEN o_digest END AS digest,
+  CASE WHEN resolution = 'resolved' THEN CASE page_id % 4
+    WHEN 0 THEN 'content-type=text/html;date=again;etag=W/' || tag || ';last-modified=' || o_day
+    WHEN 1 THEN 'content-type=text/html;date=' || o_day || ';etag=' || o_tag || ';last-modified=' || day
+    ELSE 'content-type=text/html;date=again;etag=' || o_tag || ';last-modified=' || o_day END END AS headers
+FROM judged""",
+}
