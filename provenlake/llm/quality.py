@@ -10,7 +10,7 @@ noise are kept, a sample without replacement in proportion to the weights (Gumbe
   such bigrams make up.
 * Counts of the raw model cover all documents. Those of the target come from at most ``max_labelled`` labelled documents
   (the documented bound; by hash of doc_id, so the same for any partitioning).
-* Buckets whose share in target and raw differs by less than a factor of three, or by less than 4 standard deviations, share
+* Buckets whose share in target and raw differs by less than a factor of three, or by less than 2.5 standard deviations, share
   one parameter: they cancel, and long clean texts gain nothing from their length.
 * k: as many documents as reach the cut that parts the labelled sample best (true less false positive rate).
 * ``sharpness`` is the exponent of the weights in the sampling.
@@ -132,7 +132,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, bits: int, prior: float = 1.0
         if r.sum() and t.sum():
             e = r * (t.sum() / r.sum())
             x = np.log((t + prior) / (e + prior))
-            out[own] = np.where((np.abs(x) >= np.log(3)) & (np.abs(t - e) >= 4 * np.sqrt(e + 1)), x, 0)
+            out[own] = np.where((np.abs(x) >= np.log(3)) & (np.abs(t - e) >= 2.5 * np.sqrt(e + 1)), x, 0)
     return out
 
 
