@@ -117,7 +117,7 @@ def mix(a: np.ndarray, b) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash; a bounded cache over xxh64."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

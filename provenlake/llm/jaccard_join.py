@@ -6,19 +6,19 @@ per / 100. Steps:
 1. Shingles are ordered rare-first, by hashed counters over all documents (a fixed number of them, only an order), then by
    hash. Documents with equal sets are one node. A set of n shingles has a prefix of n - ceil(per * n / 100) + 1: linked
    sets share a shingle of both prefixes, so prefixes are joined by shingle, behind length and positional filters.
-2. In each prefix shingle's bucket every node is first paired with one pivot only. Pairs are distinct, so each is verified
-   once, on whole sets behind a suffix filter. The links give first components.
-3. Pairs within a component need no check any more. For those across components of the same bucket the bound is sharpened:
-   a node cannot share more shingles with another than it has in common with all open nodes together. What passes it and
-   the filters is verified too. A group of thousands of near copies so takes a few pairs per node, yet no link that matters
-   is lost; components and classes are exact.
+2. In each prefix shingle's bucket every node is first paired with one pivot only. Pairs are distinct and pass a bitmap
+   filter (parities of shingles by hash: sets differ in at least as many shingles as their bitmaps in bits); each is then
+   verified once, on whole sets behind a suffix filter. The links give first components.
+3. Pairs within a component need no check any more. Those across components of one bucket are joined, behind all filters,
+   and verified too. A group of thousands of near copies so takes a few pairs per node, yet no link that matters is lost;
+   components and classes are exact.
 
-Buckets are never collected: pivots and bounds are aggregates that are joined back, which adaptive execution splits.
+Buckets are never collected: pivots are aggregates that are joined back, which adaptive execution splits.
 
 Nulls: a null or blank text has no shingles and links with nothing. A null doc_id takes part, but is never the least id of
-its component unless all of it is null. Repeated rows have equal sets: one node. Fewer words than ``words``: the whole
-sequence is the one shingle. Empty table: no rows. Other columns are not read (they come along in one_of_each). Sets and
-shingles are compared by 64-bit hashes.
+its component unless all of it is null; a set that only rows with a null doc_id have is compared with none. Repeated rows
+have equal sets: one node. Fewer words than ``words``: the whole sequence is the one shingle. Empty table: no rows. Other
+columns are not read (they come along in one_of_each). Sets and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,42 +30,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, discard, grouped, mix, spread, stash, sum_counters, utf8, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, discard, grouped, mix, spans, spread, stash, sum_counters, utf8, words_of
 from provenlake.llm.components import components
 
-COUNTER_BITS = 20
+COUNTER_BITS = 22
 _WORDS = WordHashes()
 
 
-def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each text's distinct shingles, by row and hash."""
+def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each text's shingles in their order, row by row."""
     parts = [words_of(x) for x in texts]
     n = np.fromiter(map(len, parts), np.int64, len(parts))
     h = _WORDS.array([w for x in parts for w in x])
     row = np.repeat(np.arange(len(parts)), n)
     ends = np.cumsum(n)
-    size = len(h) - words + 1
-    if size > 0:
-        s = h[:size]
-        for i in range(1, words):
-            s = mix(s, h[i : i + size])
-        whole = row[:size] == row[words - 1 :]
-        rows, hashes = [row[:size][whole]], [s[whole]]
-    else:
-        rows, hashes = [], []
-    for i in np.flatnonzero((n > 0) & (n < words)).tolist():
-        x = U64(n[i])
-        for w in h[ends[i] - n[i] : ends[i]]:
-            x = mix(np.array([x]), w)[0]
-        rows.append(np.array([i]))
-        hashes.append(np.array([x], np.uint64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    r, s = np.concatenate(rows), np.concatenate(hashes)
-    order = np.lexsort((s, r))
-    r, s = r[order], s[order]
-    keep = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])]) if len(r) else np.zeros(0, bool)
-    return r[keep], s[keep]
+    size = max(0, len(h) - words + 1)
+    s = h[:size].copy()
+    for i in range(1, words):
+        s = mix(s, h[i : i + size])
+    whole = row[:size] == row[words - 1 :][:size]
+    row, s = row[:size][whole], s[whole]
+    short = np.flatnonzero((n > 0) & (n < words))
+    if len(short):
+        extra = []
+        for i in short.tolist():
+            x = np.array([n[i]], np.uint64)
+            for w in h[ends[i] - n[i] : ends[i]]:
+                x = mix(x, w)
+            extra.append(x)
+        row, s = np.concatenate([row, short]), np.concatenate([s, *extra])
+        order = np.argsort(row, kind="stable")
+        row, s = row[order], s[order]
+    return row, s
+
+
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each text's distinct shingles, by row and hash."""
+    row, s = shingles(texts, words)
+    for a, b in spans(grouped(row), len(row)):
+        s[a:b].sort()
+    keep = np.ones(len(row), bool)
+    keep[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1])
+    return row[keep], s[keep]
 
 
 def _nodes(row: np.ndarray, s: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +84,17 @@ def _nodes(row: np.ndarray, s: np.ndarray, count: int) -> tuple[np.ndarray, np.n
     return n, mix(node, n.astype(np.uint64)).view(np.int64)
 
 
+#: 64-bit words of a bitmap.
+MAPS = 8
+
+
+def _bitmaps(row: np.ndarray, s: np.ndarray, count: int) -> np.ndarray:
+    """Parities of each row's shingles by 9 bits of hash: count x MAPS int64."""
+    bits = 64 * MAPS
+    odd = (np.bincount(row * bits + (s >> U64(64 - 9)).astype(np.int64), minlength=count * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, bits), axis=1).view(np.int64)
+
+
 def suffix_filter(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bool:
     """Whether sorted sets may share ``need`` elements, by halving both at a common value: sums of lesser halves."""
     if depth == 0 or len(x) < 8 or len(y) < 8:
@@ -103,32 +120,23 @@ class JaccardJoin:
     # -- step 1
 
     def _counters(self) -> np.ndarray:
+        """Class of frequency of each hashed counter: 4 log2 of it. 2^COUNTER_BITS bytes, whatever the corpus."""
         words = self.words
 
         def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-            total = np.zeros(1 << COUNTER_BITS, np.int64)
+            total = np.zeros(1 << COUNTER_BITS, np.int32)
             for batch in batches:
-                _, s = shingle_sets(utf8(batch.column(1)), words)
-                total += np.bincount((s >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+                _, s = shingles(utf8(batch.column(1)), words)
+                np.add.at(total, (s >> U64(64 - COUNTER_BITS)).astype(np.int64), 1)
             return [total]
 
-        return sum_counters(self.docs, count, 1 << COUNTER_BITS)[0]
+        total = sum_counters(self.docs, count, 1 << COUNTER_BITS)[0]
+        return np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
 
     def _members(self) -> DataFrame:
-        """doc_id, n, node of every row."""
-        words = self.words
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, node = _nodes(*shingle_sets(utf8(batch.column(1)), words), len(batch))
-                yield pa.record_batch([batch.column(0), pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
-
-        return self.docs.mapInArrow(run, "doc_id long, n long, node long")
-
-    def _entries(self) -> DataFrame:
-        """token, node, n, pos: prefix shingles, once for each node of a batch."""
+        """Every row's doc_id, set size n, node, bitmap m0.. and prefix (its shingles; null where the batch has the node)."""
         words, per = self.words, self.per
-        shared = self.spark.sparkContext.broadcast(self._counters())  # 2^COUNTER_BITS numbers, whatever the corpus
+        shared = self.spark.sparkContext.broadcast(self._counters())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rare = shared.value
@@ -137,17 +145,31 @@ class JaccardJoin:
                 n, node = _nodes(row, s, len(batch))
                 first = np.zeros(len(batch), bool)
                 first[np.unique(node, return_index=True)[1]] = True
-                keep = first[row]
-                row, s = row[keep], s[keep]
-                order = np.lexsort((s, rare[(s >> U64(64 - COUNTER_BITS)).astype(np.int64)], row))
-                row, s = row[order], s[order]
+                key = rare[(s >> U64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << U64(56) | s >> U64(8)
+                prefix = [None] * len(batch)
                 cut = grouped(row)
-                pos = np.arange(len(row)) - np.repeat(cut, np.diff(np.append(cut, len(row))))
-                size = n[row]
-                own = pos < size - (-(-per * size // 100)) + 1
-                yield pa.record_batch([pa.array(s[own].view(np.int64)), pa.array(node[row[own]]), pa.array(size[own].astype(np.int32)), pa.array(pos[own].astype(np.int32))], ["token", "node", "n", "pos"])
+                for i, (a, b) in zip(row[cut].tolist(), spans(cut, len(row)), strict=True):
+                    if first[i]:
+                        size = b - a
+                        prefix[i] = s[a:b][np.argsort(key[a:b])[: size - (-(-per * size // 100)) + 1]].tobytes()
+                maps = _bitmaps(row, s, len(batch))
+                yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int32)), pa.array(node), *(pa.array(maps[:, i].copy()) for i in range(MAPS)), pa.array(prefix, pa.binary())], ["doc_id", "n", "node", *(f"m{i}" for i in range(MAPS)), "prefix"])
+
+        return self.docs.mapInArrow(run, "doc_id long, n int, node long, " + ", ".join(f"m{i} long" for i in range(MAPS)) + ", prefix binary")
+
+    @staticmethod
+    def _entries(members: DataFrame) -> DataFrame:
+        """token, node, n, pos: prefix shingles, once for each node of a batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
+                if prefix:
+                    size = np.array([len(x) for x in prefix])
+                    pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                    yield pa.record_batch([pa.array(np.concatenate(prefix)), pa.array(np.repeat(batch.column("node").to_numpy(), size)), pa.array(np.repeat(batch.column("n").to_numpy(), size)), pa.array(pos.astype(np.int32))], ["token", "node", "n", "pos"])
 
-        return self.docs.mapInArrow(run, "token long, node long, n int, pos int")
+        return members.where("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(run, "token long, node long, n int, pos int")
 
     # -- filters: conditions on two entries of one token
 
@@ -160,6 +182,11 @@ class JaccardJoin:
         length = f"100 * least({a}n, {b}n) >= {self.per} * greatest({a}n, {b}n)"
         return f"{length} AND least({a}pos, {b}pos) + 1 + least({a}n - {a}pos, {b}n - {b}pos) - 1 >= {self._need(f'{a}n', f'{b}n')}"
 
+    def _bitmaps_allow(self, a: str, b: str) -> str:
+        """Bitmap filter: linked sets differ in n1 + n2 - 2 need shingles at most."""
+        bits = " + ".join(f"bit_count({a}m{i} ^ {b}m{i})" for i in range(MAPS))
+        return f"{bits} <= {a}n + {b}n - 2 * {self._need(f'{a}n', f'{b}n')}"
+
     # -- verification
 
     def _sets(self, nodes: DataFrame, first: DataFrame) -> DataFrame:
@@ -204,44 +231,41 @@ class JaccardJoin:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(stashed members doc_id, n, node; links a, b between nodes that give the right components)."""
+        maps = [f"m{i}" for i in range(MAPS)]
         members = stash(self._members(), "members")
-        first = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        entries = stash(self._entries(), "prefixes")
+        nodes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps))
+        first = nodes.select("node", "doc_id")
+        entries = self._entries(members)
         pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("most")).where("p.node != most").drop("most")
-        shared = stash(entries.join(pivots, "token").select("token", "node", "n", "pos", "p"), "shared-prefixes")
-        discard(entries)
-        star = shared.select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")).where("node != pnode").where(self._may_link("", "p"))
-        pairs = stash(star.select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        shared = stash(entries.join(pivots, "token").select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "shared-prefixes")
+        star = shared.where("node != pnode").where(self._may_link("", "p")).select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
+
+        def side(name: str) -> DataFrame:
+            return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(m).alias(f"{name}_{m}") for m in maps))
+
+        pairs = stash(star.join(side("a"), "a").join(side("b"), "b").where(self._bitmaps_allow("a_", "b_")).select("a", "b"), "pairs")
+        links = self._checked(pairs, first)
+        found = stash(components(links), "components")
         # buckets of more than two nodes may hold pairs without the pivot
-        several = shared.where("node != p.node").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-        crowd = shared.join(several, "token").select("token", "node", "n", "pos").distinct()
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = stash(self._sets(nodes, first), "sets")
+        several = shared.where("node != pnode").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
+        open_ = shared.join(several, "token").select("token", "node", "n", "pos").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+        open_ = stash(open_.join(mixed, "token").join(nodes.select("node", *maps), "node"), "open")
+        x, y = (open_.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos", "component", *maps))) for k in "xy")
+        on = (x["token"] == y["token"]) & F.expr(f"x_node < y_node AND x_component != y_component AND {self._may_link('x_', 'y_')} AND {self._bitmaps_allow('x_', 'y_')}")
+        across = x.join(y, on).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+        across = stash(across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-across")
+        discard(shared, open_)
+        return members, links.union(self._checked(across, first))
+
+    def _checked(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
+        """The pairs that link, as a stashed table."""
+        if pairs.limit(1).isEmpty():
+            return pairs
+        sets = stash(self._sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), first), "sets")
         links = stash(self._verified(pairs, sets), "links")
-        found = stash(components(links), "components")
-        open_, open_sets = self._open(crowd, found, first)
-        more = stash(self._verified(self._across(open_, pairs), open_sets), "links-across")
-        discard(sets, open_sets, shared)
-        return members, links.union(more)
-
-    def _open(self, crowd: DataFrame, found: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Prefix entries of buckets with several components, each with its component and its bound; and their sets."""
-        own = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-        own = stash(own.join(mixed, "token"), "open")
-        sets = stash(self._sets(own.select("node").distinct(), first), "open-sets")
-        shingles = sets.mapInArrow(_exploded, "node long, h long")
-        common = shingles.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("h")
-        bound = shingles.join(common, "h").groupBy("node").agg(F.count("*").alias("u"))
-        bounded = own.join(bound, "node").where(f"100 * u >= {self.per} * n")
-        return stash(bounded, "open-bounded"), sets
-
-    def _across(self, open_: DataFrame, tested: DataFrame) -> DataFrame:
-        x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "u", "component")))
-        y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "u", "component")))
-        on = (x["token"] == y["token"]) & F.expr(f"x_node < y_node AND x_component != y_component AND least(x_u, y_u) >= {self._need('x_n', 'y_n')} AND {self._may_link('x_', 'y_')}")
-        pairs = x.join(y, on).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-        return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        discard(sets)
+        return links
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
@@ -253,13 +277,6 @@ class JaccardJoin:
         return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("s").to_pylist()]
-        if sets:
-            yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["node", "h"])
-
-
 def group_documents(docs: DataFrame, words: int = 5, per: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     return JaccardJoin(docs, words, per).groups()
