@@ -127,7 +127,8 @@ class Fragments:
         row = np.asarray(rows, np.int64)[piece]
         start = first - (ends - sizes)[piece] + np.asarray(shift, np.int64)[piece]
         # a piece's border may part a run of a long text: the parts are fragments of their own
-        self.parts.append((grams[place] >> U64(24), content >> U64(24), row, start, count + 1, lead) + ((whole[at],) if self.windows else ()))
+        # minimizers are small numbers: mixed again, they spread over all shards
+        self.parts.append((mix(grams[place], U64(3)) >> U64(24), content >> U64(24), row, start, count + 1, lead) + ((whole[at],) if self.windows else ()))
 
 
 # -- the index ------------------------------------------------------------------------------------------------------------
