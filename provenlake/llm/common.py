@@ -257,12 +257,13 @@ class ChunkCache:
     encode(list of str) -> list of bytes (ids, little-endian uint32) does the true work, for chunks that are not known.
     with_space: a chunk after a space is encoded with that space before it, as byte-level vocabularies have it. When LIMIT
     chunks are held, those that came only once go; chunks over LONG characters are not kept: memory is bounded.
+    lower: the vocabulary has lower case only, so ASCII texts are lower-cased before (other letters are left to its rules).
     """
 
     LIMIT, LONG = 600_000, 200
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], with_space: bool):
-        self.encode, self.prefix = encode, " " if with_space else ""
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], with_space: bool, lower: bool = False):
+        self.encode, self.prefix, self.lower = encode, " " if with_space else "", lower
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.again: set[str] = set()
@@ -281,6 +282,8 @@ class ChunkCache:
         return [x for x in new if len(x) > self.LONG]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.lower:
+            texts = [x.lower() if x.isascii() else x for x in texts]
         parts = [_BETWEEN.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
         tails: set[str] = set()
         for p in parts:
@@ -335,7 +338,8 @@ def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
                     out[i] = raw[x:y]
             return out
 
-        _ENCODERS[path] = ChunkCache(encode, with_space)
+        lower = tok.encode("A B", add_special_tokens=False).ids == tok.encode("a b", add_special_tokens=False).ids
+        _ENCODERS[path] = ChunkCache(encode, with_space, lower)
     return _ENCODERS[path]
 
 

@@ -179,7 +179,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int, with_space: bool =
     """Whole texts as ids in ascending doc_id order: one row for each block to be. Bounds of the buckets come from a
     quantile sketch over doc_id, so that no sort samples the tokenised rows.
     """
-    buckets = shards_for(docs)
+    buckets = shards_for(docs, 6_000_000)
     bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
     cuts = np.array(sorted(set(bounds)), np.float64)
     end = np.array([end_id], "<u4").tobytes()
