@@ -1,6 +1,374 @@
-"""Queries of the engine itself and their oracle SQL."""
+"""Queries of the engine over the driver's tables, and DuckDB SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provenlake.functions import anchors, fixed, text
+from provenlake.operators import evaluate, intake, passages, review, scoring, sections, selection
+from provenlake.plans import corpus
+from provenlake.sources import fetch, html, pdf_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """Corpus SQL over the driver's tables; types that only DuckDB names are put in Spark's words."""
+    for n in names:
+        sql = sql.replace(f"FROM {n}", f"FROM parquet.`{sf_dir}/{n}.parquet`")
+    return spark.sql(sql)
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, corpus.CLAIMS, "orders").select("claim_id", "source_id", "claim_text", "local_context")
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, corpus.BLOCKS, "orders").drop("variant")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, corpus.ITEMS, "orders")
+
+
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the reports that the conversations make, each with a list of six references, label 3 twice, 5 missing."""
+    body = _sql(spark, sf_dir, corpus.PARAGRAPHS, "conversations")
+    reports = body.select("report_id").distinct()
+    entries = [("Heading 1", "References"), ("Normal", "[1] First source https://example.org/a."), ("Normal", "[2] Second source https://example.org/b.pdf"), ("Normal", "3. Third source"), ("Normal", "[3] Third source again"), ("Normal", "4) Fourth source http://example.net/d"), ("Normal", "an entry without a label")]
+    refs = reports.select("report_id", F.posexplode(F.array(*(F.struct(F.lit(s).alias("style_id"), F.lit(t).alias("text")) for s, t in entries))).alias("k", "e")).select("report_id", (F.col("k") + 1_000_000).cast("long").alias("ord"), "e.style_id", "e.text")
+    return intake.sections(body.unionByName(refs))
+
+
+def joined(c: Column) -> Column:
+    return F.array_join(c, "|")
+
+
+# -- text ---------------------------------------------------------------------------------------------------------------
+
+_TOKENS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9&''/-]*'), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + "], x))))"
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS int) AS n_tokens, array_to_string(t, '|') AS tokens FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def tokens_documents(spark, sf_dir):
+    t = text.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), joined(t).alias("tokens"))
+
+
+def _sentence_sql() -> str:
+    t = "text"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '([0-9])\.([0-9])', '\1{text.DOT}\2', 'g')"
+    for a in fixed.ABBREVIATIONS:
+        inner = a[:-1].split(".")
+        pattern = "(?i)(^|[^A-Za-z])" + r"\.".join(f"({x})" for x in inner) + r"\."
+        new = r"\1" + text.DOT.join(rf"\{i + 2}" for i in range(len(inner))) + text.DOT
+        t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"
+    t = rf"regexp_replace({t}, '([.!?])\s+', '\1{chr(0xE002)}', 'g')"
+    t = rf"regexp_replace({t}, '([.!?])([A-Z])', '\1{chr(0xE002)}\2', 'g')"
+    return f"list_filter(list_transform(string_split({t}, '{chr(0xE002)}'), lambda x: trim(replace(x, '{text.DOT}', '.'))), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, CAST(len(s) AS int) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_sentence_sql()} AS s FROM documents)")
+def sentences_documents(spark, sf_dir):
+    s = text.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.md5(joined(s)).alias("digest"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS int) AS words FROM documents")
+def word_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query()
+def identity_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", joined(text.identity_terms(F.col("text"))).alias("terms"))
+
+
+@query(
+    f"""SELECT claim_id, CAST(n AS varchar) AS numbers, CAST(n AS varchar) || ':currency' AS number_units, '' AS currencies, 'month:' || CAST(y AS varchar) || '-' || lower(mon) || '|year:' || CAST(y AS varchar) AS dates, 'revenue' AS metrics,
+  CASE WHEN mon IN ('March', 'April', 'May', 'June', 'July') THEN 'total' WHEN mon < 'Total' THEN lower(mon) || '|total' ELSE 'total|' || lower(mon) END AS entities, '' AS directions, 'total_company' AS scopes, '' AS qualifiers,
+  array_to_string(list_sort(['total', 'revenue', CAST(n AS varchar), lower(mon), CAST(y AS varchar)]), '|') AS keywords FROM ({corpus.CLAIMS})"""
+)
+def claim_anchors(spark, sf_dir):
+    a = claims(spark, sf_dir).withColumn("a", anchors.anchors(F.col("claim_text")))
+    return a.select("claim_id", *(joined(F.col(f"a.{n}")).alias(n) for n in anchors.ANCHORS if n != "metric_phrases"))
+
+
+@query(f"SELECT block_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\$([0-9]+)( thousand)?', 0), lambda x: CASE WHEN ends_with(x, 'thousand') THEN CAST(CAST(regexp_extract(x, '[0-9]+') AS bigint) * 1000 AS varchar) ELSE substr(x, 2) END))), '|') AS numbers FROM ({corpus.BLOCKS})")
+def block_numbers(spark, sf_dir):
+    return blocks(spark, sf_dir).select("block_id", joined(anchors.numbers(anchors.number_records(F.col("text")))).alias("numbers"))
+
+
+@query()
+def document_anchors(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    records = anchors.number_records(F.col("text"))
+    return d.select("doc_id", F.size(anchors.numbers(records)).alias("n_numbers"), F.size(anchors.number_units(records)).alias("n_units"), F.size(anchors.dates(F.col("text"))).alias("n_dates"), F.size(anchors.entities(F.col("text"))).alias("n_entities"), joined(text.named(F.col("text"), fixed.DIRECTIONS)).alias("directions"), joined(text.named(F.col("text"), fixed.SCOPES)).alias("scopes"), joined(text.named(F.col("text"), fixed.QUALIFIERS)).alias("qualifiers"))
+
+
+@query()
+def metric_phrases(spark, sf_dir):
+    return blocks(spark, sf_dir).select("block_id", joined(anchors.metric_phrases(F.col("text"))).alias("phrases"))
+
+
+# -- passages and evidence --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH b AS ({corpus.BLOCKS}), chunk AS (SELECT source_id, block_id || '-chunk-1' AS passage_id, text FROM b),
+n AS (SELECT *, lead(block_id) OVER w AS rid, lead(text) OVER w AS rt, lead(heading) OVER w AS rh FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block_ord))
+SELECT source_id, passage_id, text FROM chunk UNION ALL SELECT source_id, block_id || '+' || rid || '-boundary-window', text || ' ' || rt FROM n WHERE rid IS NOT NULL AND heading = rh AND NOT starts_with(text, 'Table: ') AND NOT starts_with(rt, 'Table: ')""")
+def candidates(spark, sf_dir):
+    return passages.passages(blocks(spark, sf_dir)).select("source_id", "passage_id", "text")
+
+
+@query()
+def chunks_documents(spark, sf_dir):
+    """Passages of all documents as one-block sources."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit(1).alias("block_ord"), F.concat(F.lit("doc-"), "doc_id").alias("block_id"), "text", F.lit("").alias("heading"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("span"))
+    return passages.passages(d).select("source_id", "cand_idx", "passage_id", F.length("text").alias("chars"))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return scoring.adjusted(scoring.scored(claims(spark, sf_dir), passages.passages(blocks(spark, sf_dir))))
+
+
+@query()
+def scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("claim_id", "passage_id", joined(F.col("coverage")).alias("coverage"), F.round("base_score", 6).alias("base_score"), "identity_bonus", "fragment_penalty", F.round("score", 6).alias("score"))
+
+
+@query()
+def top_passages(spark, sf_dir):
+    return selection.ranked(_scored(spark, sf_dir)).where(F.col("rank") <= selection.MOST).select("claim_id", "rank", "passage_id", F.round("score", 3).alias("score"))
+
+
+@query()
+def diverse_passages(spark, sf_dir):
+    """Flagship: the evidence for every claim."""
+    return selection.diverse(_scored(spark, sf_dir))
+
+
+# -- reviews ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT review_id, count(*) AS selected, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'awaiting_model_config') AS awaiting, count(*) FILTER (status = 'prejudge_unverified') AS prejudged, count(DISTINCT reference_id) AS unique_sources, count(*) - count(*) FILTER (status = 'completed') AS unresolved FROM ({corpus.ITEMS}) GROUP BY 1")
+def coverage_counts(spark, sf_dir):
+    return review.coverage(items(spark, sf_dir))
+
+
+@query(f"SELECT review_id, verdict, count(*) AS n FROM ({corpus.ITEMS}) WHERE verdict IS NOT NULL GROUP BY 1, 2")
+def verdict_histogram(spark, sf_dir):
+    return review.verdict_histogram(items(spark, sf_dir))
+
+
+_GATE = f"""SELECT review_id, count(verdict) AS checked, count(*) - count(verdict) AS pending, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'unsupported') AS unsupported, count(*) FILTER (verdict = 'unverified') AS unverified,
+  coalesce(string_agg(sentence_id, '|' ORDER BY ord) FILTER (verdict = 'contradicted'), '') AS contradicted_ids, coalesce(string_agg(sentence_id, '|' ORDER BY ord) FILTER (verdict IN ('unsupported', 'unverified')), '') AS warning_ids FROM ({corpus.ITEMS}) GROUP BY 1"""
+_STATUS = "CASE WHEN contradicted > 0 THEN 'stop_and_fix' WHEN pending > 0 THEN 'review_incomplete' WHEN unsupported + unverified > 0 THEN 'continue_with_warnings' ELSE 'continue' END"
+
+
+@query(f"SELECT *, {_STATUS} AS status FROM ({_GATE})")
+def gate(spark, sf_dir):
+    return review.gate(items(spark, sf_dir)).withColumns({c: joined(F.col(c)) for c in ("contradicted_ids", "warning_ids")})
+
+
+@query(f"SELECT review_id, reference_id, count(*) AS n, string_agg(sentence_id, '|' ORDER BY ord) AS sentence_ids FROM ({corpus.ITEMS}) WHERE fetch_status = 'failed' OR extraction_status IN ('ocr_required', 'extraction_failed') GROUP BY 1, 2")
+def attention_sources(spark, sf_dir):
+    return review.attention_sources(items(spark, sf_dir)).withColumn("sentence_ids", joined(F.col("sentence_ids")))
+
+
+_PREJUDGE = f"SELECT sentence_id, CASE WHEN fetch_status = 'failed' THEN 'source_fetch_failed' WHEN extraction_status = 'ocr_required' THEN 'ocr_required' WHEN extraction_status = 'extraction_failed' THEN 'source_extraction_failed' WHEN ord % 4 = 0 THEN 'weak_retrieval_coverage' END AS warning, CASE WHEN fetch_status = 'failed' THEN 'source_fetch' WHEN extraction_status IN ('ocr_required', 'extraction_failed') THEN 'source_extraction' WHEN ord % 4 = 0 THEN 'passage_retrieval' ELSE 'model_configuration' END AS stopped_stage FROM ({corpus.ITEMS})"
+
+
+@query(f"SELECT *, CASE WHEN warning IS NULL THEN 'awaiting_model_config' ELSE 'prejudge_unverified' END AS status FROM ({_PREJUDGE})")
+def item_status(spark, sf_dir):
+    own = items(spark, sf_dir).drop("status", "verdict").withColumn("claim_id", F.concat(F.lit("claim-"), "sentence_id")).withColumn("failure_reason", F.lit(None).cast("string")).withColumn("n_passages", F.col("ord") % 4)
+    return review.reviewed(own).select("sentence_id", "warning", "stopped_stage", "status")
+
+
+@query(f"SELECT review_id, sentence_id, reference_id, CASE WHEN status <> 'completed' AND reference_id = 'reference-1' THEN 'completed' ELSE status END AS status FROM ({corpus.ITEMS})")
+def retry_merge(spark, sf_dir):
+    own = items(spark, sf_dir).select("review_id", "sentence_id", "reference_id", "status")
+    return review.retried(own, own.where("reference_id = 'reference-1'").withColumn("status", F.lit("completed")))
+
+
+_WORKERS = "SELECT user_id AS review_id, event_id AS worker_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS bigint) AS finish_ms FROM events WHERE value IS NOT NULL AND ts IS NOT NULL"
+
+
+@query(f"""WITH w AS ({_WORKERS}), e AS (SELECT review_id, start_ms AS at, 1 AS d FROM w UNION ALL SELECT review_id, finish_ms, -1 FROM w),
+r AS (SELECT review_id, sum(d) OVER (PARTITION BY review_id ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS a FROM e)
+SELECT review_id, CAST(max(a) AS bigint) AS max_concurrency, CAST((SELECT sum(finish_ms - start_ms) FROM w WHERE w.review_id = r.review_id) AS bigint) AS sequential_ms FROM r GROUP BY review_id""")
+def max_concurrency(spark, sf_dir):
+    ms = F.expr("unix_millis(to_timestamp(ts))")
+    w = table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("review_id"), F.col("event_id").alias("worker_id"), ms.alias("start_ms"), (ms + F.floor(F.col("value") * 100000)).alias("finish_ms"))
+    return review.timings(w)
+
+
+# -- reports ------------------------------------------------------------------------------------------------------------------
+
+_SECTIONED = f"""SELECT report_id, ord, text, style_id LIKE 'Heading%' AS is_heading, 1 + sum(CASE WHEN style_id LIKE 'Heading%' AND text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY report_id ORDER BY ord) AS section_ord
+  FROM (SELECT report_id, ord, style_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ({corpus.PARAGRAPHS}))"""
+
+
+@query(f"SELECT report_id, 'section-' || CAST(section_ord AS varchar) AS section_id, count(*) AS paragraphs FROM ({_SECTIONED}) WHERE NOT is_heading AND text <> '' GROUP BY 1, 2")
+def section_assign(spark, sf_dir):
+    own = report_parts(spark, sf_dir).where("NOT is_heading AND NOT in_references AND text != ''")
+    return own.groupBy("report_id", "section_id").agg(F.count("*").alias("paragraphs"))
+
+
+def _claims_of_reports(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parts = report_parts(spark, sf_dir)
+    refs = intake.references(parts)
+    return parts, refs, intake.claim_sentences(intake.report_sentences(parts), refs)
+
+
+@query("""SELECT r.report_id, e.* FROM (SELECT DISTINCT conv_id AS report_id FROM conversations WHERE text IS NOT NULL) r,
+ (VALUES ('reference-1', '1', 'https://example.org/a', 'html'), ('reference-2', '2', 'https://example.org/b.pdf', 'text_pdf'), ('reference-3', '3', NULL, 'html'), ('reference-4', '3', NULL, 'html'), ('reference-5', '4', 'http://example.net/d', 'html'), ('reference-6', NULL, NULL, 'html')) e(reference_id, label, url, source_kind)""")
+def report_references(spark, sf_dir):
+    return intake.references(report_parts(spark, sf_dir)).select("report_id", "reference_id", "label", "url", "source_kind")
+
+
+@query(f"""SELECT report_id, status, count(*) AS n FROM (SELECT report_id, CASE turn_label WHEN 3 THEN 'ambiguous' WHEN 5 THEN 'unmapped' ELSE 'mapped' END AS status FROM (SELECT report_id, ord % 5 + 1 AS turn_label FROM ({corpus.PARAGRAPHS}) WHERE style_id = 'Normal')) GROUP BY 1, 2""")
+def citation_map(spark, sf_dir):
+    _, _, c = _claims_of_reports(spark, sf_dir)
+    return c.select("report_id", F.explode("citations").alias("c")).groupBy("report_id", F.col("c.status").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query()
+def claim_sentences(spark, sf_dir):
+    _, _, c = _claims_of_reports(spark, sf_dir)
+    return c.select("report_id", "sentence_id", "direction", "claim_text", joined(F.col("scope")).alias("scope"), joined(F.col("following")).alias("following"), joined(F.col("reference_ids")).alias("reference_ids"))
+
+
+@query("SELECT CAST(NULL AS bigint) AS report_id, CAST(NULL AS varchar) AS error WHERE false")
+def structure_errors(spark, sf_dir):
+    return intake.structure_errors(*_claims_of_reports(spark, sf_dir))
+
+
+@query()
+def claim_selection(spark, sf_dir):
+    _, _, c = _claims_of_reports(spark, sf_dir)
+    chosen = c.select("report_id", "sentence_id", F.when(F.col("ord") % 7 == 0, F.lit("reference-9")).otherwise(F.coalesce(F.get("reference_ids", F.lit(0)), F.lit("reference-1"))).alias("reference_id"), F.when(F.col("ord") % 3 == 0, F.lit(" Approved text. ")).alias("approved_text"), F.lit(None).cast("string").alias("direction"))
+    return intake.selected_claims(c, chosen)
+
+
+@query(f"""SELECT report_id, 'section-' || CAST(section_ord AS varchar) AS section_id, CAST(len(string_split(string_agg(text, ' ' ORDER BY ord), ' ')) AS int) AS word_count FROM ({_SECTIONED}) WHERE NOT is_heading AND text <> '' GROUP BY 1, 2""")
+def section_words(spark, sf_dir):
+    return sections.section_texts(report_parts(spark, sf_dir)).select("report_id", "section_id", "word_count")
+
+
+@query()
+def section_packets(spark, sf_dir):
+    t = sections.section_texts(report_parts(spark, sf_dir))
+    return sections.packets(t, sections.subchunks(t))
+
+
+@query()
+def subchunks(spark, sf_dir):
+    return sections.subchunks(sections.section_texts(report_parts(spark, sf_dir)))
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    return items(spark, sf_dir).where("verdict IS NOT NULL").select("review_id", F.concat(F.lit("section-"), F.col("ord") % 4).alias("section_id"), (F.col("ord") % 4).alias("section_ord"), "verdict")
+
+
+_SAID = ", ".join(f"CASE WHEN list_contains(v, '{k}') THEN '{t}' END" for k, t in sections.RISKS)
+
+
+@query(f"""WITH g AS (SELECT *, {_STATUS} AS status FROM ({_GATE})), o AS (SELECT review_id, 'section-' || CAST(ord % 4 AS varchar) AS section_id, list(verdict) AS v FROM ({corpus.ITEMS}) WHERE verdict IS NOT NULL GROUP BY 1, 2)
+SELECT review_id, section_id, array_to_string(list_filter([{_SAID}, CASE WHEN status = 'stop_and_fix' THEN '{sections.STOP}' END], lambda x: x IS NOT NULL), '|') AS risks FROM o JOIN g USING (review_id)""")
+def section_risks(spark, sf_dir):
+    return sections.section_risks(_outcomes(spark, sf_dir), review.gate(items(spark, sf_dir))).withColumn("risks", joined(F.col("risks")))
+
+
+@query()
+def report_risks(spark, sf_dir):
+    gates = review.gate(items(spark, sf_dir))
+    own = sections.section_risks(_outcomes(spark, sf_dir), gates).withColumn("section_ord", F.regexp_extract("section_id", r"(\d+)", 1).cast("int")).withColumn("heading", F.col("section_id")).withColumn("needs_human_attention", F.size("risks") > 1)
+    return sections.report_risks(gates, own).withColumn("risks", joined(F.col("risks")))
+
+
+@query(f"SELECT review_id, '# Review' || chr(10) || chr(10) || 'Gate: ' || status || chr(10) || chr(10) || lines AS markdown FROM (SELECT *, {_STATUS} AS status FROM ({_GATE})) JOIN (SELECT review_id, string_agg('- ' || sentence_id || ' (' || reference_id || '): ' || coalesce(verdict, status), chr(10) ORDER BY ord) AS lines FROM ({corpus.ITEMS}) GROUP BY 1) USING (review_id)")
+def markdown_export(spark, sf_dir):
+    own = items(spark, sf_dir)
+    return sections.markdown(review.gate(own), own)
+
+
+@query(f"""WITH e AS (SELECT review_id % 3 AS report_id, ord, verdict FROM ({corpus.ITEMS}) WHERE verdict IS NOT NULL),
+j AS (SELECT report_id, verdict AS want, CASE WHEN ord % 10 = 0 THEN 'supported_by_cited_source' ELSE verdict END AS got FROM e)
+SELECT report_id, count(*) AS cases, count(*) FILTER (want = got) AS passed, count(*) FILTER (got = 'supported_by_cited_source' AND want <> got) AS false_support, round(count(*) FILTER (want = got) / count(*), 6) AS accuracy, (count(*) FILTER (want = got) / count(*) >= 0.85 AND count(*) FILTER (got = 'supported_by_cited_source' AND want <> got) = 0) AS gate FROM j GROUP BY ROLLUP (report_id)""")
+def eval_accuracy(spark, sf_dir):
+    e = items(spark, sf_dir).where("verdict IS NOT NULL").select((F.col("review_id") % 3).alias("report_id"), "ord", "verdict")
+    return evaluate.accuracy(e, e.withColumn("verdict", F.when(F.col("ord") % 10 == 0, "supported_by_cited_source").otherwise(F.col("verdict"))))
+
+
+@query("SELECT item_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'and') OR contains(lower(text), 'of')) AS passes FROM benchmark")
+def concept_groups(spark, sf_dir):
+    groups = F.array(F.array(F.lit("the"), F.lit("Der")), F.array(F.lit("and"), F.lit("of")))
+    return table(spark, sf_dir, "benchmark").select("item_id", evaluate.concepts_pass(F.col("text"), groups).alias("passes"))
+
+
+# -- sources ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN NOT regexp_matches(url, '^(?i)https?://') THEN 'scheme' END AS problem, CASE WHEN contains(lower(url), '.pdf') THEN 'text_pdf' ELSE 'html' END AS kind FROM pages")
+def url_guard(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fetch.url_problem(F.col("url")).alias("problem"), intake.kind_of_url(F.col("url")).alias("kind"))
+
+
+def _page_blocks(spark, sf_dir) -> DataFrame:
+    return html.html_blocks(table(spark, sf_dir, "pages"), "page_id")
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    return _page_blocks(spark, sf_dir).select("source_id", "block_ord", "block_id", "text", "heading", "span")
+
+
+@query()
+def html_status(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("html").alias("source_kind"))
+    return html.extraction_status(p, _page_blocks(spark, sf_dir))
+
+
+_LINES = "SELECT CAST(o_custkey AS varchar) AS source_id, CAST(o_orderkey % 5 AS int) AS page, string_agg('Order ' || CAST(o_orderkey AS varchar) || '    ' || CAST(CAST(floor(o_totalprice) AS bigint) AS varchar) || '   ' || CAST(o_custkey AS varchar), chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY 1, 2"
+
+
+def _pdf_pages(spark, sf_dir) -> DataFrame:
+    line = F.concat(F.lit("Order "), "o_orderkey", F.lit("    "), F.floor("o_totalprice").cast("bigint"), F.lit("   "), "o_custkey")
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("source_id"), (F.col("o_orderkey") % 5).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    layout = F.concat(F.lit("SUMMARY OF ORDERS\nin thousands, year ended\n"), "body", F.lit("\nThe year went well.\n1 / 4"))
+    return own.select("source_id", "page", layout.alias("layout_text"), layout.alias("plain_text"))
+
+
+@query(f"SELECT source_id, page, k AS kind, CAST(n AS bigint) AS n FROM (SELECT source_id, page, len(string_split(body, chr(10))) AS rows FROM ({_LINES})), (VALUES ('title'), ('header'), ('row'), ('text'), ('chrome')) t(k), LATERAL (SELECT CASE WHEN k = 'row' THEN rows ELSE 1 END AS n)")
+def pdf_line_classes(spark, sf_dir):
+    return pdf_lines.line_classes(_pdf_pages(spark, sf_dir)).groupBy("source_id", "page", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def pdf_rows(spark, sf_dir):
+    return pdf_lines.table_rows(_pdf_pages(spark, sf_dir))
+
+
+@query()
+def pdf_prose(spark, sf_dir):
+    return pdf_lines.prose(_pdf_pages(spark, sf_dir))
