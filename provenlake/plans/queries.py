@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provenlake.functions import anchors, fixed, text
 from provenlake.operators import evaluate, intake, passages, review, scoring, sections, selection
 from provenlake.plans import corpus
+from provenlake.plans.store import settled
 from provenlake.sources import fetch, html, pdf_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,7 +149,8 @@ def chunks_documents(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return scoring.adjusted(scoring.scored(claims(spark, sf_dir), passages.passages(blocks(spark, sf_dir))))
+    found = settled(passages.passages(blocks(spark, sf_dir)))
+    return scoring.adjusted(settled(scoring.scored(claims(spark, sf_dir), found)))
 
 
 @query()
@@ -213,8 +215,8 @@ def retry_merge(spark, sf_dir):
 _WORKERS = "SELECT user_id AS review_id, event_id AS worker_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS bigint) AS finish_ms FROM events WHERE value IS NOT NULL AND ts IS NOT NULL"
 
 
-@query(f"""WITH w AS ({_WORKERS}), e AS (SELECT review_id, start_ms AS at, 1 AS d FROM w UNION ALL SELECT review_id, finish_ms, -1 FROM w),
-r AS (SELECT review_id, sum(d) OVER (PARTITION BY review_id ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS a FROM e)
+@query(f"""WITH w AS ({_WORKERS}), e AS (SELECT review_id, start_ms AS moment, 1 AS d FROM w UNION ALL SELECT review_id, finish_ms, -1 FROM w),
+r AS (SELECT review_id, sum(d) OVER (PARTITION BY review_id ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS a FROM e)
 SELECT review_id, CAST(max(a) AS bigint) AS max_concurrency, CAST((SELECT sum(finish_ms - start_ms) FROM w WHERE w.review_id = r.review_id) AS bigint) AS sequential_ms FROM r GROUP BY review_id""")
 def max_concurrency(spark, sf_dir):
     ms = F.expr("unix_millis(to_timestamp(ts))")
