@@ -40,7 +40,7 @@ def sentences(text: Column, cited: bool = False) -> Column:
     stop belongs before it, and full stops in URLs end none either."""
     t = text
     if cited:
-        t = F.regexp_replace(t, r"([.!?])((?:\s*\[\d+\])+)", "$2$1")
+        t = F.regexp_replace(t, r"([.!?])((?:\[\d+\])+)", "$2$1")
         for _ in range(6):  # dots of one URL, from the left
             t = F.regexp_replace(t, r"(https?://[^\s.]*)\.(?=[^\s])", "$1" + DOT)
     t = F.regexp_replace(t, r"(?<=\d)\.(?=\d)", DOT)
