@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from provenlake.llm.common import U64, WordHashes, arrow_batches, discard, grouped, mix, spans, spread, stash, sum_counters, utf8, words_of
 from provenlake.llm.components import components
 
-COUNTER_BITS = 22
+COUNTER_BITS = 23
 _WORDS = WordHashes()
 
 
@@ -131,7 +131,10 @@ class JaccardJoin:
             return [total]
 
         total = sum_counters(self.docs, count, 1 << COUNTER_BITS)[0]
-        return np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        out = np.empty(len(total), np.uint8)
+        for a in range(0, len(total), 1 << 18):
+            out[a : a + (1 << 18)] = 4 * np.log2(np.maximum(total[a : a + (1 << 18)], 1))
+        return out
 
     def _members(self) -> DataFrame:
         """Every row's doc_id, set size n, node, bitmap m0.. and prefix (its shingles; null where the batch has the node)."""
