@@ -49,6 +49,7 @@ class _Shapes(WordHashes):
 
 
 _WORDS, _SHAPES = WordHashes(), _Shapes()
+_WORDS.LIMIT = _SHAPES.LIMIT = 300_000  # two of them in a worker
 _SAME = U64(0x5851F42D4C957F2D)
 
 
