@@ -87,3 +87,49 @@ def timings(workers: DataFrame) -> DataFrame:
     run = F.sum("e.d").over(Window.partitionBy("review_id").orderBy("e.at", "e.d").rowsBetween(Window.unboundedPreceding, 0))
     most = ends.withColumn("active", run).groupBy("review_id").agg(F.max("active").alias("max_concurrency"))
     return most.join(workers.groupBy("review_id").agg(F.sum(F.col("finish_ms") - F.col("start_ms")).alias("sequential_ms")), "review_id")
+
+
+def merged_attention(remembered: DataFrame, current: DataFrame) -> DataFrame:
+    """Sources that needed attention before and now (review_id, reference_id, ...): current rows win, others count as settled."""
+    keys = ["review_id", "reference_id"]
+    old = remembered.join(current.select(*keys), keys, "left_anti").withColumn("settled", F.lit(True))
+    return current.withColumn("settled", F.lit(False)).unionByName(old)
+
+
+def payloads(claims: DataFrame, packet: DataFrame, most: int = 5) -> DataFrame:
+    """What a judge gets: claims with up to ``most`` passages (claim_id, position, passage_id, text) of their own source."""
+    own = packet.join(claims.select("claim_id", F.col("source_id").alias("_source")), "claim_id").where("source_id = _source")
+    packed = own.groupBy("claim_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("position", "passage_id", "text"))), 1, most).alias("passages"))
+    return claims.join(packed, "claim_id", "left").withColumn("n_passages", F.coalesce(F.size("passages"), F.lit(0)))
+
+
+def prompts(packed: DataFrame, policy: str) -> DataFrame:
+    """A judge's prompt for each payload."""
+    said = F.array_join(F.transform("passages", lambda p: F.concat(F.lit("["), p["passage_id"], F.lit("] "), p["text"])), "\n")
+    return packed.select("claim_id", F.concat_ws("\n\n", F.lit(policy), F.concat(F.lit("Claim: "), "claim_text"), F.concat(F.lit("Passages:\n"), said)).alias("prompt"))
+
+
+def judged(raw: DataFrame) -> DataFrame:
+    """raw (claim_id, output JSON) to verdict, reason, action, passage_ids, warnings; verdict null where the output is not valid."""
+    from provenlake.plans.corpus import VERDICTS
+
+    own = raw.withColumn("o", F.from_json("output", "verdict string, reason string, recommended_action string, passage_ids array<string>, warnings array<string>"))
+    return own.select("claim_id", F.when(F.col("o.verdict").isin(VERDICTS), F.col("o.verdict")).alias("verdict"), "o.reason", "o.recommended_action", F.coalesce("o.passage_ids", F.array().cast("array<string>")).alias("passage_ids"), F.coalesce("o.warnings", F.array().cast("array<string>")).alias("warnings"))
+
+
+def traces(reviewed_items: DataFrame, method: str = "exact_fetch", model: str = "none") -> DataFrame:
+    """One row for each item: where it stopped, what it had, whether a model was called."""
+    called = F.col("status").isin("completed", "invalid_model_output")
+    return reviewed_items.select("claim_id", F.lit(method).alias("source_method"), "stopped_stage", "fetch_status", "extraction_status", F.coalesce("n_passages", F.lit(0)).alias("n_passages"), called.alias("model_called"), F.lit(model).alias("model"), "status")
+
+
+def section_outcomes(results: DataFrame, claims: DataFrame) -> DataFrame:
+    """Verdicts by section, in the order of sentence ids as text; items without a verdict are left out."""
+    keys = ["report_id", "sentence_id"]
+    own = results.where("verdict IS NOT NULL").join(claims.select(*keys, "section_id", "claim_text"), keys)
+    return own.select("report_id", "section_id", "sentence_id", "reference_id", "claim_text", "verdict", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def may_go_on(gates: DataFrame) -> DataFrame:
+    """Whether sections may be analysed: not where the gate stops or the review is open."""
+    return gates.withColumn("may_go_on", ~F.col("status").isin("stop_and_fix", "review_incomplete"))
