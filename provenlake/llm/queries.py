@@ -100,4 +100,13 @@ SELECT page_id * 2 + 1 AS record_id, canonical, resolution, o_page * 2 AS origin
     WHEN 1 THEN 'content-type=text/html;date=' || o_day || ';etag=' || o_tag || ';last-modified=' || day
     ELSE 'content-type=text/html;date=again;etag=' || o_tag || ';last-modified=' || o_day END END AS headers
 FROM judged""",
+    "op5_voronoi_knn": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.e, d.e) AS bigint) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS int) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
 }
