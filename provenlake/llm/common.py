@@ -178,6 +178,11 @@ def by_shard(h: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield int(s[a]), slice(a, b)
 
 
+def dealt(df: DataFrame, n: int, key: str = "shard") -> DataFrame:
+    """Rows by the number of their shard itself: hashed, a few shards would share a partition and others stay empty."""
+    return df.repartitionById(n, F.coalesce(F.col(key), F.lit(0)))
+
+
 def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "shard", partitions: int | None = None) -> DataFrame:
     """Rows by shard: reduce(shard, rows) gets one shard's rows at a time as a pyarrow table and yields record batches."""
 
@@ -194,7 +199,7 @@ def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "s
         if held:
             yield from reduce(at, pa.Table.from_batches(held))
 
-    return df.repartition(partitions or n, F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return dealt(df, partitions or n, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 #: Counters in a slice of sum_counters.

@@ -37,6 +37,7 @@ FOLDS, HELD = 7, 2
 BEGIN, END = b"< begin >", b"< end >"
 SHORT = U64(16)  # bits dropped from a word's hash within bigrams
 _WORDS = WordHashes()
+_WORDS.LIMIT = 400_000  # beside the arrays of a flush
 
 # -- files in the shared folder -------------------------------------------------------------------------------------------
 

@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, arrow_batches, by_shard, exchange, grouped, mix, pack, shards_for, spans, spread, stash, unpack
+from provenlake.llm.common import U64, arrow_batches, by_shard, dealt, exchange, grouped, mix, pack, shards_for, spans, spread, stash, unpack
 
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _STEP = U64(0xD6E8FEB86659FD93)
@@ -375,7 +375,7 @@ class RepeatFinder:
         """Documents with the rows of blobs that concern them: by shard, blobs first."""
         docs = self.docs if docs is None else docs
         own = docs.withColumns({"shard": F.pmod(F.col("doc"), F.lit(self.n)).cast("int"), "kind": F.lit(99)})
-        return blobs.unionByName(own, allowMissingColumns=True).repartition(self.n, "shard").sortWithinPartitions("shard", "kind")
+        return dealt(blobs.unionByName(own, allowMissingColumns=True), self.n).sortWithinPartitions("shard", "kind")
 
     def _fragments(self):
         n, length, anchor, flush = self.n, self.length, self.anchor, self.flush
