@@ -17,8 +17,9 @@ document, earlier start), judged on the input. The result is exact.
 4. Marks meet their documents, once.
 
 doc_id identifies a document: rows that repeat both doc_id and text are the same document and get the same result; rows that
-repeat a doc_id with another text are told apart by their text (the order of texts decides which comes first). A null text
-is empty, a null doc_id comes before all others. Texts shorter than ``length`` lose nothing. Empty table: no rows. Columns
+repeat a doc_id with another text are told apart by their text (the order of the texts' SHA-256 decides which comes first). So
+are rows with a null doc_id, by 60 bits of it; they come before all others (ids under -8 x 10^18 aside). A null text is
+empty. Texts shorter than ``length`` lose nothing. Empty table: no rows. Columns
 besides doc_id and text are not read.
 """
 
@@ -525,24 +526,26 @@ class RepeatFinder:
         return reduce
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Adds doc (long), which orders documents: doc_id, null first; doc_id and text's order where a doc_id has several texts."""
-    most = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    own = docs.withColumn("doc", F.col("doc_id").cast("long"))
-    per = 1
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds doc (long), which identifies and orders documents: doc_id; doc_id and the text's order where a doc_id has several
+    texts; for a null doc_id a number of its text's own, below those of the others."""
+    own = docs.withColumns({"doc": F.col("doc_id").cast("long"), "sha": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
+    none = F.lit(_NULL) + F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
+    most = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if most > 1:
         from pyspark.sql.window import Window
 
-        own = own.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))) - 1)
-        per = int(own.agg(F.max("nth")).first()[0]) + 1
-        own = own.withColumn("doc", F.col("doc") * F.lit(per) + F.col("nth")).drop("nth")
-    return own.withColumn("doc", F.coalesce("doc", F.lit(_NULL))), per
+        known = own.where("doc IS NOT NULL").withColumn("nth", F.dense_rank().over(Window.partitionBy("doc").orderBy("sha")) - 1)
+        per = int(known.agg(F.max("nth")).first()[0]) + 1
+        known = known.withColumn("doc", F.col("doc") * F.lit(per) + F.col("nth")).drop("nth")
+        return known.unionByName(own.where("doc IS NULL").withColumn("doc", none)).drop("sha")
+    return own.withColumn("doc", F.coalesce("doc", none)).drop("sha")
 
 
 def _ranges(docs: DataFrame, length: int, anchor: int, use, schema: str, **params) -> DataFrame:
     """use(columns of a document row as a dict, starts, ends) for each document with its removed ranges -> row dict."""
     arrow_batches(docs.sparkSession)
-    own, _ = _numbered(docs)
+    own = _numbered(docs)
     finder = RepeatFinder(own.select("doc", F.col("text").cast("string").alias("text")), length, anchor, **params)
     found = finder.marks()
     blobs = found[0].where(F.col("kind") == MARKS)

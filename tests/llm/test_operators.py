@@ -103,6 +103,28 @@ def test_repeats_of_nothing_and_of_texts(spark, docs):
     assert sorted(r.n_removed for r in suffix_dedup.digest(two, 40, 16).collect())[1] > 0
 
 
+def test_repeats_of_several_null_ids(spark):
+    """Each text without an id is a document of its own, before those with ids."""
+    r = random.Random(6)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared, other = part(60), part(50)
+    rows = [(None, shared), (None, shared + part(30)), (None, part(200)), (None, part(45)), (None, None), (None, ""), (None, part(70) + other), (None, shared)]
+    rows += [(-3, other + part(20)), (4, part(10) + shared), (4, part(90)), (5, None)]
+    for rows in (rows, [x for k, x in enumerate(rows) if k != len(rows) - 2]):  # with and without an id that repeats
+        seen, want = {}, {}
+        for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256(x[1].encode()).hexdigest())):
+            hit = np.zeros(len(t), bool)
+            for s in range(len(t) - 39):
+                if seen.setdefault(t[s : s + 40], (i, t, s)) != (i, t, s):
+                    hit[s : s + 40] = True
+            want[i, t] = (len(t), int(hit.sum()), "".join(c for c, h in zip(t, hit, strict=True) if not h))
+        df = frame(spark, rows).repartition(3)
+        got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.kept_sha256) for x in suffix_dedup.digest(df, 40, 16).collect())
+        assert got == sorted((str(i), *want[i, t or ""][:2], hashlib.sha256(want[i, t or ""][2].encode()).hexdigest()) for i, t in rows)
+        kept = suffix_dedup.remove_repeats(df, 40, 16).collect()
+        assert sorted((str(x.doc_id), str(x.text)) for x in kept) == sorted((str(i), str(t if t is None else want[i, t][2])) for i, t in rows)
+
+
 def test_index_statistics():
     r = np.random.default_rng(5)
     text = np.concatenate([r.integers(1, 4, 200), [0]])
