@@ -16,7 +16,7 @@ noise are kept, a sample without replacement in proportion to the weights (Gumbe
 * ``sharpness`` is the exponent of the weights in the sampling.
 
 Nulls: a null text is empty, has no n-grams and weight 0. A null doc_id is kept or not like any other (its noise is that of
-id 0). Repeated rows get equal weights and noise, so are kept or dropped together. Without labels of both classes nothing is
+id 0, but no label is its own). Repeated rows get equal weights and noise, so are kept or dropped together. Without labels of both classes nothing is
 rejected. Extra columns come along in filter_documents and are not read otherwise.
 """
 
@@ -116,7 +116,7 @@ def _counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray, bits: int) -> tu
         for batch in batches:
             bucket, row = features(utf8(batch.column(1)), bits)
             np.add.at(raw, bucket, 1)
-            own = np.isin(_ids(batch.column(0)), shared.value)
+            own = np.isin(_ids(batch.column(0)), shared.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             np.add.at(target, bucket[own[row]], 1)
         return [raw, target]
 

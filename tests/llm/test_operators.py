@@ -394,6 +394,17 @@ def test_quality_rejects_what_labels_reject(spark):
     assert quality.filter_documents(empty(spark), labels).count() == 0
 
 
+def test_quality_takes_no_null_id_for_a_labelled_one(spark):
+    """Document 0 is labelled good and drawn; junk without an id is none of the target's texts."""
+    r = random.Random(8)
+    clean = lambda: " ".join(r.choice(["river", "stone", "light", "wind", "grass", "cloud", "tree", "road"]) for _ in range(40))
+    junk = lambda: " ".join(f"buy{r.randint(0, 3)}$$$" for _ in range(40))
+    rows = [(i, clean()) for i in range(100)] + [(100 + i, junk()) for i in range(50)] + [(None, junk()) for _ in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int")
+    kept = [x.doc_id for x in quality.filter_documents(frame(spark, rows), labels).collect()]
+    assert None not in kept and set(range(100)) <= set(kept) and not set(kept) & set(range(100, 150))
+
+
 def test_kth_largest(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 5, 3, 2, 2, 9]], "gumbel_key double")
     assert [quality.kth_largest(df, k) for k in (1, 2, 3, 4, 7)] == [9, 5, 5, 3, 1]
