@@ -268,6 +268,26 @@ def test_cross_polytope_recall(spark, vectors):
     assert 550 not in got and hits >= 0.9 * 5 * len(got)
 
 
+def test_cross_polytope_answers_every_query_in_full(spark):
+    """Tiny and clustered tables, with the query's own parameters: five rows, or all others where there are fewer."""
+    r = np.random.default_rng(12)
+    tight = r.normal(size=64) + 1e-3 * r.normal(size=(600, 64))
+    tight[::100] = r.normal(size=(6, 64))
+    for x, every in ((r.normal(size=(6, 64)), 50), (r.normal(size=(3, 64)), 1), (r.normal(size=(1, 64)), 1), (tight, 50)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+        got = collections.defaultdict(list)
+        for row in sorted(cross_polytope.search(df, k=5, every=every).collect()):
+            got[row.query_id].append((row.rank, row.vec_id, row.score))
+        assert set(got) == ({q for q in range(len(x)) if q % every == 0} if len(x) > 1 else set())
+        for q, found in got.items():
+            cos = x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+            n = min(5, len(x) - 1)
+            assert [f[0] for f in found] == list(range(1, n + 1)) and q not in [f[1] for f in found]
+            assert all(abs(cos[i] - s) < 1e-9 for _, i, s in found)
+            if len(x) <= 6:
+                assert [f[1] for f in found] == [i for i in np.argsort(-cos).tolist() if i != q][:n]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(cross_polytope.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
