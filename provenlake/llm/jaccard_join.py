@@ -16,8 +16,7 @@ per / 100. Steps:
 Buckets are never collected: pivots are aggregates that are joined back, which adaptive execution splits.
 
 Nulls: a null or blank text has no shingles and links with nothing. A null doc_id takes part, but is never the least id of
-its component unless all of it is null; a set that only rows with a null doc_id have is compared with none. Repeated rows
-have equal sets: one node. Fewer words than ``words``: the whole sequence is the one shingle. Empty table: no rows. Other
+its component unless all of it is null. Repeated rows have equal sets: one node. Fewer words than ``words``: the whole sequence is the one shingle. Empty table: no rows. Other
 columns are not read (they come along in one_of_each). Sets and shingles are compared by 64-bit hashes.
 """
 
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenlake.llm.common import U64, WordHashes, arrow_batches, discard, grouped, mix, spans, spread, stash, sum_counters, utf8, words_of
@@ -110,12 +109,18 @@ def suffix_filter(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bo
     return bound(x, y, depth) >= need
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts of one doc_id, or without one, apart."""
+    return F.xxhash64(text)
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int, per: int):
         self.words, self.per = words, per
         self.spark = docs.sparkSession
         arrow_batches(self.spark)
-        self.docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+        text = F.col("text").cast("string")
+        self.docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key")))
 
     # -- step 1
 
@@ -130,14 +135,14 @@ class JaccardJoin:
                 np.add.at(total, (s >> U64(64 - COUNTER_BITS)).astype(np.int64), 1)
             return [total]
 
-        total = sum_counters(self.docs, count, 1 << COUNTER_BITS)[0]
+        total = sum_counters(self.docs.select("doc_id", "text"), count, 1 << COUNTER_BITS)[0]
         out = np.empty(len(total), np.uint8)
         for a in range(0, len(total), 1 << 18):
             out[a : a + (1 << 18)] = 4 * np.log2(np.maximum(total[a : a + (1 << 18)], 1))
         return out
 
     def _members(self) -> DataFrame:
-        """Every row's doc_id, set size n, node, bitmap m0.. and prefix (its shingles; null where the batch has the node)."""
+        """Every row's doc_id, key of its text, set size n, node, bitmap m0.. and prefix (its shingles; null where the batch has the node)."""
         words, per = self.words, self.per
         shared = self.spark.sparkContext.broadcast(self._counters())
 
@@ -156,9 +161,9 @@ class JaccardJoin:
                         size = b - a
                         prefix[i] = s[a:b][np.argsort(key[a:b])[: size - (-(-per * size // 100)) + 1]].tobytes()
                 maps = _bitmaps(row, s, len(batch))
-                yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int32)), pa.array(node), *(pa.array(maps[:, i].copy()) for i in range(MAPS)), pa.array(prefix, pa.binary())], ["doc_id", "n", "node", *(f"m{i}" for i in range(MAPS)), "prefix"])
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n.astype(np.int32)), pa.array(node), *(pa.array(maps[:, i].copy()) for i in range(MAPS)), pa.array(prefix, pa.binary())], ["doc_id", "key", "n", "node", *(f"m{i}" for i in range(MAPS)), "prefix"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n int, node long, " + ", ".join(f"m{i} long" for i in range(MAPS)) + ", prefix binary")
+        return self.docs.mapInArrow(run, "doc_id long, key long, n int, node long, " + ", ".join(f"m{i} long" for i in range(MAPS)) + ", prefix binary")
 
     @staticmethod
     def _entries(members: DataFrame) -> DataFrame:
@@ -193,9 +198,9 @@ class JaccardJoin:
     # -- verification
 
     def _sets(self, nodes: DataFrame, first: DataFrame) -> DataFrame:
-        """node, s (sorted hashes): the sets of some nodes, from one document each."""
+        """node, s (sorted hashes): the sets of some nodes, from one document each: the least doc_id's, or the least text's where no row has one."""
         words = self.words
-        wanted = first.join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+        wanted = first.join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("node").alias("_node"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -207,8 +212,11 @@ class JaccardJoin:
                 at = np.flatnonzero(right)
                 yield pa.record_batch([pa.array(node[at]), pa.array([s[a:b].tobytes() for a, b in zip(starts[at], ends[at], strict=True)], pa.binary())], ["node", "s"])
 
-        joined = self.docs.join(wanted, self.docs["doc_id"] == wanted["_id"])
-        return joined.select("_node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
+        joined = self.docs.join(wanted, self.docs["doc_id"] == wanted["_id"]).select("_node", "text")
+        if self.nameless:
+            texts = self.docs.where("doc_id IS NULL").groupBy("key").agg(F.first("text").alias("text"))
+            joined = joined.union(texts.join(wanted.where("_id IS NULL"), texts["key"] == wanted["_key"]).select("_node", "text"))
+        return joined.mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -233,11 +241,12 @@ class JaccardJoin:
     # -- all of it
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """(stashed members doc_id, n, node; links a, b between nodes that give the right components)."""
+        """(stashed members doc_id, key, n, node; links a, b between nodes that give the right components)."""
         maps = [f"m{i}" for i in range(MAPS)]
         members = stash(self._members(), "members")
-        nodes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps))
-        first = nodes.select("node", "doc_id")
+        self.nameless = not members.where("n > 0 AND doc_id IS NULL").limit(1).isEmpty()
+        nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr("if(doc_id IS NULL, key, NULL)")).alias("key"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps))
+        first = nodes.select("node", "doc_id", "key")
         entries = self._entries(members)
         pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("most")).where("p.node != most").drop("most")
         shared = stash(entries.join(pivots, "token").select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "shared-prefixes")
@@ -270,11 +279,15 @@ class JaccardJoin:
         discard(sets)
         return links
 
-    def groups(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+    def placed(self) -> DataFrame:
+        """doc_id, key, n_shingles and component c (a node) of every row."""
         members, links = self.links()
         found = components(links)
-        members = members.join(found, members["node"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(found["component"], members["node"]).alias("c"))
+        return members.join(found, members["node"] == found["node"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce(found["component"], members["node"]).alias("c"))
+
+    def groups(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every row."""
+        members = self.placed()
         least = members.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
         out = members.join(least, "c", "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

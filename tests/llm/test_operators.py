@@ -233,6 +233,16 @@ def test_jaccard_of_nothing_and_one_of_each(spark, odd):
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "None"] and left.columns == odd[1].columns
 
 
+def test_jaccard_of_several_null_ids(spark):
+    """Sets that no row with an id has link like others."""
+    base = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join([*base[n:], *(f"z{k}" for k in range(n))])
+    rows = [(1, text(0)), (None, text(2)), (2, text(4)), (None, text(2)), (None, "one of its own kind here"), (None, "one of its own kind here"), (None, text(30)), (None, text(31)), (3, "far from all of them"), (None, None), (None, " ")]
+    df = frame(spark, rows).repartition(3)
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard_join.group_documents(df, 3, 90).collect())
+    assert got == classes(rows, 3, 90) and ("2", 58, "1") in got
+
+
 # -- 5 and 8
 
 
