@@ -299,13 +299,22 @@ def group_documents(docs: DataFrame, words: int = 5, per: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, words: int = 5, per: int = 80) -> DataFrame:
-    """docs without near duplicates, all columns: of each group the document with the least doc_id stays, one row of it. Rows
-    with a null doc_id stay."""
-    groups = stash(group_documents(docs, words, per), "groups")
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct().join(keep, "doc_id", "left_anti")
-    out = docs.join(gone, "doc_id", "left_anti")
-    most = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= 1:
-        return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    """docs without near duplicates, all columns: of each group one text stays, that with the least doc_id (null last; of
+    several, the least key), in one row. A text of no shingles stays, once for each doc_id, every time without one."""
+    placed = stash(JaccardJoin(docs, words, per).placed(), "groups")
+    real = placed.where("n_shingles > 0")
+    least = real.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    gone = real.join(least, "c").where("NOT (doc_id <=> least.doc_id AND key = least.key)").select("doc_id", "key").distinct()
+    own = docs.withColumn("_text_key", text_key(F.col("text").cast("string")))
+
+    def same(texts: DataFrame) -> Column:
+        return own["doc_id"].cast("long").eqNullSafe(texts["doc_id"]) & (own["_text_key"] == texts["key"])
+
+    again = placed.where("n_shingles > 0 OR doc_id IS NOT NULL").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
+    if again.limit(1).isEmpty():
+        return own.join(gone, same(gone), "left_anti").drop("_text_key")
+    again = stash(again, "again")
+    either = gone.union(again)
+    once = own.join(either, same(either), "left_anti")
+    several = again.join(gone, again["doc_id"].eqNullSafe(gone["doc_id"]) & (again["key"] == gone["key"]), "left_anti")
+    return once.unionByName(own.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "_text_key"])).drop("_text_key")

@@ -234,13 +234,25 @@ def test_jaccard_of_nothing_and_one_of_each(spark, odd):
 
 
 def test_jaccard_of_several_null_ids(spark):
-    """Sets that no row with an id has link like others."""
+    """Sets that no row with an id has link like others; near copies without an id go."""
     base = [f"w{k}" for k in range(60)]
     text = lambda n: " ".join([*base[n:], *(f"z{k}" for k in range(n))])
     rows = [(1, text(0)), (None, text(2)), (2, text(4)), (None, text(2)), (None, "one of its own kind here"), (None, "one of its own kind here"), (None, text(30)), (None, text(31)), (3, "far from all of them"), (None, None), (None, " ")]
     df = frame(spark, rows).repartition(3)
     got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard_join.group_documents(df, 3, 90).collect())
     assert got == classes(rows, 3, 90) and ("2", 58, "1") in got
+    kept = sorted((str(x.doc_id), str(x.text)) for x in jaccard_join.one_of_each(df, 3, 90).collect())
+    assert [x for x in kept if "w59" not in x[1]] == [("3", "far from all of them"), ("None", " "), ("None", "None"), ("None", "one of its own kind here")]
+    assert [i for i, t in kept if "w59" in t] == ["1", "None"]
+
+
+def test_one_of_each_tells_texts_of_a_doc_id_apart(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:-1])
+    rows = [(1, " ".join(base)), (2, near), (2, "quite another text of number two"), (3, "same same same"), (3, "same same same"), (3, "a third text"), (4, None), (4, None), (5, near + " x")]
+    want = ["1 " + rows[0][1], "2 " + rows[2][1], "3 a third text", "3 same same same", "4 None"]
+    for n in (1, 4):
+        assert sorted(f"{x.doc_id} {x.text}" for x in jaccard_join.one_of_each(frame(spark, rows).repartition(n), 3, 80).collect()) == want
 
 
 # -- 5 and 8
