@@ -50,6 +50,7 @@ class tuned:
 
     CONF = {
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     }
 
@@ -67,8 +68,9 @@ class tuned:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Small Arrow batches for lazily returned frames: 1,024 rows, so that very long texts fit beside each other."""
+    """Small Arrow batches for lazily returned frames: 1,024 rows and 32 MB, so that very long texts fit beside each other."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "33554432")
 
 
 def est_bytes(df: DataFrame) -> int:
@@ -102,6 +104,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+# -- caches of Python workers ---------------------------------------------------------------------------------------
+
+_CACHES: dict[str, list] = {}
+
+
+def cache_of(owner: str, cache):
+    """Registers a cache (with clear()) as an operator's."""
+    _CACHES.setdefault(owner, []).append(cache)
+    return cache
+
+
+def own_caches(owner: str) -> None:
+    """Empties the caches of all other operators: workers are used again, and would hold those of every earlier stage."""
+    for name, caches in _CACHES.items():
+        if name != owner:
+            for c in caches:
+                c.clear()
+
+
 # -- hashes ---------------------------------------------------------------------------------------------------------
 
 
@@ -183,8 +204,9 @@ def dealt(df: DataFrame, n: int, key: str = "shard") -> DataFrame:
     return df.repartitionById(n, F.coalesce(F.col(key), F.lit(0)))
 
 
-def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "shard", partitions: int | None = None) -> DataFrame:
-    """Rows by shard: reduce(shard, rows) gets one shard's rows at a time as a pyarrow table and yields record batches."""
+def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "shard", partitions: int | None = None, deal: str | None = None) -> DataFrame:
+    """Rows by shard: reduce(shard, rows) gets one shard's rows at a time as a pyarrow table and yields record batches. deal:
+    the column that chooses the partition, where key itself is no small number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -199,7 +221,7 @@ def exchange(df: DataFrame, n: int, reduce: Callable, schema: str, key: str = "s
         if held:
             yield from reduce(at, pa.Table.from_batches(held))
 
-    return dealt(df, partitions or n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return dealt(df, partitions or n, deal or key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 #: Counters in a slice of sum_counters.
@@ -307,7 +329,7 @@ class ChunkCache:
         return out
 
 
-_ENCODERS: dict = {}
+_ENCODERS: dict = cache_of("encoders", {})
 
 
 def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
@@ -316,7 +338,9 @@ def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
     Unknown chunks are encoded many at a time, joined by ``mark``: a string that the vocabulary's rules always make one
     token of its own. Chunks that hold a character of the mark, or white space within, are encoded by themselves.
     """
+    own_caches("encoders")
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -3,9 +3,11 @@
 A document is the set of its distinct shingles of ``words`` words. Two sets link where their Jaccard similarity is at least
 per / 100. Steps:
 
-1. Shingles are ordered rare-first, by hashed counters over all documents (a fixed number of them, only an order), then by
-   hash. Documents with equal sets are one node. A set of n shingles has a prefix of n - ceil(per * n / 100) + 1: linked
-   sets share a shingle of both prefixes, so prefixes are joined by shingle, behind length and positional filters.
+1. Shingles are ordered rare-first, by their exact frequency over the sets (classes of it, then hash): tasks send their tokens
+   to shards by hash range, shards count them and send back those that several sets have. Documents with equal sets are one
+   node. A set of n shingles has a prefix of n - ceil(per * n / 100) + 1: linked sets share a shingle of both prefixes, so
+   prefixes are joined by shingle, behind length and positional filters. Shingles of one set only come first in the order and
+   are never exchanged again: most documents end there.
 2. In each prefix shingle's bucket every node is first paired with one pivot only. Pairs are distinct and pass a bitmap
    filter (parities of shingles by hash: sets differ in at least as many shingles as their bitmaps in bits); each is then
    verified once, on whole sets behind a suffix filter. The links give first components.
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, discard, grouped, mix, spans, spread, stash, sum_counters, utf8, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, by_shard, cache_of, discard, exchange, grouped, mix, own_caches, pack, shards_for, spans, spread, stash, unpack, utf8, words_of
 from provenlake.llm.components import components
 
-COUNTER_BITS = 23
-_WORDS = WordHashes()
+MEMBER, POSTING, HEADER = range(3)
+_WORDS = cache_of("jaccard", WordHashes())
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +96,16 @@ def _bitmaps(row: np.ndarray, s: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(odd.reshape(count, bits), axis=1).view(np.int64)
 
 
+_SHINGLED = "kind int, doc_id long, key long, n int, node long, " + ", ".join(f"m{i} long" for i in range(MAPS)) + ", shard int, flush long, a binary, b binary"
+
+
+def _filled(columns: dict[str, pa.Array], size: int) -> pa.RecordBatch:
+    """A batch of _SHINGLED: the given columns, nulls in the others."""
+    types = {"kind": pa.int32(), "n": pa.int32(), "shard": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+    names = [x.split()[0] for x in _SHINGLED.split(", ")]
+    return pa.record_batch([columns[c] if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names)
+
+
 def suffix_filter(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bool:
     """Whether sorted sets may share ``need`` elements, by halving both at a common value: sums of lesser halves."""
     if depth == 0 or len(x) < 8 or len(y) < 8:
@@ -114,70 +126,125 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: A node is hot from this many rows on, and with a HOT_NODES-th of all rows.
+HOT_ROWS, HOT_NODES = 1000, 1000
+#: Shingles that a task holds before it sends them off.
+FLUSH = 2_000_000
+#: Bits dropped from a shingle's hash in a token. Two shingles of one token only make candidates that verification drops.
+SHORT = U64(16)
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int, per: int):
         self.words, self.per = words, per
         self.spark = docs.sparkSession
         arrow_batches(self.spark)
         text = F.col("text").cast("string")
+        self.shards = shards_for(docs)
         self.docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key")))
 
     # -- step 1
 
-    def _counters(self) -> np.ndarray:
-        """Class of frequency of each hashed counter: 4 log2 of it. 2^COUNTER_BITS bytes, whatever the corpus."""
-        words = self.words
-
-        def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-            total = np.zeros(1 << COUNTER_BITS, np.int32)
-            for batch in batches:
-                _, s = shingles(utf8(batch.column(1)), words)
-                np.add.at(total, (s >> U64(64 - COUNTER_BITS)).astype(np.int64), 1)
-            return [total]
-
-        total = sum_counters(self.docs.select("doc_id", "text"), count, 1 << COUNTER_BITS)[0]
-        out = np.empty(len(total), np.uint8)
-        for a in range(0, len(total), 1 << 18):
-            out[a : a + (1 << 18)] = 4 * np.log2(np.maximum(total[a : a + (1 << 18)], 1))
-        return out
-
-    def _members(self) -> DataFrame:
-        """Every row's doc_id, key of its text, set size n, node, bitmap m0.. and prefix (its shingles; null where the batch has the node)."""
-        words, per = self.words, self.per
-        shared = self.spark.sparkContext.broadcast(self._counters())
+    def _shingled(self) -> DataFrame:
+        """One pass over the texts, three kinds of rows. Members: every row's doc_id, key of its text, set size n, node and
+        bitmap m0... Postings: the tokens of a flush that fall into a shard, with the places of their nodes in the flush
+        (equal sets of a flush are one node). Headers: the nodes of a flush and their sizes."""
+        words, shards = self.words, self.shards
+
+        def emit(flush: int, tokens: list[np.ndarray], places: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+            token, place = np.concatenate(tokens), np.concatenate(places)
+            order = np.argsort(token, kind="stable")
+            token, place = token[order], place[order].astype(np.uint32)
+            rows = [(HEADER, None, pack(np.concatenate(nodes)), pack(np.concatenate(sizes)))]
+            rows += [(POSTING, shard, pack(token[own]), pack(place[own])) for shard, own in by_shard(token << SHORT, shards)]
+            kind, shard, x, y = zip(*rows, strict=True)
+            return _filled({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "flush": pa.array([flush] * len(rows), pa.int64()), "a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())}, len(rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rare = shared.value
+            from pyspark import TaskContext
+
+            flush = TaskContext.get().partitionId() << 24
+            own_caches("jaccard")
+            seen: set[int] = set()
+            held: tuple[list, list, list, list] = ([], [], [], [])
+            size = 0
             for batch in batches:
                 row, s = shingle_sets(utf8(batch.column(1)), words)
                 n, node = _nodes(row, s, len(batch))
-                first = np.zeros(len(batch), bool)
-                first[np.unique(node, return_index=True)[1]] = True
-                key = rare[(s >> U64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << U64(56) | s >> U64(8)
-                prefix = [None] * len(batch)
-                cut = grouped(row)
-                for i, (a, b) in zip(row[cut].tolist(), spans(cut, len(row)), strict=True):
-                    if first[i]:
-                        size = b - a
-                        prefix[i] = s[a:b][np.argsort(key[a:b])[: size - (-(-per * size // 100)) + 1]].tobytes()
                 maps = _bitmaps(row, s, len(batch))
-                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n.astype(np.int32)), pa.array(node), *(pa.array(maps[:, i].copy()) for i in range(MAPS)), pa.array(prefix, pa.binary())], ["doc_id", "key", "n", "node", *(f"m{i}" for i in range(MAPS)), "prefix"])
-
-        return self.docs.mapInArrow(run, "doc_id long, key long, n int, node long, " + ", ".join(f"m{i} long" for i in range(MAPS)) + ", prefix binary")
-
-    @staticmethod
-    def _entries(members: DataFrame) -> DataFrame:
-        """token, node, n, pos: prefix shingles, once for each node of a batch."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
-                if prefix:
-                    size = np.array([len(x) for x in prefix])
-                    pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                    yield pa.record_batch([pa.array(np.concatenate(prefix)), pa.array(np.repeat(batch.column("node").to_numpy(), size)), pa.array(np.repeat(batch.column("n").to_numpy(), size)), pa.array(pos.astype(np.int32))], ["token", "node", "n", "pos"])
+                yield _filled({"kind": pa.array(np.full(len(batch), MEMBER, np.int32)), "doc_id": batch.column(0), "key": batch.column(2), "n": pa.array(n.astype(np.int32)), "node": pa.array(node), **{f"m{i}": pa.array(maps[:, i].copy()) for i in range(MAPS)}}, len(batch))
+                place = np.full(len(batch), -1, np.int64)
+                for i in np.sort(np.unique(node, return_index=True)[1]).tolist():
+                    if n[i] and (x := int(node[i])) not in seen:
+                        place[i] = len(seen)
+                        seen.add(x)
+                new = np.flatnonzero(place >= 0)
+                if len(new):
+                    use = place[row] >= 0
+                    for part, x in zip(held, (s[use] >> SHORT, place[row[use]], node[new], n[new].astype(np.int32)), strict=True):
+                        part.append(x)
+                    size += int(use.sum())
+                if size >= FLUSH:
+                    yield emit(flush, *held)
+                    flush, seen, held, size = flush + 1, set(), ([], [], [], []), 0
+            if seen:
+                yield emit(flush, *held)
+
+        return self.docs.mapInArrow(run, _SHINGLED)
+
+    def _answers(self):
+        """A shard's postings: the tokens that several nodes have, back to their flushes, each with the class of its exact
+        frequency."""
+
+        def reduce(shard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            tokens = [unpack(x, np.uint64) for x in rows["a"].to_pylist()]
+            places = [unpack(x, np.uint32) for x in rows["b"].to_pylist()]
+            token, place = np.concatenate(tokens), np.concatenate(places)
+            source = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            order = np.argsort(token, kind="stable")
+            token = token[order]
+            cut = grouped(token)
+            size = np.diff(np.append(cut, len(token)))
+            several = np.repeat(size > 1, size)
+            level = np.repeat(np.minimum(255, 4 * np.log2(size)).astype(np.uint8), size)[several]
+            order, token = order[several], token[several]
+            place, source = place[order], source[order]
+            again = np.argsort(source, kind="stable")
+            flush = rows["flush"].to_pylist()
+            out = [(flush[int(source[again[a]])], pack(token[x]), pack(place[x]), pack(level[x])) for a, b in spans(grouped(source[again]), len(again)) for x in (again[a:b],)]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["flush", "a", "b", "c"])
+
+        return reduce
+
+    def _prefixes(self):
+        """A flush's header and answers: token, node, n, pos of the prefix shingles that other nodes have as well. The ones
+        that no other has come first in the order; they need no names."""
+        per = self.per
 
-        return members.where("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(run, "token long, node long, n int, pos int")
+        def reduce(flush: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            cols = [rows[c].to_pylist() for c in "abc"]
+            head = next(i for i, c in enumerate(cols[2]) if c is None)
+            node, n = unpack(cols[0][head], np.int64), unpack(cols[1][head], np.int32).astype(np.int64)
+            token, place, level = (np.concatenate([np.zeros(0, t), *(unpack(x, t) for i, x in enumerate(col) if i != head)]) for col, t in zip(cols, (np.uint64, np.uint32, np.uint8), strict=True))
+            order = np.lexsort((token, level, place))
+            token, place = token[order], place[order].astype(np.int64)
+            known = np.bincount(place, minlength=len(node))
+            pos = np.arange(len(place)) - np.repeat(np.cumsum(known) - known, known) + (n - known)[place]
+            use = pos < (n - -(-per * n // 100) + 1)[place]
+            token, place, pos = token[use], place[use], pos[use]
+            for a in range(0, len(token), 1 << 16):
+                x, own = slice(a, a + (1 << 16)), place[a : a + (1 << 16)]
+                yield pa.record_batch([pa.array(token[x].view(np.int64)), pa.array(node[own]), pa.array(n[own].astype(np.int32)), pa.array(pos[x].astype(np.int32))], ["token", "node", "n", "pos"])
+
+        return reduce
+
+    def _entries(self, shingled: DataFrame) -> DataFrame:
+        """token, node, n, pos: prefix shingles that several nodes have, once for each flush with the node."""
+        answers = exchange(shingled.where(F.col("kind") == POSTING).select("shard", "flush", "a", "b"), self.shards, self._answers(), "flush long, a binary, b binary, c binary")
+        heads = shingled.where(F.col("kind") == HEADER).select("flush", "a", "b", F.lit(None).cast("binary").alias("c"))
+        both = heads.unionByName(answers).withColumn("to", F.pmod(F.xxhash64("flush"), F.lit(self.shards)).cast("int"))
+        return exchange(both, self.shards, self._prefixes(), "token long, node long, n int, pos int", key="flush", deal="to")
 
     # -- filters: conditions on two entries of one token
 
@@ -243,14 +310,17 @@ class JaccardJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(stashed members doc_id, key, n, node; links a, b between nodes that give the right components)."""
         maps = [f"m{i}" for i in range(MAPS)]
-        members = stash(self._members(), "members")
+        shingled = stash(self._shingled(), "shingled")
+        members = shingled.where(F.col("kind") == MEMBER).select("doc_id", "key", "n", "node", *maps)
         self.nameless = not members.where("n > 0 AND doc_id IS NULL").limit(1).isEmpty()
-        nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr("if(doc_id IS NULL, key, NULL)")).alias("key"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps))
-        first = nodes.select("node", "doc_id", "key")
-        entries = self._entries(members)
+        entries = stash(self._entries(shingled), "prefixes")
         pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("most")).where("p.node != most").drop("most")
         shared = stash(entries.join(pivots, "token").select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "shared-prefixes")
+        discard(entries)
         star = shared.where("node != pnode").where(self._may_link("", "p")).select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
+        asked = shared.select("node").distinct()  # only nodes that share a prefix shingle are looked at again
+        nodes = stash(members.where("n > 0").join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr("if(doc_id IS NULL, key, NULL)")).alias("key"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps)), "nodes")
+        first = nodes.select("node", "doc_id", "key")
 
         def side(name: str) -> DataFrame:
             return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(m).alias(f"{name}_{m}") for m in maps))
@@ -267,8 +337,10 @@ class JaccardJoin:
         on = (x["token"] == y["token"]) & F.expr(f"x_node < y_node AND x_component != y_component AND {self._may_link('x_', 'y_')} AND {self._bitmaps_allow('x_', 'y_')}")
         across = x.join(y, on).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
         across = stash(across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-across")
-        discard(shared, open_)
-        return members, links.union(self._checked(across, first))
+        discard(shared, open_, found)
+        links = stash(links.union(self._checked(across, first)), "links-all")
+        discard(pairs, across, nodes)
+        return members, links
 
     def _checked(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
         """The pairs that link, as a stashed table."""
@@ -280,17 +352,29 @@ class JaccardJoin:
         return links
 
     def placed(self) -> DataFrame:
-        """doc_id, key, n_shingles and component c (a node) of every row."""
+        """doc_id, key, n_shingles, node of every row and the least (none, doc_id, key) of its component; null for rows without
+        shingles. Leasts are found over nodes; the few nodes with a thousandth of all rows or more are broadcast, so that no
+        group of copies is one task."""
         members, links = self.links()
         found = components(links)
-        return members.join(found, members["node"] == found["node"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce(found["component"], members["node"]).alias("c"))
+        named = members.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("own"))
+        named = stash(named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+        joined = named.where("component != node").select("component").distinct()  # components of several nodes
+        least = named.join(joined, "component", "left_semi").groupBy("component").agg(F.min("own").alias("least"))
+        known = stash(named.join(least, "component", "left").select("node", "rows", F.coalesce("least", "own").alias("least")), "least")
+        total = known.agg(F.sum("rows")).first()[0] or 0
+        hot = known.where(F.col("rows") >= max(HOT_ROWS, total // HOT_NODES)).select("node", "least")  # HOT_NODES rows at most
+        rows = members.select("doc_id", "key", F.col("n").alias("n_shingles"), "node")
+        real = rows.where("n_shingles > 0")
+        frequent = real.join(F.broadcast(hot), "node")
+        others = real.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known.select("node", "least"), "node")
+        none = rows.where("n_shingles = 0").withColumn("least", F.lit(None).cast(known.schema["least"].dataType))
+        cols = ["doc_id", "key", "n_shingles", "node", "least"]
+        return frequent.select(cols).union(others.select(cols)).union(none.select(cols))
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        members = self.placed()
-        least = members.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-        out = members.join(least, "c", "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        return self.placed().select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
 
 def group_documents(docs: DataFrame, words: int = 5, per: int = 80) -> DataFrame:
@@ -302,9 +386,7 @@ def one_of_each(docs: DataFrame, words: int = 5, per: int = 80) -> DataFrame:
     """docs without near duplicates, all columns: of each group one text stays, that with the least doc_id (null last; of
     several, the least key), in one row. A text of no shingles stays, once for each doc_id, every time without one."""
     placed = stash(JaccardJoin(docs, words, per).placed(), "groups")
-    real = placed.where("n_shingles > 0")
-    least = real.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
-    gone = real.join(least, "c").where("NOT (doc_id <=> least.doc_id AND key = least.key)").select("doc_id", "key").distinct()
+    gone = placed.where("n_shingles > 0 AND NOT (doc_id <=> least.doc_id AND key = least.key)").select("doc_id", "key").distinct()
     own = docs.withColumn("_text_key", text_key(F.col("text").cast("string")))
 
     def same(texts: DataFrame) -> Column:

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, by_shard, exchange, grouped, mix, pack, shards_for, shared_dir, spread, stash, unpack, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, by_shard, cache_of, exchange, grouped, mix, pack, shards_for, shared_dir, spread, stash, unpack, words_of
 
 FOLDS, HELD = 7, 2
 #: Contexts and ends of texts, as words that no text has (they hold spaces).
 BEGIN, END = b"< begin >", b"< end >"
 SHORT = U64(16)  # bits dropped from a word's hash within bigrams
-_WORDS = WordHashes()
+_WORDS = cache_of("kneser_ney", WordHashes())
 _WORDS.LIMIT = 400_000  # beside the arrays of a flush
 
 # -- files in the shared folder -------------------------------------------------------------------------------------------

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, grouped, mix, spread, stash, sum_counters, utf8, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, cache_of, grouped, mix, own_caches, spread, stash, sum_counters, utf8, words_of
 
 KINDS = 3
 _LETTERS, _DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
@@ -48,7 +48,7 @@ class _Shapes(WordHashes):
         return h
 
 
-_WORDS, _SHAPES = WordHashes(), _Shapes()
+_WORDS, _SHAPES = cache_of("quality", WordHashes()), cache_of("quality", _Shapes())
 _WORDS.LIMIT = _SHAPES.LIMIT = 300_000  # two of them in a worker
 _SAME = U64(0x5851F42D4C957F2D)
 
@@ -112,6 +112,7 @@ def _counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray, bits: int) -> tu
     size = KINDS << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        own_caches("quality")
         raw, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
         for batch in batches:
             bucket, row = features(utf8(batch.column(1)), bits)
