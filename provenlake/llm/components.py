@@ -33,4 +33,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle in 60 rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+    out = stash(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
+    discard(edges)
+    return out

@@ -11,9 +11,9 @@ per / 100. Steps:
 2. In each prefix shingle's bucket every node is first paired with one pivot only. Pairs are distinct and pass a bitmap
    filter (parities of shingles by hash: sets differ in at least as many shingles as their bitmaps in bits); each is then
    verified once, on whole sets behind a suffix filter. The links give first components.
-3. Pairs within a component need no check any more. Those across components of one bucket are joined, behind all filters,
-   and verified too. A group of thousands of near copies so takes a few pairs per node, yet no link that matters is lost;
-   components and classes are exact.
+3. Pairs within a component need no check any more. Buckets that hold several components get other pivots, twice; what then
+   is left across components of one bucket is joined, behind all filters, and verified too. A group of thousands of near
+   copies so takes a few pairs per node, yet no link that matters is lost; components and classes are exact.
 
 Buckets are never collected: pivots are aggregates that are joined back, which adaptive execution splits.
 
@@ -126,14 +126,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-#: A node is hot from this many rows on, and with a HOT_NODES-th of all rows.
-HOT_ROWS, HOT_NODES = 1000, 1000
+#: A key is hot from this many rows on, and with a HOT_PART-th of all rows.
+HOT_ROWS, HOT_PART = 1000, 1000
+#: Rounds after the first: one pivot per bucket in all but the last, which pairs what is left across components.
+PIVOTS = 3
 #: Shingles that a task holds before it sends them off.
 FLUSH = 2_000_000
 #: Bits dropped from a shingle's hash in a token. Two shingles of one token only make candidates that verification drops.
 SHORT = U64(16)
 
 
+def beside(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows joined with found (one row a key, ``rows``: how many rows have it). Keys with a HOT_PART-th of all rows or more,
+    HOT_PART at most, are broadcast, so that no frequent key is one task."""
+    found = stash(found, "beside")
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") >= max(HOT_ROWS, total // HOT_PART)
+    few, rest = F.broadcast(found.where(hot)), found.where(~hot)
+    if total < HOT_ROWS:
+        return rows.join(rest, key)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(found.where(hot).select(key)), key, "left_anti").join(rest, key))
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int, per: int):
         self.words, self.per = words, per
@@ -264,10 +278,10 @@ class JaccardJoin:
 
     # -- verification
 
-    def _sets(self, nodes: DataFrame, first: DataFrame) -> DataFrame:
-        """node, s (sorted hashes): the sets of some nodes, from one document each: the least doc_id's, or the least text's where no row has one."""
+    def _sets(self, first: DataFrame) -> DataFrame:
+        """node, s (sorted hashes): the sets of some nodes (node, doc_id, key), from one document each: the least doc_id's, or the least text's where no row has one."""
         words = self.words
-        wanted = first.join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("node").alias("_node"))
+        wanted = first.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("node").alias("_node"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -314,8 +328,9 @@ class JaccardJoin:
         members = shingled.where(F.col("kind") == MEMBER).select("doc_id", "key", "n", "node", *maps)
         self.nameless = not members.where("n > 0 AND doc_id IS NULL").limit(1).isEmpty()
         entries = stash(self._entries(shingled), "prefixes")
-        pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("most")).where("p.node != most").drop("most")
-        shared = stash(entries.join(pivots, "token").select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "shared-prefixes")
+        pivots = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("most")).where("p.node != most").drop("most")
+        shared = beside(entries, pivots, "token").select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+        shared = stash(shared, "shared-prefixes")
         discard(entries)
         star = shared.where("node != pnode").where(self._may_link("", "p")).select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
         asked = shared.select("node").distinct()  # only nodes that share a prefix shingle are looked at again
@@ -325,36 +340,58 @@ class JaccardJoin:
         def side(name: str) -> DataFrame:
             return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(m).alias(f"{name}_{m}") for m in maps))
 
-        pairs = stash(star.join(side("a"), "a").join(side("b"), "b").where(self._bitmaps_allow("a_", "b_")).select("a", "b"), "pairs")
-        links = self._checked(pairs, first)
-        found = stash(components(links), "components")
+        pairs = star.join(side("a"), "a").join(side("b"), "b").where(self._bitmaps_allow("a_", "b_")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = stash(pairs, "pairs")
+        links = self._checked(tried, first)
         # buckets of more than two nodes may hold pairs without the pivot
-        several = shared.where("node != pnode").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-        open_ = shared.join(several, "token").select("token", "node", "n", "pos").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-        open_ = stash(open_.join(mixed, "token").join(nodes.select("node", *maps), "node"), "open")
-        x, y = (open_.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos", "component", *maps))) for k in "xy")
-        on = (x["token"] == y["token"]) & F.expr(f"x_node < y_node AND x_component != y_component AND {self._may_link('x_', 'y_')} AND {self._bitmaps_allow('x_', 'y_')}")
-        across = x.join(y, on).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-        across = stash(across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-across")
-        discard(shared, open_, found)
-        links = stash(links.union(self._checked(across, first)), "links-all")
-        discard(pairs, across, nodes)
+        several = shared.where("node != pnode").groupBy("token").agg(F.count("*").alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token", "rows")
+        open_ = beside(shared, several, "token").select("token", "node", "n", "pos").distinct().join(nodes.select("node", *maps), "node")
+        held = [shared]
+        for turn in range(PIVOTS):
+            found = components(links)
+            last = turn == PIVOTS - 1
+            open_ = stash(self._across(open_.drop("component"), found), "open")
+            discard(found, *held)
+            held = [open_]
+            x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component", *maps)))
+            if last:
+                y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component", *maps)))
+                both = x.join(y, "token").where("x_node < y_node")
+            else:
+                y = open_.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "component", *maps)).alias("p"))
+                both = beside(x, y.select("token", "rows", *(F.col(f"p.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "component", *maps))), "token")
+            both = both.where(f"x_component != y_component AND {self._may_link('x_', 'y_')} AND {self._bitmaps_allow('x_', 'y_')}")
+            pairs = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+            pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-across")
+            more = self._checked(pairs, first)
+            links, old = stash(links.union(more), "links-all"), (links, more)
+            tried, own = stash(tried.union(pairs), "tried") if not last else tried, (tried, pairs)
+            discard(*{id(x): x for x in (*old, *own) if hasattr(x, "stash_path")}.values())
+        discard(*held, nodes)
         return members, links
 
+    @staticmethod
+    def _across(entries: DataFrame, found: DataFrame) -> DataFrame:
+        """Entries with the component of their node, of those buckets that hold several components."""
+        own = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = own.groupBy("token").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "rows")
+        return beside(own, mixed, "token").drop("rows")
+
     def _checked(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
         """The pairs that link, as a stashed table."""
         if pairs.limit(1).isEmpty():
             return pairs
-        sets = stash(self._sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), first), "sets")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = stash(first.join(wanted, "node"), "wanted")  # its size is known now: Spark broadcasts it while it is small
+        sets = stash(self._sets(wanted), "sets")
+        discard(wanted)
         links = stash(self._verified(pairs, sets), "links")
         discard(sets)
         return links
 
     def placed(self) -> DataFrame:
         """doc_id, key, n_shingles, node of every row and the least (none, doc_id, key) of its component; null for rows without
-        shingles. Leasts are found over nodes; the few nodes with a thousandth of all rows or more are broadcast, so that no
-        group of copies is one task."""
+        shingles. Leasts are found over nodes, and joined so that no group of copies is one task."""
         members, links = self.links()
         found = components(links)
         named = members.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("own"))
@@ -362,15 +399,11 @@ class JaccardJoin:
         joined = named.where("component != node").select("component").distinct()  # components of several nodes
         least = named.join(joined, "component", "left_semi").groupBy("component").agg(F.min("own").alias("least"))
         known = stash(named.join(least, "component", "left").select("node", "rows", F.coalesce("least", "own").alias("least")), "least")
-        total = known.agg(F.sum("rows")).first()[0] or 0
-        hot = known.where(F.col("rows") >= max(HOT_ROWS, total // HOT_NODES)).select("node", "least")  # HOT_NODES rows at most
         rows = members.select("doc_id", "key", F.col("n").alias("n_shingles"), "node")
-        real = rows.where("n_shingles > 0")
-        frequent = real.join(F.broadcast(hot), "node")
-        others = real.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known.select("node", "least"), "node")
+        real = beside(rows.where("n_shingles > 0"), known, "node")
         none = rows.where("n_shingles = 0").withColumn("least", F.lit(None).cast(known.schema["least"].dataType))
         cols = ["doc_id", "key", "n_shingles", "node", "least"]
-        return frequent.select(cols).union(others.select(cols)).union(none.select(cols))
+        return real.select(cols).union(none.select(cols))
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
