@@ -332,6 +332,8 @@ class JaccardJoin:
         shared = beside(entries, pivots, "token").select("token", "node", "n", "pos", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
         shared = stash(shared, "shared-prefixes")
         discard(entries)
+        if shared.limit(1).isEmpty():
+            return members, shared.select(F.col("node").alias("a"), F.col("pnode").alias("b"))
         star = shared.where("node != pnode").where(self._may_link("", "p")).select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
         asked = shared.select("node").distinct()  # only nodes that share a prefix shingle are looked at again
         nodes = stash(members.where("n > 0").join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr("if(doc_id IS NULL, key, NULL)")).alias("key"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps)), "nodes")
@@ -353,6 +355,8 @@ class JaccardJoin:
             open_ = stash(self._across(open_.drop("component"), found), "open")
             discard(found, *held)
             held = [open_]
+            if open_.limit(1).isEmpty():
+                break
             x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component", *maps)))
             if last:
                 y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component", *maps)))
