@@ -138,7 +138,7 @@ def mix(a: np.ndarray, b) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash; a bounded cache over xxh64."""
 
-    LIMIT = 800_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -274,65 +274,164 @@ def sum_counters(df: DataFrame, count: Callable, size: int, schema_cols: int = 1
 
 # -- texts to token ids -----------------------------------------------------------------------------------------------
 
-_ODD_SPACE = re.compile(r" \s|\s ")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: White space beyond ASCII, and what some rules call white space and others do not.
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class ChunkCache:
-    """Encodes whole texts by parting them at single spaces, where no token can cross, and remembering each chunk's ids.
+class _Held:
+    """Ids by 64-bit key: sorted keys, and where their ids lie in one array."""
+
+    def __init__(self, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        self.keys, self.starts, self.sizes, self.ids = keys, starts, sizes, ids
+
+    @classmethod
+    def none(cls) -> _Held:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys; -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
-    encode(list of str) -> list of bytes (ids, little-endian uint32) does the true work, for chunks that are not known.
-    with_space: a chunk after a space is encoded with that space before it, as byte-level vocabularies have it. When LIMIT
-    chunks are held, those that came only once go; chunks over LONG characters are not kept: memory is bounded.
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids one after another) of places."""
+        n = self.sizes[at]
+        return n, self.ids[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def joined(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> _Held:
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        return _Held(all_keys[order], starts[order], np.concatenate([self.sizes, sizes])[order], np.concatenate([self.ids, ids]))
+
+
+class ChunkCache:
+    """Encodes whole texts by parting them where no token can cross, and remembering each chunk's ids.
+
+    encode(list of str) -> list of bytes (ids, little-endian uint32) does the true work, for chunks that are not known. Texts
+    are parted, over numpy arrays of their bytes: where white space begins, at the last of several white spaces if that is a
+    space, after a single other white space, and before a mark that follows an ASCII letter or digit. Chunks are known by
+    64-bit hashes. LIMIT chunks are held at most (those not met while half as many others came go), and none over LONG
+    bytes: memory is bounded. Texts with white space that is not ASCII, or that hold one of ``added`` (strings that the library
+    makes one token wherever they stand) in whatever case, are encoded whole and as they are.
     lower: the vocabulary has lower case only, so ASCII texts are lower-cased before (other letters are left to its rules).
     """
 
-    LIMIT, LONG = 600_000, 200
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], with_space: bool, lower: bool = False):
-        self.encode, self.prefix, self.lower = encode, " " if with_space else "", lower
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.again: set[str] = set()
-
-    def _know(self, cache: dict[str, bytes], seen: set[str], prefix: str) -> list[str]:
-        """Makes cache hold all of seen; the long ones among them, which are to go again."""
-        new = list(seen.difference(cache))
-        if cache is self.rest:
-            self.again.update(seen.difference(new))
-        if len(cache) + len(new) > self.LIMIT:
-            kept = {x: cache[x] for x in self.again if x in cache} if cache is self.rest and len(self.again) < self.LIMIT // 2 else {x: cache[x] for x in seen if x in cache}
-            cache.clear()
-            cache.update(kept)
-            self.again = set()
-        cache.update(zip(new, self.encode([prefix + x for x in new]), strict=True))
-        return [x for x in new if len(x) > self.LONG]
+    LIMIT, LONG, SIZE = 1_000_000, 64, 1 << 22
+    _END = 255  # a byte that UTF-8 does not have, between texts
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lower: bool = False, added: list[str] | None = None):
+        self.encode, self.lower = encode, lower
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        self.young, self.old = _Held.none(), _Held.none()
+        r = np.random.default_rng(11)
+        self.of_byte, self.of_place = (r.integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1) for n in (256, self.LONG + 1))
+        kind = np.zeros(256, np.uint8)  # 1: white space, 2: ASCII letter or digit, 4: mark
+        kind[[9, 10, 11, 12, 13, 32]] = 1
+        kind[[i for i in range(128) if chr(i).isalnum()]] = 2
+        kind[list(b".,;:!?$")] = 4
+        self.kind = kind
+
+    def _starts(self, raw: np.ndarray) -> np.ndarray:
+        """Where chunks begin in texts that _END parts (before, between and after them)."""
+        kind = self.kind[raw]
+        space, end = kind == 1, raw == self._END
+        begin = np.zeros(len(raw), bool)
+        begin[1:] = end[:-1] | end[1:] | (space[1:] & ~space[:-1]) | ((kind[1:] == 4) & (kind[:-1] == 2))
+        begin[1:-1] |= (raw[1:-1] == 32) & ~space[2:] & ~end[2:]
+        begin[2:] |= ~space[2:] & space[1:-1] & (raw[1:-1] != 32) & ~space[:-2]
+        begin[0] = True
+        return np.flatnonzero(begin)
+
+    def _keys(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.arange(len(raw)) - np.repeat(starts, sizes), self.LONG)
+        return mix(np.add.reduceat(self.of_byte[raw] * self.of_place[place], starts), sizes.astype(np.uint64))
+
+    def _learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Makes the young ones hold keys (distinct), from the old ones or by encoding."""
+        at = self.old.find(keys)
+        known = at >= 0
+        n, ids = self.old.get(at[known])
+        own = np.flatnonzero(~known)
+        new = self.encode([raw[a : a + k].decode() for a, k in zip(starts[own].tolist(), sizes[own].tolist(), strict=True)]) if len(own) else []
+        n = np.concatenate([n, np.fromiter(map(len, new), np.int64, len(new)) // 4])
+        if len(self.young.keys) + len(keys) > self.LIMIT // 2:
+            self.old, self.young = self.young, _Held.none()
+        self.young = self.young.joined(np.concatenate([keys[known], keys[own]]), n, np.concatenate([ids, np.frombuffer(b"".join(new), np.uint32)]))
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        mark = bytes([self._END])
+        joined = mark + mark.join(texts) + mark
+        raw = np.frombuffer(joined, np.uint8)
+        starts = self._starts(raw)
+        sizes = np.diff(np.append(starts, len(raw)))
+        end = raw[starts] == self._END
+        keys = np.concatenate([self._keys(raw[starts[a] : starts[b - 1] + sizes[b - 1]], starts[a:b] - starts[a], sizes[a:b]) for a, b in ((i, min(i + (1 << 16), len(starts))) for i in range(0, len(starts), 1 << 16))])
+        at = np.where(end, 0, self.young.find(keys))
+        long = (sizes > self.LONG) & ~end
+        miss = np.flatnonzero((at < 0) & ~long)
+        if len(miss):
+            new, first = np.unique(keys[miss], return_index=True)
+            # the known ones are met here too: they go with the new ones where the young ones grow old
+            met, again = np.unique(at[(at >= 0) & ~end & ~long], return_index=False), len(self.young.keys) + len(new) > self.LIMIT // 2
+            kept = self.young.keys[met] if again and len(met) else None
+            self._learn(new, joined, starts[miss[first]], sizes[miss[first]])
+            if kept is not None:
+                lost = kept[self.young.find(kept) < 0]
+                n, ids = self.old.get(self.old.find(lost))
+                self.young = self.young.joined(lost, n, ids)
+            at = np.where(end, 0, self.young.find(keys))
+        held = self.young
+        use = ~end & ~long
+        n = np.zeros(len(starts), np.int64)
+        n[use] = held.sizes[at[use]]
+        apart: dict[int, np.ndarray] = {}
+        where = np.flatnonzero(long)
+        if len(where):
+            for i, x in zip(where.tolist(), self.encode([joined[a : a + k].decode() for a, k in zip(starts[where].tolist(), sizes[where].tolist(), strict=True)]), strict=True):
+                apart[i] = np.frombuffer(x, np.uint32)
+                n[i] = len(apart[i])
+        out = np.empty(int(n.sum()), np.uint32)
+        before = np.cumsum(n) - n
+        _, ids = held.get(at[use])
+        if apart:
+            out[np.repeat(use, n)] = ids
+            for i, x in apart.items():
+                out[before[i] : before[i] + n[i]] = x
+        else:
+            out = ids
+        cut = np.append(before, len(out))[np.flatnonzero(end)].tolist()
+        whole = out.astype("<u4", copy=False).tobytes()
+        return [whole[4 * a : 4 * b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.lower:
-            texts = [x.lower() if x.isascii() else x for x in texts]
-        parts = [_BETWEEN.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
-        tails: set[str] = set()
-        for p in parts:
-            tails.update(p)
-        long_heads = self._know(self.first, {p[0] for p in parts}, "")
-        long_tails = self._know(self.rest, tails, self.prefix)
-        get = self.rest.__getitem__
-        out = []
-        for p in parts:
-            head = self.first[p[0]]
-            del p[0]
-            out.append(head + b"".join(map(get, p)))
-        for cache, long in ((self.first, long_heads), (self.rest, long_tails)):
-            for x in long:
-                del cache[x]
+        out: list[bytes] = [b""] * len(texts)
+        special = [i for i, x in enumerate(texts) if (self.added and "<" in x and self.added.search(x)) or _WIDE.search(x)]
+        if special:
+            for i, x in zip(special, self.encode([texts[i] for i in special]), strict=True):
+                out[i] = x
+        skip = set(special)
+        held: list[int] = []
+        parts: list[bytes] = []
+        size = 0
+        for i, x in enumerate(texts):
+            if i not in skip:
+                held.append(i)
+                parts.append((x.lower() if self.lower and x.isascii() else x).encode())
+                size += len(x)
+            if held and (size >= self.SIZE or i + 1 == len(texts)):
+                for k, y in zip(held, self._some(parts), strict=True):
+                    out[k] = y
+                held, parts, size = [], [], 0
         return out
 
 
 _ENCODERS: dict = cache_of("encoders", {})
 
 
-def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
+def library_encoder(path: str, mark: str) -> ChunkCache:
     """Ids by the tokenizers library from a vocabulary file; one per Python worker.
 
     Unknown chunks are encoded many at a time, joined by ``mark``: a string that the vocabulary's rules always make one
@@ -345,17 +444,17 @@ def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x.content for x in tok.get_added_tokens_decoder().values()]
         (mark_id,) = tok.encode(mark, add_special_tokens=False).ids
-        odd = re.compile(f"[{re.escape(mark.strip() or mark)}]|\\s" if not with_space else f"[{re.escape(mark)}]|.\\s|\\s\\Z", re.S)
+        sign = mark.strip() or mark
 
         def encode(chunks: list[str]) -> list[bytes]:
             out = [b""] * len(chunks)
-            alone = [i for i, x in enumerate(chunks) if not x or odd.search(x)]
+            alone = [i for i, x in enumerate(chunks) if not x or sign in x or "<" in x or len(x.split()) != 1 or (x[0].isspace() and x[0] != " ") or x[-1].isspace()]
             for i, e in zip(alone, tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
                 out[i] = np.asarray(e.ids, "<u4").tobytes()
             skip = set(alone)
-            plain = [i for i in range(len(chunks)) if i not in skip]
+            plain = [i for i in range(len(chunks)) if i not in skip] if skip else list(range(len(chunks)))
             for a in range(0, len(plain), 2048):
                 own = plain[a : a + 2048]
                 ids = np.asarray(tok.encode_batch_fast([mark.join([chunks[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
@@ -368,7 +467,7 @@ def library_encoder(path: str, with_space: bool, mark: str) -> ChunkCache:
             return out
 
         lower = tok.encode("A B", add_special_tokens=False).ids == tok.encode("a b", add_special_tokens=False).ids
-        _ENCODERS[path] = ChunkCache(encode, with_space, lower)
+        _ENCODERS[path] = ChunkCache(encode, lower, added)
     return _ENCODERS[path]
 
 

@@ -131,7 +131,7 @@ HOT_ROWS, HOT_PART = 1000, 1000
 #: Rounds after the first: one pivot per bucket in all but the last, which pairs what is left across components.
 PIVOTS = 3
 #: Shingles that a task holds before it sends them off.
-FLUSH = 2_000_000
+FLUSH = 1_200_000
 #: Bits dropped from a shingle's hash in a token. Two shingles of one token only make candidates that verification drops.
 SHORT = U64(16)
 
@@ -154,7 +154,7 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         arrow_batches(self.spark)
         text = F.col("text").cast("string")
-        self.shards = shards_for(docs)
+        self.shards = shards_for(docs, 6_000_000)
         self.docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key")))
 
     # -- step 1
@@ -214,7 +214,8 @@ class JaccardJoin:
             tokens = [unpack(x, np.uint64) for x in rows["a"].to_pylist()]
             places = [unpack(x, np.uint32) for x in rows["b"].to_pylist()]
             token, place = np.concatenate(tokens), np.concatenate(places)
-            source = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            source = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(x) for x in tokens])
+            del tokens, places
             order = np.argsort(token, kind="stable")
             token = token[order]
             cut = grouped(token)

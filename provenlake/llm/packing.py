@@ -42,7 +42,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, i
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer, with_space=True, mark="\n")
+        encode = library_encoder(tokenizer, mark="\n")
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for doc, raw in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):

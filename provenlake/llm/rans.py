@@ -185,7 +185,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int, with_space: bool =
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = library_encoder(tokenizer, with_space, "\n" if with_space else " 0 ")
+        enc = library_encoder(tokenizer, "\n" if with_space else " 0 ")
         for batch in batches:
             ids = [np.frombuffer(x + end, "<u4") for x in enc([x or "" for x in batch.column(1).to_pylist()])]
             own = np.array([_NULL if x is None else x for x in batch.column(0).to_pylist()], np.int64)

@@ -166,7 +166,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(common.vocabulary("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids_of = lambda t: tok.encode(t, add_special_tokens=False).ids + [0]
     for capacity in (64, 512):
         rows, df = docs
@@ -410,7 +409,6 @@ def test_rans_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(common.vocabulary("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     for rows, df in (docs, odd):
         want, at = [], 0
         for i, t in sorted(rows, key=lambda x: (-1 if x[0] is None else x[0])):
