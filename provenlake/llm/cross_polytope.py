@@ -9,9 +9,9 @@ there are more, is compared with all of them.
 The vectors of this task have little structure (nearest cosines of 0.4 in 64 dimensions), so the defaults look into many
 buckets: 12 tables of 128 buckets and 6 probes each, a recall of about 0.95; see the README for measured figures.
 
-Buckets over BLOCK vectors are parted by hash, and a block's queries into groups, so that a bucket which holds a third of
-all rows is spread over many tasks; bucket sizes (tables x 2 x dimensions numbers) are all that the driver sees. Blocks are
-solved locally. Which rows take part: see provenlake.llm.vectors; zero vectors take none. Ties go to the smaller vec_id. An
+Buckets over BLOCK vectors are parted by hash, so that a bucket which holds a third of all rows is spread over many tasks;
+bucket sizes (tables x 2 x dimensions numbers) are all that the driver sees. Blocks are solved locally: a task holds one
+block's vectors, and its queries stream by. A vector is written once for each table. Which rows take part: see provenlake.llm.vectors; zero vectors take none. Ties go to the smaller vec_id. An
 empty table: no rows.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenlake.llm.common import shards_for, stash
-from provenlake.llm.vectors import BLOCK, BLOCKS, QUERIES, lists, matrix, solve_blocks, taking_part, top_k
+from provenlake.llm.vectors import BLOCK, BLOCKS, block_rows, matrix, solve_blocks, taking_part, top_k
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -87,26 +87,22 @@ def search(table: DataFrame, k: int = 5, every: int = 50, tables: int = 12, prob
         return x / np.sqrt((x * x).sum(1))[:, None]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, asked = np.zeros(tables * width, np.int64), np.zeros(tables * width, np.int64)
+        data = np.zeros(tables * width, np.int64)
         for batch in batches:
-            x, q = unit(matrix(batch, "v", d)), batch.column("vec_id").to_numpy() % every == 0
+            x = unit(matrix(batch, "v", d))
             for t in range(tables):
-                y = hashes.rotate(x, t)
-                data += np.bincount(t * width + hashes.bucket(y), minlength=len(data))
-                asked += np.bincount(t * width + hashes.probes(y[q], probes).ravel(), minlength=len(data))
-        at = np.flatnonzero(data + asked)
-        yield pa.record_batch([pa.array(at), pa.array(data[at]), pa.array(asked[at])], ["bucket", "n", "asked"])
-
-    sizes = rows.mapInArrow(count, "bucket long, n long, asked long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()  # tables x axes rows
-    blocks, groups = np.ones(tables * width, np.int64), np.ones(tables * width, np.int64)
+                data += np.bincount(t * width + hashes.bucket(hashes.rotate(x, t)), minlength=len(data))
+        at = np.flatnonzero(data)
+        yield pa.record_batch([pa.array(at), pa.array(data[at])], ["bucket", "n"])
+
+    sizes = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # tables x axes rows
+    blocks = np.ones(tables * width, np.int64)
     for r in sizes:
         blocks[r["bucket"]] = max(1, -(-r["n"] // BLOCK))
-        groups[r["bucket"]] = max(1, -(-r["asked"] // QUERIES))
-    first = np.cumsum(blocks * groups) - blocks * groups
-    told = spark.sparkContext.broadcast((blocks, groups, first))
+    told = spark.sparkContext.broadcast((blocks, np.cumsum(blocks) - blocks))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, groups, first = told.value
+        blocks, first = told.value
         for batch in batches:
             ids, x = batch.column("vec_id").to_numpy(), matrix(batch, "v", d)
             u, salt = unit(x), (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
@@ -114,19 +110,15 @@ def search(table: DataFrame, k: int = 5, every: int = 50, tables: int = 12, prob
             for t in range(tables):
                 y = hashes.rotate(u, t)
                 b = t * width + hashes.bucket(y)
-                place = first[b] + salt % blocks[b] * groups[b]
-                for g in range(int(groups[b].max(initial=1))):
-                    own = groups[b] > g
-                    yield _rows(place[own] + g, 0, ids[own], x[own])
+                yield block_rows(first[b] + salt % blocks[b], 0, ids, x)
                 if len(q):
                     p = t * width + hashes.probes(y[q], probes)
                     own, p = np.repeat(q, p.shape[1]), p.ravel()
                     for s in range(int(blocks[p].max())):
-                        use = blocks[p] > s
-                        i = own[use]
-                        yield _rows(first[p[use]] + s * groups[p[use]] + salt[i] // 64 % groups[p[use]], 1, ids[i], x[i])
+                        i = own[blocks[p] > s]
+                        yield block_rows(first[p[blocks[p] > s]] + s, 1, ids[i], x[i])
 
-    n = int((blocks * groups).sum())
+    n = int(blocks.sum())
     most = tables * shards_for(table, 24_000_000)
     found = stash(top_k(solve_blocks(rows.mapInArrow(route, BLOCKS), min(n, most), d, k, _cosine, "double", _pair_cosine), k), "met")
     total = sum(r["n"] for r in sizes if r["bucket"] < width)
@@ -136,21 +128,14 @@ def search(table: DataFrame, k: int = 5, every: int = 50, tables: int = 12, prob
     left = short.count()
     if not left:
         return found
-    whole = top_k(solve_blocks(_all_pairs(rows, short, -(-total // BLOCK), -(-left // QUERIES)), most, d, k, _cosine, "double", _pair_cosine), k)
+    whole = top_k(solve_blocks(_all_pairs(rows, short, -(-total // BLOCK)), most, d, k, _cosine, "double", _pair_cosine), k)
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
 
 
-def _all_pairs(rows: DataFrame, queries: DataFrame, blocks: int, groups: int) -> DataFrame:
-    """Rows of BLOCKS in which every query meets every row: shards are blocks of the rows by groups of the queries."""
-
-    def side(df: DataFrame, kind: int, block, group) -> DataFrame:
-        own = df.withColumn("block", block).withColumn("group", group)
-        return own.select((F.col("block") * groups + F.col("group")).cast("int").alias("shard"), F.lit(kind).alias("kind"), "vec_id", "v")
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    return side(rows, 0, salt(blocks), every(groups)).unionByName(side(queries, 1, every(blocks), salt(groups)))
+def _all_pairs(rows: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+    """Rows of BLOCKS in which every query meets every block of the rows."""
 
+    def side(df: DataFrame, kind: int, block) -> DataFrame:
+        return df.select(block.cast("int").alias("shard"), F.lit(kind).alias("kind"), "vec_id", "v")
 
-def _rows(shard: np.ndarray, kind: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(shard.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), lists(x)], ["shard", "kind", "vec_id", "v"])
+    return side(rows, 0, F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).unionByName(side(queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), 1, F.col("block")))

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenlake.llm.common import arrow_batches, exchange, spread
+from provenlake.llm.common import arrow_batches, dealt, grouped, spans, spread
 
-#: Vectors and queries in a block: what one task multiplies at a time.
-BLOCK, QUERIES = 8192, 2048
+#: Vectors in a block: what one task holds.
+BLOCK = 8192
 
 
 def taking_part(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -64,33 +64,47 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return order[place]
 
 
+def block_rows(shard: np.ndarray, kind: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of BLOCKS."""
+    return pa.record_batch([pa.array(shard.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), lists(x)], ["shard", "kind", "vec_id", "v"])
+
+
 BLOCKS = "shard int, kind int, vec_id long, v array<double>"
 
 
 def solve_blocks(rows: DataFrame, partitions: int, d: int, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows of BLOCKS (kind 0: data, 1: queries), one block in a shard: each query's k best within the block, itself left
-    out: query_id, vec_id, score. exact(queries, vectors) scores pairs along the last axis, the same in whatever block they
+    out: query_id, vec_id, score. A block's data come first and are held; its queries stream by, so that any number of them
+    needs no copy of the data. exact(queries, vectors) scores pairs along the last axis, the same in whatever block they
     meet; products of whole matrices may differ in the last bit."""
     dtype = {"long": np.int64, "double": np.float64}[kind]
 
-    def reduce(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        batch = table.combine_chunks().to_batches()[0]
-        which = batch.column("kind").to_numpy()
-        ids, x = batch.column("vec_id").to_numpy(), matrix(batch, "v", d)
-        data, queries = np.flatnonzero(which == 0), np.flatnonzero(which == 1)
-        if not len(data):
-            return
-        for a in range(0, len(queries), 512):
-            q = queries[a : a + 512]
-            s = score(x[q], x[data])
-            own = ids[data][None] == ids[q][:, None]
-            place = best(ids[data], np.where(own, -np.inf, s), min(k + 1, len(data)))
-            found = np.take_along_axis(s, place, 1) if exact is None else exact(x[q][:, None], x[data][place])
-            keep = ~np.take_along_axis(own, place, 1)
-            query = np.repeat(ids[q], place.shape[1]).reshape(place.shape)
-            yield pa.record_batch([pa.array(query[keep]), pa.array(ids[data][place[keep]]), pa.array(found[keep].astype(dtype))], ["query_id", "vec_id", "score"])
-
-    return exchange(rows, partitions, reduce, f"query_id long, vec_id long, score {kind}")
+    def solved(ids: np.ndarray, x: np.ndarray, query: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        s = score(q, x)
+        own = ids[None] == query[:, None]
+        place = best(ids, np.where(own, -np.inf, s), min(k + 1, len(ids)))
+        found = np.take_along_axis(s, place, 1) if exact is None else exact(q[:, None], x[place])
+        keep = ~np.take_along_axis(own, place, 1)
+        return pa.record_batch([pa.array(np.repeat(query, place.shape[1]).reshape(place.shape)[keep]), pa.array(ids[place[keep]]), pa.array(found[keep].astype(dtype))], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ids, x = None, [], None, None
+        for batch in batches:
+            shard, which = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            for a, b in spans(grouped(shard.astype(np.int64) * 2 + which), len(batch)):
+                part = batch.slice(a, b - a)
+                if shard[a] != at:
+                    at, held, ids = int(shard[a]), [], None
+                own = part.column("vec_id").to_numpy(), matrix(part, "v", d)
+                if which[a] == 0:
+                    held.append(own)
+                elif held:
+                    if ids is None:
+                        ids, x = (np.concatenate(y) for y in zip(*held, strict=True))
+                    for i in range(0, b - a, 512):
+                        yield solved(ids, x, own[0][i : i + 512], own[1][i : i + 512])
+
+    return dealt(rows, partitions).sortWithinPartitions("shard", "kind").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:

@@ -1,14 +1,19 @@
 """Exact top-k search by inner product over Voronoi cells (operator 5).
 
-Pivots (a bounded sample of rows, ``pivots`` at most, by hash of vec_id) part the vectors into cells. A cell's summary is its
-size, its radius and its k + 1 least distances to the pivot: bounded by the number of pivots. As q.x = q.p + q.(x - p),
-every x of a cell scores between q.p - |q| d and q.p + |q| d, d its distance to the pivot. The k + 1 best lower bounds of
-all summaries give a query the score that its answers reach at least, and the query goes only to cells whose upper bound
-reaches that. Queries, the smaller side, are what is replicated; a cell over BLOCK vectors is parted into blocks by hash,
-and the queries of a block into groups, so that no task's share grows with a cell. Blocks are solved locally, then merged.
+Pivots, as many as the square root of the rows (PIVOTS at most), part the vectors into cells; cells whose pivots lie near each
+other make a group of about BLOCK vectors, and a larger one is parted by hash. With u the direction of a cell's pivot, a
+vector is x = a u + r, r orthogonal to u. A cell's summary is the least and greatest a and the greatest |r|, and its radius
+about the pivot p. For a query q = b u + s, every x of the cell scores at most max(b a) + |s| |r|, and at most
+q.p + |q| radius: the lesser of the two is the cell's bound.
+
+SAMPLE rows (a bounded, documented number, by hash of vec_id; the pivots are the first of them) are known to every task. The
+k-th highest score of a query among them, its own row left out, is reached by its answers, so the query goes only to groups
+that hold a cell whose bound reaches it. Data rows are written once, to their group; only queries, the smaller side, are
+replicated, and only where they must be. A task holds one block's vectors, its queries stream by; blocks are merged.
 
 The result is exact: components are integers, products are summed exactly in doubles (below 2^53), and bounds have slack for
-rounding. Which rows take part: see provenlake.llm.vectors. An empty table: no rows. Ties go to the smaller vec_id.
+rounding. How much bounds prune depends on the data: ``routed`` counts it. Which rows take part: see provenlake.llm.vectors.
+An empty table: no rows. Fewer than k other rows: all of them. Ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -20,90 +25,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import shards_for
-from provenlake.llm.vectors import BLOCK, BLOCKS, QUERIES, lists, matrix, solve_blocks, taking_part, top_k
+from provenlake.llm.vectors import BLOCK, BLOCKS, block_rows, matrix, solve_blocks, taking_part, top_k
+
+#: Pivots at most, and rows that every task knows: both bound what the driver holds and broadcasts.
+PIVOTS, SAMPLE = 2048, 8192
 
 
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * (x @ p.T), 0))
 
 
-def search(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+class Cells:
+    """Pivots, their directions, and the group of each."""
+
+    def __init__(self, pivots: np.ndarray, groups: int):
+        self.p = pivots
+        size = _norms(pivots)
+        self.u = pivots / np.where(size > 0, size, 1)[:, None]
+        heads = pivots[: max(1, min(groups, len(pivots)))]
+        self.group = _distances(pivots, heads).argmin(1)
+
+    def bounds(self, q: np.ndarray, summary: np.ndarray) -> np.ndarray:
+        """The greatest score that a vector of each cell can have with each query; -inf for empty cells."""
+        low, high, rest, radius = summary.T
+        b, size = q @ self.u.T, _norms(q)[:, None]
+        across = np.sqrt(np.maximum(size * size - b * b, 0))
+        with np.errstate(invalid="ignore"):
+            most = np.minimum(np.maximum(b * low, b * high) + across * rest, q @ self.p.T + size * radius)
+            return np.where(np.isfinite(low), most + 1e-6 * (np.abs(most) + size * (rest + radius) + 1), -np.inf)
+
+
+class Join:
+    """The steps over a table: see the module's head."""
+
+    def __init__(self, table: DataFrame, k: int, every: int, scale: int, pivots: int | None, id_col: str, vector_col: str):
+        self.spark, self.k, self.every = table.sparkSession, k, every
+        rows, self.d = taking_part(table, id_col, vector_col)
+        if not self.d:
+            return
+        self.rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+        self.n = rows.count()
+        known = self.rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        ids, sample = np.array([r["vec_id"] for r in known], np.int64), np.array([r["v"] for r in known], np.float64)
+        p = np.unique(sample[: pivots or max(1, min(PIVOTS, int(self.n**0.5)))], axis=0)
+        self.groups = max(1, min(len(p), -(-self.n // BLOCK)))
+        self.told = self.spark.sparkContext.broadcast((Cells(p[np.random.default_rng(5).permutation(len(p))], self.groups), ids, sample))
+
+    def summary(self) -> np.ndarray:
+        """(n, least a, greatest a, greatest |r|, radius) of each cell: five numbers a pivot."""
+        told, d = self.told, self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = told.value[0]
+            for batch in batches:
+                if len(batch):
+                    x = matrix(batch, "v", d)
+                    dist = _distances(x, cells.p)
+                    cell = dist.argmin(1)
+                    a = (x * cells.u[cell]).sum(1)
+                    r = np.sqrt(np.maximum((x * x).sum(1) - a * a, 0))
+                    own = np.unique(cell)
+                    parts = [cell == c for c in own]
+                    cols = [[int(m.sum()) for m in parts], [a[m].min() for m in parts], [a[m].max() for m in parts], [r[m].max() for m in parts], [dist[m, c].max() for m, c in zip(parts, own, strict=True)]]
+                    yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(cols[0], pa.int64()), *(pa.array(x, pa.float64()) for x in cols[1:])], ["cell", "n", "low", "high", "rest", "radius"])
+
+        found = self.rows.mapInArrow(run, "cell int, n long, low double, high double, rest double, radius double")
+        rows = found.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"), F.max("radius").alias("radius")).collect()
+        out = np.full((len(told.value[0].p), 5), np.nan)
+        out[:, 0] = 0
+        for r in rows:
+            out[r["cell"]] = r["n"], r["low"], r["high"], r["rest"], r["radius"]
+        return out
+
+    def routed(self) -> tuple[DataFrame, int]:
+        """(rows of BLOCKS: every vector once, each query for the blocks it must see; the number of blocks)."""
+        told, d, k, every = self.told, self.d, self.k, self.every
+        summary = self.summary()
+        size = np.zeros(self.groups, np.int64)
+        np.add.at(size, told.value[0].group, summary[:, 0].astype(np.int64))
+        blocks = np.maximum(1, -(-size // BLOCK))
+        first = np.cumsum(blocks) - blocks
+        shared = self.spark.sparkContext.broadcast((summary[:, 1:], blocks, first))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, sample_ids, sample = told.value
+            summary, blocks, first = shared.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                ids, x = batch.column("vec_id").to_numpy(), matrix(batch, "v", d)
+                group = cells.group[_distances(x, cells.p).argmin(1)]
+                salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                yield block_rows(first[group] + salt % blocks[group], 0, ids, x)
+                asked = np.flatnonzero(ids % every == 0)
+                for i in (asked[a : a + 256] for a in range(0, len(asked), 256)):
+                    q = x[i]
+                    score = np.where(sample_ids[None] == ids[i][:, None], -np.inf, q @ sample.T)
+                    least = -np.partition(-score, k - 1, 1)[:, k - 1] if score.shape[1] >= k else np.full(len(i), -np.inf)
+                    send = cells.bounds(q, summary) >= least[:, None]
+                    reach = np.zeros((len(i), len(blocks)), bool)
+                    for g in range(len(blocks)):
+                        reach[:, g] = send[:, cells.group == g].any(1)
+                    for g in np.flatnonzero(reach.any(0)).tolist():
+                        own = i[reach[:, g]]
+                        for b in range(int(blocks[g])):
+                            yield block_rows(np.full(len(own), first[g] + b), 1, ids[own], x[own])
+
+        return self.rows.mapInArrow(run, BLOCKS), int(blocks.sum())
+
+
+def search(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by ``every``, the k rows with the highest inner product
     of floor(scale * x), the query's own row left out."""
-    spark = table.sparkSession
-    rows, d = taking_part(table, id_col, vector_col)
-    if not d:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
-    p = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()], np.float64)
-    p = np.unique(p, axis=0)
-    shared = spark.sparkContext.broadcast(p)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                dist = _distances(matrix(batch, "v", d), shared.value)
-                cell = dist.argmin(1)
-                yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(dist[np.arange(len(cell)), cell])], ["vec_id", "v", "cell", "dist"])
-
-    cells = rows.mapInArrow(assign, "vec_id long, v array<double>, cell int, dist double")
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[int, np.ndarray] = {}
-        size: dict[int, int] = {}
-        far: dict[int, float] = {}
-        for batch in batches:
-            cell, dist = batch.column("cell").to_numpy(), batch.column("dist").to_numpy()
-            for c in np.unique(cell).tolist():
-                own = dist[cell == c]
-                near[c] = np.sort(np.concatenate([near.get(c, own[:0]), own]))[: k + 1]
-                size[c], far[c] = size.get(c, 0) + len(own), max(far.get(c, 0.0), float(own.max()))
-        keys = list(size)
-        yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([size[c] for c in keys], pa.int64()), pa.array([far[c] for c in keys], pa.float64()), pa.array([near[c].tolist() for c in keys], pa.list_(pa.float64()))], ["cell", "n", "far", "near"])
-
-    parts = cells.mapInArrow(summarise, "cell int, n long, far double, near array<double>")
-    summary = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).join(parts.select("cell", F.explode("near").alias("x")).groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("x")), 1, k + 1).alias("near")), "cell").orderBy("cell").collect()
-    own = np.array([r["cell"] for r in summary])
-    far = np.array([r["far"] for r in summary])
-    blocks = np.array([max(1, -(-r["n"] // BLOCK)) for r in summary], np.int64)
-    near = np.full((len(own), k + 1), np.inf)
-    for i, r in enumerate(summary):
-        near[i, : len(r["near"])] = r["near"]
-    groups = np.array([max(1, -(-r["n"] // (QUERIES * every))) for r in summary], np.int64).sum()  # query groups per block
-    first = np.cumsum(blocks) - blocks
-    n = int(blocks.sum() * groups)
-    told = spark.sparkContext.broadcast((own, far, blocks, first, near, int(groups)))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, far, blocks, first, near, groups = told.value
-        p = shared.value[own]
-        at = np.zeros(int(own.max()) + 1, np.int64)
-        at[own] = np.arange(len(own))
-        for batch in batches:
-            ids, x = batch.column("vec_id").to_numpy(), matrix(batch, "v", d)
-            cell = at[batch.column("cell").to_numpy()]
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            block = first[cell] + salt % blocks[cell]
-            for g in range(groups):
-                yield _block_rows(block * groups + g, 0, ids, x)
-            q = np.flatnonzero(ids % every == 0)
-            for a in range(0, len(q), 256):
-                i = q[a : a + 256]
-                dot, size = x[i] @ p.T, np.sqrt((x[i] * x[i]).sum(1))
-                with np.errstate(invalid="ignore"):
-                    low = (dot[:, :, None] - size[:, None, None] * near[None]).reshape(len(i), -1)
-                low = np.where(np.isfinite(low), low, -np.inf)
-                least = -np.partition(-low, min(k, low.shape[1] - 1), 1)[:, min(k, low.shape[1] - 1)]  # k + 1, as one may be itself
-                slack = 1e-6 * (np.abs(dot).max(1) + size * far.max() + 1)
-                send = dot + size[:, None] * far[None] >= (least - slack)[:, None]
-                for j in np.flatnonzero(send.any(0)).tolist():
-                    own_q = i[send[:, j]]
-                    for b in range(int(blocks[j])):
-                        yield _block_rows((first[j] + b) * groups + salt[own_q] // 64 % groups, 1, ids[own_q], x[own_q])
-
-    return top_k(solve_blocks(cells.mapInArrow(route, BLOCKS), min(n, shards_for(table)), d, k, lambda a, b: a @ b.T, "long"), k)
-
-
-def _block_rows(shard: np.ndarray, kind: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(shard.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), lists(x)], ["shard", "kind", "vec_id", "v"])
+    join = Join(table, k, every, scale, pivots, id_col, vector_col)
+    if not join.d:
+        return join.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows, blocks = join.routed()
+    return top_k(solve_blocks(rows, blocks, join.d, k, lambda a, b: a @ b.T, "long"), k)

@@ -274,6 +274,23 @@ def test_voronoi_is_exact(spark, vectors):
     assert voronoi_knn.search(df.limit(0)).count() == 0
 
 
+def test_voronoi_writes_data_once_and_prunes(spark):
+    """Clustered vectors: every row goes to one block, and most queries to few of them."""
+    r = np.random.default_rng(7)
+    centre = r.normal(size=(40, 8)) * 5
+    x = np.concatenate([c + 0.05 * r.normal(size=(100, 8)) for c in centre])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    join = voronoi_knn.Join(df, 5, 20, 256, None, "vec_id", "embedding")
+    join.groups = 16
+    join.told = spark.sparkContext.broadcast((voronoi_knn.Cells(join.told.value[0].p, 16), *join.told.value[1:]))
+    rows, blocks = join.routed()
+    sent = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
+    assert sent[0] == len(x) and sent[1] < 0.3 * blocks * len(x) / 20
+    e = np.floor(256 * x).astype(int)
+    want = sorted((q, k + 1, int(i), int(e[q] @ e[i])) for q in range(0, len(x), 20) for k, i in enumerate([i for i in np.lexsort((np.arange(len(x)), -(e @ e[q]))) if i != q][:5]))
+    assert sorted(tuple(r) for r in voronoi_knn.search(df, every=20).collect()) == want
+
+
 def test_cross_polytope_recall(spark, vectors):
     rows, df = vectors
     got = collections.defaultdict(dict)
