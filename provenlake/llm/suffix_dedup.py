@@ -9,18 +9,19 @@ document, earlier start), judged on the input. The result is exact.
    marks its later ones at once, so that a fragment with millions of copies is a few records for each task.
 2. A shard marks every copy of a fragment but the first. Where an anchor has several different fragments, the first copies
    remain open: some of their windows may repeat within another fragment.
-3. The texts of open fragments go to their shard once more, where a run-length index (``RunLengthIndex``: run-compressed
-   Burrows-Wheeler transform with sampled run ends and thresholds) is built over them; their matching statistics are
-   streamed through it, and windows whose match is long enough and has an earlier start are marked. An anchor with over
-   ``crowd`` different fragments (a common line before ever different texts) sends its windows by their own hash instead:
-   then equal windows meet whatever stands around them, and no group is large.
+3. The texts of open fragments go to their shard once more. There the earlier half of an anchor's fragments is indexed
+   (``RunLengthIndex``: run-compressed Burrows-Wheeler transform with sampled run ends and thresholds), the later half
+   streamed through it as matching statistics, and windows whose match is long enough and has a lower rank are marked; the
+   halves' own halves follow in the same way. An anchor with over ``crowd`` different fragments (a common line before ever
+   different texts) sends its windows by their own hash instead: then equal windows meet whatever stands around them, and no
+   group is large.
 4. Marks meet their documents, once.
 
 doc_id identifies a document: rows that repeat both doc_id and text are the same document and get the same result; rows that
-repeat a doc_id with another text are told apart by their text (the order of the texts' SHA-256 decides which comes first). So
-are rows with a null doc_id, by 60 bits of it; they come before all others (ids under -8 x 10^18 aside). A null text is
-empty. Texts shorter than ``length`` lose nothing. Empty table: no rows. Columns
-besides doc_id and text are not read.
+repeat a doc_id, or null ids, with another text are told apart by it (the order of the texts' SHA-256 decides which comes
+first; null ids come before all others). A null text is empty. Texts shorter than ``length`` lose nothing. Long texts are
+hashed in pieces, never cut. Empty table: no rows. Columns with any name come along in remove_repeats, as one struct until
+the end, and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) *
 _STEP = U64(0xD6E8FEB86659FD93)
 #: Texts are hashed in pieces of about so many bytes: their arrays then stay in the processor's cache.
 PIECE = 1 << 17
-_NULL = -(1 << 63)
 
 
 # -- windows ------------------------------------------------------------------------------------------------------------
@@ -263,32 +263,68 @@ def match_lengths(text: np.ndarray, patterns: np.ndarray, ends: np.ndarray, leng
     return out
 
 
-def repeated_windows(fragments: list[bytes], rank: np.ndarray, length: int) -> list[np.ndarray]:
-    """Of fragments (rank: their order by document and start), which windows start earlier in a fragment of lower rank, or
-    earlier in their own: a boolean array for each."""
+class EarlierText:
+    """A run-length index of fragments, with the least rank of each group of suffixes that share ``length`` symbols."""
+
+    def __init__(self, fragments: list[bytes], rank: np.ndarray, length: int):
+        self.length = length
+        joined, text, ends, sizes = _laid_out(fragments)
+        order = suffix_array(text, int(sizes.max()) + 2)
+        prefixes = common_prefixes(text, order)
+        self.index = RunLengthIndex(text, order, prefixes)
+        of_place = np.full(len(text), np.iinfo(np.int64).max)
+        of_place[np.repeat(ends - sizes, sizes) + _counting(sizes)] = np.repeat(rank, sizes)
+        self.heads = np.flatnonzero(prefixes < length)
+        self.least = np.minimum.reduceat(of_place[order], self.heads)
+        (self.windows,) = gram_hashes(joined, length)
+
+    def marks(self, fragments: list[bytes], rank: np.ndarray) -> np.ndarray:
+        """Which windows of the fragments, one after another, match a window of the index that has a lower rank."""
+        joined, text, ends, sizes = _laid_out(fragments)
+        rows, places = self.index.statistics(text, ends, sizes)
+        count = np.maximum(sizes - self.length + 1, 0)
+        at = np.repeat(ends - sizes, count) + _counting(count)
+        rows, places = rows[at], places[at]
+        (own,) = gram_hashes(joined, self.length)
+        fits = (places >= 0) & (places < len(self.windows))
+        long = fits & (self.windows[np.where(fits, places, 0)] == own[at])
+        least = self.least[np.searchsorted(self.heads, np.maximum(rows, 0), "right") - 1]
+        return long & (least < np.repeat(rank, count))
+
+
+def _laid_out(fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, symbols 1..256 with 0 after each fragment, the fragments' ends, their sizes)."""
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
     joined = np.frombuffer(b"\0".join(fragments) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
     text = joined.astype(np.int64) + 1
     text[ends] = 0
-    order = suffix_array(text, int(sizes.max()) + 2)
-    prefixes = common_prefixes(text, order)
-    index = RunLengthIndex(text, order, prefixes)
-    # suffixes that share length symbols stand together; the first of each such group in document order
-    at = np.repeat(ends - sizes, sizes - length + 1) + _counting(sizes - length + 1)
-    value = np.repeat(rank << 24, sizes - length + 1) + _counting(sizes - length + 1)
-    by_place = np.full(len(text), np.iinfo(np.int64).max)
-    by_place[at] = value
-    group = np.cumsum(prefixes < length) - 1
-    first = np.minimum.reduceat(by_place[order], np.flatnonzero(prefixes < length))
-    del order, prefixes, by_place
-    rows, places = index.statistics(text, ends, sizes)
-    rows, places = rows[at], places[at]
-    (whole,) = gram_hashes(joined, length)
-    fits = (places >= 0) & (places + length <= len(text))
-    long = fits & (whole[np.where(fits, places, 0)] == whole[at])
-    marked = long & (first[group[np.maximum(rows, 0)]] < value)
-    return np.split(marked, np.cumsum(sizes - length + 1)[:-1])
+    return joined, text, ends, sizes
+
+
+def repeated_windows(fragments: list[bytes], rank: np.ndarray, key: np.ndarray, length: int) -> list[np.ndarray]:
+    """Of fragments (rank: their order by document and start; key: their anchor), which windows occur in a fragment of lower
+    rank: a boolean array for each. Equal windows have one anchor, and no fragment holds a window twice.
+
+    Of each anchor's fragments, the earlier half of every block of 2, 4, 8 ... is indexed, and the later half streamed through
+    the index: any two fragments meet in that way once. Most anchors have few fragments, so most end after the first block.
+    """
+    order = np.lexsort((rank, key))
+    cut = grouped(key[order])
+    size = np.repeat(np.diff(np.append(cut, len(order))), np.diff(np.append(cut, len(order))))
+    nth = _counting(np.diff(np.append(cut, len(order))))
+    count = np.fromiter((max(0, len(x) - length + 1) for x in fragments), np.int64, len(fragments))
+    marked = [np.zeros(k, bool) for k in count.tolist()]
+    for b in range(int(size.max(initial=1) - 1).bit_length()):
+        later = (nth >> b & 1) == 1
+        earlier = ~later & ((nth >> b | 1) << b < size)
+        left, right = order[earlier], order[later]
+        right = right[[not marked[i].all() for i in right.tolist()]]
+        if len(left) and len(right):
+            found = EarlierText([fragments[i] for i in left.tolist()], rank[left], length).marks([fragments[i] for i in right.tolist()], rank[right])
+            for i, x in zip(right.tolist(), np.split(found, np.cumsum(count[right])[:-1]), strict=True):
+                marked[i] |= x
+    return marked
 
 
 def _counting(sizes: np.ndarray) -> np.ndarray:
@@ -448,7 +484,7 @@ class RepeatFinder:
                 plain = plain[np.argsort(key[plain], kind="stable")]
                 for shard, own in by_shard(key[plain] << U64(24), shards):
                     k = plain[own]
-                    rows.append((shard, TEXTS, doc[k], start[k], count[k], np.frombuffer(b"".join([parts[i] for i in k]), np.uint8)))
+                    rows.append((shard, TEXTS, doc[k], start[k], count[k], np.frombuffer(b"".join([parts[i] for i in k]), np.uint8), key[k]))
                 hot = np.flatnonzero(crowded)
                 if len(hot):
                     h, d, s = [], [], []
@@ -483,7 +519,7 @@ class RepeatFinder:
                     if a == b:
                         continue
                     seen.add(row["doc"])
-                    raw = row["text"].encode()
+                    raw = (row["text"] or "").encode()
                     for i in range(a, b):
                         s, count = int(entries[1][i]), int(entries[2][i])
                         part = raw[s : s + count - 1 + length]
@@ -508,14 +544,14 @@ class RepeatFinder:
                 order, _, later = _first_copies(h, np.zeros(len(h), np.uint64), doc, start)
                 copies = order[later]
                 marks.append([doc[copies], start[copies], start[copies] + length])
-            doc, start, count, raw = _columns(rows, TEXTS, "<i8", "<i8", "<i8", "u1")
+            doc, start, count, raw, key = _columns(rows, TEXTS, "<i8", "<i8", "<i8", "u1", "<u8")
             if len(doc):
                 size = count - 1 + length
                 ends = np.cumsum(size)
                 raw = raw.tobytes()
                 rank = np.empty(len(doc), np.int64)
                 rank[np.lexsort((start, doc))] = np.arange(len(doc))
-                found = repeated_windows([raw[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)], rank, length)
+                found = repeated_windows([raw[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)], rank, key, length)
                 hit = np.concatenate(found)
                 d, s = np.repeat(doc, count)[hit], (np.repeat(start, count) + _counting(count))[hit]
                 marks.append([d, s, s + length])
@@ -527,31 +563,43 @@ class RepeatFinder:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds doc (long), which identifies and orders documents: doc_id; doc_id and the text's order where a doc_id has several
-    texts; for a null doc_id a number of its text's own, below those of the others."""
-    own = docs.withColumns({"doc": F.col("doc_id").cast("long"), "sha": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
-    none = F.lit(_NULL) + F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
-    most = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > 1:
-        from pyspark.sql.window import Window
+    """doc (long), which identifies and orders documents, text, and the caller's whole row as a struct. Where doc_ids are
+    unique and none is null, doc is doc_id; else the place of (doc_id, nulls first, SHA-256 of the text) among all of them."""
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    if own.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).isEmpty():
+        return own.select(F.col("id").alias("doc"), "text", "row")
+    own = own.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(n, n + len(batch)))], ["id", "sha", "part", "nth"])
+            n += len(batch)
 
-        known = own.where("doc IS NOT NULL").withColumn("nth", F.dense_rank().over(Window.partitionBy("doc").orderBy("sha")) - 1)
-        per = int(known.agg(F.max("nth")).first()[0]) + 1
-        known = known.withColumn("doc", F.col("doc") * F.lit(per) + F.col("nth")).drop("nth")
-        return known.unionByName(own.where("doc IS NULL").withColumn("doc", none)).drop("sha")
-    return own.withColumn("doc", F.coalesce("doc", none)).drop("sha")
+    order = (F.col("id").asc_nulls_first(), F.col("sha"))
+    known = own.select("id", "sha").distinct().repartitionByRange(docs.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
+    known = stash(known.mapInArrow(place, "id long, sha string, part int, nth long"), "numbers")
+    sizes = {r["part"]: r["n"] for r in known.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    first, at = {}, 0
+    for part in sorted(sizes):
+        first[part], at = at, at + sizes[part]
+    start = F.create_map(*(F.lit(x) for item in first.items() for x in item))
+    known = known.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), (start[F.col("part")] + F.col("nth")).cast("long").alias("doc"))
+    return own.join(known, own["id"].eqNullSafe(known["_id"]) & (own["sha"] == known["_sha"])).select("doc", "text", "row")
 
 
 def _ranges(docs: DataFrame, length: int, anchor: int, use, schema: str, **params) -> DataFrame:
-    """use(columns of a document row as a dict, starts, ends) for each document with its removed ranges -> row dict."""
+    """use(a document's row as a dict, starts, ends) for each document with its removed ranges -> row dict."""
     arrow_batches(docs.sparkSession)
     own = _numbered(docs)
-    finder = RepeatFinder(own.select("doc", F.col("text").cast("string").alias("text")), length, anchor, **params)
+    finder = RepeatFinder(own.select("doc", "text"), length, anchor, **params)
     found = finder.marks()
     blobs = found[0].where(F.col("kind") == MARKS)
     for more in found[1:]:
         blobs = blobs.unionByName(more.where(F.col("kind") == MARKS))
-    joined = finder.beside(blobs.select("shard", "kind", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c")), own)
+    joined = finder.beside(blobs.select("shard", "kind", "a", "b", "c"), own.select("doc", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, marks = None, [], None
@@ -561,12 +609,12 @@ def _ranges(docs: DataFrame, length: int, anchor: int, use, schema: str, **param
                 if row["shard"] != at:
                     at, held, marks = row["shard"], [], None
                 if row["kind"] != 99:
-                    held.append([unpack(row[c], "<i8") for c in ("_a", "_b", "_c")])
+                    held.append([unpack(row[c], "<i8") for c in "abc"])
                     continue
                 if marks is None:
                     marks = merged(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, np.int64),) * 3
                 a, b = np.searchsorted(marks[0], row["doc"], "left"), np.searchsorted(marks[0], row["doc"], "right")
-                rows.append(use(row, marks[1][a:b], marks[2][a:b]))
+                rows.append(use(row["row"], marks[1][a:b], marks[2][a:b]))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=target)
 

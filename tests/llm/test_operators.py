@@ -125,6 +125,35 @@ def test_repeats_of_several_null_ids(spark):
         assert sorted((str(x.doc_id), str(x.text)) for x in kept) == sorted((str(i), str(t if t is None else want[i, t][2])) for i, t in rows)
 
 
+def test_repeats_keep_clashing_columns_and_large_ids(spark):
+    """Columns named as the operator's own keep their values; ids at the ends of the range, repeated and null, overflow nothing."""
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = part(60)
+    rows = [(2**62 + 5, part(80) + shared, 700, 55, "x", [1, 2]), (2**62 + 5, shared, 701, 56, None, None), (-(2**63), shared + part(9), 702, 57, "z", []), (2**63 - 1, None, 703, 58, "w", [3])]
+    rows += [(None, t, 704 + i, 59, "v", [i]) for i, t in enumerate((part(50), shared + "q", part(45)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, doc long, kind string, a array<int>").repartition(3)
+    out = {x.shard: x for x in suffix_dedup.remove_repeats(df, 40, 16).collect()}
+    assert sorted(out) == sorted(x[2] for x in rows) and suffix_dedup.remove_repeats(df, 40, 16).schema == df.schema
+    for x in rows:
+        assert (out[x[2]].doc_id, out[x[2]].doc, out[x[2]].kind, out[x[2]].a) == (x[0], *x[3:])
+    assert out[705].text == shared + "q" and [len(out[k].text) for k in (700, 701, 702)] == [80, 0, 9] and out[703].text is None
+
+
+def test_index_decides(monkeypatch):
+    """Marks come from matching statistics of later fragments against an index of earlier ones."""
+    r = random.Random(2)
+    part = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    shared = part(30)
+    fragments = [part(20) + shared, shared + part(9), part(5) + shared[3:], part(40), shared]
+    rank, key = np.array([4, 1, 2, 0, 3]), np.zeros(5, np.uint64)
+    want = [[any(w[i : i + 20] in fragments[j] for j in range(5) if rank[j] < rank[k]) for i in range(len(w) - 19)] for k, w in enumerate(fragments)]
+    assert [x.tolist() for x in suffix_dedup.repeated_windows(fragments, rank, key, 20)] == want and any(map(any, want))
+    nothing = lambda self, patterns, ends, lengths: (np.full(len(patterns), -1), np.full(len(patterns), -1))
+    monkeypatch.setattr(suffix_dedup.RunLengthIndex, "statistics", nothing)
+    assert not any(x.any() for x in suffix_dedup.repeated_windows(fragments, rank, key, 20))
+
+
 def test_index_statistics():
     r = np.random.default_rng(5)
     text = np.concatenate([r.integers(1, 4, 200), [0]])
