@@ -10,10 +10,13 @@ noise are kept, a sample without replacement in proportion to the weights (Gumbe
   such bigrams make up.
 * Counts of the raw model cover all documents. Those of the target come from at most ``max_labelled`` labelled documents
   (the documented bound; by hash of doc_id, so the same for any partitioning).
-* Buckets whose share in target and raw differs by less than a factor of three, or by less than 2.5 standard deviations, share
-  one parameter: they cancel, and long clean texts gain nothing from their length.
-* k: as many documents as reach the cut that parts the labelled sample best (true less false positive rate).
-* ``sharpness`` is the exponent of the weights in the sampling.
+* Buckets whose share in target and raw does not clearly differ share one parameter: they cancel, and long clean texts gain
+  nothing from their length (see log_ratio). Nor do they lose: held-out target texts tell how much evidence against a text
+  comes by chance with each n-gram, and ALLOWED times that is made good, up to a weight of 0.
+* k: as many documents as reach the cut that parts a third of the labelled sample best (true less false positive rate); that
+  third, of each class, takes no part in the counts.
+* ``sharpness`` is the exponent of the weights in the sampling: 1 samples in proportion to them, a greater one lets the noise
+  decide among fewer documents. See the README for what 1, 2, 4 and 8 keep and lose on labelled documents.
 
 Nulls: a null text is empty, has no n-grams and weight 0. A null doc_id is kept or not like any other (its noise is that of
 id 0, but no label is its own). Repeated rows get equal weights and noise, so are kept or dropped together. Without labels of both classes nothing is
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from provenlake.llm.common import U64, WordHashes, arrow_batches, cache_of, grouped, mix, own_caches, spread, stash, sum_counters, utf8, words_of
 
 KINDS = 3
+#: How many times the evidence that held-out target texts have against them by chance every text is allowed.
+ALLOWED = 3.0
 _LETTERS, _DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 
 
@@ -89,12 +94,17 @@ def labelled_sample(labels: DataFrame, max_labelled: int) -> tuple[np.ndarray, n
 class Weights:
     """Log ratio of target to raw for each bucket, and how to sample."""
 
-    def __init__(self, ratio: np.ndarray, bits: int, sharpness: float, seed: int):
-        self.ratio, self.bits, self.sharpness, self.seed = ratio.astype(np.float32), bits, sharpness, seed
+    def __init__(self, ratio: np.ndarray, bits: int, sharpness: float, seed: int, background: float = 0.0):
+        self.ratio, self.bits, self.sharpness, self.seed, self.background = ratio.astype(np.float32), bits, sharpness, seed, background
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the log ratios of a text's n-grams, their number)."""
         bucket, row = features(texts, self.bits)
-        return np.bincount(row, self.ratio[bucket], len(texts)).round(6)
+        return np.bincount(row, self.ratio[bucket], len(texts)), np.bincount(row, minlength=len(texts))
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        total, n = self.sums(texts)
+        return np.minimum(total + self.background * n, np.maximum(total, 0)).round(6)
 
     def keys(self, doc_ids: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Gumbel key of each document; the noise is a function of doc_id and seed."""
@@ -125,8 +135,10 @@ def _counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray, bits: int) -> tu
     return raw.astype(np.float64), target.astype(np.float64)
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, bits: int, prior: float = 1.0) -> np.ndarray:
-    """Log of target over raw share of each bucket, kind by kind; buckets that do not clearly differ get 0."""
+def log_ratio(raw: np.ndarray, target: np.ndarray, bits: int, prior: float = 1.0, by_chance: float = 50.0) -> np.ndarray:
+    """Log of target over raw share of each bucket, kind by kind; buckets that do not clearly differ get 0: those within a
+    factor of three, and those whose target count a Poisson variable of the raw model's mean would have by chance (Chernoff's
+    bound of its tail) in more than ``by_chance`` of all buckets."""
     out = np.zeros(len(raw))
     for k in range(KINDS):
         own = slice(k << bits, (k + 1) << bits)
@@ -134,7 +146,10 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, bits: int, prior: float = 1.0
         if r.sum() and t.sum():
             e = r * (t.sum() / r.sum())
             x = np.log((t + prior) / (e + prior))
-            out[own] = np.where((np.abs(x) >= np.log(3)) & (np.abs(t - e) >= 2.5 * np.sqrt(e + 1)), x, 0)
+            often = e >= 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                evidence = np.where(t > 0, t * np.log(np.where(t > 0, t, 1) / np.where(e > 0, e, 1)), 0) - t + e
+            out[own] = np.where(often & (evidence >= np.log(max(1, often.sum()) / by_chance)) & (np.abs(x) >= np.log(3)), x, 0)
     return out
 
 
@@ -189,22 +204,52 @@ def kth_largest(scored: DataFrame, k: int) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, max_labelled: int = 20_000, sharpness: float = 8.0, seed: int = 17) -> tuple[Weights, DataFrame, float]:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, max_labelled: int = 20_000, sharpness: float = 4.0, seed: int = 17) -> tuple[Weights, DataFrame, float]:
     """(weights, stashed scores (doc_id, log_weight, gumbel_key) of all documents, least key that is kept)."""
     arrow_batches(docs.sparkSession)
     read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     ids, good = labelled_sample(labels, max_labelled)
-    raw, target = _counts(read, ids, good, bits)
+    held = held_out(ids, good)
+    raw, target = _counts(read, ids[~held], good[~held], bits)
+    spark = docs.sparkSession
     weights = Weights(log_ratio(raw, target, bits), bits, sharpness, seed)
+    weights.background = ALLOWED * _background(read, ids[held & good], weights)
     scored = stash(_scores(read, weights), "scores")
-    spark = docs.sparkSession
-    known = spark.createDataFrame(pa.table({"doc_id": ids, "good": good})) if len(ids) else None  # at most max_labelled rows
+    known = spark.createDataFrame(pa.table({"doc_id": ids[held], "good": good[held]})) if held.any() else None  # at most max_labelled rows
     sample = scored.join(F.broadcast(known), "doc_id").select("log_weight", "good").toArrow() if known is not None else pa.table({"log_weight": pa.array([], pa.float64()), "good": pa.array([], pa.bool_())})
     cut = best_cut(sample["log_weight"].to_numpy(), sample["good"].to_numpy(zero_copy_only=False).astype(bool)) if len(sample) else -np.inf
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count() if np.isfinite(cut) else 0
     return weights, scored, kth_largest(scored, k) if k else -np.inf
 
 
+def _background(read: DataFrame, ids: np.ndarray, weights: Weights) -> float:
+    """What held-out target texts (max_labelled at most) lose for each n-gram: evidence by chance, which grows with length."""
+    if not len(ids):
+        return 0.0
+    spark = read.sparkSession
+    few = spread(read.join(F.broadcast(spark.createDataFrame(pa.table({"doc_id": ids}))), "doc_id", "left_semi"))
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, n = shared.value.sums(utf8(batch.column(1)))
+            yield pa.record_batch([pa.array([float(total.sum())]), pa.array([int(n.sum())])], ["total", "n"])
+
+    found = few.mapInArrow(run, "total double, n long").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
+    return max(0.0, -found["total"] / found["n"]) if found["n"] else 0.0
+
+
+def held_out(ids: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Which labelled documents find k and take no part in the counts: a third of each class, by hash; all that there are
+    where a class has fewer than three."""
+    out = np.zeros(len(ids), bool)
+    for c in (True, False):
+        own = np.flatnonzero(good == c)
+        order = own[np.argsort(mix(ids[own].astype(np.uint64), U64(5)), kind="stable")]
+        out[order[::3] if len(order) > 2 else order] = True
+    return out
+
+
 def select(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The kept documents: doc_id, log_weight, gumbel_key."""
     _, scored, least = fit(docs, labels, **params)

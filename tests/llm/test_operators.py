@@ -491,6 +491,33 @@ def test_quality_takes_no_null_id_for_a_labelled_one(spark):
     assert None not in kept and set(range(100)) <= set(kept) and not set(kept) & set(range(100, 150))
 
 
+def test_log_ratio_and_sums_by_hand():
+    """Weights from the models' definition, in plain Python: sums over a text's distinct n-grams."""
+    raw, target = np.zeros(quality.KINDS << 4), np.zeros(quality.KINDS << 4)
+    raw[:4], target[:4] = [1000, 400, 60, 2], [500, 10, 2, 2]
+    e = [x * 514 / 1462 for x in (1000, 400, 60, 2)]
+    want = []
+    for t, m in zip((500, 10, 2, 2), e, strict=True):
+        tail = t * math.log(t / m) - t + m
+        x = math.log((t + 1) / (m + 1))
+        want.append(x if m >= 1 and tail >= math.log(3 / 0.5) and abs(x) >= math.log(3) else 0)
+    got = quality.log_ratio(raw, target, 4, by_chance=0.5)
+    assert np.allclose(got[:4], want) and want[1] < 0 and want[0] == 0 and not got[4:].any()
+    w = quality.Weights(np.arange(quality.KINDS << 6) / 7, 6, 1.0, 17)
+    total, n = w.sums([b"one two two", b""])
+    parts = [set(quality.features([b"one two two"], 6)[0].tolist())]
+    assert n.tolist() == [len(parts[0]), 0] and np.allclose(total, [sum(np.float32(x / 7) for x in parts[0]), 0])
+
+
+def test_gumbel_top_k_samples_in_proportion():
+    """Of two documents, one of three times the weight comes first three times in four."""
+    first = 0
+    for seed in range(4000):
+        key = quality.Weights(np.zeros(1), 4, 1.0, seed).keys(np.array([11, 12]), np.array([math.log(3), 0.0]))
+        first += key[0] > key[1]
+    assert abs(first / 4000 - 0.75) < 0.03
+
+
 def test_kth_largest(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 5, 3, 2, 2, 9]], "gumbel_key double")
     assert [quality.kth_largest(df, k) for k in (1, 2, 3, 4, 7)] == [9, 5, 5, 3, 1]
