@@ -101,7 +101,6 @@ def structure_errors(sectioned: DataFrame, refs: DataFrame, claims: DataFrame) -
 def selected_claims(claims: DataFrame, selections: DataFrame) -> DataFrame:
     """selections (report_id, sentence_id, reference_id, approved_text, direction) bound to claims, with an error where a
     selection is not valid: unknown sentence, reference not linked, direction not confirmed, or a repeated pair."""
-    j = selections.withColumn("times", F.count("*").over(Window.partitionBy("report_id", "sentence_id", "reference_id"))).join(claims, ["report_id", "sentence_id"], "left")
     want = F.col("direction_wanted")
     j = selections.withColumnRenamed("direction", "direction_wanted").withColumn("times", F.count("*").over(Window.partitionBy("report_id", "sentence_id", "reference_id"))).join(claims, ["report_id", "sentence_id"], "left")
     picked = F.try_element_at(F.transform(F.filter("candidates", lambda c: c["direction"] == want), lambda c: c["sentence_text"]), F.lit(1))

@@ -160,7 +160,7 @@ def scores(spark, sf_dir):
 
 @query()
 def top_passages(spark, sf_dir):
-    return selection.ranked(_scored(spark, sf_dir)).where(F.col("rank") <= selection.MOST).select("claim_id", "rank", "passage_id", F.round("score", 3).alias("score"))
+    return selection.ranked(_scored(spark, sf_dir)).where(F.col("rank") <= selection.MOST).select("claim_id", "rank", "passage_id", F.bround("score", 3).alias("score"))
 
 
 @query()
