@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.llm.common import U64, WordHashes, arrow_batches, by_shard, cache_of, exchange, grouped, mix, pack, shards_for, shared_dir, spread, stash, unpack, words_of
+from provenlake.llm.common import U64, WordHashes, arrow_batches, by_shard, cache_of, discard, exchange, grouped, mix, pack, shards_for, shared_dir, spread, stash, unpack, words_of
 
 FOLDS, HELD = 7, 2
 #: Contexts and ends of texts, as words that no text has (they hold spaces).
@@ -43,10 +43,14 @@ _WORDS.LIMIT = 400_000  # beside the arrays of a flush
 
 
 def _local(path: str) -> str | None:
-    """A shared folder's place in the file system, if it is mounted there."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path if path.startswith("/") else None
+    """A shared folder's place in the file system, if it is mounted there. Paths are whole URIs: see qualified."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else None
+
+
+def qualified(spark, path: str) -> str:
+    """path with the scheme of its file system: a path without one belongs to Spark's default one, mounted or not."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def save(path: str, **arrays: np.ndarray) -> None:
@@ -214,7 +218,8 @@ def _finish(path: str):
         w, n = summed(np.concatenate([np.zeros(0, np.uint64), *(unpack(a[i], np.uint64) for i in own)]), np.concatenate([np.zeros(0, np.int64), *(unpack(b[i], np.int64) for i in own)]))
         save(f"{path}/before-{shard:06d}", hash=w, count=n)
         sums = sum((unpack(a[i], np.int64) for i, k in enumerate(kinds) if k == 4), np.zeros(7, np.int64))
-        yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in (*sums, *((n == k).sum() for k in (1, 2, 3, 4)), n.sum(), (n >= 3).sum())], [f"s{i}" for i in range(13)])
+        values = (*sums, *((n == k).sum() for k in (1, 2, 3, 4)), n.sum(), (n >= 3).sum())
+        yield pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in values)], ["shard", *(f"s{i}" for i in range(13))])
 
     return reduce
 
@@ -231,13 +236,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 def train(docs: DataFrame, flush: int = 4_000_000) -> dict:
     """Count the training documents and write the model; its description (a few numbers and a path)."""
     n_shards = shards_for(docs)
-    path = f"{shared_dir(docs.sparkSession)}/kneser-ney-{uuid.uuid4().hex}"
+    path = qualified(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/kneser-ney-{uuid.uuid4().hex}")
     arrow_batches(docs.sparkSession)
     read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     counted = exchange(read.mapInArrow(_count(n_shards, flush), _BLOBS), n_shards, _merge(path, n_shards), _BLOBS)
-    sums = stash(exchange(stash(counted, "counts"), n_shards, _finish(path), ", ".join(f"s{i} long" for i in range(13))), "totals")
+    counts = stash(counted, "counts")
+    sums = stash(exchange(counts, n_shards, _finish(path), "shard int, " + ", ".join(f"s{i} long" for i in range(13))), "totals")
+    filled = [{r["shard"] for r in df.select("shard").distinct().collect()} for df in (counts.where("kind = 4"), sums)]  # a number a shard
+    empty = [sorted(set(range(n_shards)) - x) for x in filled]
+    discard(counts)
     total = [int(x or 0) for x in sums.agg(*(F.sum(f"s{i}") for i in range(13))).first()]
-    return {"path": path, "shards": n_shards, "tokens": total[0], "distinct": total[1], "pair_discounts": discounts(*total[2:6]), "word_discounts": discounts(*total[7:11]), "pairs": total[6], "before": total[11], "before_kinds": [total[7], total[8], total[12]]}
+    return {"path": path, "shards": n_shards, "tokens": total[0], "distinct": total[1], "pair_discounts": discounts(*total[2:6]), "word_discounts": discounts(*total[7:11]), "pairs": total[6], "before": total[11], "before_kinds": [total[7], total[8], total[12]], "empty": {"word": empty[0], "pair": empty[0], "context": empty[1], "before": empty[1]}}
 
 
 # -- scoring --------------------------------------------------------------------------------------------------------------
@@ -246,8 +255,8 @@ def train(docs: DataFrame, flush: int = 4_000_000) -> dict:
 class _Sharded:
     """Sorted hash arrays over shards: rows of keys (sorted) by shard, memory-mapped when first needed."""
 
-    def __init__(self, path: str, kind: str, n: int, value: str, shift: np.uint64):
-        self.path, self.kind, self.n, self.value, self.shift = path, kind, n, value, shift
+    def __init__(self, path: str, n: int, value: str, shift: np.uint64, empty: list[int], kind: str):
+        self.path, self.kind, self.n, self.value, self.shift, self.empty = path, kind, n, value, shift, set(empty)
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def get(self, keys: np.ndarray, width: int = 0) -> np.ndarray:
@@ -256,10 +265,10 @@ class _Sharded:
         for shard, own in by_shard(keys << self.shift, self.n):
             if shard not in self.held:
                 place = f"{self.path}/{self.kind}-{shard:06d}"
-                try:
-                    self.held[shard] = mapped(place, "hash"), mapped(place, self.value)
-                except FileNotFoundError:  # a shard that nothing fell into
+                if shard in self.empty:  # nothing fell into it; any other file that is missing is an error
                     self.held[shard] = np.zeros(0, np.uint64), np.zeros((0, width) if width else 0, np.int64)
+                else:
+                    self.held[shard] = mapped(place, "hash"), mapped(place, self.value)
             h, v = self.held[shard]
             if len(h):
                 k = keys[own]
@@ -277,10 +286,10 @@ class Model:
     def __init__(self, info: dict):
         self.info = info
         place = (info["path"], info["shards"])
-        self.words = _Sharded(place[0], "word", place[1], "count", U64(0))
-        self.pairs = _Sharded(place[0], "pair", place[1], "count", U64(0))
-        self.contexts = _Sharded(place[0], "context", place[1], "stats", SHORT)
-        self.before = _Sharded(place[0], "before", place[1], "count", SHORT)
+        self.words = _Sharded(*place, "count", U64(0), info["empty"]["word"], kind="word")
+        self.pairs = _Sharded(*place, "count", U64(0), info["empty"]["pair"], kind="pair")
+        self.contexts = _Sharded(*place, "stats", SHORT, info["empty"]["context"], kind="context")
+        self.before = _Sharded(*place, "count", SHORT, info["empty"]["before"], kind="before")
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, model score) of each text, scores as log10."""

@@ -430,6 +430,17 @@ def test_language_model(spark, docs, odd):
     assert kneser_ney.train_and_score(odd[1]).count() == 5 and kneser_ney.train_and_score(empty(spark)).count() == 0
 
 
+def test_a_missing_model_file_is_an_error(spark, docs):
+    import glob
+    import os
+
+    info = kneser_ney.train(docs[1])
+    for f in glob.glob(info["path"].removeprefix("file:") + "/pair-*.count.npy"):
+        os.remove(f)
+    with pytest.raises(Exception, match="pair-"):
+        kneser_ney.score_documents(docs[1], info).collect()
+
+
 # -- 9
 
 
