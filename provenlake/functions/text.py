@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provenlake.functions import fixed
 
 DOT = "\ue000"  # stands for a full stop that ends no sentence
+URL_DOT = "\ue001"  # the same within a URL
 
 
 def _quoted(s: str) -> str:
@@ -41,18 +42,21 @@ def sentences(text: Column, cited: bool = False) -> Column:
     t = text
     if cited:
         t = F.regexp_replace(t, r"([.!?])((?:\[\d+\])+)", "$2$1")
-        for _ in range(6):  # dots of one URL, from the left
-            t = F.regexp_replace(t, r"(https?://[^\s.]*)\.(?=[^\s])", "$1" + DOT)
+        # every full stop within a URL: from its beginning, or from where the last one of it was found
+        t = F.regexp_replace(t, r"(https?://|\G(?!^))([^\s.]*)\.(?=\S)", "$1$2" + URL_DOT)
     t = F.regexp_replace(t, r"(?<=\d)\.(?=\d)", DOT)
+    words = [a[:-1] for a in fixed.ABBREVIATIONS if "." not in a[:-1]]
+    t = F.regexp_replace(t, r"(?i)(?<![A-Za-z])(" + "|".join(map(_quoted, words)) + r")\.", "$1" + DOT)
     for a in fixed.ABBREVIATIONS:
         inner = a[:-1].split(".")
-        pattern = r"(?i)(?<![A-Za-z])" + r"\.".join(f"({_quoted(x)})" for x in inner) + r"\."
-        t = F.regexp_replace(t, pattern, DOT.join(f"${i + 1}" for i in range(len(inner))) + DOT)
-    for _ in range(6):  # A.B.C.: each letter's stop before or after another letter's
-        t = F.regexp_replace(t, r"(?U)(?<![A-Za-z])([A-Z])\.(?=[A-Z]\.)", "$1" + DOT)
+        if len(inner) > 1:
+            pattern = r"(?i)(?<![A-Za-z])" + r"\.".join(f"({_quoted(x)})" for x in inner) + r"\."
+            t = F.regexp_replace(t, pattern, DOT.join(f"${i + 1}" for i in range(len(inner))) + DOT)
+    # A.B.C.: each letter's stop before or after another letter's
+    t = F.regexp_replace(t, r"(?U)(?<![A-Za-z])([A-Z])\.(?=[A-Z]\.)", "$1" + DOT)
     t = F.regexp_replace(t, DOT + r"([A-Z])\.(?![A-Z]\.)", DOT + "$1" + DOT)
     parts = F.split(t, r"(?U)(?<=[.!?])(?:\s+|(?=[A-Z]))")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, DOT, "."))), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, f"[{DOT}{URL_DOT}]", "."))), lambda x: x != "")
 
 
 def tokens(text: Column) -> Column:

@@ -90,3 +90,10 @@ def test_metrics_and_phrases(spark):
     phrases = one(spark, anchors.metric_phrases, "the store renewal rate")
     assert "store renewal rate" in phrases and "renewal rate" in phrases and all(not p.startswith("the ") for p in phrases)
     assert one(spark, anchors.entities, "Acme Corp met May and Beta") == ["acme corp", "beta"]
+
+
+def test_every_full_stop_of_a_url_is_kept(spark):
+    said = "See https://a.b.c.d.e.f.g.H/x.I and http://q.r.S.T/u.V. Then A.B.C. done. Mr. Co. No. e.g. Fine."
+    df = spark.createDataFrame([(said,)], "t string")
+    got = df.select(text.sentences(F.col("t"), cited=True).alias("s")).first().s
+    assert got[0] == "See https://a.b.c.d.e.f.g.H/x.I and http://q.r.S.T/u.V." and len(got) == 3
