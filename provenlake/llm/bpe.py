@@ -50,7 +50,7 @@ class ByteBPE:
         self.pairs = pairs
         self.keys = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.values = np.fromiter((pairs[k] for k in self.keys.tolist()), np.int64, len(pairs))
-        self.cache = ChunkCache(self._chunks, with_space=True)
+        self.cache = ChunkCache(self._chunks)
 
     # -- one long piece
 
