@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from provenlake.functions import anchors, fixed, text
 from provenlake.operators import evaluate, intake, passages, review, scoring, sections, selection
-from provenlake.plans import corpus
+from provenlake.plans import corpus, oracles
 from provenlake.plans.store import settled
 from provenlake.sources import fetch, html, pdf_lines
 
@@ -99,34 +99,33 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
-@query()
+@query(f"SELECT item_id, array_to_string({oracles.identity_terms('text')}, '|') AS terms FROM benchmark")
 def identity_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", joined(text.identity_terms(F.col("text"))).alias("terms"))
 
 
-@query(
-    f"""SELECT claim_id, CAST(n AS varchar) AS numbers, CAST(n AS varchar) || ':currency' AS number_units, '' AS currencies, 'month:' || CAST(y AS varchar) || '-' || lower(mon) || '|year:' || CAST(y AS varchar) AS dates, 'revenue' AS metrics,
-  CASE WHEN mon IN ('March', 'April', 'May', 'June', 'July') THEN 'total' WHEN mon < 'Total' THEN lower(mon) || '|total' ELSE 'total|' || lower(mon) END AS entities, '' AS directions, 'total_company' AS scopes, '' AS qualifiers,
-  array_to_string(list_sort(['total', 'revenue', CAST(n AS varchar), lower(mon), CAST(y AS varchar)]), '|') AS keywords FROM ({corpus.CLAIMS})"""
-)
+_ANCHORS = ", ".join(f"array_to_string({n}, '|') AS {n}" for n in oracles.NAMES if n != "metric_phrases")
+
+
+@query(f"SELECT claim_id, {_ANCHORS} FROM ({oracles.anchors(corpus.CLAIMS, 'claim_text')})")
 def claim_anchors(spark, sf_dir):
     a = claims(spark, sf_dir).withColumn("a", anchors.anchors(F.col("claim_text")))
     return a.select("claim_id", *(joined(F.col(f"a.{n}")).alias(n) for n in anchors.ANCHORS if n != "metric_phrases"))
 
 
-@query(f"SELECT block_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\$([0-9]+)( thousand)?', 0), lambda x: CASE WHEN ends_with(x, 'thousand') THEN CAST(CAST(regexp_extract(x, '[0-9]+') AS bigint) * 1000 AS varchar) ELSE substr(x, 2) END))), '|') AS numbers FROM ({corpus.BLOCKS})")
+@query(f"SELECT block_id, array_to_string(numbers, '|') AS numbers FROM ({oracles.anchors(corpus.BLOCKS)})")
 def block_numbers(spark, sf_dir):
     return blocks(spark, sf_dir).select("block_id", joined(anchors.numbers(anchors.number_records(F.col("text")))).alias("numbers"))
 
 
-@query()
+@query(f"SELECT doc_id, CAST(len(numbers) AS int) AS n_numbers, CAST(len(number_units) AS int) AS n_units, CAST(len(dates) AS int) AS n_dates, CAST(len(entities) AS int) AS n_entities, array_to_string(directions, '|') AS directions, array_to_string(scopes, '|') AS scopes, array_to_string(qualifiers, '|') AS qualifiers FROM ({oracles.anchors('SELECT doc_id, text FROM documents')})")
 def document_anchors(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     records = anchors.number_records(F.col("text"))
     return d.select("doc_id", F.size(anchors.numbers(records)).alias("n_numbers"), F.size(anchors.number_units(records)).alias("n_units"), F.size(anchors.dates(F.col("text"))).alias("n_dates"), F.size(anchors.entities(F.col("text"))).alias("n_entities"), joined(text.named(F.col("text"), fixed.DIRECTIONS)).alias("directions"), joined(text.named(F.col("text"), fixed.SCOPES)).alias("scopes"), joined(text.named(F.col("text"), fixed.QUALIFIERS)).alias("qualifiers"))
 
 
-@query()
+@query(f"SELECT block_id, array_to_string(metric_phrases, '|') AS phrases FROM ({oracles.anchors(corpus.BLOCKS)})")
 def metric_phrases(spark, sf_dir):
     return blocks(spark, sf_dir).select("block_id", joined(anchors.metric_phrases(F.col("text"))).alias("phrases"))
 
@@ -134,9 +133,7 @@ def metric_phrases(spark, sf_dir):
 # -- passages and evidence --------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH b AS ({corpus.BLOCKS}), chunk AS (SELECT source_id, block_id || '-chunk-1' AS passage_id, text FROM b),
-n AS (SELECT *, lead(block_id) OVER w AS rid, lead(text) OVER w AS rt, lead(heading) OVER w AS rh FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block_ord))
-SELECT source_id, passage_id, text FROM chunk UNION ALL SELECT source_id, block_id || '+' || rid || '-boundary-window', text || ' ' || rt FROM n WHERE rid IS NOT NULL AND heading = rh AND NOT starts_with(text, 'Table: ') AND NOT starts_with(rt, 'Table: ')""")
+@query(f"SELECT source_id, passage_id, text FROM ({oracles.PASSAGES})")
 def candidates(spark, sf_dir):
     return passages.passages(blocks(spark, sf_dir)).select("source_id", "passage_id", "text")
 
@@ -153,17 +150,17 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scoring.adjusted(settled(scoring.scored(claims(spark, sf_dir), found)))
 
 
-@query()
+@query(oracles.scores())
 def scores(spark, sf_dir):
     return _scored(spark, sf_dir).select("claim_id", "passage_id", joined(F.col("coverage")).alias("coverage"), F.round("base_score", 6).alias("base_score"), "identity_bonus", "fragment_penalty", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(oracles.top_passages())
 def top_passages(spark, sf_dir):
     return selection.ranked(_scored(spark, sf_dir)).where(F.col("rank") <= selection.MOST).select("claim_id", "rank", "passage_id", F.bround("score", 3).alias("score"))
 
 
-@query()
+@query(oracles.diverse_passages())
 def diverse_passages(spark, sf_dir):
     """Flagship: the evidence for every claim."""
     return selection.diverse(_scored(spark, sf_dir))
