@@ -12,8 +12,20 @@ NEXT = "CASE m " + " ".join(f"WHEN {i + 1} THEN '{MONTH_NAMES[(i + 1) % 12]}'" f
 MONTHLY = f"""SELECT y, m, n, {MONTH} AS mon, {NEXT} AS nxt FROM (
   SELECT CAST(year(o_orderdate) AS int) AS y, CAST(month(o_orderdate) AS int) AS m, CAST(sum(CAST(floor(o_totalprice) AS bigint)) AS bigint) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2) t"""
 
+_N, _Y = "CAST(n AS varchar(20))", "CAST(y AS varchar(9))"
+#: Claims by m % 6: plain; with a currency, a direction and a qualifier; of a quarter; of a fiscal year; universal; of one metric phrase.
+CLAIM_TEXTS = [
+    f"'Total revenue was $' || {_N} || ' in ' || mon || ' ' || {_Y} || '.'",
+    f"'Net sales rose to US$' || {_N} || ' in ' || mon || ' ' || {_Y} || ', seasonally adjusted.'",
+    f"'Operating margin fell to ' || CAST(m AS varchar(9)) || '.5% in the third quarter of ' || {_Y} || '.'",
+    f"'Consolidated operating expenses of Harbour Tools were €' || CAST(m AS varchar(9)) || ',250 million in fiscal year ' || {_Y} || '.'",
+    f"'Prices were unchanged across all regions in ' || mon || ' ' || {_Y} || ', with 1,' || CAST(m + 100 AS varchar(9)) || ' jobs added.'",
+    f"'Machinery order value grew ' || CAST(m AS varchar(9)) || ' percentage points during ' || {_Y} || ', an adjusted estimate.'",
+]
+CLAIM = "CASE m % 6 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(CLAIM_TEXTS)) + " END"
+
 CLAIMS = f"""SELECT 'claim-' || CAST(y AS varchar(9)) || '-' || CAST(m AS varchar(9)) AS claim_id, 'source-' || CAST(y AS varchar(9)) AS source_id,
-  'Total revenue was $' || CAST(n AS varchar(20)) || ' in ' || mon || ' ' || CAST(y AS varchar(9)) || '.' AS claim_text, '' AS local_context, y, m, n, mon FROM ({MONTHLY}) k"""
+  {CLAIM} AS claim_text, CASE WHEN m % 4 = 0 THEN 'The machinery segment of Harbour Tools led the growth.' ELSE '' END AS local_context, y, m, n, mon FROM ({MONTHLY}) k"""
 
 #: (variant, heading, text as SQL)
 VARIANTS = [
@@ -26,12 +38,19 @@ VARIANTS = [
     ("fragment", "Results", "'$' || CAST(n AS varchar(20))"),
     ("boilerplate", "Technical notes", "'Definitions of total revenue for ' || mon || ' ' || CAST(y AS varchar(9)) || ' are subject to revision.'"),
     ("table_row", "Results", "'Table: Monthly revenue. Row: ' || mon || ' ' || CAST(y AS varchar(9)) || '. Value: $' || CAST(n AS varchar(20)) || '.'"),
+    ("usd", "Key findings", f"'Net sales increased to US$' || {_N} || ' in ' || mon || ' ' || {_Y} || ' on an organic basis.'"),
+    ("eur", "Key findings", f"'Net sales were €' || {_N} || ' in ' || mon || ' ' || {_Y} || ', a preliminary figure.'"),
+    ("quarter", "Overview", f"'Operating margin declined to ' || CAST(m AS varchar(9)) || '.5% in Q3 ' || {_Y} || ' and 7 bps more in the fourth quarter of fiscal year ' || {_Y} || '.'"),
+    ("fiscal", "Overview", f"'Harbour Tools kept operating expenses at €' || CAST(m AS varchar(9)) || ',250 million in FY ' || {_Y} || ', down from 2 billion.'"),
+    ("jobs", "Overview", f"'Prices were flat in some states; 1,' || CAST(m + 100 AS varchar(9)) || ' jobs were added in ' || mon || ' ' || {_Y} || '.'"),
+    ("points", "Results", f"'The order value of machinery grew ' || CAST(m AS varchar(9)) || ' percentage points from ' || {_Y} || ' through ' || CAST(y + 1 AS varchar(9)) || ', a forecast.'"),
+    ("share", "Results", f"CAST(m AS varchar(9)) || ',250 million, fiscal year ' || {_Y}"),
     ("unrelated", "Other", "'the weather stayed mild and the harbour was calm that week.'"),
 ]
 
 BLOCKS = " UNION ALL ".join(
-    f"SELECT 'source-' || CAST(y AS varchar(9)) AS source_id, m * 20 + {i} AS block_ord, 'source-' || CAST(y AS varchar(9)) || '-block-' || CAST(m * 20 + {i} AS varchar(9)) AS block_id, "
-    f"{text} AS text, '{heading}' AS heading, CAST(NULL AS int) AS page, CAST(NULL AS varchar(99)) AS span, '{name}' AS variant FROM ({MONTHLY}) k{i}"
+    f"SELECT 'source-' || CAST(y AS varchar(9)) AS source_id, m * 40 + {i} AS block_ord, 'source-' || CAST(y AS varchar(9)) || '-block-' || CAST(m * 40 + {i} AS varchar(9)) AS block_id, "
+    f"{text} AS text, '{heading}' AS heading, CAST(floor((m + 2) / 3) AS int) AS page, CAST(NULL AS varchar(99)) AS span, '{name}' AS variant FROM ({MONTHLY}) k{i}"
     for i, (name, heading, text) in enumerate(VARIANTS)
 )
 

@@ -82,26 +82,27 @@ def anchors(source: str, text: str = "text") -> str:
     for pattern, new in masks:
         masked = f"regexp_replace({masked}, {re2(pattern)}, {quoted(new)}, 'g')"
     group = [f"regexp_extract_all(masked, {re2(fixed.NUMBER)}, {i})" for i in range(1, 6)]
-    unit = "regexp_replace(lower(r[4]), '\\s+', ' ', 'g')"
+    unit = "regexp_replace(lower(coalesce(r[4], '')), '\\s+', ' ', 'g')"
     canonical = (
         f"CASE WHEN {unit} = '' THEN NULL WHEN {unit} = '%' OR starts_with({unit}, 'percent') THEN CASE WHEN contains({unit}, 'point') THEN 'percentage_point' ELSE 'percent' END "
         f"WHEN {unit} IN ('basis point', 'basis points', 'bp', 'bps') THEN 'basis_point' WHEN {unit} = 'people' THEN {unit} ELSE regexp_replace({unit}, 's+$', '') END"
     )
-    times = f"coalesce({mapping(fixed.MAGNITUDES, 'n')}[lower(r[3])], 1)"
-    value = f"CAST(CAST(CAST(replace(r[2], ',', '') AS DECIMAL(24, 10)) * CAST({times} AS DECIMAL(13, 0)) AS DECIMAL(38, 10)) AS VARCHAR)"
+    times = f"coalesce({mapping(fixed.MAGNITUDES, 'n')}[lower(coalesce(r[3], ''))], 1)"
+    value = f"CAST(CAST(TRY_CAST(replace(r[2], ',', '') AS DECIMAL(24, 10)) * CAST({times} AS DECIMAL(13, 0)) AS DECIMAL(38, 10)) AS VARCHAR)"
     plain = f"regexp_replace(regexp_replace({value}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
-    both = "replace(lower(r[1] || r[5]), ' ', '')"
-    record = f"{{'value': {plain}, 'unit': {canonical}, 'signal': r[1] <> '' OR r[5] <> '' OR starts_with(lower(r[4]), 'dollar'), 'currency': {mapping(fixed.CURRENCIES)}[{both}]}}"
+    both = "replace(lower(coalesce(r[1], '') || coalesce(r[5], '')), ' ', '')"
+    record = f"{{'value': {plain}, 'unit': {canonical}, 'signal': coalesce(r[1], '') <> '' OR coalesce(r[5], '') <> '' OR starts_with(lower(coalesce(r[4], '')), 'dollar'), 'currency': {mapping(fixed.CURRENCIES)}[{both}]}}"
     units = "list_filter(flatten(list_transform(records, lambda r: CASE WHEN r.signal THEN [r.value || ':currency', r.value || ':currency:' || r.currency] ELSE [r.value || ':' || r.unit] END)), lambda v: v IS NOT NULL)"
     months = {m[:3].lower(): m.lower() for m in corpus.MONTH_NAMES}
-    month = f"list_transform(list_zip(regexp_extract_all(text_, {re2(fixed.MONTH_PERIOD)}, 1), regexp_extract_all(text_, {re2(fixed.MONTH_PERIOD)}, 3)), lambda r: 'month:' || r[2] || '-' || {mapping(months)}[lower(r[1][:3])])"
+    month = f"list_transform(list_zip(regexp_extract_all(text_, {re2(fixed.MONTH_PERIOD)}, 1), regexp_extract_all(text_, {re2(fixed.MONTH_PERIOD)}, 3)), lambda r: 'month:' || r[2] || '-' || {mapping(months)}[lower(coalesce(r[1], '')[:3])])"
     q = ", ".join(f"regexp_extract_all(text_, {re2(fixed.QUARTER)}, {i})" for i in range(1, 5))
-    nth = f"CASE WHEN r[1] <> '' THEN r[1] ELSE {mapping({'first': '1', 'second': '2', 'third': '3', 'fourth': '4'})}[lower(r[2])] END"
-    quarter = f"list_transform(list_zip({q}), lambda r: CASE WHEN r[4] = '' THEN 'quarter:unspecified:' || {nth} ELSE 'quarter:' || CASE WHEN r[3] <> '' THEN 'fiscal' ELSE 'calendar' END || ':' || {nth} || ':' || r[4] END)"
+    nth = f"CASE WHEN coalesce(r[1], '') <> '' THEN coalesce(r[1], '') ELSE {mapping({'first': '1', 'second': '2', 'third': '3', 'fourth': '4'})}[lower(r[2])] END"
+    quarter = f"list_transform(list_zip({q}), lambda r: CASE WHEN coalesce(r[4], '') = '' THEN 'quarter:unspecified:' || {nth} ELSE 'quarter:' || CASE WHEN coalesce(r[3], '') <> '' THEN 'fiscal' ELSE 'calendar' END || ':' || {nth} || ':' || coalesce(r[4], '') END)"
     years = f"list_transform(regexp_extract_all(text_, {re2(fixed.YEAR)}), lambda v: 'year:' || v)"
     fiscal = f"list_transform(regexp_extract_all(text_, {re2(fixed.FISCAL_YEAR)}, 3), lambda v: 'fiscal_year:' || v)"
     metric = ", ".join(f"CASE WHEN contains(lower(text_), {quoted(p)}) THEN {quoted(m)} END" for p, m in fixed.METRICS)
-    entity = f"list_transform(regexp_extract_all(text_, {re2(fixed.ENTITY)}), lambda v: regexp_replace(lower(v), '\\s+', ' ', 'g'))"
+    bounded = quoted("(?:^|[^\\p{L}\\p{M}\\p{N}_])(" + fixed.ENTITY.removeprefix(r"(?U)\b") + ")")  # RE2 knows no word boundary but ASCII's
+    entity = f"list_transform(regexp_extract_all(text_, {bounded}, 1), lambda v: regexp_replace(lower(v), '\\s+', ' ', 'g'))"
     cue = f"(list_contains({listed(fixed.METRIC_CUES)}, w) OR list_contains({listed(fixed.METRIC_CUES)}, regexp_replace(w, 's+$', '')))"
     grams = []
     for k in range(1, 6):
@@ -120,7 +121,7 @@ def anchors(source: str, text: str = "text") -> str:
   list_sort(list_transform(list_sort(list_distinct(list_filter({phrase}, lambda x: NOT list_contains({known}, x.p))), 'DESC')[:24], lambda x: x.p)) AS metric_phrases,
   list_sort(list_filter(list_distinct({entity}), lambda v: length(v) > 1 AND NOT list_contains({listed(fixed.ENTITY_EXCLUSIONS)}, v))) AS entities,
   {named("text_", fixed.DIRECTIONS)} AS directions, {named("text_", fixed.SCOPES)} AS scopes, {named("text_", fixed.QUALIFIERS)} AS qualifiers, {tokens("text_")} AS keywords
-FROM (SELECT *, list_transform(list_zip({', '.join(group)}), lambda r: {record}) AS records FROM (
+FROM (SELECT *, list_filter(list_transform(list_zip({', '.join(group)}), lambda r: {record}), lambda r: r.value IS NOT NULL) AS records FROM (
   SELECT *, {text} AS text_, {masked} AS masked, regexp_extract_all(lower({text}), {quoted(fixed.TOKEN.replace("A-Z", ""))}) AS ws FROM ({source}) s0) s1) s2"""
 
 
