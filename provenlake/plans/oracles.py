@@ -234,3 +234,68 @@ def diverse_passages(most: int = 5) -> str:
         )
     all_ = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, most + 1))
     return f"WITH {scored()}, {', '.join(steps)} SELECT claim_id, CAST(position AS INT) AS position, passage_id, source_id, text, round_even(score, 3) AS retrieval_score FROM ({all_}) z"
+
+
+# -- reports -----------------------------------------------------------------------------------------------------------
+
+
+def stripped(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\\s*\\[\\d+\\]', '', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '\\s+', ' ', 'g'))"
+
+
+def chunks_documents(sentences: str, soft: int = 420, hard: int = 600) -> str:
+    fits = f"length(array_to_string(list_append(now, x), ' ')) <= {soft}"
+    return f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {sentences} AS p FROM documents)),
+r(doc_id, i, now, done) AS (SELECT doc_id, i, [x], CAST(NULL AS VARCHAR) FROM s WHERE i = 1 UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN {fits} THEN list_append(now, x) WHEN length(now[-1] || ' ' || x) <= {hard} THEN [now[-1], x] ELSE [x] END, CASE WHEN NOT {fits} THEN array_to_string(now, ' ') END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+c AS (SELECT doc_id, i, done FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, array_to_string(arg_max(now, i), ' ') FROM r GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(k - 1 AS INT) AS cand_idx, 'doc-' || doc_id || '-chunk-' || k AS passage_id, CAST(length(done) AS INT) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c)"""
+
+
+def claims_of_reports(sentences: str) -> str:
+    """Each answer of a conversation cites one source, after its last sentence."""
+    text = f"SELECT report_id, ord, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ({corpus.PARAGRAPHS}) c0 WHERE style_id = 'Normal'"
+    back = "regexp_matches(s[-1], '^\\s*\\[\\d+\\]') AND NOT said AND len(s) > 1"
+    return f"""SELECT *, 'sentence-' || row_number() OVER (PARTITION BY report_id ORDER BY ord) AS sentence_id, CASE k WHEN '3' THEN [] WHEN '5' THEN [] WHEN '4' THEN ['reference-5'] ELSE ['reference-' || k] END AS refs,
+  CASE WHEN back THEN before || ' [' || k || ']' ELSE s[-1] END AS claim_text, CASE WHEN back THEN s[:-2] ELSE s END AS upto, CASE WHEN back THEN s[-1] ELSE '' END AS following, CASE WHEN back THEN before ELSE plain END AS candidate
+FROM (SELECT *, {back} AS back FROM (SELECT *, regexp_matches(plain, '[\\p{{L}}\\p{{N}}_]') AS said FROM (SELECT report_id, ord, s, regexp_extract(s[-1], '\\[(\\d+)\\]', 1) AS k, {stripped('s[-1]')} AS plain, {stripped('s[-2]')} AS before
+  FROM (SELECT report_id, ord, {sentences} AS s FROM ({text}) c1) c2) c3) c4) c5"""
+
+
+def claim_sentences(sentences: str) -> str:
+    kept = f"list_filter(upto[greatest(1, len(upto) - 2):], lambda x: regexp_matches({stripped('x')}, '[\\p{{L}}\\p{{N}}_]'))"
+    return f"SELECT report_id, sentence_id, 'backward' AS direction, claim_text, coalesce(array_to_string({kept}, '|'), '') AS scope, following, coalesce(array_to_string(refs, '|'), '') AS reference_ids FROM ({claims_of_reports(sentences)})"
+
+
+def claim_selection(sentences: str) -> str:
+    """Selections: one for each claim, every fifth twice, and one of an unknown sentence for each report."""
+    return f"""WITH c AS ({claims_of_reports(sentences)}), one AS (SELECT report_id, sentence_id, ord, CASE WHEN ord % 7 = 0 THEN 'reference-9' ELSE coalesce(refs[1], 'reference-1') END AS reference_id, CASE WHEN ord % 3 = 0 THEN 'Approved text.' END AS approved, CASE WHEN ord % 4 = 1 THEN 'both' END AS want FROM c),
+w AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE ord % 5 = 0 UNION ALL SELECT DISTINCT report_id, 'sentence-0', CAST(NULL AS BIGINT), 'reference-1', NULL, NULL FROM one),
+e AS (SELECT w.*, c.candidate, c.plain, CASE WHEN w.ord IS NULL THEN 'unknown_sentence' WHEN w.ord % 5 = 0 THEN 'repeated_pair' WHEN NOT list_contains(refs, reference_id) THEN 'reference_not_linked' END AS error FROM w LEFT JOIN c USING (report_id, sentence_id))
+SELECT report_id, sentence_id, reference_id, 'claim-' || sentence_id AS claim_id, coalesce(want, CASE WHEN ord IS NOT NULL THEN 'backward' END) AS direction, CASE WHEN error IS NULL THEN coalesce(approved, CASE want WHEN 'both' THEN candidate END, plain) END AS claim_text, error FROM e"""
+
+
+def chunked(sectioned: str, limit: int = 250) -> str:
+    """CTEs that end in ``chunk``: report_id, section_ord, k, content."""
+    pieces = f"list_transform(range(0, CAST(ceil(len(ws) / {limit}.0) AS BIGINT)), lambda i: array_to_string(ws[i * {limit} + 1:(i + 1) * {limit}], ' '))"
+    held = "CASE WHEN len(now) > 0 THEN [array_to_string(now, chr(10) || chr(10))] ELSE CAST([] AS VARCHAR[]) END"
+    return f"""para AS MATERIALIZED (SELECT report_id, section_ord, text, string_split(text, ' ') AS ws, row_number() OVER (PARTITION BY report_id, section_ord ORDER BY ord, text) AS i FROM ({sectioned}) WHERE NOT is_heading AND text <> ''),
+fold(report_id, section_ord, i, now, n, done) AS (SELECT DISTINCT report_id, section_ord, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM para UNION ALL
+  SELECT p.report_id, p.section_ord, p.i, CASE WHEN len(ws) > {limit} THEN [] WHEN len(now) > 0 AND n + len(ws) > {limit} THEN [text] ELSE list_append(now, text) END,
+  CASE WHEN len(ws) > {limit} THEN 0 WHEN len(now) > 0 AND n + len(ws) > {limit} THEN len(ws) ELSE n + len(ws) END,
+  CASE WHEN len(ws) > {limit} THEN {held} || {pieces} WHEN len(now) > 0 AND n + len(ws) > {limit} THEN {held} ELSE [] END FROM fold f JOIN para p ON p.report_id = f.report_id AND p.section_ord = f.section_ord AND p.i = f.i + 1),
+flat AS (SELECT report_id, section_ord, i, unnest(done) AS content, generate_subscripts(done, 1) AS j FROM fold UNION ALL SELECT report_id, section_ord, max(i) + 1, array_to_string(arg_max(now, i), chr(10) || chr(10)), 1 FROM fold GROUP BY 1, 2 HAVING len(arg_max(now, i)) > 0),
+chunk AS MATERIALIZED (SELECT report_id, section_ord, content, row_number() OVER (PARTITION BY report_id, section_ord ORDER BY i, j) AS k FROM flat)"""
+
+
+def subchunks(sectioned: str) -> str:
+    words = "len(string_split(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' '))"
+    return f"WITH RECURSIVE {chunked(sectioned)} SELECT report_id, 'section-' || section_ord AS section_id, 'section-' || section_ord || '-subchunk-' || k AS subchunk_id, CAST(k AS INT) AS ord, content, CAST({words} AS INT) AS word_count FROM chunk"
+
+
+def report_risks(section_risks: str, gate: str, most: int = 12) -> str:
+    said = ", ".join(f"CASE WHEN {c} > 0 THEN {c} || '{t}' END" for c, t in (("contradicted", " checked claims remain contradicted."), ("unsupported", " checked claims remain unsupported."), ("unverified", " checked claims remain unverified."), ("human", " sections need a human.")))
+    return f"""WITH own AS (SELECT review_id, section_id, string_split(risks, '|') AS r FROM ({section_risks}) WHERE risks <> ''),
+each AS (SELECT review_id, section_id, unnest(r) AS risk, generate_subscripts(r, 1) AS j FROM own),
+per AS (SELECT review_id, list(section_id || ': ' || risk ORDER BY section_id, j) AS own FROM each GROUP BY 1), h AS (SELECT review_id, count(*) FILTER (len(r) > 1) AS human FROM own GROUP BY 1)
+SELECT review_id, coalesce(array_to_string((list_filter([{said}], lambda x: x IS NOT NULL) || coalesce(own, CAST([] AS VARCHAR[])))[:{most}], '|'), '') AS risks FROM ({gate}) LEFT JOIN per USING (review_id) LEFT JOIN h USING (review_id)"""

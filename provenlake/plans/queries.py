@@ -138,7 +138,7 @@ def candidates(spark, sf_dir):
     return passages.passages(blocks(spark, sf_dir)).select("source_id", "passage_id", "text")
 
 
-@query()
+@query(oracles.chunks_documents(_sentence_sql()))
 def chunks_documents(spark, sf_dir):
     """Passages of all documents as one-block sources."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit(1).alias("block_ord"), F.concat(F.lit("doc-"), "doc_id").alias("block_id"), "text", F.lit("").alias("heading"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("span"))
@@ -251,22 +251,29 @@ def citation_map(spark, sf_dir):
     return c.select("report_id", F.explode("citations").alias("c")).groupBy("report_id", F.col("c.status").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(oracles.claim_sentences(_sentence_sql()))
 def claim_sentences(spark, sf_dir):
     _, _, c = _claims_of_reports(spark, sf_dir)
     return c.select("report_id", "sentence_id", "direction", "claim_text", joined(F.col("scope")).alias("scope"), joined(F.col("following")).alias("following"), joined(F.col("reference_ids")).alias("reference_ids"))
 
 
-@query("SELECT CAST(NULL AS bigint) AS report_id, CAST(NULL AS varchar) AS error WHERE false")
+@query("""SELECT report_id, 'no_reference_heading' AS error FROM (SELECT DISTINCT conv_id AS report_id FROM conversations WHERE text IS NOT NULL) WHERE report_id % 5 = 1
+UNION ALL SELECT report_id, 'no_references' FROM (SELECT DISTINCT conv_id AS report_id FROM conversations WHERE text IS NOT NULL) WHERE report_id % 5 IN (1, 2)
+UNION ALL SELECT DISTINCT conv_id, 'no_citations' FROM conversations a WHERE text IS NOT NULL AND (conv_id % 5 = 3 OR NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.text IS NOT NULL AND b.role <> 'user'))""")
 def structure_errors(spark, sf_dir):
-    return intake.structure_errors(*_claims_of_reports(spark, sf_dir))
+    """Of every five reports one lacks its references with their heading, one their entries, one all citations."""
+    parts, refs, found = _claims_of_reports(spark, sf_dir)
+    return intake.structure_errors(parts.where("NOT (report_id % 5 = 1 AND in_references)"), refs.where("report_id % 5 NOT IN (1, 2)"), found.where("report_id % 5 != 3"))
 
 
-@query()
+@query(oracles.claim_selection(_sentence_sql()))
 def claim_selection(spark, sf_dir):
+    """One selection for each claim, every fifth twice, and one of an unknown sentence for each report."""
     _, _, c = _claims_of_reports(spark, sf_dir)
-    chosen = c.select("report_id", "sentence_id", F.when(F.col("ord") % 7 == 0, F.lit("reference-9")).otherwise(F.coalesce(F.get("reference_ids", F.lit(0)), F.lit("reference-1"))).alias("reference_id"), F.when(F.col("ord") % 3 == 0, F.lit(" Approved text. ")).alias("approved_text"), F.lit(None).cast("string").alias("direction"))
-    return intake.selected_claims(c, chosen)
+    none = F.lit(None).cast("string")
+    one = c.select("report_id", "sentence_id", "ord", F.when(F.col("ord") % 7 == 0, F.lit("reference-9")).otherwise(F.coalesce(F.get("reference_ids", F.lit(0)), F.lit("reference-1"))).alias("reference_id"), F.when(F.col("ord") % 3 == 0, F.lit(" Approved text. ")).alias("approved_text"), F.when(F.col("ord") % 4 == 1, F.lit("both")).alias("direction"))
+    unknown = c.select("report_id").distinct().select("report_id", F.lit("sentence-0").alias("sentence_id"), F.lit(None).cast("long").alias("ord"), F.lit("reference-1").alias("reference_id"), none.alias("approved_text"), none.alias("direction"))
+    return intake.selected_claims(c.drop("ord"), one.union(one.where("ord % 5 = 0")).union(unknown).drop("ord"))
 
 
 @query(f"""SELECT report_id, 'section-' || CAST(section_ord AS varchar) AS section_id, CAST(len(string_split(string_agg(text, ' ' ORDER BY ord), ' ')) AS int) AS word_count FROM ({_SECTIONED}) WHERE NOT is_heading AND text <> '' GROUP BY 1, 2""")
@@ -280,7 +287,7 @@ def section_packets(spark, sf_dir):
     return sections.packets(t, sections.subchunks(t))
 
 
-@query()
+@query(oracles.subchunks(_SECTIONED))
 def subchunks(spark, sf_dir):
     return sections.subchunks(sections.section_texts(report_parts(spark, sf_dir)))
 
@@ -292,13 +299,16 @@ def _outcomes(spark, sf_dir) -> DataFrame:
 _SAID = ", ".join(f"CASE WHEN list_contains(v, '{k}') THEN '{t}' END" for k, t in sections.RISKS)
 
 
-@query(f"""WITH g AS (SELECT *, {_STATUS} AS status FROM ({_GATE})), o AS (SELECT review_id, 'section-' || CAST(ord % 4 AS varchar) AS section_id, list(verdict) AS v FROM ({corpus.ITEMS}) WHERE verdict IS NOT NULL GROUP BY 1, 2)
-SELECT review_id, section_id, array_to_string(list_filter([{_SAID}, CASE WHEN status = 'stop_and_fix' THEN '{sections.STOP}' END], lambda x: x IS NOT NULL), '|') AS risks FROM o JOIN g USING (review_id)""")
+_SECTION_RISKS = f"""WITH g AS (SELECT *, {_STATUS} AS status FROM ({_GATE})), o AS (SELECT review_id, 'section-' || CAST(ord % 4 AS varchar) AS section_id, list(verdict) AS v FROM ({corpus.ITEMS}) WHERE verdict IS NOT NULL GROUP BY 1, 2)
+SELECT review_id, section_id, array_to_string(list_filter([{_SAID}, CASE WHEN status = 'stop_and_fix' THEN '{sections.STOP}' END], lambda x: x IS NOT NULL), '|') AS risks FROM o JOIN g USING (review_id)"""
+
+
+@query(_SECTION_RISKS)
 def section_risks(spark, sf_dir):
     return sections.section_risks(_outcomes(spark, sf_dir), review.gate(items(spark, sf_dir))).withColumn("risks", joined(F.col("risks")))
 
 
-@query()
+@query(oracles.report_risks(_SECTION_RISKS, _GATE))
 def report_risks(spark, sf_dir):
     gates = review.gate(items(spark, sf_dir))
     own = sections.section_risks(_outcomes(spark, sf_dir), gates).withColumn("section_ord", F.regexp_extract("section_id", r"(\d+)", 1).cast("int")).withColumn("heading", F.col("section_id")).withColumn("needs_human_attention", F.size("risks") > 1)
@@ -363,11 +373,15 @@ def pdf_line_classes(spark, sf_dir):
     return pdf_lines.line_classes(_pdf_pages(spark, sf_dir)).groupBy("source_id", "page", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+_ROWS = f"SELECT source_id, page, line, row_number() OVER (PARTITION BY source_id, page ORDER BY i) AS k FROM (SELECT source_id, page, unnest(string_split(regexp_replace(body, ' +', ' ', 'g'), chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM ({_LINES}))"
+
+
+@query(f"""SELECT *, source_id || '-' || span AS block_id FROM (SELECT source_id, CAST(n AS int) AS block_ord, 'Table: SUMMARY OF ORDERS. Headers: in thousands, year ended. Row: ' || line || '.' AS text, 'SUMMARY OF ORDERS' AS heading, page, 'page-' || page || '-table-' || n || '-row-' || k AS span
+FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page, k) AS n FROM ({_ROWS}) WHERE k <= 48))""")
 def pdf_rows(spark, sf_dir):
     return pdf_lines.table_rows(_pdf_pages(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT source_id, page, 'SUMMARY OF ORDERS in thousands, year ended ' || regexp_replace(regexp_replace(body, chr(10), ' ', 'g'), ' +', ' ', 'g') || ' The year went well.' AS text FROM ({_LINES})")
 def pdf_prose(spark, sf_dir):
     return pdf_lines.prose(_pdf_pages(spark, sf_dir))
