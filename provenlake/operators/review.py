@@ -64,10 +64,16 @@ def gate(items: DataFrame) -> DataFrame:
     return g.withColumn("status", F.when(F.col("contradicted") > 0, "stop_and_fix").when(F.col("pending") > 0, "review_incomplete").when(F.col("unsupported") + F.col("unverified") > 0, "continue_with_warnings").otherwise("continue"))
 
 
+UNREADABLE = "The cited source has to be supplied as a readable copy."
+
+
 def attention_sources(items: DataFrame) -> DataFrame:
-    """Per review and reference that could not be read: the sentences it leaves open, in order."""
+    """Per review and reference that could not be read: the sentences it leaves open, in order, and with items that have
+    them the first one's canonical_url and failure_reason."""
     bad = items.where("fetch_status = 'failed' OR extraction_status IN ('ocr_required', 'extraction_failed')")
-    return bad.groupBy("review_id", "reference_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence_id"))), lambda x: x["sentence_id"]).alias("sentence_ids"))
+    first = [F.min_by(F.struct(c), "ord")[c].alias(c) for c in ("canonical_url", "failure_reason") if c in items.columns]
+    out = bad.groupBy("review_id", "reference_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence_id"))), lambda x: x["sentence_id"]).alias("sentence_ids"), *first)
+    return out.withColumn("failure_reason", F.coalesce("failure_reason", F.lit(UNREADABLE))) if "failure_reason" in out.columns else out
 
 
 def retried(items: DataFrame, again: DataFrame) -> DataFrame:

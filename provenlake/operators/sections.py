@@ -50,7 +50,9 @@ def subchunks(texts: DataFrame, limit: int = 250) -> DataFrame:
 
 
 def first_sentence(text: Column) -> Column:
-    return F.trim(F.regexp_extract(F.trim(text), r"^(.*?(?:[.!?](?:\s|$)|$))", 1))
+    """Up to the first end mark in the first line; the whole text where that line has none and others follow."""
+    t = F.trim(text)
+    return F.trim(F.coalesce(F.nullif(F.regexp_extract(t, r"^(.*?(?:[.!?](?:\s|$)|$))", 1), F.lit("")), t))
 
 
 def synopsis(chunks: DataFrame, first: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlake.functions import anchors, fixed, text
-from provenlake.operators import evaluate, intake, passages, review, scoring, sections, selection
+from provenlake.operators import batch, coherence, evaluate, intake, passages, review, scoring, sections, selection
 from provenlake.plans import corpus, oracles
 from provenlake.plans.store import settled
 from provenlake.sources import fetch, html, pdf_lines
@@ -189,9 +189,52 @@ def gate(spark, sf_dir):
     return review.gate(items(spark, sf_dir)).withColumns({c: joined(F.col(c)) for c in ("contradicted_ids", "warning_ids")})
 
 
-@query(f"SELECT review_id, reference_id, count(*) AS n, string_agg(sentence_id, '|' ORDER BY ord) AS sentence_ids FROM ({corpus.ITEMS}) WHERE fetch_status = 'failed' OR extraction_status IN ('ocr_required', 'extraction_failed') GROUP BY 1, 2")
+_BAD = "fetch_status = 'failed' OR extraction_status IN ('ocr_required', 'extraction_failed')"
+
+
+@query(f"""SELECT review_id, reference_id, count(*) AS n, string_agg(sentence_id, '|' ORDER BY ord) AS sentence_ids, 'https://example.org/' || min(ord) AS canonical_url, CASE WHEN min(ord) % 2 = 0 THEN 'The server timed out.' ELSE '{review.UNREADABLE}' END AS failure_reason
+  FROM ({corpus.ITEMS}) WHERE {_BAD} GROUP BY 1, 2""")
 def attention_sources(spark, sf_dir):
-    return review.attention_sources(items(spark, sf_dir)).withColumn("sentence_ids", joined(F.col("sentence_ids")))
+    own = items(spark, sf_dir).withColumn("canonical_url", F.concat(F.lit("https://example.org/"), "ord")).withColumn("failure_reason", F.when(F.col("ord") % 2 == 0, "The server timed out."))
+    return review.attention_sources(own).withColumn("sentence_ids", joined(F.col("sentence_ids")))
+
+
+@query(f"""SELECT review_id, reference_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY first) AS int) AS group_ord, sentence_ids FROM (SELECT review_id, reference_id, min(ord) AS first, string_agg(sentence_id, '|' ORDER BY ord) AS sentence_ids FROM ({corpus.ITEMS}) GROUP BY 1, 2)""")
+def source_groups(spark, sf_dir):
+    return batch.source_groups(items(spark, sf_dir)).withColumn("sentence_ids", joined(F.col("sentence_ids")))
+
+
+@query(f"""WITH i AS (SELECT * FROM ({corpus.ITEMS})), a AS (SELECT c_custkey AS review_id, 'reference-' || CAST(k AS varchar) AS reference_id FROM customer, (VALUES (1), (2), (3), (4)) v(k))
+SELECT review_id, reference_id, CASE WHEN NOT EXISTS (SELECT 1 FROM i WHERE i.review_id = a.review_id) THEN 'unknown_review' WHEN NOT EXISTS (SELECT 1 FROM i WHERE i.review_id = a.review_id AND i.reference_id = a.reference_id) THEN 'unknown_source'
+  WHEN NOT EXISTS (SELECT 1 FROM i WHERE i.review_id = a.review_id AND i.reference_id = a.reference_id AND status <> 'completed' AND ({_BAD})) THEN 'nothing_to_retry' END AS problem FROM a""")
+def retry_problems(spark, sf_dir):
+    """A retry asked for each customer's review and each of four sources, one of which no review has."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("review_id"), F.explode(F.array(*(F.lit(f"reference-{k}") for k in (1, 2, 3, 4)))).alias("reference_id"))
+    return batch.retry_problem(items(spark, sf_dir), asked)
+
+
+def _sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(sources, blocks): every seventh year was not fetched, even years are PDFs, some years have no blocks."""
+    y = F.regexp_extract("source_id", r"(\d+)", 1).cast("int")
+    own = claims(spark, sf_dir).select("source_id").distinct()
+    own = own.select("source_id", F.when(y % 2 == 0, "text_pdf").otherwise("html").alias("source_kind"), F.when(y % 7 == 0, "failed").otherwise("fetched").alias("fetch_status"), F.when(y % 7 == 0, "HTTP 503").alias("failure_reason"))
+    return own, blocks(spark, sf_dir).where(~(y % 5).isin(0, 2))
+
+
+_YEAR = "CAST(regexp_extract(source_id, '\\d+') AS int)"
+
+
+@query(f"""WITH d AS ({oracles.diverse_passages()}), p AS (SELECT claim_id, count(*) AS found, string_agg(passage_id, '|' ORDER BY position) AS ids FROM d GROUP BY 1),
+s AS (SELECT claim_id, CASE WHEN {_YEAR} % 7 = 0 THEN 'fetch' WHEN {_YEAR} % 5 IN (0, 2) THEN CASE WHEN {_YEAR} % 2 = 0 THEN 'ocr' ELSE 'extraction' END WHEN found IS NULL THEN 'retrieval' ELSE '' END AS k, found, ids FROM ({corpus.CLAIMS}) LEFT JOIN p USING (claim_id))
+SELECT claim_id, CASE WHEN k = '' THEN 'awaiting_model_config' ELSE 'prejudge_unverified' END AS status, CASE WHEN k <> '' THEN 'unverified' END AS verdict,
+  CASE k WHEN 'fetch' THEN 'source_fetch_failed' WHEN 'ocr' THEN 'ocr_required' WHEN 'extraction' THEN 'source_extraction_failed' WHEN 'retrieval' THEN 'weak_retrieval_coverage' END AS warning,
+  CASE k WHEN 'fetch' THEN 'source_fetch' WHEN 'ocr' THEN 'source_extraction' WHEN 'extraction' THEN 'source_extraction' WHEN 'retrieval' THEN 'passage_retrieval' ELSE 'model_configuration' END AS stopped_stage,
+  CASE WHEN k = 'fetch' THEN 'HTTP 503' WHEN k = '' THEN NULL ELSE 'default' END AS reason, CAST(CASE WHEN k = '' THEN found ELSE 0 END AS int) AS n_passages, CASE WHEN k = '' THEN ids ELSE '' END AS passage_ids FROM s""")
+def review_batch(spark, sf_dir):
+    """The main query: all claims against their sources."""
+    own = batch.review_claims(claims(spark, sf_dir), *_sources(spark, sf_dir))
+    ids = F.coalesce(joined(F.transform("passages", lambda p: p["passage_id"])), F.lit(""))
+    return own.select("claim_id", "status", "verdict", "warning", "stopped_stage", F.when(F.col("reason").isNull() | (F.col("reason") == "HTTP 503"), F.col("reason")).otherwise("default").alias("reason"), F.col("n_passages").cast("int").alias("n_passages"), ids.alias("passage_ids"))
 
 
 _PREJUDGE = f"SELECT sentence_id, CASE WHEN fetch_status = 'failed' THEN 'source_fetch_failed' WHEN extraction_status = 'ocr_required' THEN 'ocr_required' WHEN extraction_status = 'extraction_failed' THEN 'source_extraction_failed' WHEN ord % 4 = 0 THEN 'weak_retrieval_coverage' END AS warning, CASE WHEN fetch_status = 'failed' THEN 'source_fetch' WHEN extraction_status IN ('ocr_required', 'extraction_failed') THEN 'source_extraction' WHEN ord % 4 = 0 THEN 'passage_retrieval' ELSE 'model_configuration' END AS stopped_stage FROM ({corpus.ITEMS})"
@@ -281,10 +324,77 @@ def section_words(spark, sf_dir):
     return sections.section_texts(report_parts(spark, sf_dir)).select("report_id", "section_id", "word_count")
 
 
-@query()
+def _section_packets(spark, sf_dir, limit: int = 60, piece: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(packets, gates) of all reports; limits below most of these short sections. Two claims of three were checked, every
+    fourth of them is contradicted."""
+    parts, _, found = _claims_of_reports(spark, sf_dir)
+    verdict = F.element_at(F.array(*map(F.lit, ["contradicted", "unsupported", "unverified", "supported_by_cited_source"])), (F.col("ord") % 4 + 1).cast("int"))
+    outcomes = found.where("ord % 3 != 0").select("report_id", "section_id", "sentence_id", "claim_text", verdict.alias("verdict"))
+    per = outcomes.groupBy("report_id").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in coherence.COUNTS))
+    gates = sections_of(parts).select("report_id").distinct().join(per, "report_id", "left").fillna(0).withColumn("status", F.when(F.col("contradicted") > 0, "stop_and_fix").otherwise("continue"))
+    return coherence.section_packets(sections_of(parts), outcomes, found, gates, limit, piece), gates
+
+
+def sections_of(parts: DataFrame) -> DataFrame:
+    return sections.section_texts(parts)
+
+
+_OUT = f"""o AS MATERIALIZED (SELECT *, CASE ord % 4 WHEN 0 THEN 'contradicted' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'unverified' ELSE 'supported_by_cited_source' END AS verdict FROM (SELECT c.report_id, c.ord, c.sentence_id, c.claim_text, t.section_ord FROM ({oracles.claims_of_reports(_sentence_sql())}) c JOIN ({_SECTIONED}) t ON t.report_id = c.report_id AND t.ord = c.ord)),
+q AS MATERIALIZED (SELECT * FROM o WHERE ord % 3 <> 0), tot AS (SELECT report_id, section_ord, count(*) AS total FROM o GROUP BY 1, 2),
+cnt AS (SELECT report_id, section_ord, count(*) AS checked, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'unsupported') AS unsupported, count(*) FILTER (verdict = 'unverified') AS unverified, string_agg(sentence_id || '=' || verdict, '|' ORDER BY sentence_id) AS claims FROM q GROUP BY 1, 2),
+g AS (SELECT report_id, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'unsupported') AS unsupported, count(*) FILTER (verdict = 'unverified') AS unverified FROM q GROUP BY 1),
+sec AS (SELECT report_id, section_ord, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text, CAST(sum(len(string_split(text, ' '))) AS int) AS word_count FROM ({_SECTIONED}) WHERE NOT is_heading AND text <> '' GROUP BY 1, 2),
+packet AS MATERIALIZED (SELECT s.*, coalesce(checked, 0) AS checked, coalesce(n.contradicted, 0) AS contradicted, coalesce(n.unsupported, 0) AS unsupported, coalesce(n.unverified, 0) AS unverified, coalesce(total, 0) - coalesce(checked, 0) AS deselected, coalesce(claims, '') AS checked_claims, coalesce(g.contradicted, 0) > 0 AS stop
+  FROM sec s LEFT JOIN cnt n USING (report_id, section_ord) LEFT JOIN tot USING (report_id, section_ord) LEFT JOIN g USING (report_id))"""
+_FIRST = "trim(coalesce(nullif(regexp_extract(trim(content), '^([^\\n]*?(?:[.!?](?:\\s|$)|$))', 1), ''), trim(content)))"
+_OF_SECTION = ", ".join(f"CASE WHEN {k} > 0 THEN '{t}' END" for k, t in sections.RISKS)
+_PACKET_RISKS = f"list_filter([{_OF_SECTION}, CASE WHEN stop THEN '{sections.STOP}' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {oracles.chunked(_SECTIONED, 25)}, syn AS (SELECT report_id, section_ord, count(*) AS n, string_agg({_FIRST}, ' ' ORDER BY k) FILTER (k <= 3) AS synopsis FROM chunk GROUP BY 1, 2), {_OUT}
+SELECT report_id, 'section-' || section_ord AS section_id, word_count, word_count > 60 AS oversized, CASE WHEN word_count > 60 THEN synopsis ELSE text END AS section_text, CASE WHEN word_count > 60 THEN n ELSE 0 END AS n_subchunks, checked, contradicted, unsupported, unverified, deselected, checked_claims, stop AS stop_recommended, contradicted > 0 AS has_contradiction, unsupported + unverified > 0 AS has_warning, coalesce(array_to_string({_PACKET_RISKS}, '|'), '') AS risks FROM packet JOIN syn USING (report_id, section_ord)""")
 def section_packets(spark, sf_dir):
-    t = sections.section_texts(report_parts(spark, sf_dir))
-    return sections.packets(t, sections.subchunks(t))
+    p, _ = _section_packets(spark, sf_dir)
+    said = F.coalesce(joined(F.transform("checked_claims", lambda c: F.concat(c["sentence_id"], F.lit("="), c["verdict"]))), F.lit(""))
+    return p.select("report_id", "section_id", "word_count", "oversized", "section_text", "n_subchunks", "checked", *coherence.COUNTS, "deselected", said.alias("checked_claims"), "stop_recommended", "has_contradiction", "has_warning", joined(F.col("risks")).alias("risks"))
+
+
+def _assessments(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Sections with a judge that asks for a human where claims are contradicted and leaves sections of 5 and 6 out."""
+
+    def judge(frames):
+        for f in frames:
+            own = f[~f["section_ord"].isin([5, 6])]
+            yield own.assign(summary=own["section_id"] + " read", needs_human_attention=own["contradicted"] > 0)[["report_id", "section_id", "summary", "needs_human_attention"]]
+
+    p, gates = _section_packets(spark, sf_dir)
+    narrow = p.drop("checked_claims", "section_text")
+    return coherence.assessed(settled(narrow), judge, "report_id long, section_id string, summary string, needs_human_attention boolean"), gates
+
+
+@query(f"""WITH {_OUT} SELECT report_id, CASE WHEN count(*) FILTER (section_ord IN (5, 6)) > 0 THEN 'sections_not_completed' END AS problem FROM packet GROUP BY 1
+UNION ALL SELECT -1, 'sections_not_run'""")
+def coherence_problems(spark, sf_dir):
+    """All reports with text, and one whose sections were never run."""
+    done, gates = _assessments(spark, sf_dir)
+    return coherence.coherence_problem(gates.select("report_id").union(spark.range(1).select(F.lit(-1).cast("long"))), done)
+
+
+@query(f"""WITH {_OUT}, done AS (SELECT * FROM packet WHERE section_ord NOT IN (5, 6)),
+each AS (SELECT report_id, section_ord, h.heading, unnest({_PACKET_RISKS}) AS risk, generate_subscripts({_PACKET_RISKS}, 1) AS j FROM done JOIN (SELECT report_id, section_ord, max(CASE WHEN is_heading AND text <> '' THEN text END) AS heading FROM ({_SECTIONED}) GROUP BY 1, 2) h USING (report_id, section_ord)),
+listed AS (SELECT report_id, list(said ORDER BY section_ord, j) AS own FROM (SELECT report_id, section_ord, j, coalesce(heading, 'Document') || ': ' || risk AS said FROM each QUALIFY row_number() OVER (PARTITION BY report_id, coalesce(heading, 'Document') || ': ' || risk ORDER BY section_ord, j) = 1) GROUP BY 1),
+per AS (SELECT p.report_id, count(*) AS eligible_sections, count(*) FILTER (section_ord NOT IN (5, 6)) AS completed_sections, count(*) FILTER (section_ord NOT IN (5, 6) AND contradicted > 0) AS human_sections, string_agg(section_ord || ':' || checked || ':' || deselected || ':' || contradicted || ':' || (unsupported + unverified > 0), '|' ORDER BY section_ord) FILTER (section_ord NOT IN (5, 6)) AS digests,
+  CAST(sum(checked) AS BIGINT) AS selected, CAST(sum(deselected) AS BIGINT) AS deselected, CAST(sum(contradicted) AS BIGINT) AS contradicted, CAST(sum(unsupported) AS BIGINT) AS unsupported, CAST(sum(unverified) AS BIGINT) AS unverified FROM packet p GROUP BY 1)
+SELECT report_id, CASE WHEN contradicted > 0 THEN 'stop_and_fix' ELSE 'continue' END AS gate, selected, deselected, contradicted, unsupported, unverified, eligible_sections, completed_sections, human_sections, coalesce(digests, '') AS digests,
+  coalesce(array_to_string((list_filter([CASE WHEN contradicted > 0 THEN contradicted || ' checked claims remain contradicted.' END, CASE WHEN unsupported > 0 THEN unsupported || ' checked claims remain unsupported.' END, CASE WHEN unverified > 0 THEN unverified || ' checked claims remain unverified.' END, CASE WHEN human_sections > 0 THEN human_sections || ' sections need a human.' END], lambda x: x IS NOT NULL) || coalesce(own, CAST([] AS VARCHAR[])))[:12], '|'), '') AS risks
+FROM per LEFT JOIN listed USING (report_id)""")
+def report_packets(spark, sf_dir):
+    done, gates = _assessments(spark, sf_dir)
+    done = settled(done)
+    coverage = done.groupBy("report_id").agg(F.sum("checked").alias("selected"), F.sum("deselected").alias("deselected"))
+    p = coherence.report_packets(coverage, gates, done)
+    digest = F.transform("digests", lambda d: F.concat_ws(":", d["section_ord"], d["checked"], d["deselected"], d["contradicted"], d["has_warning"]))
+    return p.select("report_id", "gate", "selected", "deselected", *coherence.COUNTS, "eligible_sections", "completed_sections", "human_sections", joined(digest).alias("digests"), joined(F.col("risks")).alias("risks"))
 
 
 @query(oracles.subchunks(_SECTIONED))

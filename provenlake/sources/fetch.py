@@ -45,3 +45,8 @@ def resolved(references: DataFrame, uploads: DataFrame, fetched: DataFrame, rend
         out = out.join(table.where("body IS NOT NULL").groupBy("reference_id").agg(F.max("body").alias(f"_{name}")), "reference_id", "left")
     method = F.when(F.col("_uploaded").isNotNull(), "uploaded").when(F.col("_exact_fetch").isNotNull(), "exact_fetch").when(F.col("_browser").isNotNull(), "browser").otherwise("failed")
     return out.withColumn("body", F.coalesce("_uploaded", "_exact_fetch", "_browser")).withColumn("method", method).withColumn("fetch_status", F.when(method == "failed", "failed").otherwise("fetched")).drop("_uploaded", "_exact_fetch", "_browser")
+
+
+def is_timeout(kind: Column, message: Column) -> Column:
+    """Whether a failed fetch counts as a timeout: by the kind of its error, or by what it says."""
+    return F.coalesce(F.lower(kind).contains("timeout"), F.lit(False)) | F.coalesce(F.lower(message).contains("timed out"), F.lit(False))
