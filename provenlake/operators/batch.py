@@ -70,7 +70,7 @@ def review_claims(claims: DataFrame, sources: DataFrame, blocks: DataFrame, judg
     own = claims.join(known, "source_id", "left").withColumn("fetch_status", F.coalesce("fetch_status", F.lit("failed")))
     readable = blocks.join(known.where("extraction_status = 'extracted'").select("source_id"), "source_id", "left_semi")
     packed = review.payloads(own, evidence(claims, readable, k), k)
-    return review.reviewed(packed, judge)
+    return review.reviewed(settled(packed), judge)  # both of its branches read it
 
 
 def retry_problem(items: DataFrame, asked: DataFrame) -> DataFrame:
