@@ -4,20 +4,28 @@ A revisit record says that a server answered "not modified": it has headers and
 by canonical URL, to the latest earlier full response (status 200); the join is right only if a validator agrees, and the
 resolved record has the original's headers with those of the revisit that a 304 answer may renew.
 
-The as-of join is skew-safe: time is cut into ``slices``; the last full response of each (URL, slice) is carried forward over
+The as-of join is skew-safe: time is cut into ``slices`` of about as many records each, by a quantile sketch of bounded size, so
+that single times far off or a busy month crowd no slice; the last full response of each (URL, slice) is carried forward over
 at most ``slices`` rows per URL, and only within one slice are rows ordered. A URL captured a billion times is so spread over
-many tasks. Payloads take no part: only record ids, validators and headers move.
+many tasks; captures of one URL at one and the same time stay together. Payloads take no part: only record ids, validators and
+headers move.
 
 Nulls: a record with a null or unparsable url resolves to nothing ("no_original"); null times come first; null headers count
 as empty. Ties in time: the smaller record_id is earlier. Repeated rows are resolved each. Empty table: no rows. Other columns
 are not read.
+
+Files: a header field that comes again is joined by a comma; a date that is none is null. What lies behind damaged gzip data, and
+a record that is cut off, is left out; after a record without a whole number as its length, reading goes on at the next line
+that begins a record. A file is one row of Spark's reader, 2 GB at most.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +55,14 @@ def _validator(headers: Column, name: str) -> Column:
     return F.regexp_replace(F.try_element_at(headers, F.lit(name)), "^W/", "")
 
 
+def _slice(at: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts lie at or before a time: a binary search by falling steps."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(F.lit(cuts), n + step - 1) <= at, n + step).otherwise(n))
+
+
 def resolve_revisits(records: DataFrame, slices: int = 512) -> DataFrame:
     """records: record_id, kind ('response' or 'revisit'), url, at (long), status, headers (map, lower-case names), digest.
 
@@ -55,9 +71,8 @@ def resolve_revisits(records: DataFrame, slices: int = 512) -> DataFrame:
     """
     own = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), F.coalesce("at", F.lit(-(1 << 62))).alias("at"), "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest")
     known = own.where("canonical IS NOT NULL")
-    low, high = known.where(F.col("at") > -(1 << 62)).agg(F.min("at"), F.max("at")).first()
-    width = max(1, ((high or 0) - (low or 0)) // slices + 1)
-    known = known.withColumn("slice", F.greatest(F.lit(-1), F.floor((F.col("at") - F.lit(low or 0)) / F.lit(width))))
+    cuts = known.agg(F.percentile_approx("at", [i / slices for i in range(1, slices)], 20 * slices)).first()[0] if slices > 1 else []
+    known = known.withColumn("slice", _slice(F.col("at"), sorted(set(cuts or []))))
     full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("at", "record_id", "digest", "headers"))
     known = known.withColumn("full", full)
     last = known.where("full IS NOT NULL").groupBy("canonical", "slice").agg(F.max_by("full", F.struct("at", "record_id")).alias("full"))
@@ -102,26 +117,44 @@ def _head(stream) -> dict[str, str] | None:
             continue
         key, _, value = line.partition(b":")
         name = key.strip().lower().decode("utf-8", "replace")
-        out[name] = value.strip().decode("utf-8", "replace")
+        value = value.strip().decode("utf-8", "replace")
+        out[name] = f"{out[name]}, {value}" if name in out else value
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[str, str], bytes]]:
-    """(WARC fields, HTTP status, HTTP headers, payload) of each record; gzip members or plain. A cut-off last record is left
-    out."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
-    while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
+def _record(stream) -> tuple[dict[str, str], bytes] | None:
+    """Fields and block of the next record that is whole; None at the end."""
+    while line := stream.readline():
         if not line.startswith(b"WARC/"):
-            return
+            continue
         fields = _head(stream)
         if fields is None:
+            return None
+        size = fields.get("content-length", "0")
+        if size.isascii() and size.isdigit():
+            block = stream.read(int(size))
+            return (fields, block) if len(block) == int(size) else None
+    return None
+
+
+def _seconds(date: str | None) -> int | None:
+    """Seconds of a WARC date, UTC where it says no zone; null where it is none."""
+    try:
+        at = datetime.fromisoformat(date or "")
+    except ValueError:
+        return None
+    return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp())
+
+
+def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[str, str], bytes]]:
+    """(WARC fields, HTTP status, HTTP headers, payload) of each whole record; gzip members or plain."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)  # neither reads ahead of damage
+    while True:
+        try:
+            if (found := _record(stream)) is None:
+                return
+        except (EOFError, gzip.BadGzipFile, zlib.error):
             return
-        size = int(fields.get("content-length", "0"))
-        block = stream.read(size)
-        if len(block) < size:
-            return
+        fields, block = found
         status, headers, payload = None, {}, block
         if fields.get("warc-type") in ("response", "revisit") and block.startswith(b"HTTP/"):
             inner = io.BytesIO(block)
@@ -134,16 +167,12 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[st
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files by any store that Spark reads: record_id, kind, url, at (seconds), status, headers, digest, payload."""
-    from datetime import datetime
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 rows = []
                 for fields, status, headers, payload in parse_warc(raw):
-                    at = fields.get("warc-date")
-                    seconds = int(datetime.fromisoformat(at.replace("Z", "+00:00")).timestamp()) if at else None
-                    rows.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), seconds, status, list(headers.items()), fields.get("warc-payload-digest"), payload))
+                    rows.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), _seconds(fields.get("warc-date")), status, list(headers.items()), fields.get("warc-payload-digest"), payload))
                     if len(rows) == 256:
                         yield _records(rows)
                         rows = []

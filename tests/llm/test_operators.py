@@ -389,9 +389,46 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.to_warc("response", fields, block) * 2)
     (tmp_path / "b.warc").write_bytes(warc.to_warc("response", fields, block, compress=False) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut")
     rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [r.at for r in rows] == [1704067200] * 3
     assert len(rows) == 3 and all(r.status == 200 and r.payload == b"<p>hi</p>" and r.headers == {"content-type": "text/html", "x-a": "1 folded"} and r.at == 1704067200 for r in rows)
 
 
+def test_damaged_warc_files(spark, tmp_path):
+    one = lambda name, date="2024-01-01T00:00:00Z", **more: warc.to_warc("response", {"WARC-Record-ID": name, "WARC-Date": date}, b"HTTP/1.1 200 OK\r\nVia: a\r\nVia: b\r\n\r\nhi", **more)
+    files = {
+        "cut.gz": one("a") + one("b")[:-12],
+        "rubbish.gz": one("c") + b"\x1f\x8b\x08\x00rubbish that is no gzip data",
+        "length": b"WARC/1.1\r\nContent-Length: -7\r\n\r\nx\r\n\r\n" + one("d", "no date", compress=False) + b"WARC/1.1\r\nContent-Length: many\r\n\r\n",
+        "empty.gz": b"",
+        "other": b"no such file\r\n" * 3,
+        "zone": one("e", "2024-01-01T00:00:00", compress=False),
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = sorted(warc.read_warc(spark, str(tmp_path)).collect(), key=lambda r: r.record_id)
+    assert [(r.record_id, r.at) for r in rows] == [("a", 1704067200), ("c", 1704067200), ("d", None), ("e", 1704067200)]
+    assert all(r.headers == {"via": "a, b"} and r.payload == b"hi" for r in rows)
+
+
+def test_revisits_with_times_far_off(spark):
+    """Against brute force: a hot URL, times of 0 and far ahead, null times, ties and repeats, few and many slices."""
+    r = random.Random(6)
+    rows = []
+    for i in range(600):
+        at = r.choice([None, 0, 1 << 55, -(1 << 40), *(r.randrange(1000, 1100) for _ in range(12))])
+        rows.append((i, r.choice(["response", "revisit"]), "http://hot.org/" if r.random() < 0.5 else f"http://{r.randrange(9)}.org/", at, r.choice([200, 200, 404]), {"etag": r.choice("ab")}, "x"))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, at long, status int, headers map<string,string>, digest string")
+    key = lambda x: (-(1 << 62) if x[3] is None else x[3], x[0])
+    want = collections.Counter()
+    for x in rows:
+        if x[1] == "revisit":
+            full = [y for y in rows if y[1] == "response" and y[4] == 200 and y[2] == x[2] and key(y) < key(x)]
+            want[x[0], max(full, key=key)[0] if full else None] += 1
+    for slices in (1, 2, 7, 512):
+        assert collections.Counter((g.record_id, g.original_id) for g in warc.resolve_revisits(df, slices=slices).collect()) == want
+
+
 # -- 7
 
 
