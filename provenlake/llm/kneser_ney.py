@@ -1,19 +1,23 @@
-"""Interpolated modified Kneser-Ney language model (operator 7), a bigram model counted in Spark.
+"""Interpolated modified Kneser-Ney language model (operator 7) of any order from 2, counted in Spark.
 
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + gamma(v) * p1(w),   gamma(v) = (D1 N1(v.) + D2 N2(v.) + D3 N3+(v.)) / c(v.)
-p1(w)    = max(N(.w) - D'(N(.w)), 0) / N(..) + gamma' / (V + 1),  N(.w): distinct words before w; V: distinct tokens
+p_k(w | x v) = max(c(x v w) - D(c(x v w)), 0) / c(x v .) + gamma(x v) * p_k-1(w | v),  x v: the k - 1 tokens before w
+gamma(x v)   = (D1 N1(x v .) + D2 N2(x v .) + D3 N3+(x v .)) / c(x v .)
+p_1(w)       = max(c(w) - D(c(w)), 0) / c(.) + gamma / (V + 1),  V: distinct tokens
 
-with discounts D1, D2, D3+ per order from the counts of counts (Chen and Goodman). An unseen context leaves p1; an unseen
-word has gamma' / (V + 1). A text's context begins with a mark of its own, and its end is a token.
+c counts occurrences in the highest order, and in those below it the distinct words before; discounts D1, D2, D3+ per order are
+from the counts of counts (Chen and Goodman). An unseen context leaves p_k-1; an unseen word has gamma / (V + 1). A text's
+context begins with marks of their own, and its end is a token.
 
-Counting: tasks send each shard (a range of the hash) sorted arrays of their distinct words and bigrams with counts; a frequent
-bigram is one entry of a task, and a frequent context is spread over the shards of its bigrams. Shards are merged, and written
-as sorted hash arrays to the shared folder; contexts and continuations are summed in a second round. Workers map those files
-into memory and look up a batch's distinct bigrams in order. Files are written beside their place and renamed, so that tasks
-can be run again. Words are 64-bit hashes for base counts, 48-bit ones within bigrams.
+Counting: tasks send each shard (a range of the hash) sorted arrays of their distinct words and n-grams with counts; a frequent
+n-gram is one entry of a task, and a frequent context is spread over the shards of its n-grams. Shards are merged, and written
+as sorted hash arrays to the shared folder, values as numbers of rows in a small table; contexts and the n-grams of the order
+below are summed in the next round. Workers map those files into memory, ``MOST`` shards of a kind at a time, and look up a
+batch's distinct n-grams in order. Files are written beside their place and renamed, so that tasks can be run again. Words are
+64-bit hashes for base counts, 48-bit ones within n-grams; n-grams are known by 64-bit hashes.
 
 Nulls: a null text is the end token alone; a null doc_id counts as id text "". Repeated rows count as often as they occur.
 Extra columns are not read. Without training texts N = V = 0 and the model is uniform over the unknown. Empty table: no rows.
+Very long texts: a text's tokens are one array. A model file that is missing is an error.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from provenlake.llm.common import U64, WordHashes, arrow_batches, by_shard, cach
 FOLDS, HELD = 7, 2
 #: Contexts and ends of texts, as words that no text has (they hold spaces).
 BEGIN, END = b"< begin >", b"< end >"
-SHORT = U64(16)  # bits dropped from a word's hash within bigrams
+SHORT = U64(16)  # bits dropped from a word's hash within n-grams
+MOST = 2048  # shards of a kind that a worker maps at once
 _WORDS = cache_of("kneser_ney", WordHashes())
 _WORDS.LIMIT = 400_000  # beside the arrays of a flush
 
@@ -92,13 +97,13 @@ def mapped(path: str, name: str) -> np.ndarray:
 
 # -- counting -------------------------------------------------------------------------------------------------------------
 
-WORD, PAIR = 0, 1
-_BLOBS = "shard int, kind int, a binary, b binary, c binary"
+WORD, GRAM, CONTEXT, SUMS = range(4)
+_BLOBS = "shard int, kind int, a binary, b binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 3, strict=True)], ["shard", "kind", "a", "b", "c"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 2, strict=True)], ["shard", "kind", "a", "b"])
 
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -130,96 +135,108 @@ def contexts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return v
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Key of a bigram of 48-bit hashes."""
-    return mix(v, w)
+def grams(h: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
+    """A row for each token: the order - 1 tokens before it and itself, as 48-bit hashes."""
+    cols = [h]
+    for _ in range(order - 1):
+        cols.append(contexts(cols[-1], n))
+    return np.stack(cols[::-1], 1) >> SHORT
 
 
-def _count(n_shards: int, flush: int):
-    def emit(h: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
-        h, v = np.concatenate(h), np.concatenate(v)
-        rows = []
+def gram_key(rows: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams (rows), spread over all the shards."""
+    if rows.shape[1] == 1:
+        return rows[:, 0] << SHORT
+    key = rows[:, 0]
+    for i in range(1, rows.shape[1]):
+        key = mix(key, rows[:, i])
+    return key
+
+
+def counted(rows: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in order, n-grams, their counts) of n-grams that may repeat."""
+    key = gram_key(rows)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = grouped(key)
+    total = np.diff(np.append(cut, len(key))) if count is None else np.add.reduceat(count[order], cut) if len(cut) else count
+    return key[cut], rows[order[cut]], total
+
+
+def _sent(kind: int, key: np.ndarray, rows: np.ndarray, values: np.ndarray, n_shards: int) -> Iterator[tuple]:
+    """Blobs of n-grams and their values by shard; in the order of their words, which packs better."""
+    for shard, own in by_shard(key, n_shards):
+        part = rows[own]
+        inner = np.lexsort(part.T[::-1])
+        yield shard, kind, pack(part[inner].T.ravel()), pack(values[own][inner])
+
+
+def _count(n_shards: int, flush: int, order: int):
+    def emit(h: list[np.ndarray], g: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(h)
         word, count = summed(h, np.ones(len(h), np.int64))
-        for shard, own in by_shard(word, n_shards):
-            rows.append((shard, WORD, pack(word[own]), pack(count[own]), None))
-        v, w = v >> SHORT, h >> SHORT
-        key = pair_key(v, w)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        cut = grouped(key)
-        count = np.diff(np.append(cut, len(key)))
-        v, w, key = v[order][cut], w[order][cut], key[cut]
-        for shard, own in by_shard(key, n_shards):
-            inner = np.lexsort((w[own], v[own]))
-            rows.append((shard, PAIR, pack(v[own][inner]), pack(w[own][inner]), pack(count[own][inner])))
-        return _rows(rows)
+        rows = [(shard, WORD, pack(word[own]), pack(count[own])) for shard, own in by_shard(word, n_shards)]
+        return _rows([*rows, *_sent(GRAM, *counted(np.concatenate(g)), n_shards)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs: list[np.ndarray] = []
-        vs: list[np.ndarray] = []
+        gs: list[np.ndarray] = []
         size = 0
         for batch in batches:
             texts = [t or b"" for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) if not is_held(d)]
             if texts:
                 h, n = tokens(texts)
                 hs.append(h)
-                vs.append(contexts(h, n))
+                gs.append(grams(h, n, order))
                 size += len(h)
             if size >= flush:
-                yield emit(hs, vs)
-                hs, vs, size = [], [], 0
+                yield emit(hs, gs)
+                hs, gs, size = [], [], 0
         if hs:
-            yield emit(hs, vs)
+            yield emit(hs, gs)
 
     return run
 
 
-def _merge(path: str, n_shards: int):
-    """Shards of words and bigrams: arrays go to files; contexts (kind 2), continuations (kind 3) and totals (4) go on."""
+def _save_values(path: str, key: np.ndarray, values: np.ndarray) -> None:
+    """Sorted keys, and for each the number of its value's row in a table of the distinct values."""
+    mark = values if values.ndim == 1 else mix(mix(mix(values[:, 0].astype(np.uint64), values[:, 1].astype(np.uint64)), values[:, 2].astype(np.uint64)), values[:, 3].astype(np.uint64))
+    _, first, code = np.unique(mark, return_index=True, return_inverse=True)
+    save(path, hash=key, code=code.astype(np.uint8 if len(first) <= 1 << 8 else np.uint16 if len(first) <= 1 << 16 else np.uint32), table=values[first])
 
-    def reduce(shard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = rows["kind"].to_pylist()
-        cols = [rows[c].to_pylist() for c in "abc"]
-        words = [i for i, k in enumerate(kinds) if k == WORD]
-        word, count = summed(np.concatenate([np.zeros(0, np.uint64), *(unpack(cols[0][i], np.uint64) for i in words)]), np.concatenate([np.zeros(0, np.int64), *(unpack(cols[1][i], np.int64) for i in words)]))
-        save(f"{path}/word-{shard:06d}", hash=word, count=count)
-        own = [i for i, k in enumerate(kinds) if k == PAIR]
-        v, w, c = (np.concatenate([np.zeros(0, t), *(unpack(cols[k][i], t) for i in own)]) for k, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
-        key = pair_key(v, w)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        cut = grouped(key)
-        total = np.add.reduceat(c[order], cut) if len(cut) else c
-        v, w = v[order][cut], w[order][cut]
-        save(f"{path}/pair-{shard:06d}", hash=key[cut], count=total.astype(np.uint32))
-        out = []
-        context, n, n1, n2, n3 = summed(v, total, (total == 1).astype(np.int64), (total == 2).astype(np.int64), (total >= 3).astype(np.int64))
-        for to, x in by_shard(context << SHORT, n_shards):
-            out.append((to, 2, pack(context[x]), pack(np.stack([n[x], n1[x], n2[x], n3[x]], 1).ravel()), None))
-        word, n = summed(w, np.ones(len(w), np.int64))
-        for to, x in by_shard(word << SHORT, n_shards):
-            out.append((to, 3, pack(word[x]), pack(n[x]), None))
-        sums = np.array([int(count.sum()), len(count), *(int((total == k).sum()) for k in (1, 2, 3, 4)), len(total)], np.int64)
-        out.append((shard, 4, pack(sums), None, None))
-        yield _rows(out)
 
-    return reduce
+def _merge(path: str, n_shards: int, level: int, first: bool):
+    """A round: n-grams of this level, contexts of the level above and words go to files; this level's contexts and the
+    n-grams below go on, and the sums of each level by shard."""
 
-
-def _finish(path: str):
     def reduce(shard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         kinds, a, b = rows["kind"].to_pylist(), rows["a"].to_pylist(), rows["b"].to_pylist()
-        own = [i for i, k in enumerate(kinds) if k == 2]
-        v = np.concatenate([np.zeros(0, np.uint64), *(unpack(a[i], np.uint64) for i in own)])
-        stats = np.concatenate([np.zeros((0, 4), np.int64), *(unpack(b[i], np.int64).reshape(-1, 4) for i in own)])
-        v, *stats = summed(v, *stats.T)
-        save(f"{path}/context-{shard:06d}", hash=v, stats=np.stack(stats, 1) if len(v) else np.zeros((0, 4), np.int64))
-        own = [i for i, k in enumerate(kinds) if k == 3]
-        w, n = summed(np.concatenate([np.zeros(0, np.uint64), *(unpack(a[i], np.uint64) for i in own)]), np.concatenate([np.zeros(0, np.int64), *(unpack(b[i], np.int64) for i in own)]))
-        save(f"{path}/before-{shard:06d}", hash=w, count=n)
-        sums = sum((unpack(a[i], np.int64) for i, k in enumerate(kinds) if k == 4), np.zeros(7, np.int64))
-        values = (*sums, *((n == k).sum() for k in (1, 2, 3, 4)), n.sum(), (n >= 3).sum())
-        yield pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in values)], ["shard", *(f"s{i}" for i in range(13))])
+
+        def read(kind: int, width: int, values: int) -> tuple[np.ndarray, np.ndarray]:
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            return tuple(np.concatenate([np.zeros((0, w), t), *(unpack(x[i], t).reshape(w, -1).T for i in own)]) for x, w, t in ((a, width, np.uint64), (b, values, np.int64)))
+
+        out = [(shard, SUMS, a[i], None) for i, k in enumerate(kinds) if k == SUMS]
+        sums = [level, 0, 0]
+        if not first:  # later rounds have contexts where the first has words
+            key, n, *kind = summed(*(x for y in read(CONTEXT, 1, 4) for x in y.T))
+            _save_values(f"{path}/context{level + 1}-{shard:06d}", key, np.stack([n, *kind], 1))
+        else:
+            word, count = summed(*(x.ravel() for x in read(WORD, 1, 1)))
+            _save_values(f"{path}/word-{shard:06d}", word, count)
+            sums = [level, int(count.sum()), len(count)]
+        own, count = read(GRAM, level, 1)
+        key, own, total = counted(own, count.ravel())
+        _save_values(f"{path}/gram{level}-{shard:06d}", key, total)
+        sums += [*(int((total == k).sum()) for k in (1, 2, 3, 4)), int((total >= 3).sum()), int(total.sum())]
+        out.append((shard, SUMS, pack(np.array(sums, np.int64)), None))
+        if level > 1:
+            before = gram_key(own[:, :-1])
+            at, *stats = summed(before, total, *((total == k).astype(np.int64) for k in (1, 2)), (total >= 3).astype(np.int64))
+            stats = np.stack(stats, 1)
+            out += [(to, CONTEXT, pack(at[x]), pack(stats[x].T.ravel())) for to, x in by_shard(at, n_shards)]
+            out += _sent(GRAM, *counted(own[:, 1:]), n_shards)
+        yield _rows(out)
 
     return reduce
 
@@ -233,90 +250,109 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [float(min(max(d, 0.0), k)) for d, k in zip(raw, (1, 2, 3), strict=True)]
 
 
-def train(docs: DataFrame, flush: int = 4_000_000) -> dict:
+#: Sums of a level in a shard: training tokens and distinct words (highest level only), n-grams counted 1, 2, 3, 4, over 2, all.
+_SUMS = ["level", "tokens", "distinct", "n1", "n2", "n3", "n4", "over", "mass"]
+
+
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(shard, *unpack(a, np.int64).tolist()) for shard, kind, a in zip(*(batch.column(x).to_pylist() for x in ("shard", "kind", "a")), strict=True) if kind == SUMS]
+        if rows:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["shard", *_SUMS])
+
+
+def train(docs: DataFrame, order: int = 2, flush: int = 4_000_000) -> dict:
     """Count the training documents and write the model; its description (a few numbers and a path)."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     n_shards = shards_for(docs)
     path = qualified(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/kneser-ney-{uuid.uuid4().hex}")
     arrow_batches(docs.sparkSession)
     read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    counted = exchange(read.mapInArrow(_count(n_shards, flush), _BLOBS), n_shards, _merge(path, n_shards), _BLOBS)
-    counts = stash(counted, "counts")
-    sums = stash(exchange(counts, n_shards, _finish(path), "shard int, " + ", ".join(f"s{i} long" for i in range(13))), "totals")
-    filled = [{r["shard"] for r in df.select("shard").distinct().collect()} for df in (counts.where("kind = 4"), sums)]  # a number a shard
-    empty = [sorted(set(range(n_shards)) - x) for x in filled]
-    discard(counts)
-    total = [int(x or 0) for x in sums.agg(*(F.sum(f"s{i}") for i in range(13))).first()]
-    return {"path": path, "shards": n_shards, "tokens": total[0], "distinct": total[1], "pair_discounts": discounts(*total[2:6]), "word_discounts": discounts(*total[7:11]), "pairs": total[6], "before": total[11], "before_kinds": [total[7], total[8], total[12]], "empty": {"word": empty[0], "pair": empty[0], "context": empty[1], "before": empty[1]}}
+    rows = read.mapInArrow(_count(n_shards, flush, order), _BLOBS)
+    for level in range(order, 0, -1):
+        done, rows = rows, stash(exchange(rows, n_shards, _merge(path, n_shards, level, level == order), _BLOBS), "counts")
+        if level < order:
+            discard(done)
+    sums = stash(rows.mapInArrow(_summed_up, "shard long, " + ", ".join(f"{x} long" for x in _SUMS)), "totals")
+    discard(rows)
+    filled: dict[int, set] = {level: set() for level in range(1, order + 1)}
+    for r in sums.select("shard", "level").collect():  # a number a shard and level
+        filled[r["level"]].add(r["shard"])
+    total = {r["level"]: r for r in sums.groupBy("level").agg(*(F.sum(x).alias(x) for x in _SUMS[1:])).collect()}
+    discard(sums)
+    top = total.get(order)
+    of = lambda level: [int(total[level][x]) for x in _SUMS[3:]] if level in total else [0] * 6
+    levels = {level: {"discounts": discounts(*of(level)[:4]), "kinds": [*of(level)[:2], of(level)[4]], "mass": of(level)[5], "empty": sorted(set(range(n_shards)) - filled[level])} for level in range(1, order + 1)}
+    return {"path": path, "shards": n_shards, "order": order, "tokens": int(top["tokens"]) if top else 0, "distinct": int(top["distinct"]) if top else 0, "levels": levels}
 
 
 # -- scoring --------------------------------------------------------------------------------------------------------------
 
 
 class _Sharded:
-    """Sorted hash arrays over shards: rows of keys (sorted) by shard, memory-mapped when first needed."""
+    """Sorted hash arrays over shards: values of keys (sorted) by shard, memory-mapped when first needed."""
 
-    def __init__(self, path: str, n: int, value: str, shift: np.uint64, empty: list[int], kind: str):
-        self.path, self.kind, self.n, self.value, self.shift, self.empty = path, kind, n, value, shift, set(empty)
-        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, path: str, n: int, empty: list[int], kind: str, width: int = 0):
+        self.path, self.n, self.empty, self.kind, self.width = path, n, set(empty), kind, width
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def get(self, keys: np.ndarray, width: int = 0) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of sorted distinct keys; 0 where there is none."""
-        out = np.zeros((len(keys), width) if width else len(keys), np.int64)
-        for shard, own in by_shard(keys << self.shift, self.n):
+        out = np.zeros((len(keys), self.width) if self.width else len(keys), np.int64)
+        for shard, own in by_shard(keys, self.n):
+            if shard in self.empty:  # nothing fell into it; any other file that is missing is an error
+                continue
             if shard not in self.held:
-                place = f"{self.path}/{self.kind}-{shard:06d}"
-                if shard in self.empty:  # nothing fell into it; any other file that is missing is an error
-                    self.held[shard] = np.zeros(0, np.uint64), np.zeros((0, width) if width else 0, np.int64)
-                else:
-                    self.held[shard] = mapped(place, "hash"), mapped(place, self.value)
-            h, v = self.held[shard]
+                if len(self.held) >= MOST:
+                    self.held.clear()
+                self.held[shard] = tuple(mapped(f"{self.path}/{self.kind}-{shard:06d}", name) for name in ("hash", "code", "table"))
+            h, code, table = self.held[shard]
             if len(h):
                 k = keys[own]
                 at = np.minimum(np.searchsorted(h, k), len(h) - 1)
-                hit = h[at] == k
-                rows = np.zeros_like(out[own])
-                rows[hit] = v[at[hit]]
-                out[own] = rows
+                hit = np.flatnonzero(h[at] == k)
+                out[own.start + hit] = table[code[at[hit]]]
         return out
 
+    def each(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys in any order, which may repeat."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        return self.get(distinct)[back]
+
 
 class Model:
     """A trained model, opened by a worker."""
 
     def __init__(self, info: dict):
-        self.info = info
+        self.info, self.order = info, info["order"]
+        self.levels = {int(k): v for k, v in info["levels"].items()}
         place = (info["path"], info["shards"])
-        self.words = _Sharded(*place, "count", U64(0), info["empty"]["word"], kind="word")
-        self.pairs = _Sharded(*place, "count", U64(0), info["empty"]["pair"], kind="pair")
-        self.contexts = _Sharded(*place, "stats", SHORT, info["empty"]["context"], kind="context")
-        self.before = _Sharded(*place, "count", SHORT, info["empty"]["before"], kind="before")
+        self.words = _Sharded(*place, self.levels[self.order]["empty"], "word")
+        self.grams = {k: _Sharded(*place, v["empty"], f"gram{k}") for k, v in self.levels.items()}
+        self.contexts = {k + 1: _Sharded(*place, v["empty"], f"context{k + 1}", 4) for k, v in self.levels.items() if k < self.order}
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, model score) of each text, scores as log10."""
         info = self.info
         h, n = tokens(texts)
-        v = contexts(h, n) >> SHORT
+        rows = grams(h, n, self.order)
         starts = np.cumsum(n) - n
-        word, back = np.unique(h, return_inverse=True)
-        count = self.words.get(word)
-        total, distinct = info["tokens"], info["distinct"]
-        base = np.log10((count + 1) / (total + distinct + 1))
-        short, sback = np.unique(word >> SHORT, return_inverse=True)
-        d = np.array([0, *info["word_discounts"]])
-        follow = self.before.get(short)
-        weight = float(np.dot(info["word_discounts"], info["before_kinds"]) / info["before"]) if info["before"] else 1.0
-        p1 = (np.maximum(follow - d[np.minimum(follow, 3)], 0) / info["before"] if info["before"] else np.zeros(len(short))) + weight / (distinct + 1)
-        p1 = p1[sback]
-        context, vback = np.unique(v, return_inverse=True)
-        stats = self.contexts.get(context, 4)
-        dp = np.array([0, *info["pair_discounts"]])
-        seen = np.maximum(stats[:, 0], 1)
-        gamma = np.where(stats[:, 0] > 0, (stats[:, 1:] @ dp[1:]) / seen, 1.0)
-        key, kback = np.unique(pair_key(v, h >> SHORT), return_inverse=True)
-        c = self.pairs.get(key)[kback]
-        p = np.maximum(c - dp[np.minimum(c, 3)], 0) / seen[vback] + gamma[vback] * p1[back]
-        known = (count > 0)[back]
-        return n, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base[back], starts), np.add.reduceat(np.log10(p), starts)
+        count = self.words.each(h)
+        base = np.log10((count + 1) / (info["tokens"] + info["distinct"] + 1))
+        p = np.ones(len(h)) / (info["distinct"] + 1)
+        for level in range(1, self.order + 1):
+            own, said = rows[:, -level:], self.levels[level]
+            d = np.array([0, *said["discounts"]])
+            if level == 1:
+                seen, weight = np.full(len(h), said["mass"]), float(np.dot(d[1:], said["kinds"]))
+            else:
+                stats = self.contexts[level].each(gram_key(own[:, :-1]))
+                seen, weight = stats[:, 0], stats[:, 1:] @ d[1:]
+            c = self.grams[level].each(gram_key(own))
+            some = np.maximum(seen, 1)
+            p = np.maximum(c - d[np.minimum(c, 3)], 0) / some + np.where(seen > 0, weight / some, 1.0) * p
+        return n, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
 
 _MODELS: dict[str, Model] = {}
@@ -346,5 +382,5 @@ def score_documents(docs: DataFrame, info: dict) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
-    return score_documents(docs, train(docs))
+def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
+    return score_documents(docs, train(docs, order))

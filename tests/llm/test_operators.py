@@ -432,39 +432,63 @@ def test_revisits_with_times_far_off(spark):
 # -- 7
 
 
-def test_language_model(spark, docs, odd):
+def own_discounts(n1, n2, n3, n4):
+    """Chen and Goodman's, from counts of counts that are all there."""
+    y = n1 / (n1 + 2 * n2)
+    return [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, odd, order):
     rows, df = docs
-    got = {r.doc_id: r for r in kneser_ney.train_and_score(df).collect()}
+    got = {r.doc_id: r for r in kneser_ney.train_and_score(df, order).collect()}
     toks = {i: (t or "").encode().lower().split() + ["</end>"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
-    one, two = collections.Counter(), collections.Counter()
+    padded = lambda ws: ["<begin>"] * (order - 1) + ws
+    one, counts = collections.Counter(), {k: collections.Counter() for k in range(1, order + 1)}
     for i, ws in toks.items():
         if not held[i]:
             one.update(ws)
-            two.update(zip(["<begin>", *ws], ws, strict=False))
+            x = padded(ws)
+            counts[order].update(tuple(x[j : j + order]) for j in range(len(ws)))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
     total, size = sum(one.values()), len(one)
-    before = collections.Counter(w for _, w in two)
-    kinds = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-    d2, d1 = [0, *kneser_ney.discounts(*kinds(two))], [0, *kneser_ney.discounts(*kinds(before))]
-    ctx = collections.defaultdict(list)
-    for (v, _), c in two.items():
-        ctx[v].append(c)
-    mass = sum(before.values())
-    low = lambda w: max(before[w] - d1[min(before[w], 3)], 0) / mass + sum(d1[min(c, 3)] for c in before.values()) / mass / (size + 1)
-
-    def p(v, w):
-        if v not in ctx:
-            return low(w)
-        c = two[v, w]
-        return max(c - d2[min(c, 3)], 0) / sum(ctx[v]) + sum(d2[min(c, 3)] for c in ctx[v]) / sum(ctx[v]) * low(w)
+    ds, ctx = {}, collections.defaultdict(list)
+    for k, c in counts.items():
+        kinds = [sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]
+        ds[k] = own_discounts(*kinds) if all(kinds) else [0, *kneser_ney.discounts(*kinds)]
+        ds[k] = [min(max(d, 0), n) for n, d in enumerate(ds[k])]
+        for g, n in c.items():
+            ctx[k, g[:-1]].append(n)
+
+    def p(g):
+        if not g:
+            return 1 / (size + 1)
+        own = ctx.get((len(g), g[:-1]))
+        if own is None:
+            return p(g[1:])
+        c, d = counts[len(g)][g], ds[len(g)]
+        return max(c - d[min(c, 3)], 0) / sum(own) + sum(d[min(n, 3)] for n in own) / sum(own) * p(g[1:])
 
     for i, ws in toks.items():
-        r = got[i]
+        r, x = got[i], padded(ws)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(one[w] > 0 for w in ws), total)
         assert abs(r.base_score - sum(math.log10((one[w] + 1) / (total + size + 1)) for w in ws)) < 1e-6
-        assert abs(r.score - sum(math.log10(p(v, w)) for v, w in zip(["<begin>", *ws], ws, strict=False))) < 1e-6
-    assert abs(sum(p("<begin>", w) for w in one) + p("<begin>", "never seen") - 1) < 1e-9  # it is a distribution
-    assert kneser_ney.train_and_score(odd[1]).count() == 5 and kneser_ney.train_and_score(empty(spark)).count() == 0
+        assert abs(r.score - sum(math.log10(p(tuple(x[j : j + order]))) for j in range(len(ws)))) < 1e-6
+    begin = ("<begin>",) * (order - 1)
+    assert abs(sum(p((*begin, w)) for w in one) + p((*begin, "never seen")) - 1) < 1e-9  # it is a distribution
+    assert kneser_ney.train_and_score(odd[1], order).count() == 5 and kneser_ney.train_and_score(empty(spark), order).count() == 0
+
+
+def test_language_model_of_few_open_shards(docs, monkeypatch):
+    info = kneser_ney.train(docs[1])
+    want = [(r.doc_id, r.score) for r in kneser_ney.score_documents(docs[1], info).collect()]
+    model = kneser_ney.Model(info)
+    monkeypatch.setattr(kneser_ney, "MOST", 1)
+    texts = dict(docs[0])
+    for i, score in want:
+        assert abs(model.score([(texts[i] or "").encode()])[3][0] - score) < 1e-9
 
 
 def test_a_missing_model_file_is_an_error(spark, docs):
@@ -472,10 +496,12 @@ def test_a_missing_model_file_is_an_error(spark, docs):
     import os
 
     info = kneser_ney.train(docs[1])
-    for f in glob.glob(info["path"].removeprefix("file:") + "/pair-*.count.npy"):
+    for f in glob.glob(info["path"].removeprefix("file:") + "/gram2-*.code.npy"):
         os.remove(f)
-    with pytest.raises(Exception, match="pair-"):
+    with pytest.raises(Exception, match="gram2-"):
         kneser_ney.score_documents(docs[1], info).collect()
+    with pytest.raises(ValueError, match="order"):
+        kneser_ney.train(docs[1], order=1)
 
 
 # -- 9
