@@ -55,3 +55,21 @@ def test_selection_is_diverse_and_bounded(spark):
 def test_near_duplicates(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e"]), (["a"], ["b"]), ([], [])], "a array<string>, b array<string>")
     assert [r.x for r in df.select(selection.near_duplicate(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, False]
+
+
+def test_fragments_meet_their_band_only(spark):
+    """Against brute force: a fragment and a richer passage of its story, at all distances around the edges of bands."""
+    tokens = "c string, p string, i int, frag boolean, heading string, page int"
+    rows = [("c", f"f{i}-{h}-{g}", i, True, h, g) for i in (0, 15, 16, 31, 40) for h, g in (("A", 1), ("A", None), (None, None))]
+    rows += [("c", f"r{i}-{h}-{g}", i, False, h, g) for i in (1, 17, 32, 47, 48, 57) for h, g in ((" a ", 1), ("A", None), ("B", 1), ("", None))]
+    df = spark.createDataFrame(rows, tokens)
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    own = df.select(
+        F.col("c").alias("claim_id"), F.col("p").alias("passage_id"), F.lit("s").alias("source_id"), F.col("i").alias("cand_idx"), "heading", "page", F.lit(5.0).alias("base_score"),
+        F.when(F.col("frag"), "$5 million").otherwise("Revenue was $5 million in the whole year.").alias("text"), words("number:5").alias("coverage"), words("revenue").alias("q_terms"),
+        F.when(F.col("frag"), words()).otherwise(words("revenue")).alias("terms"), words("5", "million").alias("tokens"), F.struct(words("5").alias("numbers"), words("5:million").alias("number_units"), words().alias("dates")).alias("c"),
+    )
+    place = lambda h: (h or "").strip().lower()
+    for band in (1, 3, 16):
+        got = {r.passage_id for r in scoring.adjusted(own, band).where("fragment_penalty > 0").collect()}
+        assert got == {f[1] for f in rows if f[3] and any(not r[3] and place(r[4]) == place(f[4]) and r[5] == f[5] and abs(r[2] - f[2]) <= band for r in rows)} != set()

@@ -23,6 +23,17 @@ def test_html_tables():
     assert read_html(page) == [("Table: Sales. Row: Units. Year 2024: 5. Year 2025: 7.", "T"), ("Row: Rate. Value: 3%.", "T")]
 
 
+def test_html_header_cells_over_rows_and_columns():
+    head = "<tr><th rowspan=2>Unit</th><th colspan=2>Year</th><th rowspan=99999999>Note</th></tr><tr><th>2024</th><th>2025</th></tr>"
+    body = "<tr><td>Sales</td><td>5</td><td>7</td><td>usd</td><td>9</td></tr><tr><td></td><td>Rate</td><td>3%</td></tr><tr><td>words</td><td>only</td></tr><tr><td>7</td></tr>"
+    want = ["Row: Sales. Year 2024: 5. Year 2025: 7. Note: usd. Column 5: 9.", "Row: Rate. Year 2024: Rate. Year 2025: 3%."]
+    assert [t for t, _ in read_html(f"<table>{head}{body}</table>")] == want
+    assert [t for t, _ in read_html(f"<table><thead>{head}</thead>{body}</table>")] == want
+    wide = "<table><tr><th>a</th><th colspan=150>b</th><th>c</th></tr><tr><td>x</td>" + "<td>1</td>" * 151 + "</tr></table>"
+    assert read_html(wide)[0][0].endswith(". b: 1. c: 1.") and "Column" not in read_html(wide)[0][0]
+    assert len(read_html("<table>" + "<tr><td>r</td><td>1</td></tr>" * 50 + "</table>")) == 40 and read_html("<table><tr></tr></table>") == []
+
+
 def test_html_nested_table_does_not_close_the_outer():
     texts = [t for t, _ in read_html("<table><tr><td>a</td><td>1<table><tr><td>in</td><td>2</td></tr></table></td></tr><tr><td>b</td><td>3</td></tr></table>")]
     assert "Row: b. Value: 3." in texts and "Row: in. Value: 2." in texts
