@@ -279,10 +279,12 @@ _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 
 
 class _Held:
-    """Ids by 64-bit key: sorted keys, and where their ids lie in one array."""
+    """Ids by 64-bit key: sorted keys, and where their ids lie in one array. Keys are hashes, so ranges of twice as many as there
+    are keys hold one or none as a rule: a key is looked for from the start of its range."""
 
     def __init__(self, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         self.keys, self.starts, self.sizes, self.ids = keys, starts, sizes, ids
+        self.first: np.ndarray | None = None
 
     @classmethod
     def none(cls) -> _Held:
@@ -292,8 +294,22 @@ class _Held:
         """Places of keys; -1 where there is none."""
         if not len(self.keys):
             return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+        bits = (2 * len(self.keys)).bit_length()
+        shift = U64(64 - bits)
+        if self.first is None:
+            sizes = np.bincount((self.keys >> shift).astype(np.int64), minlength=1 << bits)
+            self.first = np.concatenate([[0], np.cumsum(sizes)])
+        own = (keys >> shift).astype(np.int64)
+        at, end = self.first[own], self.first[own + 1]
+        out = np.full(len(keys), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[~hit & (here + 1 < end[left])]
+        return out
 
     def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids one after another) of places."""

@@ -429,6 +429,16 @@ def test_revisits_with_times_far_off(spark):
         assert collections.Counter((g.record_id, g.original_id) for g in warc.resolve_revisits(df, slices=slices).collect()) == want
 
 
+def test_keys_are_found_where_they_are():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 1000):
+        keys = np.unique(np.concatenate([r.integers(0, 1 << 64, n, dtype=np.uint64), np.arange(min(n, 40), dtype=np.uint64), (1 << 64) - 1 - np.arange(min(n, 3), dtype=np.uint64)]))
+        asked = np.concatenate([keys, keys[::-1], keys + np.uint64(1), r.integers(0, 1 << 64, 50, dtype=np.uint64)])
+        where = {int(k): i for i, k in enumerate(keys)}
+        held = common._Held(keys, keys, keys, keys)
+        assert held.find(asked).tolist() == held.find(asked).tolist() == [where.get(int(k), -1) for k in asked]
+
+
 # -- 7
 
 
