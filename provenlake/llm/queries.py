@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlake.llm import bpe, cross_polytope, jaccard_join, kneser_ney, packing, quality, rans, suffix_dedup, voronoi_knn, warc
+from provenlake.llm import bpe, conversation_sql, conversation_trie, cross_polytope, jaccard_join, kneser_ney, licenses, packing, quality, rans, repair, suffix_dedup, voronoi_knn, warc
 from provenlake.llm.common import documents, vocabulary
 
 
@@ -56,6 +56,18 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(documents(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build(documents(spark, sf_dir, "conversations"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_rans_ids": op9_rans_ids,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_license_scan": op13_license_scan,
 }
 
 _CANONICAL = r"""
@@ -80,6 +95,9 @@ _CANONICAL = r"""
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_structure_repair": conversation_sql.STRUCTURE_REPAIR,
+    "op12_prefix_trie": conversation_sql.PREFIX_TRIE,
+    "op13_license_scan": conversation_sql.LICENSE_SCAN,
     "op6_warc_revisits": rf"""
 WITH page AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest FROM pages WHERE page_id IS NOT NULL),
 own AS ({_CANONICAL.format(parts=warc.URL_PARTS, tracking=warc.TRACKING)}),
