@@ -18,6 +18,7 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 MONTH_PERIOD = r"(?iU)\b(" + MONTHS + r")(\s+(?:\d{1,2},\s+)?)(\d{4})\b"
 YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 QUARTER = r"(?iU)\b(?:q([1-4])|(first|second|third|fourth)\s+quarter)(?:\s+(?:of\s+)?(fy|fiscal\s+year)?\s*((?:19|20)\d{2}))?\b"
+QUARTER_YEAR = r"(?iU)\b((?:q[1-4]|(?:first|second|third|fourth)\s+quarter)\s+(?:of\s+)?(?:fy|fiscal\s+year)?\s*)(?:19|20)\d{2}\b"
 FISCAL_YEAR = r"(?iU)\b(fy|fiscal\s+year)(\s*)([12]\d{3})\b"
 TEMPORAL_YEAR = r"(?iU)\b((?:in|during|for|by|since|until|through|throughout|before|after|from)\s+(?:the\s+)?)((?:19|20)\d{2})\b"
 YEAR_RANGE = r"(?iU)\b((?:19|20)\d{2})(\s*(?:to|through|[-–])\s*)((?:19|20)\d{2})\b"

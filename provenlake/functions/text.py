@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +84,36 @@ def identity_terms(text: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.filter(own, lambda x: F.length(x) >= 4)), words(fixed.IDENTITY_EXCLUSIONS)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used: Catalyst finds no common parts in branches and lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def stems(pattern: str) -> list[str]:
+    """What the matches of a pattern ``\\b(one|two...)\\b`` begin with, without its operators: one literal for each alternative."""
+    body = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    if body.startswith("(") and body.endswith(")"):
+        body = body[1:-1]
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(body + "|"):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append(body[start:i])
+            start = i + 1
+    return sorted({re.sub(r"(?s)(?:[\[(.\\]|\w[?*]).*", "", x).lower() for x in out})
+
+
 def named(text: Column, table: list[tuple[str, str]]) -> Column:
-    """Names of the patterns of a table that a text matches, case-insensitively."""
-    return F.array_sort(F.array_compact(F.array(*(F.when(text.rlike("(?iU)" + p), F.lit(n)) for n, p in table))))
+    """Names of the patterns of a table that a text matches, case-insensitively. A pattern is tried only where the text holds the
+    beginning of one of its alternatives; letters that ignore case without having it leave all patterns to be tried."""
+    odd = F.lit(False)
+    for c in "ſıİK":
+        odd = odd | text.contains(c)
+
+    def found(low: Column, p: str) -> Column:
+        begun = odd
+        for stem in stems(p):
+            begun = begun | low.contains(stem)
+        return begun & text.rlike("(?iU)" + p)
+
+    return once(F.lower(text), lambda low: F.array_sort(F.array_compact(F.array(*(F.when(found(low, p), F.lit(n)) for n, p in table)))))

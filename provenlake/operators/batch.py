@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.operators import passages, review, scoring, selection
+from provenlake.operators import passages, retrieval, review, selection
 from provenlake.plans.store import settled
 from provenlake.sources import html, pdf_lines
 
@@ -59,8 +59,9 @@ def source_status(sources: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def evidence(claims: DataFrame, blocks: DataFrame, k: int = selection.MOST) -> DataFrame:
     """Up to k passages of each claim's source (claim_id, position, passage_id, source_id, text, retrieval_score)."""
-    found = settled(passages.passages(blocks))
-    return selection.diverse(scoring.adjusted(settled(scoring.scored(claims, found))), k)
+    own = settled(passages.passages(blocks))
+    chosen = retrieval.texts(selection.diverse(retrieval.found(claims, own), k), own)
+    return chosen.select("claim_id", "position", "passage_id", "source_id", "text", "retrieval_score")
 
 
 def review_claims(claims: DataFrame, sources: DataFrame, blocks: DataFrame, judge: Callable | None = None, k: int = selection.MOST) -> DataFrame:

@@ -86,12 +86,20 @@ def penalties(q: Column, c: Column, cov: Column) -> Column:
     return metric + period + currency + scope
 
 
-def scored(claims: DataFrame, passages: DataFrame) -> DataFrame:
-    """claims (claim_id, source_id, claim_text, local_context) with every passage of their source: coverage, base score. Of the
-    anchors only those stay with a pair that adjusted compares: pairs are many, and are written."""
-    q = claims.select("claim_id", "source_id", anchors(F.col("claim_text")).alias("q"), anchors(F.coalesce("local_context", F.lit(""))).alias("x"), identity_terms(F.col("claim_text")).alias("q_terms"))
-    c = passages.withColumn("c", anchors(F.trim(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text")))).withColumn("terms", identity_terms(F.col("text"))).withColumn("tokens", tokens(F.col("text")))
-    j = q.join(c, "source_id").withColumn("cov", coverage(F.col("q"), F.col("c"))).withColumn("central", is_central(F.col("cov")))
+def claims_read(claims: DataFrame) -> DataFrame:
+    """claims (claim_id, source_id, claim_text, local_context) with their anchors q, their context's x, and identity terms q_terms."""
+    return claims.select("claim_id", "source_id", anchors(F.col("claim_text")).alias("q"), anchors(F.coalesce("local_context", F.lit(""))).alias("x"), identity_terms(F.col("claim_text")).alias("q_terms"))
+
+
+def passages_read(passages: DataFrame) -> DataFrame:
+    """passages with their anchors c (heading and text), identity terms and tokens."""
+    said = F.trim(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text"))
+    return passages.withColumn("c", anchors(said)).withColumn("terms", identity_terms(F.col("text"))).withColumn("tokens", tokens(F.col("text")))
+
+
+def based(pairs: DataFrame) -> DataFrame:
+    """Pairs of claims_read and passages_read with central, coverage and base_score."""
+    j = pairs.withColumn("cov", coverage(F.col("q"), F.col("c"))).withColumn("central", is_central(F.col("cov")))
     j = j.withColumn("coverage", F.array_sort(F.array_distinct(F.when(F.col("central"), F.concat("cov", conflicts(F.col("q"), F.col("c"), F.col("cov")))).otherwise(F.array().cast("array<string>")))))
     base = (
         total(F.transform("coverage", weight))
@@ -102,25 +110,56 @@ def scored(claims: DataFrame, passages: DataFrame) -> DataFrame:
         - penalties(F.col("q"), F.col("c"), F.col("cov"))
         - F.lit(0.35) * boilerplate(F.col("heading"), F.col("text"))
     )
-    return j.withColumn("base_score", F.when(F.col("central"), base).otherwise(0.0)).drop("cov", "x", "q").withColumn("c", F.struct("c.numbers", "c.number_units", "c.dates"))
+    return j.withColumn("base_score", F.when(F.col("central"), base).otherwise(0.0))
+
+
+def scored(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """claims with every passage of their source: coverage, base score. Of the anchors only those stay with a pair that adjusted
+    compares: pairs are many, and are written. (retrieval.found makes only the pairs that can score.)"""
+    j = based(claims_read(claims).join(passages_read(passages), "source_id"))
+    return j.drop("cov", "x", "q").withColumn("c", F.struct("c.numbers", "c.number_units", "c.dates"))
+
+
+def marked(candidates: DataFrame) -> DataFrame:
+    """candidates with overlap (shared identity terms), kinds (of coverage, a number), fragment and place (the heading)."""
+    material = _kinds(F.col("coverage"))
+    only_numbers = F.size(F.array_except(material, F.array(F.lit("number"), F.lit("number_unit"), F.lit("date")))) == 0
+    fragment = (F.col("base_score") > 0) & (F.length(F.trim("text")) <= 64) & only_numbers & (F.array_contains(material, "number") | F.array_contains(material, "number_unit")) & (F.size("terms") == 0) & (F.size("tokens") <= 6)
+    return candidates.withColumn("overlap", F.size(F.array_intersect("q_terms", "terms"))).withColumn("kinds", F.size(material)).withColumn("fragment", fragment).withColumn("place", placed(F.col("heading")))
+
+
+def placed(heading: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(heading, F.lit(""))))
+
+
+def identity_bonus(overlap: Column, terms: Column) -> Column:
+    """What shared identity terms add: two or more, or the only one that a claim has."""
+    return F.when(overlap >= 2, F.least(F.lit(2.5) * overlap, F.lit(6.0))).when((overlap == 1) & (F.size(terms) == 1), 1.5).otherwise(0.0)
+
+
+def fragment_penalty() -> Column:
+    """Of a fragment (overlap, kinds) beside a richer passage (o_overlap, o_kinds)."""
+    return F.lit(6.0) + F.when(F.col("o_overlap") > F.col("overlap"), F.least((F.col("o_overlap") - F.col("overlap")) * F.lit(0.75), F.lit(2.0))).otherwise(0.0) + F.when(F.col("o_kinds") > F.col("kinds"), 0.75).otherwise(0.0)
+
+
+def same_story() -> Column:
+    """Whether a fragment (n, u, d) and a passage beside it (on, ou, od) tell of one number, with its unit or its period."""
+    return _meet(F.col("n"), F.col("on")) & (_meet(F.col("u"), F.col("ou")) | (F.size(matching_dates(F.col("d"), F.col("od"))) > 0))
+
+
+def richer() -> Column:
+    return (F.col("o_len") >= F.length("text") + 20) & ((F.col("o_overlap") > F.col("overlap")) | (F.col("o_kinds") > F.col("kinds")))
 
 
 def adjusted(candidates: DataFrame, band: int = 16) -> DataFrame:
     """Adds score: base score and identity bonus, less the penalty of bare fragments beside which a richer passage of the same
     story stands (same source, page and heading, at most ``band`` places away). Fragments meet the passages of their own and
     the two neighbouring bands only, by an equal join: a claim's passages are never paired with all of its fragments."""
-    both = F.size(F.array_intersect("q_terms", "terms"))
-    material = _kinds(F.col("coverage"))
-    only_numbers = F.size(F.array_except(material, F.array(F.lit("number"), F.lit("number_unit"), F.lit("date")))) == 0
-    fragment = (F.col("base_score") > 0) & (F.length(F.trim("text")) <= 64) & only_numbers & (F.array_contains(material, "number") | F.array_contains(material, "number_unit")) & (F.size("terms") == 0) & (F.size("tokens") <= 6)
-    own = candidates.withColumn("overlap", both).withColumn("kinds", F.size(material)).withColumn("fragment", fragment).withColumn("place", F.lower(F.trim(F.coalesce("heading", F.lit("")))))
-    bonus = F.when(F.col("overlap") >= 2, F.least(F.lit(2.5) * F.col("overlap"), F.lit(6.0))).when((F.col("overlap") == 1) & (F.size("q_terms") == 1), 1.5).otherwise(0.0)
+    own = marked(candidates)
+    bonus = identity_bonus(F.col("overlap"), F.col("q_terms"))
     at = F.floor(F.col("cand_idx") / F.lit(max(band, 1)))
     f = own.where("fragment").select("claim_id", "passage_id", "place", "page", "cand_idx", F.explode(F.array(at - 1, at, at + 1)).alias("band"), "text", "overlap", "kinds", F.col("c.numbers").alias("n"), F.col("c.number_units").alias("u"), F.col("c.dates").alias("d"))
     o = own.where("NOT fragment").select("claim_id", at.alias("band"), "place", F.col("page").alias("o_page"), F.col("cand_idx").alias("o_idx"), F.length("text").alias("o_len"), F.col("overlap").alias("o_overlap"), F.col("kinds").alias("o_kinds"), F.col("c.numbers").alias("on"), F.col("c.number_units").alias("ou"), F.col("c.dates").alias("od"))
-    story = _meet(F.col("n"), F.col("on")) & (_meet(F.col("u"), F.col("ou")) | (F.size(matching_dates(F.col("d"), F.col("od"))) > 0))
-    richer = (F.col("o_len") >= F.length("text") + 20) & ((F.col("o_overlap") > F.col("overlap")) | (F.col("o_kinds") > F.col("kinds")))
     beside = F.col("page").eqNullSafe(F.col("o_page")) & (F.abs(F.col("o_idx") - F.col("cand_idx")) <= band)
-    penalty = F.lit(6.0) + F.when(F.col("o_overlap") > F.col("overlap"), F.least((F.col("o_overlap") - F.col("overlap")) * F.lit(0.75), F.lit(2.0))).otherwise(0.0) + F.when(F.col("o_kinds") > F.col("kinds"), 0.75).otherwise(0.0)
-    worst = f.join(o, ["claim_id", "place", "band"]).where(beside & story & richer).groupBy("claim_id", "passage_id").agg(F.max(penalty).alias("fragment_penalty"))
+    worst = f.join(o, ["claim_id", "place", "band"]).where(beside & same_story() & richer()).groupBy("claim_id", "passage_id").agg(F.max(fragment_penalty()).alias("fragment_penalty"))
     return own.join(worst, ["claim_id", "passage_id"], "left").withColumn("identity_bonus", bonus).withColumn("fragment_penalty", F.coalesce("fragment_penalty", F.lit(0.0))).withColumn("score", F.col("base_score") + F.col("identity_bonus") - F.col("fragment_penalty"))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlake.functions import anchors, fixed, text
-from provenlake.operators import batch, coherence, evaluate, intake, passages, review, scoring, sections, selection
+from provenlake.operators import batch, coherence, evaluate, intake, passages, retrieval, review, scoring, sections, selection
 from provenlake.plans import corpus, oracles
-from provenlake.plans.store import settled
+from provenlake.plans.store import settled, spread
 from provenlake.sources import fetch, html, pdf_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,9 +120,10 @@ def block_numbers(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len(numbers) AS int) AS n_numbers, CAST(len(number_units) AS int) AS n_units, CAST(len(dates) AS int) AS n_dates, CAST(len(entities) AS int) AS n_entities, array_to_string(directions, '|') AS directions, array_to_string(scopes, '|') AS scopes, array_to_string(qualifiers, '|') AS qualifiers FROM ({oracles.anchors('SELECT doc_id, text FROM documents')})")
 def document_anchors(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    records = anchors.number_records(F.col("text"))
-    return d.select("doc_id", F.size(anchors.numbers(records)).alias("n_numbers"), F.size(anchors.number_units(records)).alias("n_units"), F.size(anchors.dates(F.col("text"))).alias("n_dates"), F.size(anchors.entities(F.col("text"))).alias("n_entities"), joined(text.named(F.col("text"), fixed.DIRECTIONS)).alias("directions"), joined(text.named(F.col("text"), fixed.SCOPES)).alias("scopes"), joined(text.named(F.col("text"), fixed.QUALIFIERS)).alias("qualifiers"))
+    d, t = spread(table(spark, sf_dir, "documents")), F.col("text")
+    counts = text.once(anchors.number_records(t), lambda r: F.struct(F.size(anchors.numbers(r)).alias("n_numbers"), F.size(anchors.number_units(r)).alias("n_units")))
+    names = [joined(text.named(t, table_)).alias(n) for n, table_ in (("directions", fixed.DIRECTIONS), ("scopes", fixed.SCOPES), ("qualifiers", fixed.QUALIFIERS))]
+    return d.select("doc_id", counts.alias("c"), F.size(anchors.dates(t)).alias("n_dates"), F.size(anchors.entities(t)).alias("n_entities"), *names).select("doc_id", "c.n_numbers", "c.n_units", "n_dates", "n_entities", "directions", "scopes", "qualifiers")
 
 
 @query(f"SELECT block_id, array_to_string(metric_phrases, '|') AS phrases FROM ({oracles.anchors(corpus.BLOCKS)})")
@@ -150,20 +151,34 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scoring.adjusted(settled(scoring.scored(claims(spark, sf_dir), found)))
 
 
+def _scores_shown(pairs: DataFrame) -> DataFrame:
+    return pairs.select("claim_id", "passage_id", joined(F.col("coverage")).alias("coverage"), F.round("base_score", 6).alias("base_score"), "identity_bonus", "fragment_penalty", F.round("score", 6).alias("score"))
+
+
 @query(oracles.scores())
 def scores(spark, sf_dir):
-    return _scored(spark, sf_dir).select("claim_id", "passage_id", joined(F.col("coverage")).alias("coverage"), F.round("base_score", 6).alias("base_score"), "identity_bonus", "fragment_penalty", F.round("score", 6).alias("score"))
+    return _scores_shown(_scored(spark, sf_dir))
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    return retrieval.found(claims(spark, sf_dir), settled(passages.passages(blocks(spark, sf_dir))))
+
+
+@query(oracles.scores() + " WHERE score > 0")
+def evidence_pairs(spark, sf_dir):
+    """The pairs that score, through inverted lists of anchors and terms."""
+    return _scores_shown(_found(spark, sf_dir))
 
 
 @query(oracles.top_passages())
 def top_passages(spark, sf_dir):
-    return selection.ranked(_scored(spark, sf_dir)).where(F.col("rank") <= selection.MOST).select("claim_id", "rank", "passage_id", F.bround("score", 3).alias("score"))
+    return selection.ranked(_found(spark, sf_dir)).where(F.col("rank") <= selection.MOST).select("claim_id", "rank", "passage_id", F.bround("score", 3).alias("score"))
 
 
 @query(oracles.diverse_passages())
 def diverse_passages(spark, sf_dir):
     """Flagship: the evidence for every claim."""
-    return selection.diverse(_scored(spark, sf_dir))
+    return batch.evidence(claims(spark, sf_dir), blocks(spark, sf_dir))
 
 
 # -- reviews ------------------------------------------------------------------------------------------------------------------

@@ -1,16 +1,29 @@
-"""HTML pages to text blocks with their headings, by Python's own event parser inside an Arrow map; tables row by row."""
+"""HTML pages to text blocks with their headings: markup as a table of events, everything else as relations over it.
+
+Python only lexes: a page becomes rows (events), each with its place, the innermost open table and text element around it, and for
+elements where they end. Regions that are not read make no rows. From there on Spark works:
+
+* text elements are groups of events; which of them are leaves, prose or headings is told of groups;
+* being inside <main> is a running maximum of where main elements end; the active heading is a window's last heading;
+* rows, cells and captions of tables are windows over a table's events; header cells are placed on the grid by a fold over a
+  table's header, and meet the body by column; a body row is a group of its cells.
+
+A page is one input row, whatever its id: pages of one id do not mix. Pages with a null id count, too; a null page is empty. Elements that
+are never closed end with the page, tables first, then the innermost one. An end tag closes the innermost open text element if it has its
+name, and nothing otherwise.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from itertools import count, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from provenlake.functions.text import collapse
+from provenlake.plans.store import settled, spread
 
 # Tags and roles.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -20,210 +33,271 @@ UNREAD = {"script", "style", "noscript", "svg", "template", "canvas", "iframe",
 VOID = {"embed", "input", "br", "img", "hr", "meta", "link", "area", "base", "col", "source", "track", "wbr"}
 ASIDE = {"nav", "footer", "aside"}
 ASIDE_ROLES = {"alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search", "tablist", "toolbar"}
-QUANTITY = re.compile(r"\d|%|percent|percentage points|basis points|bps|\$|usd|eur|gbp|cad|million|billion|trillion", re.I)
+TABLE_PARTS = {"thead", "tbody", "tfoot"}
+QUANTITY = r"(?iU)\d|%|percent|percentage points|basis points|bps|\$|usd|eur|gbp|cad|million|billion|trillion"
+WORD = "[A-Za-z0-9][A-Za-z0-9&'-]*"
 MOST_ROWS = 40
 #: Widest cell of the HTML standard; wider ones count as this.
 MOST_COLUMNS = 1000
 
+#: kind: main, table or block (elements, with upto), text, open or close (of parts of a table). in_table and in_block: the place
+#: (n) of the innermost open one, 0 for none; of a table its own, of a block the one around it.
+FIELDS = {"source_id": pa.string(), "page": pa.int64(), "n": pa.int32(), "kind": pa.string(), "tag": pa.string(), "in_table": pa.int32(), "in_block": pa.int32(), "upto": pa.int32(), "text": pa.string(), "cols": pa.int32(), "spans": pa.int32()}
+EVENTS = "source_id string, page long, n int, kind string, tag string, in_table int, in_block int, upto int, text string, cols int, spans int"
+BLOCK = "source_id string, block_ord int, block_id string, text string, heading string, page int, span string"
+
+#: What kind of element a tag makes. (Regions that are not read are told apart first.)
+KINDS = {"main": "main", "table": "table"} | dict.fromkeys(HEADINGS | BLOCKS | CONTAINERS, "block") | dict.fromkeys(TABLE_PARTS | {"tr", "td", "th", "caption"}, "part")
+
+
+def _span(value: str | None) -> int:
+    """A colspan or rowspan; 1 where it is none."""
+    digits = (value or "").strip()
+    return max(1, min(int(digits), 1 << 30)) if digits.isdecimal() and len(digits) < 20 else 1
+
+
+class _Lexer(HTMLParser):
+    """One page's events. Elements of a kind nest among themselves: each kind has its own stack of open ones."""
 
-def squeeze(text: str) -> str:
-    return " ".join(text.split())
-
-
-class _Table:
-    def __init__(self, heading: str | None, in_main: bool):
-        self.heading, self.in_main = heading, in_main
-        self.caption: list[str] = []
-        self.rows: list[tuple[str, list[dict]]] = []  # (part, cells)
-        self.part, self.cell, self.captioned = "", None, False
-
-    def begin(self, tag: str, attrs: dict) -> None:
-        if tag in ("thead", "tbody", "tfoot"):
-            self.part = tag
-        elif tag == "caption":
-            self.captioned = True
-        elif tag == "tr":
-            self.cell = None
-            self.rows.append((self.part, []))
-        elif tag in ("td", "th"):
-            if not self.rows:
-                self.rows.append((self.part, []))
-            span = lambda k: int(attrs[k]) if (attrs.get(k) or "").strip().isdigit() and int(attrs[k]) > 0 else 1
-            self.cell = {"head": tag == "th", "cols": min(span("colspan"), MOST_COLUMNS), "rows": span("rowspan"), "text": []}
-            self.rows[-1][1].append(self.cell)
-
-    def end(self, tag: str) -> None:
-        if tag in ("td", "th", "tr"):
-            self.cell = None
-        elif tag in ("thead", "tbody", "tfoot"):
-            self.part = ""
-        elif tag == "caption":
-            self.captioned = False
-
-    def data(self, text: str) -> None:
-        if self.cell is not None:
-            self.cell["text"].append(text)
-        elif self.captioned:
-            self.caption.append(text)
-
-    def texts(self) -> list[str]:
-        """A sentence for each body row that has a label and a quantity."""
-        rows = [(part, cells) for part, cells in self.rows if cells]
-        marked = any(part == "thead" for part, _ in rows)
-        first = next((i for i, (_, cells) in enumerate(rows) if not all(c["head"] for c in cells)), len(rows))
-        in_head = [part == "thead" if marked else i < first for i, (part, _) in enumerate(rows)]
-        names = _names([cells for (_, cells), head in zip(rows, in_head, strict=True) if head])
-        caption = squeeze("".join(self.caption))
-        said = (_sentence([squeeze("".join(c["text"])) for c in cells for _ in range(c["cols"])], names) for (_, cells), head in zip(rows, in_head, strict=True) if not head)
-        return [f"Table: {caption}. {x}" if caption else x for x in islice(filter(None, said), MOST_ROWS)]
-
-
-def _names(head: list[list[dict]]) -> list[str]:
-    """A name for each column: the distinct texts of the header cells that lie over it, from the top. Cells lie on a grid, each
-    in the first places of its row that no cell from above covers."""
-    grid: dict[tuple[int, int], str] = {}
-    for row, cells in enumerate(head):
-        free = (i for i in count() if (row, i) not in grid)
-        for cell in cells:
-            at, text = next(free), squeeze("".join(cell["text"]))
-            grid |= {(down, at + right): text for down in range(row, min(row + cell["rows"], len(head))) for right in range(cell["cols"])}
-    over: dict[int, dict[str, None]] = {}
-    for (_, column), text in sorted(grid.items()):
-        over.setdefault(column, {}).setdefault(text)
-    return [" ".join(filter(None, over.get(i, ()))) for i in range(max(over, default=-1) + 1)]
-
-
-def _sentence(values: list[str], names: list[str]) -> str | None:
-    """A body row in words: its label, the first text that it has, and each further value by its column's name."""
-    label = next(filter(None, values), None)
-    named = {i: v for i, v in enumerate(values) if i and v}
-    if label is None or not any(map(QUANTITY.search, named.values())):
-        return None
-    plain = "Value" if len(values) == 2 else "Column {}"
-    parts = [f"{dict(enumerate(names)).get(i) or plain.format(i + 1)}: {v}" for i, v in named.items()]
-    return f"Row: {label}. {'. '.join(parts)}."
-
-
-class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str | None, bool]] = []
-        self.heading: str | None = None
-        self.frames: list[dict] = []
-        self.tables: list[_Table] = []
-        self.unread, self.aside, self.main, self.saw_main = 0, [], 0, False
+        self.events: list[dict] = []
+        self.n = 0
+        self.open: dict[str, list[dict]] = {"main": [], "table": [], "block": []}
+        self.unread = 0
+        self.region: tuple[str, int] | None = None  # an excluded element and how many of its name are open in it
+
+    def _innermost(self, kind: str) -> int:
+        return self.open[kind][-1]["n"] if self.open[kind] else 0
+
+    def _place(self, kind: str, tag: str = "", **more) -> dict:
+        self.n += 1
+        event = {"n": self.n, "kind": kind, "tag": tag, "in_table": self._innermost("table"), "in_block": self._innermost("block"), "upto": None, "text": None, "cols": None, "spans": None} | more
+        self.events.append(event)
+        return event
+
+    def _end(self, kind: str) -> None:
+        self.n += 1
+        self.open[kind].pop()["upto"] = self.n
 
     def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        kind = KINDS.get(tag)
         if tag in UNREAD:
             self.unread += tag not in VOID
-            return
-        if self.aside:  # same-named elements within an excluded region are counted, so that it ends with itself
-            if tag == self.aside[-1][0]:
-                self.aside[-1][1] += 1
-            return
-        if tag in ASIDE or (dict(attrs).get("role") or "").strip().lower() in ASIDE_ROLES:
-            if tag not in VOID:
-                self.aside.append([tag, 1])
-            return
-        if tag == "main":
-            self.saw_main, self.main = True, self.main + 1
-        if self.unread:
-            return
-        if tag == "table":
-            self.tables.append(_Table(self.heading, self.main > 0))
-        elif self.tables:
-            self.tables[-1].begin(tag, dict(attrs))
-        elif tag in HEADINGS or tag in BLOCKS or tag in CONTAINERS:
-            if tag not in HEADINGS and self.frames:
-                self.frames[-1]["leaf"] = False
-            self.frames.append({"tag": tag, "main": self.main > 0, "leaf": True, "text": []})
+        elif self.region:
+            name, depth = self.region
+            self.region = name, depth + (tag == name)
+        elif tag in ASIDE or (given.get("role") or "").strip().lower() in ASIDE_ROLES:
+            self.region = None if tag in VOID else (tag, 1)
+        elif kind is None or self.unread or (kind == "part") != bool(self.open["table"] and kind not in ("main", "table")):
+            pass  # nothing here, or text elements within tables and parts outside of them
+        elif kind == "part":
+            self._place("open", tag, cols=min(_span(given.get("colspan")), MOST_COLUMNS), spans=_span(given.get("rowspan")))
+        else:
+            event = self._place(kind, tag)
+            self.open[kind].append(event)
+            if kind == "table":
+                event["in_table"] = event["n"]
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
+        if tag not in UNREAD or tag in VOID:
             self.handle_starttag(tag, attrs)
-        elif tag not in UNREAD:
-            self.handle_starttag(tag, attrs)
-            self.handle_endtag(tag)
+            if tag not in VOID:
+                self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        kind = KINDS.get(tag)
         if tag in UNREAD:
             self.unread = max(0, self.unread - (tag not in VOID))
-            return
-        if self.aside:
-            if tag == self.aside[-1][0]:
-                self.aside[-1][1] -= 1
-                if not self.aside[-1][1]:
-                    self.aside.pop()
-            return
-        if self.unread:
-            return
-        if self.tables:
-            if tag == "table":
-                self._table(self.tables.pop())
-            else:
-                self.tables[-1].end(tag)
-            return
-        if self.frames and self.frames[-1]["tag"] == tag:
-            self._frame(self.frames.pop())
-        if tag == "main":
-            self.main = max(0, self.main - 1)
+        elif self.region:
+            name, depth = self.region
+            depth -= tag == name
+            self.region = (name, depth) if depth else None
+        elif self.unread or kind is None:
+            pass
+        elif kind == "part":
+            if self.open["table"]:
+                self._place("close", tag)
+        elif self.open[kind] and self.open[kind][-1]["tag"] == tag and (kind == "table" or not self.open["table"]):
+            self._end(kind)
 
     def handle_data(self, data):
-        if self.unread or self.aside:
-            return
-        if self.tables:
-            self.tables[-1].data(data)
-        elif self.frames:
-            self.frames[-1]["text"].append(data)
-
-    def finish(self) -> list[tuple[str, str | None]]:
+        if not self.unread and not self.region and (self.open["table"] or self.open["block"]):
+            self._place("text", text=data)
+
+    def page(self, html: str) -> list[dict]:
+        self.feed(html)
         self.close()
-        while self.tables:
-            self._table(self.tables.pop())
-        while self.frames:
-            self._frame(self.frames.pop())
-        return [(t, h) for t, h, inside in self.found if inside or not self.saw_main]
-
-    def _table(self, table: _Table) -> None:
-        self.found += [(t, table.heading, table.in_main) for t in table.texts()]
-
-    def _frame(self, frame: dict) -> None:
-        text = squeeze("".join(frame["text"]))
-        if not text:
-            return
-        if frame["tag"] in HEADINGS:
-            self.heading = text
-            return
-        if frame["tag"] in CONTAINERS:
-            words = len(re.findall(r"[A-Za-z0-9][A-Za-z0-9&'-]*", text))
-            prose = len(text) >= 40 and words >= 5 or len(text) >= 16 and words >= 3 and re.search(r"\d", text)
-            if not frame["leaf"] or not prose:
-                return
-        self.found.append((text, self.heading, frame["main"]))
-
-
-def read_html(html: str) -> list[tuple[str, str | None]]:
-    """(text, heading) of a page's blocks, in order; only those of <main> where a page has it."""
-    reader = _Reader()
-    reader.feed(html)
-    return reader.finish()
+        for kind in ("table", "block", "main"):
+            while self.open[kind]:
+                self._end(kind)
+        return self.events
 
 
-def html_blocks(pages: DataFrame, id_col: str = "source_id", html_col: str = "html") -> DataFrame:
-    """source_id, block_ord, block_id, text, heading, page, span of every page; pages without text give no rows."""
+def lexed(html: str) -> list[dict]:
+    """The events of one page."""
+    return _Lexer().page(html)
+
+
+def events(pages: DataFrame, id_col: str = "source_id", html_col: str = "html") -> DataFrame:
+    """The events of all pages, a row each; settled, as several relations are made of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, i + 1, f"{s}-block-{i + 1}", t, h, None, f"html-block-{i + 1}") for s, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, (t, h) in enumerate(read_html(html or ""))]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["source_id", "block_ord", "block_id", "text", "heading", "page", "span"])
+            for source, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [e | {"source_id": source, "page": page} for e in lexed(html or "")]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema(list(FIELDS.items())))
+
+    own = spread(pages.select(F.col(id_col).cast("string").alias("source_id"), F.col(html_col).cast("string").alias("html")))
+    return settled(own.select("source_id", F.monotonically_increasing_id().alias("page"), "html").mapInArrow(run, EVENTS))
+
+
+def _said(parts: str = "parts") -> Column:
+    """Texts collected as (n, text) in one, white space collapsed."""
+    return collapse(F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), ""))
+
+
+def _in_main(found: DataFrame) -> DataFrame:
+    """Adds in_main (an open main element around it) and saw_main (the page has one)."""
+    page = Window.partitionBy("page").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    main = F.col("kind") == "main"
+    found = found.withColumn("in_main", F.coalesce(F.max(F.when(main, F.col("upto"))).over(page) > F.col("n"), F.lit(False)))
+    return found.withColumn("saw_main", F.max(main).over(Window.partitionBy("page")))
+
+
+def text_elements(found: DataFrame) -> DataFrame:
+    """Of events (with in_main): source_id, page, at (where it ends), tag, text, leaf, in_main, saw_main of every element that has text."""
+    text, block = F.col("kind") == "text", F.col("kind") == "block"
+    own = found.where((text & (F.col("in_table") == 0)) | block)
+    # a text counts for the element around it; an element for itself and, if it is no heading, as a child
+    inside = F.when(F.col("tag").isin(*HEADINGS), F.array("n")).otherwise(F.array("n", "in_block"))
+    own = own.withColumn("element", F.explode(F.when(text, F.array("in_block")).otherwise(inside))).where("element > 0")
+    itself = block & (F.col("element") == F.col("n"))
+    per = own.groupBy("page", "element").agg(
+        F.max(F.when(itself, F.struct("upto", "tag", "in_main", "saw_main", "source_id"))).alias("e"),
+        F.collect_list(F.when(text, F.struct("n", "text"))).alias("parts"),
+        (~F.max(block & ~itself)).alias("leaf"),
+    )
+    return per.select("e.source_id", "page", F.col("e.upto").alias("at"), "e.tag", _said().alias("text"), "leaf", "e.in_main", "e.saw_main").where("text != ''")
+
+
+def _is_prose(text: Column) -> Column:
+    words, size = F.regexp_count(text, F.lit(WORD)), F.length(text)
+    return ((size >= 40) & (words >= 5)) | ((size >= 16) & (words >= 3) & text.rlike(r"(?U)\d"))
+
+
+# -- tables ---------------------------------------------------------------------------------------------------------------
+
+
+def table_cells(found: DataFrame) -> DataFrame:
+    """Of events: page, in_table, cell (0: the caption), row, part, head, cols, spans, text. Rows are numbered from 1 among those
+    that have cells; a row that was never opened counts as one."""
+    table = Window.partitionBy("page", "in_table").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened, closed = F.col("kind") == "open", F.col("kind") == "close"
+    is_part, is_cell, row, caption = F.col("tag").isin(*TABLE_PARTS), F.col("tag").isin("td", "th"), F.col("tag") == "tr", F.col("tag") == "caption"
+    last = lambda value: F.last(value, ignorenulls=True).over(table)
+    own = found.where("in_table > 0").withColumns({
+        "part": F.coalesce(last(F.when(opened & is_part, F.col("tag")).when(closed & is_part, "")), F.lit("")),
+        "tr": F.count(F.when(opened & row, 1)).over(table),
+        "cell": F.coalesce(last(F.when(opened & is_cell, F.col("n")).when(row | (closed & is_cell), 0)), F.lit(0)),
+        "captioned": F.coalesce(last(F.when(caption, opened)), F.lit(False)),
+    })
+    text = (F.col("kind") == "text") & ((F.col("cell") > 0) | F.col("captioned"))
+    cells = own.where(text | (opened & is_cell)).groupBy("page", "in_table", "cell").agg(
+        F.max(F.when(opened & is_cell, F.struct("tr", "part", (F.col("tag") == "th").alias("head"), "cols", "spans"))).alias("c"),
+        F.collect_list(F.when(text, F.struct("n", "text"))).alias("parts"),
+    )
+    cells = cells.select("page", "in_table", "cell", "c.tr", "c.part", "c.head", "c.cols", "c.spans", _said().alias("text"))
+    rows = Window.partitionBy("page", "in_table").orderBy("tr")
+    return cells.withColumn("row", F.when(F.col("cell") > 0, F.dense_rank().over(rows) - F.max((F.col("cell") == 0).cast("int")).over(Window.partitionBy("page", "in_table"))))
+
+
+def with_header(cells: DataFrame) -> DataFrame:
+    """Adds in_head: rows of <thead> where a table has any with cells, else the leading rows of header cells alone."""
+    table, row = Window.partitionBy("page", "in_table"), Window.partitionBy("page", "in_table", "row")
+    own = cells.where("cell > 0").withColumn("all_head", F.min("head").over(row))
+    own = own.withColumn("thead", F.max(F.col("part") == "thead").over(row))
+    own = own.withColumn("leading", F.min("all_head").over(table.orderBy("row"))).withColumn("marked", F.max("thead").over(table))
+    return own.withColumn("in_head", F.when(F.col("marked"), F.col("thead")).otherwise(F.col("leading"))).drop("all_head", "thead", "leading", "marked")
+
+
+def placed_header(cells: DataFrame) -> DataFrame:
+    """page, in_table, top (header row from 1), left, cols, text: header cells on the grid, each at the first place of its row that no
+    cell from above covers. A fold over a table's header cells: where the next cell may lie, and what reaches down."""
+    order = Window.partitionBy("page", "in_table").orderBy("row")
+    heads = cells.where("in_head").withColumn("top", F.dense_rank().over(order))
+    heads = heads.groupBy("page", "in_table").agg(F.array_sort(F.collect_list(F.struct("top", "cell", "cols", "spans", "text"))).alias("heads"))
+    nothing = F.struct(F.lit(0).alias("top"), F.lit(0).alias("next"), F.array().cast("array<struct<last:int,left:int,right:int>>").alias("held"), F.array().cast("array<struct<top:int,left:int,cols:int,text:string>>").alias("placed"))
+
+    def place(s: Column, x: Column) -> Column:
+        start = F.when(x["top"] == s["top"], s["next"]).otherwise(0)
+        held = F.filter(s["held"], lambda h: h["last"] >= x["top"])
+        free = F.filter(F.concat(F.array(start), F.transform(held, lambda h: h["right"])), lambda c: (c >= start) & ~F.exists(held, lambda h: (h["left"] <= c) & (c < h["right"])))
+        left = F.array_min(free)
+        reach = F.array(F.struct((x["top"] + x["spans"] - 1).alias("last"), left.alias("left"), (left + x["cols"]).alias("right")))
+        return F.struct(
+            x["top"].alias("top"), (left + x["cols"]).alias("next"), F.when(x["spans"] > 1, F.concat(held, reach)).otherwise(held).alias("held"),
+            F.concat(s["placed"], F.array(F.struct(x["top"].alias("top"), left.alias("left"), x["cols"].alias("cols"), x["text"].alias("text")))).alias("placed"),
+        )
+
+    return heads.select("page", "in_table", F.explode(F.aggregate("heads", nothing, place, lambda s: s["placed"])).alias("p")).select("page", "in_table", "p.top", "p.left", "p.cols", "p.text")
+
+
+def column_names(placed: DataFrame) -> DataFrame:
+    """page, in_table, col, name: the distinct texts of the header cells over each column, from the top."""
+    over = placed.where("text != ''").select("page", "in_table", "top", "text", F.explode(F.sequence("left", F.col("left") + F.col("cols") - 1)).alias("col"))
+    texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda x: x["text"]))
+    return over.groupBy("page", "in_table", "col").agg(F.array_join(texts, " ").alias("name"))
+
+
+def row_sentences(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """page, in_table, row, text: each body row that has a label and a quantity, as a sentence; 40 a table at most."""
+    row = Window.partitionBy("page", "in_table", "row").orderBy("cell")
+    body = cells.where("NOT in_head").withColumn("start", F.sum("cols").over(row).cast("int") - F.col("cols"))
+    body = body.select("page", "in_table", "row", "text", F.explode(F.sequence("start", F.col("start") + F.col("cols") - 1)).alias("col"))
+    body = body.join(names, ["page", "in_table", "col"], "left").groupBy("page", "in_table", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "name"))).alias("values"))
+    plain = lambda v: F.when(F.size("values") == 2, "Value").otherwise(F.concat(F.lit("Column "), (v["col"] + 1).cast("string")))
+    named = F.filter("values", lambda v: (v["col"] > 0) & (v["text"] != ""))
+    label = F.get(F.filter("values", lambda v: v["text"] != ""), F.lit(0))["text"]
+    said = F.array_join(F.transform(named, lambda v: F.concat(F.coalesce(v["name"], plain(v)), F.lit(": "), v["text"])), ". ")
+    own = body.where(F.exists(named, lambda v: v["text"].rlike(QUANTITY))).select("page", "in_table", "row", F.concat(F.lit("Row: "), label, F.lit(". "), said, F.lit(".")).alias("text"))
+    return own.withColumn("r", F.row_number().over(Window.partitionBy("page", "in_table").orderBy("row"))).where(F.col("r") <= MOST_ROWS).drop("r")
+
+
+def table_rows(found: DataFrame) -> DataFrame:
+    """Of events (with in_main): source_id, page, at (where the table ends), head_at (where it begins), row, text, in_main, saw_main."""
+    cells = table_cells(found)
+    headed = with_header(cells)
+    rows = row_sentences(headed, column_names(placed_header(headed)))
+    captions = cells.where("cell = 0 AND text != ''").select("page", "in_table", F.col("text").alias("caption"))
+    tables = found.where("kind = 'table'").select("page", "in_table", "source_id", F.col("upto").alias("at"), "in_main", "saw_main")
+    whole = rows.join(captions, ["page", "in_table"], "left").join(tables, ["page", "in_table"])
+    return whole.select("source_id", "page", "at", F.col("in_table").alias("head_at"), "row", F.concat(F.coalesce(F.concat(F.lit("Table: "), "caption", F.lit(". ")), F.lit("")), "text").alias("text"), "in_main", "saw_main")
+
+
+# -- blocks ---------------------------------------------------------------------------------------------------------------
+
+
+def blocks_of(found: DataFrame) -> DataFrame:
+    """Blocks of events: those of <main> where a page has one, in the order in which they end, under the heading that ended last
+    before them (before it began, for a table)."""
+    own = _in_main(found)
+    is_heading = F.col("tag").isin(*HEADINGS)
+    elements = text_elements(own).where(~F.col("tag").isin(*CONTAINERS) | (F.col("leaf") & _is_prose(F.col("text"))))
+    elements = elements.select("source_id", "page", "at", F.col("at").alias("head_at"), F.lit(0).alias("row"), "text", "in_main", "saw_main", F.when(is_heading, F.col("text")).alias("own_heading"))
+    both = elements.unionByName(table_rows(own).withColumn("own_heading", F.lit(None).cast("string")))
+    before = Window.partitionBy("page").orderBy("head_at", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    headed = both.withColumn("heading", F.last("own_heading", ignorenulls=True).over(before)).where(F.col("own_heading").isNull() & (F.col("in_main") | ~F.col("saw_main")))
+    k = F.row_number().over(Window.partitionBy("page").orderBy("at", "row"))
+    numbered = headed.withColumn("k", k)
+    return numbered.select("source_id", F.col("k").alias("block_ord"), F.concat("source_id", F.lit("-block-"), "k").alias("block_id"), "text", "heading", F.lit(None).cast("int").alias("page"), F.concat(F.lit("html-block-"), "k").alias("span"))
+
 
-    own = pages.select(F.col(id_col).cast("string").alias("source_id"), F.col(html_col).cast("string").alias("html"))
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if own.rdd.getNumPartitions() < cores:
-        own = own.repartition(cores)
-    return own.mapInArrow(run, "source_id string, block_ord int, block_id string, text string, heading string, page int, span string")
+def html_blocks(pages: DataFrame, id_col: str = "source_id", html_col: str = "html") -> DataFrame:
+    """source_id, block_ord, block_id, text, heading, page, span of every page; pages without text give no rows."""
+    return blocks_of(events(pages, id_col, html_col))
 
 
 def extraction_status(sources: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -232,9 +306,3 @@ def extraction_status(sources: DataFrame, blocks: DataFrame) -> DataFrame:
     none = F.coalesce("n_blocks", F.lit(0)) == 0
     out = sources.join(n, "source_id", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
     return out.withColumn("extraction_status", F.when(~none, "extracted").when(F.col("source_kind") == "text_pdf", "ocr_required").otherwise("extraction_failed"))
-
-
-def main_only(blocks: DataFrame) -> DataFrame:
-    """Of blocks with in_main, those of the main part of sources that have one."""
-    has = F.max("in_main").over(Window.partitionBy("source_id"))
-    return blocks.withColumn("_has", has).where(F.col("in_main") | ~F.col("_has")).drop("_has")

@@ -1,42 +1,76 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from provenlake.sources import docx, fetch, pdf_lines
-from provenlake.sources.html import html_blocks, read_html
+from provenlake.sources.html import html_blocks
 from provenlake.streaming import files
 
 
-def test_html_prefers_main_and_skips_chrome():
-    page = "<nav><p>menu entry here</p></nav><h1>Top</h1><p>outside</p><main><h2>Inner</h2><p>Kept <b>text</b>.</p><div><div>ad</div></div><pre>code  x</pre></main>"
-    assert read_html(page) == [("Kept text.", "Inner"), ("code x", "Inner")]
+HEAD = "<tr><th rowspan=2>Unit</th><th colspan=2>Year</th><th rowspan=99999999>Note</th></tr><tr><th>2024</th><th>2025</th></tr>"
+BODY = "<tr><td>Sales</td><td>5</td><td>7</td><td>usd</td><td>9</td></tr><tr><td></td><td>Rate</td><td>3%</td></tr><tr><td>words</td><td>only</td></tr><tr><td>7</td></tr>"
+PAGES = {
+    "main": "<nav><p>menu entry here</p></nav><h1>Top</h1><p>outside</p><main><h2>Inner</h2><p>Kept <b>text</b>.</p><div><div>ad</div></div><pre>code  x</pre></main>",
+    "roles": "<input><p>a</p><div role=dialog><div>x</div><p>hidden</p></div><p>b</p>",
+    "unclosed": "<p>one<p>two</p><p>three</p>",
+    "table": "<h2>T</h2><table><caption>Sales</caption><thead><tr><th></th><th colspan=2>Year</th></tr><tr><th></th><th>2024</th><th>2025</th></tr></thead><tr><td>Units</td><td>5</td><td>7</td></tr><tr><td>Note</td><td>x</td><td>y</td></tr></table><table><tr><td>Rate</td><td>3%</td></tr></table>",
+    "spans": f"<table>{HEAD}{BODY}</table>",
+    "thead": f"<table><thead>{HEAD}</thead>{BODY}</table>",
+    "wide": "<table><tr><th>a</th><th colspan=150>b</th><th>c</th></tr><tr><td>x</td>" + "<td>1</td>" * 151 + "</tr></table>",
+    "many": "<table>" + "<tr><td>r</td><td>1</td></tr>" * 50 + "</table>",
+    "bare": "<table><tr></tr></table><td>5</td>",
+    "nested": "<table><tr><td>a</td><td>1<table><tr><td>in</td><td>2</td></tr></table></td></tr><tr><td>b</td><td>3</td></tr></table>",
+    "late": "<p>before</p><table><caption>C</caption><td>Loose</td><td>4</td></table><h3>After</h3><table><h4>no heading</h4><tr><td>x</td><td>5</td></table><div>a short one</div><div>revenue rose by 15 today</div>",
+    "odd": "<nav><div><nav>x</nav>y</div></nav><svg><p>gone</p></svg><main/><p>seen &amp; kept<br/>on</p></p></div><section>A wrapper with forty characters and more in it.<p>inner</p></section>",
+    "empty": "",
+    "grid": "<table><tr><th rowspan=3>A</th><th colspan=2>B</th><th>C</th></tr><tr><th>D</th><th rowspan=2>E</th><th>F</th></tr><tr><th>G</th><th>H</th></tr><tr><td>r</td><td>1</td><td>2</td><td>3</td></tr></table>",
+    "script": "<script>var a = '<p>no</p>';</script><p>yes</p><style>p{}</style>",
+}
 
 
-def test_html_void_tags_roles_and_unclosed_paragraphs():
-    assert read_html("<input><p>a</p><div role=dialog><div>x</div><p>hidden</p></div><p>b</p>") == [("a", None), ("b", None)]
-    assert [t for t, _ in read_html("<p>one<p>two</p><p>three</p>")] == ["two", "three", "one"]
+@pytest.fixture(scope="module")
+def html_pages(spark):
+    out = {k: [] for k in PAGES}
+    for r in html_blocks(spark.createDataFrame(list(PAGES.items()), "source_id string, html string")).orderBy("source_id", "block_ord").collect():
+        assert r.block_id == f"{r.source_id}-block-{r.block_ord}" and r.block_ord == len(out[r.source_id]) + 1
+        out[r.source_id].append((r.text, r.heading))
+    return out
 
 
-def test_html_tables():
-    page = "<h2>T</h2><table><caption>Sales</caption><thead><tr><th></th><th colspan=2>Year</th></tr><tr><th></th><th>2024</th><th>2025</th></tr></thead><tr><td>Units</td><td>5</td><td>7</td></tr><tr><td>Note</td><td>x</td><td>y</td></tr></table><table><tr><td>Rate</td><td>3%</td></tr></table>"
-    assert read_html(page) == [("Table: Sales. Row: Units. Year 2024: 5. Year 2025: 7.", "T"), ("Row: Rate. Value: 3%.", "T")]
+def test_html_prefers_main_and_skips_chrome(html_pages):
+    assert html_pages["main"] == [("Kept text.", "Inner"), ("code x", "Inner")]
+    assert html_pages["script"] == [("yes", None)]
 
 
-def test_html_header_cells_over_rows_and_columns():
-    head = "<tr><th rowspan=2>Unit</th><th colspan=2>Year</th><th rowspan=99999999>Note</th></tr><tr><th>2024</th><th>2025</th></tr>"
-    body = "<tr><td>Sales</td><td>5</td><td>7</td><td>usd</td><td>9</td></tr><tr><td></td><td>Rate</td><td>3%</td></tr><tr><td>words</td><td>only</td></tr><tr><td>7</td></tr>"
+def test_html_void_tags_roles_and_unclosed_paragraphs(html_pages):
+    assert html_pages["roles"] == [("a", None), ("b", None)]
+    assert [t for t, _ in html_pages["unclosed"]] == ["two", "three", "one"]
+    assert html_pages["odd"] == [] and html_pages["empty"] == []  # its <main> is empty
+
+
+def test_html_tables(html_pages):
+    assert html_pages["table"] == [("Table: Sales. Row: Units. Year 2024: 5. Year 2025: 7.", "T"), ("Row: Rate. Value: 3%.", "T")]
+    assert html_pages["late"] == [("before", None), ("Table: C. Row: Loose. Value: 4.", None), ("Row: x. Value: 5.", "After"), ("revenue rose by 15 today", "After")]
+
+
+def test_html_header_cells_over_rows_and_columns(html_pages):
     want = ["Row: Sales. Year 2024: 5. Year 2025: 7. Note: usd. Column 5: 9.", "Row: Rate. Year 2024: Rate. Year 2025: 3%."]
-    assert [t for t, _ in read_html(f"<table>{head}{body}</table>")] == want
-    assert [t for t, _ in read_html(f"<table><thead>{head}</thead>{body}</table>")] == want
-    wide = "<table><tr><th>a</th><th colspan=150>b</th><th>c</th></tr><tr><td>x</td>" + "<td>1</td>" * 151 + "</tr></table>"
-    assert read_html(wide)[0][0].endswith(". b: 1. c: 1.") and "Column" not in read_html(wide)[0][0]
-    assert len(read_html("<table>" + "<tr><td>r</td><td>1</td></tr>" * 50 + "</table>")) == 40 and read_html("<table><tr></tr></table>") == []
+    assert [t for t, _ in html_pages["spans"]] == want and [t for t, _ in html_pages["thead"]] == want
+    assert html_pages["wide"][0][0].endswith(". b: 1. c: 1.") and "Column" not in html_pages["wide"][0][0]
+    assert len(html_pages["many"]) == 40 and html_pages["bare"] == []
+    assert html_pages["grid"] == [("Row: r. B D G: 1. B E: 2. C F H: 3.", None)]
+
+
+def test_html_nested_table_does_not_close_the_outer(html_pages):
+    assert [t for t, _ in html_pages["nested"]] == ["Row: in. Value: 2.", "Row: a. Value: 1.", "Row: b. Value: 3."]
 
 
-def test_html_nested_table_does_not_close_the_outer():
-    texts = [t for t, _ in read_html("<table><tr><td>a</td><td>1<table><tr><td>in</td><td>2</td></tr></table></td></tr><tr><td>b</td><td>3</td></tr></table>")]
-    assert "Row: b. Value: 3." in texts and "Row: in. Value: 2." in texts
+def test_html_pages_of_one_id_and_none(spark):
+    rows = [("p", "<h1>A</h1><p>one</p>"), ("p", "<h1>B</h1><p>two</p>"), (None, "<p>three</p>"), ("q", None)]
+    got = html_blocks(spark.createDataFrame(rows, "source_id string, html string")).collect()
+    assert sorted((str(r.source_id), r.block_ord, r.text, str(r.heading)) for r in got) == [("None", 1, "three", "None"), ("p", 1, "one", "A"), ("p", 1, "two", "B")]
 
 
 def test_html_blocks_frame(spark):
