@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenlake.operators import passages, retrieval, review, selection
@@ -23,8 +23,9 @@ def text_pages(pages: DataFrame) -> DataFrame:
     prose = pdf_lines.prose(pages).select("source_id", F.col("page").cast("int").alias("page"), F.lit(0).alias("part"), F.lit(0).alias("k"), F.concat_ws("-page-", "source_id", "page").alias("block_id"), "text", F.lit(None).cast("string").alias("heading"), F.format_string("page-%d", F.col("page").cast("int")).alias("span"))
     rows = pdf_lines.table_rows(pages).select("source_id", "page", F.lit(1).alias("part"), F.col("block_ord").alias("k"), "block_id", "text", "heading", "span")
     both = prose.unionByName(rows)
-    # the place of a block: its page, prose first; at most 48 rows a page
-    return both.select("source_id", (F.col("page") * 100_000 + F.col("part") * 50_000 + F.col("k") % 50_000).cast("int").alias("block_ord"), "block_id", "text", "heading", "page", "span")
+    # the place of a block: by page, prose first
+    order = Window.partitionBy("source_id").orderBy("page", "part", "k", "block_id")
+    return both.select("source_id", F.row_number().over(order).alias("block_ord"), "block_id", "text", "heading", "page", "span")
 
 
 #: Readers by source kind: sources of that kind (source_id and a payload) to blocks. Others may be added.
@@ -45,8 +46,6 @@ def read_sources(sources: DataFrame, payloads: dict[str, DataFrame], readers: di
 
 def source_groups(items: DataFrame) -> DataFrame:
     """Per review the sources in the order in which items first name them, with their sentences: each is read once."""
-    from pyspark.sql.window import Window
-
     own = items.groupBy("review_id", "reference_id").agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence_id"))), lambda x: x["sentence_id"]).alias("sentence_ids"))
     return own.withColumn("group_ord", F.row_number().over(Window.partitionBy("review_id").orderBy("first", "reference_id"))).drop("first")
 
@@ -66,8 +65,11 @@ def evidence(claims: DataFrame, blocks: DataFrame, k: int = selection.MOST) -> D
 
 def review_claims(claims: DataFrame, sources: DataFrame, blocks: DataFrame, judge: Callable | None = None, k: int = selection.MOST) -> DataFrame:
     """Items: each claim with the state of its source, its packet of passages, and what became of it. Claims whose source is
-    not among the sources count as not fetched. One claim or many: the same plan."""
-    known = source_status(sources, blocks).select("source_id", "fetch_status", "failure_reason", "extraction_status")
+    not among the sources count as not fetched; of several rows of a source one that was fetched counts, so that claims stay single.
+    A source of a kind that no reader knows has no blocks, and counts as not extracted. One claim or many: the same plan."""
+    best = Window.partitionBy("source_id").orderBy((F.col("fetch_status") == "fetched").desc_nulls_last(), "source_kind", "failure_reason")
+    single = sources.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth")
+    known = source_status(single, blocks).select("source_id", "fetch_status", "failure_reason", "extraction_status")
     own = claims.join(known, "source_id", "left").withColumn("fetch_status", F.coalesce("fetch_status", F.lit("failed")))
     readable = blocks.join(known.where("extraction_status = 'extracted'").select("source_id"), "source_id", "left_semi")
     packed = review.payloads(own, evidence(claims, readable, k), k)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.operators import sections
+from provenlake.operators import review, sections
 
 COUNTS = ["contradicted", "unsupported", "unverified"]
 
@@ -46,15 +46,15 @@ def section_packets(texts: DataFrame, outcomes: DataFrame, claims: DataFrame, ga
 
 def assessed(packets: DataFrame, judge: Callable | None = None, schema: str = "report_id string, section_id string, summary string, needs_human_attention boolean") -> DataFrame:
     """Packets with a judge's words (a mapInPandas function giving ``schema``); without one, or where it says nothing of a
-    packet, they await one. Serves sections and, with a schema without section_id, whole reports."""
+    packet or several things, their output is invalid; without a judge they await one. Serves sections and, with a schema without section_id, whole reports."""
     names = [x.split()[0] for x in schema.split(", ")]
     keys = [k for k in ("report_id", "section_id") if k in names]
     if judge is None:
         blank = packets.withColumns({n: F.lit(None).cast(t) for n, t in (x.split() for x in schema.split(", ")) if n not in keys})
         return blank.withColumn("status", F.lit("awaiting_model_config"))
-    said = packets.mapInPandas(judge, schema).withColumn("_said", F.lit(True))
+    said = review.once_each(packets.mapInPandas(judge, schema), keys)
     out = packets.join(said, keys, "left")
-    return out.withColumn("status", F.when(F.col("_said"), "completed").otherwise("invalid_model_output")).drop("_said")
+    return out.withColumn("status", F.when(~F.col("_differ"), "completed").otherwise("invalid_model_output")).drop("_differ")
 
 
 def coherence_problem(reports: DataFrame, assessments: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WARNED = ["unsupported", "unverified"]
@@ -25,7 +25,7 @@ def prejudged(claims: DataFrame) -> DataFrame:
 
 def reviewed(claims: DataFrame, judge: Callable | None = None, verdicts: str = "claim_id string, verdict string, reason string") -> DataFrame:
     """Items: settled ones as they are; the others by ``judge`` (a mapInPandas function over them giving ``verdicts``), or
-    awaiting one. Only rows that need a judge reach it."""
+    awaiting one. Only rows that need a judge reach it. An item that it names twice with different words has no valid answer."""
     settled = prejudged(claims)
     done = settled.where("verdict IS NOT NULL").withColumn("status", F.lit("prejudge_unverified"))
     open_ = settled.where("verdict IS NULL").drop("verdict", "reason")
@@ -34,11 +34,19 @@ def reviewed(claims: DataFrame, judge: Callable | None = None, verdicts: str = "
     else:
         from provenlake.plans.corpus import VERDICTS
 
-        said = open_.mapInPandas(judge, verdicts).select("claim_id", "verdict", "reason")
+        said = once_each(open_.mapInPandas(judge, verdicts).select("claim_id", "verdict", "reason"), ["claim_id"]).where("NOT _differ").drop("_differ")
         rest = open_.join(said, "claim_id", "left").withColumn("status", F.when(F.col("verdict").isin(VERDICTS), "completed").otherwise("invalid_model_output")).withColumn("stopped_stage", F.lit("completed"))
     return done.unionByName(rest)
 
 
+def once_each(said: DataFrame, keys: list[str]) -> DataFrame:
+    """A judge's rows, one for each key; _differ where it said several things of it (the least of which stays)."""
+    own = Window.partitionBy(*keys)
+    rest = [c for c in said.columns if c not in keys]
+    rows = said.distinct().withColumns({"_differ": F.count(F.lit(1)).over(own) > 1, "_nth": F.row_number().over(own.orderBy(*rest))})
+    return rows.where("_nth = 1").drop("_nth")
+
+
 def judge_passages(said: DataFrame, packet: DataFrame) -> DataFrame:
     """Passage ids that a judge named, of those it was given only, in its order and as often."""
     given = packet.groupBy("claim_id").agg(F.collect_set("passage_id").alias("given"))

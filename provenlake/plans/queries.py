@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlake.functions import anchors, fixed, text
 from provenlake.operators import batch, coherence, evaluate, intake, passages, retrieval, review, scoring, sections, selection
-from provenlake.plans import corpus, oracles
+from provenlake.plans import corpus, oracles, page_sql, source_queries  # noqa: F401  (registers its queries)
+from provenlake.plans.registry import ORACLE_SQL, QUERIES, joined, query, table  # noqa: F401
 from provenlake.plans.store import settled, spread
 from provenlake.sources import fetch, html, pdf_lines
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """Corpus SQL over the driver's tables; types that only DuckDB names are put in Spark's words."""
     for n in names:
@@ -59,10 +40,6 @@ def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.sections(body.unionByName(refs))
 
 
-def joined(c: Column) -> Column:
-    return F.array_join(c, "|")
-
-
 # -- text ---------------------------------------------------------------------------------------------------------------
 
 _TOKENS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9&''/-]*'), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + "], x))))"
@@ -472,17 +449,39 @@ def _page_blocks(spark, sf_dir) -> DataFrame:
     return html.html_blocks(table(spark, sf_dir, "pages"), "page_id")
 
 
-@query()
+@query(page_sql.HTML_BLOCKS)
 def html_blocks(spark, sf_dir):
     return _page_blocks(spark, sf_dir).select("source_id", "block_ord", "block_id", "text", "heading", "span")
 
 
-@query()
+@query(page_sql.HTML_STATUS)
 def html_status(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("html").alias("source_kind"))
     return html.extraction_status(p, _page_blocks(spark, sf_dir))
 
 
+def _line_pages(spark, sf_dir) -> DataFrame:
+    """A page for each supplier: a table of its line items, under one of four headers; some rows have a cell of two columns, some no number."""
+    kind = F.col("l_suppkey") % 4
+    head = F.lit("")
+    for k, own in enumerate(page_sql.HEADERS):
+        head = F.when(kind == k, F.lit(own)).otherwise(head)
+    cell = lambda c, cols=1: F.concat(F.lit("<td>" if cols == 1 else f"<td colspan={cols}>"), c, F.lit("</td>"))
+    quantity, price = F.col("l_quantity").cast("bigint").cast("string"), F.floor("l_extendedprice").cast("bigint").cast("string")
+    values = F.when(F.col("l_linenumber") == 7, cell(F.lit("none"), 2)).when(F.col("l_linenumber") % 3 == 0, F.concat(cell(quantity, 2), cell(price))).otherwise(F.concat(cell(quantity), cell(price), cell(price)))
+    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("Line "), "l_orderkey", F.lit("/"), "l_linenumber")), values, F.lit("</tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", row.alias("t")))), lambda x: x["t"]), "\n")
+    own = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(rows.alias("rows"))
+    page = F.concat(F.lit("<h2>Supplier "), "l_suppkey", F.lit("</h2><table><caption>Lines of "), "l_suppkey", F.lit("</caption>"), head, "rows", F.lit("</table>"))
+    return own.select(F.col("l_suppkey").cast("string").alias("source_id"), page.alias("html"))
+
+
+@query(page_sql.HEADER_GRID)
+def html_header_grid(spark, sf_dir):
+    """Rows of tables under headers of cells that span rows and columns."""
+    return html.html_blocks(_line_pages(spark, sf_dir)).select("source_id", "block_ord", "text", "heading")
+
+
 _LINES = "SELECT CAST(o_custkey AS varchar) AS source_id, CAST(o_orderkey % 5 AS int) AS page, string_agg('Order ' || CAST(o_orderkey AS varchar) || '    ' || CAST(CAST(floor(o_totalprice) AS bigint) AS varchar) || '   ' || CAST(o_custkey AS varchar), chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY 1, 2"
 
 

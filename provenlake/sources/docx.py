@@ -1,15 +1,21 @@
-"""Word reports (.docx) to paragraphs, by the standard library inside an Arrow map."""
+"""Word reports (.docx): a table function from a package to its paragraphs, and the writer of plain packages.
+
+docx_paragraphs joins each file laterally with the function's rows. A file that is no report, or is damaged, gives one row with its error; a
+null path has no suffix, null content is no package, an empty document gives no rows. A package is held by one task while it is read."""
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 MOST_BYTES = 20 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -45,25 +51,43 @@ def read_docx(content: bytes) -> list[tuple[str | None, str]]:
     return out
 
 
+@udtf(returnType="ord int, style_id string, text string, error string")
+class DocxParagraphs:
+    """(path, content) to the package's paragraphs that have text, or to one row with the error."""
+
+    def eval(self, path: str, content: bytes) -> Iterator[tuple]:
+        problem = upload_problem(path or "", len(content or b""), content)
+        paragraphs: list[tuple[str | None, str]] = []
+        if problem is None:
+            try:
+                paragraphs = read_docx(bytes(content))
+            except (KeyError, ElementTree.ParseError, zipfile.BadZipFile, zlib.error):
+                problem = "no_document"
+        if problem:
+            yield 0, None, None, problem
+        for i, (style, text) in enumerate(paragraphs):
+            if text:
+                yield i + 1, style, text, None
+
+
 def docx_paragraphs(files: DataFrame) -> DataFrame:
     """files (path, content) to report_id, ord, style_id, text, error; a file that is no report gives one row with its error."""
+    spark = files.sparkSession
+    spark.udtf.register("docx_paragraphs", DocxParagraphs)
+    return spark.sql("SELECT f.path AS report_id, p.ord, p.style_id, p.text, p.error FROM {files} f, LATERAL docx_paragraphs(f.path, f.content) p", files=files.select("path", "content"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                problem = upload_problem(path or "", len(content or b""), content)
-                if problem is None:
-                    try:
-                        rows += [(path, i + 1, s, t, None) for i, (s, t) in enumerate(read_docx(content)) if t]
-                    except (KeyError, ElementTree.ParseError, zipfile.BadZipFile):
-                        problem = "no_document"
-                if problem:
-                    rows.append((path, 0, None, None, problem))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()], strict=True)], ["report_id", "ord", "style_id", "text", "error"])
-
-    return files.select("path", "content").mapInArrow(run, "report_id string, ord int, style_id string, text string, error string")
+def write_docx(paragraphs: list[tuple[str | None, str]]) -> bytes:
+    """A package of (style, text) paragraphs: a tab in a text is a tab, a line end a break."""
+    out = []
+    for style, text in paragraphs:
+        runs = re.sub("\n", "</w:t><w:br/><w:t>", re.sub("\t", "</w:t><w:tab/><w:t>", escape(text)))
+        look = f"<w:pPr><w:pStyle w:val={quoteattr(style)}/></w:pPr>" if style else ""
+        out.append(f"<w:p>{look}<w:r><w:t>{runs}</w:t></w:r></w:p>")
+    package = io.BytesIO()
+    with zipfile.ZipFile(package, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{"".join(out)}</w:body></w:document>')
+    return package.getvalue()
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenlake.functions.text import once
+from provenlake.sources.addresses import address, network_class
+
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
 
 
 def url_problem(url: Column) -> Column:
     """Why a URL is not fetched, or null: only http(s) with a public host is. Names are resolved elsewhere."""
     scheme, host = F.lower(F.regexp_extract(url, _PARTS, 1)), F.lower(F.regexp_extract(url, _PARTS, 2))
-    octet = lambda i: F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.split_part(host, F.lit("."), F.lit(i)).cast("int"))
-    a, b = octet(1), octet(2)
-    private = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    local = host.isin("localhost", "localhost.localdomain") | host.endswith(".localhost") | host.startswith("[::1") | host.startswith("[fe80") | host.startswith("[fc") | host.startswith("[fd")
-    return F.when(url.isNull() | ~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(local | F.coalesce(private, F.lit(False)), "private_address")
+    name = F.regexp_replace(host, r"\.$", "")
+    is_local = name.isin("localhost", "localhost.localdomain") | name.endswith(".localhost")
+    place = once(address(host), lambda at: F.when(at == "bad", "host").when(network_class(at) != "public", "private_address"))
+    return F.when(url.isNull() | ~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(is_local, "private_address").otherwise(place)
 
 
 def media_type(content_type: Column) -> Column:

@@ -100,6 +100,36 @@ def test_url_guard(spark):
     assert [r.p for r in df.collect()] == [None, "scheme", "private_address", "private_address", None, "private_address", "private_address", "scheme", "private_address"]
 
 
+def test_url_guard_in_other_words(spark):
+    local = ["[::ffff:127.0.0.1]", "[::]", "[fe90::1]", "2130706433", "0x7f.0.0.1", "127.1", "localhost.", "192.0.0.1", "198.18.0.1", "0177.0.0.1", "10.1", "[fe80::1%25eth0]", "[64:ff9b::7f00:1]", "[2002:7f00:1::]", "0", "a.localhost", "224.0.0.1", "[2001:db8::8]", "[::ffff:a00:1]", "127.0.0.1."]
+    public = ["8.8.8.8", "134744072", "192.0.0.9", "example.org.", "[2606:4700::1111]", "[::ffff:8.8.8.8]", "1e100.net", "0x08080808", "[2001:20::1]", "3com.com", "x.1a"]
+    bad = ["1.2.3.4.5", "256.1.1.1", "[::1", "[1:2:3]", "[1::2::3]", "09.1.1.1", "4294967296", "1.2.3.", "a.7", "[12345::]", "[::1.2.3.400]"]
+    df = spark.createDataFrame([(h, f"http://{h}/x") for h in [*local, *public, *bad]], "h string, u string").select("h", fetch.url_problem(F.col("u")).alias("p"))
+    got = {r.h: r.p for r in df.collect()}
+    assert {h: got[h] for h in local} == dict.fromkeys(local, "private_address")
+    assert {h: got[h] for h in public} == dict.fromkeys(public, None)
+    assert {h: got[h] for h in bad if h != "1.2.3."} == {h: "host" for h in bad if h != "1.2.3."}
+
+
+def test_network_classes_are_those_of_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from provenlake.sources import addresses
+
+    r, hosts = random.Random(3), []
+    for a, b, _, _ in addresses.ranges():
+        hosts += [max(a - 1, 0), a, b, min(b + 1, (1 << 128) - 1), r.randint(a, b)]
+    text = lambda x: str(ipaddress.ip_address(x - addresses.MAPPED)) if x >> 32 == 0xFFFF else f"[{ipaddress.IPv6Address(x)}]"
+    rows = spark.createDataFrame([(str(x), text(x)) for x in hosts], "x string, h string").select("x", addresses.address(F.col("h")).alias("a"), addresses.network_class(addresses.address(F.col("h"))).alias("k"))
+    for row in rows.collect():
+        x = int(row.x)
+        assert int(row.a, 16) == x
+        ip = ipaddress.ip_address(x - addresses.MAPPED) if x >> 32 == 0xFFFF else ipaddress.IPv6Address(x)
+        blocked = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified or ip in ipaddress.ip_network("100.64.0.0/10") or (ip.version == 6 and (ip.is_site_local or ip in ipaddress.ip_network("3fff::/20")))
+        assert (row.k != "public") == blocked, (ip, row.k)
+
+
 def test_resolution_order(spark):
     refs = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "reference_id string")
     t = lambda *rows: spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "reference_id string, body binary")
