@@ -337,7 +337,9 @@ class JaccardJoin:
             return members, shared.select(F.col("node").alias("a"), F.col("pnode").alias("b"))
         star = shared.where("node != pnode").where(self._may_link("", "p")).select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
         asked = shared.select("node").distinct()  # only nodes that share a prefix shingle are looked at again
-        nodes = stash(members.where("n > 0").join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr("if(doc_id IS NULL, key, NULL)")).alias("key"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps)), "nodes")
+        # copies are counted before they meet: a node that a third of all rows have is a row of each task
+        single = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr("if(doc_id IS NULL, key, NULL)")).alias("key"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in maps))
+        nodes = stash(single.join(asked, "node", "left_semi"), "nodes")
         first = nodes.select("node", "doc_id", "key")
 
         def side(name: str) -> DataFrame:
