@@ -32,7 +32,8 @@ MAGIC = b"rANSids1"
 CHECKPOINT = 256
 #: Ids in a block, about; a longer document has a block of its own.
 BLOCK = 1 << 19
-_NULL = -(1 << 63)
+#: The bit of a document's length that says that it has no doc_id; lengths are below it.
+_NULL, _LENGTH = 1 << 31, (1 << 31) - 1
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -188,31 +189,33 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int, with_space: bool =
         enc = library_encoder(tokenizer, "\n" if with_space else " 0 ")
         for batch in batches:
             ids = [np.frombuffer(x + end, "<u4") for x in enc([x or "" for x in batch.column(1).to_pylist()])]
-            own = np.array([_NULL if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            own = np.array([-(1 << 63) if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            sizes = np.array([len(x) for x in ids], np.uint32) | np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), _NULL, 0).astype(np.uint32)
             bucket = np.searchsorted(cuts, own.astype(np.float64), "right")
             order = np.argsort(bucket, kind="stable")
             rows: list[list] = [[], [], [], []]
             for b in np.unique(bucket):
                 part = order[bucket[order] == b]
-                for col, x in zip(rows, (int(b), pack(own[part]), pack(np.array([len(ids[i]) for i in part], np.uint32)), _packed(np.concatenate([ids[i] for i in part]))), strict=True):
+                for col, x in zip(rows, (int(b), pack(own[part]), pack(sizes[part]), _packed(np.concatenate([ids[i] for i in part]))), strict=True):
                     col.append(x)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "lengths", "ids"])
 
     def order(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         own = np.concatenate([unpack(x, "<i8") for x in rows["docs"].to_pylist()])
         n = np.concatenate([unpack(x, "<u4") for x in rows["lengths"].to_pylist()]).astype(np.int64)
+        none, n = n >> 31, n & _LENGTH
         flat = np.concatenate([_unpacked(x) for x in rows["ids"].to_pylist()])
         ends = np.cumsum(n)
         crc = np.zeros(len(n), np.uint32)
         again = np.isin(own, own[np.sort(own).searchsorted(own, "right") - np.sort(own).searchsorted(own) > 1]) if len(np.unique(own)) < len(own) else np.zeros(len(own), bool)
         for i in np.flatnonzero(again):
             crc[i] = zlib.crc32(flat[ends[i] - n[i] : ends[i]].tobytes())
-        rank = np.lexsort((crc, n, own))
+        rank = np.lexsort((crc, n, own, 1 - none))
         block = (np.cumsum(n[rank]) - n[rank]) // BLOCK
         for b in np.unique(block):
             part = rank[block == b]
             ids = np.concatenate([flat[ends[i] - n[i] : ends[i]] for i in part])
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([int(b)], pa.int32()), pa.array([len(ids)], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack(own[part]), pack(n[part].astype(np.uint32)), _packed(ids)))], ["bucket", "block", "n", "docs", "lengths", "ids"])
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([int(b)], pa.int32()), pa.array([len(ids)], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack(own[part]), pack((n[part] | none[part] << 31).astype(np.uint32)), _packed(ids)))], ["bucket", "block", "n", "docs", "lengths", "ids"])
 
     arrow_batches(docs.sparkSession)
     read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
@@ -284,13 +287,14 @@ def read_ids(spark, path: str, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             for bucket, block, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own, n, ids = from_block(payload, table)
+                none, n = n >> np.uint32(31), n & np.uint32(_LENGTH)
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(n.astype(np.int64))
                 for a in range(0, len(own), 1024):
                     part = slice(a, a + 1024)
                     texts = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends[part].tolist(), n[part].tolist(), strict=True)]
                     k = len(texts)
                     yield pa.record_batch(
-                        [pa.array([bucket] * k, pa.int32()), pa.array([block] * k, pa.int32()), pa.array([None if x == _NULL else x for x in own[part].tolist()], pa.int64()), pa.array(ends[part] - n[part], pa.int64()), pa.array(n[part].astype(np.int64)), pa.array([zlib.crc32(x) for x in texts], pa.int64()), *([pa.array(texts, pa.binary())] if with_ids else [])],
+                        [pa.array([bucket] * k, pa.int32()), pa.array([block] * k, pa.int32()), pa.array(own[part], pa.int64(), mask=none[part].astype(bool)), pa.array(ends[part] - n[part], pa.int64()), pa.array(n[part].astype(np.int64)), pa.array([zlib.crc32(x) for x in texts], pa.int64()), *([pa.array(texts, pa.binary())] if with_ids else [])],
                         ["bucket", "block", "doc_id", "at", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                     )
 
