@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.operators import evaluate, review
+from provenlake.operators import evaluate, item_log, judging, review
 from provenlake.plans import corpus
 from provenlake.plans.registry import joined, query, table
-from provenlake.sources import addresses, docx, fetch, records
+from provenlake.plans.store import shared_folder
+from provenlake.sources import addresses, docx, fetch, records, snapshots
 
 # -- reports as packages ----------------------------------------------------------------------------------------------------
 
@@ -252,3 +254,57 @@ def elapsed_times(spark, sf_dir):
     """Durations for people."""
     own = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.floor(F.col("value") * 1000).cast("long").alias("ms"))
     return own.select("event_id", records.elapsed(F.col("ms")).alias("elapsed"))
+
+
+# -- snapshots, judges, metrics, logs -------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT split_part(url, '?', 1) AS url, page_id AS fetched_at, html AS body FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'https://example.org/page-' || page_id % 40, page_id, html FROM pages)
+SELECT url, fetched_at, md5(body) AS digest, length(body) AS chars FROM c""")
+def snapshot_pages(spark, sf_dir):
+    """Pages written as a snapshot in two commits, and read back."""
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "pages")
+    snapshots.write(p.where("url IS NOT NULL").select(F.split_part("url", F.lit("?"), F.lit(1)).alias("url"), F.col("page_id").alias("fetched_at"), F.col("html").alias("body")), path)
+    snapshots.write(p.select(F.concat(F.lit("https://example.org/page-"), F.col("page_id") % 40).alias("url"), F.col("page_id").alias("fetched_at"), F.col("html").alias("body")), path)
+    return snapshots.read(spark, path).select("url", "fetched_at", F.md5("body").alias("digest"), F.length("body").cast("long").alias("chars"))
+
+
+def _rule(row: dict) -> tuple[str, str]:
+    """A judge without a model: by the last digits of an order, which fails for some."""
+    if row["ord"] % 97 == 0:
+        raise TimeoutError(f"no answer for {row['ord']}")
+    verdict = corpus.VERDICTS[row["ord"] % 5]
+    return verdict, f"{verdict} by order {row['ord']}"
+
+
+@query(f"""SELECT 'claim-' || o_orderkey AS claim_id, 'source-' || o_custkey % 7 AS source_id, CASE WHEN o_orderkey % 97 <> 0 THEN {corpus.VERDICTS!r}[o_orderkey % 5 + 1] END AS verdict, CASE WHEN o_orderkey % 97 <> 0 THEN {corpus.VERDICTS!r}[o_orderkey % 5 + 1] || ' by order ' || o_orderkey END AS reason,
+  CASE WHEN o_orderkey % 97 = 0 THEN 'TimeoutError: no answer for ' || o_orderkey END AS error, CAST(CASE WHEN o_orderkey % 97 = 0 THEN 2 ELSE 1 END AS int) AS attempts FROM orders""")
+def judged_claims(spark, sf_dir):
+    """Claims through the judge's seam: calls with bounded concurrency, failures as rows."""
+    own = table(spark, sf_dir, "orders").select(F.concat(F.lit("claim-"), "o_orderkey").alias("claim_id"), F.concat(F.lit("source-"), F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").alias("ord"))
+    return judging.judge(own, _rule, at_once=8, per_source=3)
+
+
+@query("""WITH v AS (SELECT o_custkey % 100 AS report_id, CASE WHEN o_orderkey % 5 = 0 THEN 'unsupported' ELSE 'supported' END AS want, CASE WHEN o_orderkey % 11 <> 3 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'unsupported' ELSE 'supported' END END AS got FROM orders),
+n AS (SELECT report_id, count(got) AS n, avg(CASE WHEN want = got THEN 1e0 ELSE 0e0 END) FILTER (got IS NOT NULL) AS agreed, avg(CASE WHEN want = 'supported' THEN 1e0 ELSE 0e0 END) FILTER (got IS NOT NULL) AS w, avg(CASE WHEN got = 'supported' THEN 1e0 ELSE 0e0 END) FILTER (got IS NOT NULL) AS g FROM v GROUP BY 1),
+b AS (SELECT report_id, avg(s) AS balanced FROM (SELECT report_id, want, avg(CASE WHEN want = got THEN 1e0 ELSE 0e0 END) AS s FROM v GROUP BY 1, 2) GROUP BY 1)
+SELECT report_id, round(CASE WHEN n = 0 THEN 0 WHEN w * g + (1 - w) * (1 - g) = 1 THEN 1 ELSE (agreed - (w * g + (1 - w) * (1 - g))) / (1 - (w * g + (1 - w) * (1 - g))) END, 6) AS agreement, round(balanced, 6) AS balanced_accuracy FROM n JOIN b USING (report_id)""")
+def custom_metrics(spark, sf_dir):
+    """Two registered metrics of expected and given verdicts, by report, in SQL."""
+    k = F.col("o_orderkey")
+    v = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("report_id"), F.when(k % 5 == 0, "unsupported").otherwise("supported").alias("want"), F.when(k % 11 != 3, F.when(k % 3 == 0, "unsupported").otherwise("supported")).alias("got"))
+    return judging.measured(v, "report_id", ["agreement", "balanced_accuracy"])
+
+
+_LOG = "SELECT user_id AS review_id, 'sentence-' || event_id % 5 AS sentence_id, 'reference-' || event_id % 3 AS reference_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'invalid_model_output' ELSE 'awaiting_model_config' END AS status, CASE WHEN event_type = 'purchase' THEN 'verdict-' || event_id % 4 END AS verdict FROM events"
+
+
+@query(f"""WITH l AS ({_LOG}), r AS (SELECT *, min(seq) OVER w AS first_seq, max(seq) OVER w AS last_seq, row_number() OVER (PARTITION BY review_id, sentence_id, reference_id ORDER BY status <> 'completed', CASE WHEN status = 'completed' THEN seq ELSE -seq END) AS k FROM l WINDOW w AS (PARTITION BY review_id, sentence_id, reference_id))
+SELECT review_id, sentence_id, reference_id, status, verdict, seq, first_seq, last_seq FROM r WHERE k = 1""")
+def item_states(spark, sf_dir):
+    """The latest state of each pair of a log of items; every event comes twice, and in no order."""
+    e = table(spark, sf_dir, "events")
+    i, kind = F.col("event_id"), F.col("event_type")
+    log = e.select(F.col("user_id").alias("review_id"), F.concat(F.lit("sentence-"), i % 5).alias("sentence_id"), F.concat(F.lit("reference-"), i % 3).alias("reference_id"), i.alias("seq"), F.when(kind == "purchase", "completed").when(kind == "error", "invalid_model_output").otherwise("awaiting_model_config").alias("status"), F.when(kind == "purchase", F.concat(F.lit("verdict-"), i % 4)).alias("verdict"))
+    return item_log.latest(log.unionByName(log))
