@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenlake.operators import review, sections
@@ -73,3 +73,50 @@ def report_packets(coverage: DataFrame, gates: DataFrame, assessments: DataFrame
     renamed = assessments.where(done).select(F.col("report_id").alias("review_id"), "section_ord", "heading", F.coalesce("needs_human_attention", F.lit(False)).alias("needs_human_attention"), "risks")
     risks = sections.report_risks(gates.withColumnRenamed("report_id", "review_id"), renamed).withColumnRenamed("review_id", "report_id")
     return coverage.join(gates.select("report_id", F.col("status").alias("gate"), *COUNTS), "report_id").join(per, "report_id", "left").join(risks, "report_id", "left")
+
+
+# -- what section and report judges are asked, and what they may answer ---------------------------------------------------
+
+#: Fields of a section judge's answer and of a report judge's (fixed values): a summary, lists of sentences, and a flag.
+SECTION_LISTS = ["factual_strengths", "factual_gaps", "insight_issues", "unresolved_risks", "recommended_revisions"]
+REPORT_LISTS = ["coherence_strengths", "coherence_issues", "soundness_issues", "noteworthy_patterns", "priority_actions", "unresolved_risks"]
+
+
+def _bullets(values: Column, none: str = "- none") -> Column:
+    lines = F.array_join(F.transform(values, lambda v: F.concat(F.lit("- "), v)), "\n")
+    return F.when(F.size(values) > 0, lines).otherwise(none)
+
+
+def section_prompts(packets: DataFrame) -> DataFrame:
+    """report_id, section_id, prompt of section packets: the section, its text or synopsis, checked claims, coverage, gate, risks."""
+    claims = _bullets(F.coalesce(F.transform("checked_claims", lambda c: F.concat(c["sentence_id"], F.lit(" ["), c["verdict"], F.lit("] "), c["claim_text"])), F.array().cast("array<string>")))
+    counts = F.concat_ws(", ", *(F.concat(F.lit(f"{n} "), n) for n in ("checked", *COUNTS, "deselected")))
+    gate = F.concat(F.lit("Gate: "), F.coalesce("status", F.lit("unknown")), F.when(F.col("stop_recommended"), "; stop and fix first").otherwise(""))
+    kind = F.when(F.col("oversized"), "Synopsis (the section is long)").otherwise("Text")
+    parts = [F.concat(F.lit("Section "), "section_id", F.lit(", "), "word_count", F.lit(" words")), F.concat(kind, F.lit(":\n"), F.coalesce("section_text", F.lit(""))), F.concat(F.lit("Checked claims:\n"), claims), F.concat(F.lit("Coverage: "), counts), gate, F.concat(F.lit("Open risks:\n"), _bullets(F.col("risks")))]
+    return packets.select("report_id", "section_id", F.concat_ws("\n\n", *parts).alias("prompt"))
+
+
+def report_prompts(packets: DataFrame) -> DataFrame:
+    """report_id, prompt of report packets: coverage, the gate, a line for each section's digest, open risks."""
+    digest = F.transform("digests", lambda d: F.concat_ws(" ", d["section_id"], F.concat(F.lit("("), d["heading"], F.lit(")")), F.concat_ws(", ", *(F.concat(F.lit(f"{n} "), d[n]) for n in ("checked", *COUNTS, "deselected"))), F.when(d["needs_human_attention"], "needs a human"), F.concat(F.lit("- "), d["summary"])))
+    parts = [F.concat(F.lit("Report "), "report_id", F.lit(": "), "completed_sections", F.lit(" of "), "eligible_sections", F.lit(" sections read")), F.concat_ws(", ", F.concat(F.lit("Gate: "), "gate"), *(F.concat(F.lit(f"{n} "), n) for n in ("selected", "deselected", *COUNTS))), F.concat(F.lit("Sections:\n"), _bullets(F.col("digests_said"))), F.concat(F.lit("Open risks:\n"), _bullets(F.coalesce("risks", F.array().cast("array<string>"))))]
+    return packets.withColumn("digests_said", F.coalesce(digest, F.array().cast("array<string>"))).select("report_id", F.concat_ws("\n\n", *parts).alias("prompt"))
+
+
+def answers(raw: DataFrame, summary: str = "summary", lists: list[str] | None = None) -> DataFrame:
+    """raw (keys, output JSON) with the fields of a judge's answer. An answer is valid if it is an object whose summary is a text and
+    whose lists, where given, are lists of texts; lists that are not given are empty, the flag is false. Others have nulls."""
+    lists = SECTION_LISTS if lists is None else lists
+    o = F.try_parse_json("output")
+    text = F.try_variant_get(o, f"$.{summary}", "string")
+    is_text = F.schema_of_variant(F.try_variant_get(o, f"$.{summary}", "variant")) == "STRING"
+    own = {n: F.try_variant_get(o, f"$.{n}", "array<string>") for n in lists}
+    given = {n: F.try_variant_get(o, f"$.{n}", "variant") for n in lists}
+    typed = [given[n].isNull() | F.schema_of_variant(given[n]).isin("ARRAY<STRING>", "ARRAY<VOID>") for n in lists]
+    flag = F.try_variant_get(o, "$.needs_human_attention", "boolean")
+    valid = F.coalesce(is_text & F.forall(F.array(*typed), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    rest = [c for c in raw.columns if c != "output"]
+    found = raw.select(*rest, valid.alias("valid"), text.alias(summary), *(own[n].alias(n) for n in lists), flag.alias("needs_human_attention"))
+    empty = F.array().cast("array<string>")
+    return found.select(*rest, "valid", F.when(F.col("valid"), F.col(summary)).alias(summary), *(F.when(F.col("valid"), F.coalesce(n, empty)).alias(n) for n in lists), F.when(F.col("valid"), F.coalesce("needs_human_attention", F.lit(False))).alias("needs_human_attention"))

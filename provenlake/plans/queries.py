@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlake.functions import anchors, fixed, text
-from provenlake.operators import batch, coherence, evaluate, intake, passages, retrieval, review, scoring, sections, selection
+from provenlake.operators import batch, coherence, evaluate, export, intake, passages, retrieval, review, scoring, sections, selection
 from provenlake.plans import corpus, oracles, page_sql, source_queries  # noqa: F401  (registers its queries)
 from provenlake.plans.registry import ORACLE_SQL, QUERIES, joined, query, table  # noqa: F401
 from provenlake.plans.store import settled, spread
@@ -251,9 +251,12 @@ _WORKERS = "SELECT user_id AS review_id, event_id AS worker_id, epoch_us(ts) //
 r AS (SELECT review_id, sum(d) OVER (PARTITION BY review_id ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS a FROM e)
 SELECT review_id, CAST(max(a) AS bigint) AS max_concurrency, CAST((SELECT sum(finish_ms - start_ms) FROM w WHERE w.review_id = r.review_id) AS bigint) AS sequential_ms FROM r GROUP BY review_id""")
 def max_concurrency(spark, sf_dir):
+    return review.timings(_workers(spark, sf_dir))
+
+
+def _workers(spark, sf_dir) -> DataFrame:
     ms = F.expr("unix_millis(to_timestamp(ts))")
-    w = table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("review_id"), F.col("event_id").alias("worker_id"), ms.alias("start_ms"), (ms + F.floor(F.col("value") * 100000)).alias("finish_ms"))
-    return review.timings(w)
+    return table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("review_id"), F.col("event_id").alias("worker_id"), ms.alias("start_ms"), (ms + F.floor(F.col("value") * 100000)).alias("finish_ms"))
 
 
 # -- reports ------------------------------------------------------------------------------------------------------------------
@@ -423,6 +426,74 @@ def markdown_export(spark, sf_dir):
     return sections.markdown(review.gate(own), own)
 
 
+_EXPORT = f"""WITH i AS MATERIALIZED (SELECT *, 'https://example.org/' || ord AS url FROM ({corpus.ITEMS})),
+cov AS (SELECT review_id, count(*) AS selected, count(DISTINCT reference_id) AS sources, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'awaiting_model_config') AS awaiting, count(*) FILTER (status = 'prejudge_unverified') AS prejudged FROM i GROUP BY 1),
+tot AS (SELECT c_custkey AS review_id, c_custkey % 30 AS total FROM customer),
+wk AS ({_WORKERS}), ev AS (SELECT review_id, start_ms AS moment, 1 AS d FROM wk UNION ALL SELECT review_id, finish_ms, -1 FROM wk),
+tm AS (SELECT r.review_id, max(a) AS most, any_value(ms) AS ms FROM (SELECT review_id, sum(d) OVER (PARTITION BY review_id ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS a FROM ev) r JOIN (SELECT review_id, CAST(sum(finish_ms - start_ms) AS bigint) AS ms FROM wk GROUP BY 1) s USING (review_id) GROUP BY 1),
+vc AS (SELECT review_id, verdict, count(*) AS n FROM i WHERE verdict IS NOT NULL GROUP BY 1, 2),
+att AS (SELECT review_id, reference_id, min(ord) AS first FROM i WHERE {_BAD} GROUP BY 1, 2),
+sec AS (SELECT c_custkey AS review_id, k FROM customer, (VALUES (1), (2)) v(k) WHERE c_custkey % 3 = 0 AND c_custkey IN (SELECT review_id FROM i)),
+g AS (SELECT *, {_STATUS} AS status FROM ({_GATE})),
+part AS (
+  SELECT review_id, 0 AS part, CAST(0 AS bigint) AS place, ['# Claim review', '', '- Review: ' || review_id, '- Selected claims: ' || selected, '- Sources: ' || sources, '- Completed: ' || completed, '- Awaiting a model: ' || awaiting, '- Settled without a judge: ' || prejudged]
+    || CASE WHEN most IS NULL THEN [] ELSE ['- Workers at once: ' || most, '- Worker time: ' || CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 60000 THEN printf('%.1f', ms / 1000) || ' s' ELSE ms // 60000 || ' min ' || ms % 60000 // 1000 || ' s' END] END
+    || ['', '## Coverage', '', '- Selected of available: ' || selected || ' of ' || total, '- Unresolved: ' || (selected - completed), '- Deselected: ' || greatest(total - selected, 0)] AS lines FROM cov JOIN tot USING (review_id) LEFT JOIN tm USING (review_id)
+  UNION ALL SELECT review_id, 1, 0, ['', '## Gate', '', '- Recommendation: ' || status, '- Contradicted: ' || contradicted, '- Unsupported: ' || unsupported, '- Unverified: ' || unverified, '- Pending: ' || pending] FROM g
+  UNION ALL SELECT DISTINCT review_id, 2, -1, ['', '## Verdicts', ''] FROM vc
+  UNION ALL SELECT review_id, 2, row_number() OVER (PARTITION BY review_id ORDER BY verdict), ['- ' || verdict || ': ' || n] FROM vc
+  UNION ALL SELECT DISTINCT review_id, 3, -1, ['', '## Claims', ''] FROM i
+  UNION ALL SELECT review_id, 3, ord, ['### Order ' || ord || ' was right.', '', '- Sentence: ' || sentence_id, '- Source: ' || reference_id, '- Status: ' || status, '- Verdict or stage: ' || coalesce(verdict, status), '- Reason: ' || CASE WHEN ord % 3 = 0 THEN 'Reason ' || ord ELSE 'No reason was given.' END, '- Recommended action: ' || CASE WHEN ord % 4 = 0 THEN 'Check ' || ord ELSE 'Settle the current stage before relying on this claim.' END]
+    || CASE ord % 3 WHEN 0 THEN [] WHEN 1 THEN ['- Passages:', '  - p1: Text one of ' || ord] ELSE ['- Passages:', '  - p1: Text one of ' || ord, '  - p2: Text two of ' || ord] END || [''] FROM i
+  UNION ALL SELECT DISTINCT review_id, 4, -1, ['', '## Sources that need a copy', ''] FROM att
+  UNION ALL SELECT review_id, 4, row_number() OVER (PARTITION BY review_id ORDER BY reference_id), ['- ' || reference_id || ': ' || CASE WHEN first % 2 = 0 THEN 'The server timed out.' ELSE '{review.UNREADABLE}' END] FROM att
+  UNION ALL SELECT DISTINCT review_id, 5, -1, ['', '## Sections', ''] FROM sec
+  UNION ALL SELECT review_id, 5, k, CASE k WHEN 1 THEN ['### Document', '', '- Status: completed', '- Summary: Read.', '- Unresolved risks:', '  - one', '  - two', ''] ELSE ['### Results', '', '- Status: awaiting_model_config', '- Summary: No assessment was returned.', ''] END FROM sec
+  UNION ALL SELECT review_id, 6, -1, ['', '## The whole report', ''] FROM sec WHERE k = 1
+  UNION ALL SELECT review_id, 6, 0, ['- Status: completed', '- Report: Whole ' || review_id, '- Patterns:', '  - p', '- Actions:', '  - a', '  - b', ''] FROM sec WHERE k = 1)
+SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY part, place, j) AS int) AS line_no, line FROM (SELECT review_id, part, place, unnest(lines) AS line, generate_subscripts(lines, 1) AS j FROM part)"""
+
+
+@query(_EXPORT)
+def review_export(spark, sf_dir):
+    """Every review as lines of Markdown: header, coverage, gate, verdicts, claims with reasons and passages, sources, sections, report."""
+    k, none = F.col("ord"), F.array().cast("array<string>")
+    own = items(spark, sf_dir).withColumns({
+        "canonical_url": F.concat(F.lit("https://example.org/"), k), "failure_reason": F.when(k % 2 == 0, "The server timed out."), "claim_text": F.concat(F.lit("Order "), k, F.lit(" was right.")),
+        "reason": F.when(k % 3 == 0, F.concat(F.lit("Reason "), k)), "action": F.when(k % 4 == 0, F.concat(F.lit("Check "), k)),
+        "passages": F.slice(F.array(*(F.struct(F.lit(f"p{i}").alias("passage_id"), F.concat(F.lit(f"Text {w} of "), k).alias("text")) for i, w in ((1, "one"), (2, "two")))), 1, (k % 3).cast("int")),
+    })
+    totals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("review_id"), (F.col("c_custkey") % 30).alias("total_available"))
+    some = own.select("review_id").distinct().where("review_id % 3 = 0")
+    first = F.col("section_ord") == 1
+    sections_ = some.select("review_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("section_ord")).select("review_id", "section_ord", F.when(~first, "Results").alias("heading"), F.when(first, "completed").otherwise("awaiting_model_config").alias("status"), F.when(first, "Read.").alias("summary"), F.when(first, F.array(F.lit("one"), F.lit("two"))).otherwise(none).alias("risks"), none.alias("revisions"))
+    whole = some.select("review_id", F.lit("completed").alias("status"), F.concat(F.lit("Whole "), "review_id").alias("summary"), F.array(F.lit("p")).alias("patterns"), F.array(F.lit("a"), F.lit("b")).alias("actions"), none.alias("risks"))
+    return export.markdown_lines(own, review.coverage(own, totals), review.timings(_workers(spark, sf_dir)), sections_, whole)
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS report_id, c_custkey % 6 AS d FROM customer)
+SELECT report_id, d NOT IN (1, 2, 3, 4) AS valid, CASE WHEN d NOT IN (1, 2, 3, 4) THEN 'Read ' || report_id END AS summary, CASE WHEN d NOT IN (1, 2, 3, 4) THEN CASE WHEN d = 0 THEN 'a|b' ELSE '' END END AS unresolved_risks, CASE WHEN d NOT IN (1, 2, 3, 4) THEN d = 5 END AS needs_human_attention FROM p""")
+def section_answers(spark, sf_dir):
+    """A section judge's answers checked against their schema: a wrong summary, a wrong list, no object and no JSON are not valid."""
+    d = F.col("report_id") % 6
+    said = F.concat(F.lit('"summary": "Read '), "report_id", F.lit('"'))
+    output = F.when(d == 0, F.concat(F.lit("{"), said, F.lit(', "unresolved_risks": ["a", "b"], "factual_gaps": []}'))).when(d == 1, '{"summary": 7}').when(d == 2, F.concat(F.lit("{"), said, F.lit(', "factual_gaps": "none"}'))).when(d == 3, "[1]").when(d == 4, "no JSON").otherwise(F.concat(F.lit("{"), said, F.lit(', "needs_human_attention": true, "more": 1}')))
+    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("report_id")).withColumn("output", output)
+    return coherence.answers(raw).select("report_id", "valid", "summary", joined(F.col("unresolved_risks")).alias("unresolved_risks"), "needs_human_attention")
+
+
+@query(f"""WITH RECURSIVE {oracles.chunked(_SECTIONED, 25)}, syn AS (SELECT report_id, section_ord, string_agg({_FIRST}, ' ' ORDER BY k) FILTER (k <= 3) AS synopsis FROM chunk GROUP BY 1, 2), {_OUT},
+said AS (SELECT report_id, section_ord, string_agg('- ' || sentence_id || ' [' || verdict || '] ' || claim_text, chr(10) ORDER BY sentence_id) AS said FROM q GROUP BY 1, 2)
+SELECT report_id, 'section-' || section_ord AS section_id, md5('Section section-' || section_ord || ', ' || word_count || ' words' || chr(10) || chr(10) || CASE WHEN word_count > 60 THEN 'Synopsis (the section is long):' || chr(10) || synopsis ELSE 'Text:' || chr(10) || text END
+  || chr(10) || chr(10) || 'Checked claims:' || chr(10) || coalesce(said, '- none') || chr(10) || chr(10) || 'Coverage: checked ' || checked || ', contradicted ' || contradicted || ', unsupported ' || unsupported || ', unverified ' || unverified || ', deselected ' || deselected
+  || chr(10) || chr(10) || 'Gate: ' || CASE WHEN stop THEN 'stop_and_fix; stop and fix first' ELSE 'continue' END || chr(10) || chr(10) || 'Open risks:' || chr(10) || CASE WHEN len({_PACKET_RISKS}) > 0 THEN array_to_string(list_transform({_PACKET_RISKS}, lambda x: '- ' || x), chr(10)) ELSE '- none' END) AS prompt
+FROM packet LEFT JOIN syn USING (report_id, section_ord) LEFT JOIN said USING (report_id, section_ord)""")
+def section_prompts(spark, sf_dir):
+    """What a section judge is asked, by digest."""
+    p, _ = _section_packets(spark, sf_dir)
+    return coherence.section_prompts(p).select("report_id", "section_id", F.md5("prompt").alias("prompt"))
+
+
 @query(f"""WITH e AS (SELECT review_id % 3 AS report_id, ord, verdict FROM ({corpus.ITEMS}) WHERE verdict IS NOT NULL),
 j AS (SELECT report_id, verdict AS want, CASE WHEN ord % 10 = 0 THEN 'supported_by_cited_source' ELSE verdict END AS got FROM e)
 SELECT report_id, count(*) AS cases, count(*) FILTER (want = got) AS passed, count(*) FILTER (got = 'supported_by_cited_source' AND want <> got) AS false_support, round(count(*) FILTER (want = got) / count(*), 6) AS accuracy, (count(*) FILTER (want = got) / count(*) >= 0.85 AND count(*) FILTER (got = 'supported_by_cited_source' AND want <> got) = 0) AS gate FROM j GROUP BY ROLLUP (report_id)""")
