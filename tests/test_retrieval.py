@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from provenlake.operators import passages, retrieval, scoring, selection
+from provenlake.plans.store import settled
 
 BLOCKS = "source_id string, block_ord int, block_id string, text string, heading string, page int, span string"
 CLAIMS = "claim_id string, source_id string, claim_text string, local_context string"
@@ -56,8 +57,8 @@ def test_few_pairs_of_one_large_source(spark):
     rows = spark.range(n).select(F.lit("s").alias("source_id"), at.cast("int").alias("cand_idx"), F.concat(F.lit("p"), at).alias("passage_id"), text.alias("text"), F.lit(None).cast("string").alias("heading"), F.lit(1).alias("page"))
     said = F.concat(word(at), F.lit(" and "), word(at * 31 % 4999), F.lit(" reached "), (at * 2400 + 11).cast("string"), F.lit(" in June "), (at + 1951).cast("string"), F.lit("."))
     asked = spark.range(q).select(F.concat(F.lit("c"), "id").alias("claim_id"), F.lit("s").alias("source_id"), said.alias("claim_text"), F.lit("").alias("local_context"))
-    read = scoring.passages_read(rows).cache()
-    pairs = retrieval.met(scoring.claims_read(asked), read).cache()
+    read = settled(scoring.passages_read(rows))
+    pairs = settled(retrieval.met(scoring.claims_read(asked), read))
     assert 0 < pairs.count() < 0.2 * n * q
     one = asked.where("claim_id = 'c3'")
     own = scoring.marked(scoring.based(scoring.claims_read(one).join(read, "source_id")))
@@ -76,7 +77,7 @@ def test_rarest_terms_are_looked_up(spark):
 
 
 def test_choice_has_its_texts(spark):
-    own = passages.passages(corpus(spark, 40)).cache()
+    own = settled(passages.passages(corpus(spark, 40)))
     chosen = retrieval.texts(selection.diverse(retrieval.found(claims(spark), own)), own).collect()
     texts = {(r.source_id, r.passage_id): r.text for r in own.collect()}
     assert chosen and all(r.text == texts[r.source_id, r.passage_id] for r in chosen)
