@@ -14,7 +14,7 @@ def _kind(tags: Column, kind: str) -> Column:
     return F.filter(tags, lambda t: t.startswith(kind + ":"))
 
 
-def _calendar_quarter(month: Column) -> Column:
+def calendar_quarter(month: Column) -> Column:
     """quarter:calendar:q:year of month:year-name."""
     name = F.split_part(month, F.lit("-"), F.lit(2))
     year = F.regexp_extract(month, r"^month:(\d+)-", 1)
@@ -29,9 +29,9 @@ def matching_dates(claim: Column, candidate: Column) -> Column:
     dq, dm = _kind(candidate, "quarter"), _kind(candidate, "month")
     steps = [
         F.array_intersect(cq, candidate),
-        F.filter(dm, lambda m: F.array_contains(cq, _calendar_quarter(m))),
+        F.filter(dm, lambda m: F.array_contains(cq, calendar_quarter(m))),
         F.array_intersect(cm, candidate),
-        F.filter(dq, lambda q: F.array_contains(F.transform(cm, _calendar_quarter), q)),
+        F.filter(dq, lambda q: F.array_contains(F.transform(cm, calendar_quarter), q)),
         F.array_intersect(cf, candidate),
         F.filter(dq, lambda q: q.startswith("quarter:fiscal:") & F.array_contains(cf, F.concat(F.lit("fiscal_year:"), F.split_part(q, F.lit(":"), F.lit(4))))),
         F.array_intersect(cy, candidate),

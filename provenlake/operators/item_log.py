@@ -18,8 +18,8 @@ KEYS = ["review_id", "sentence_id", "reference_id"]
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """The state of each pair: status, verdict, seq of the event that made it, and how many distinct moments it has seen as far as
-    order tells: first_seq and last_seq. For streams, in update or complete mode."""
+    """The state of each pair: status, verdict, seq of the event that made it, and the first and last seq it has seen. For streams, in
+    update or complete mode."""
     done = F.col("status") == "completed"
     seq = F.coalesce("seq", F.lit(-(1 << 63)))
     event = F.struct(seq.alias("order"), "status", "verdict", "seq")

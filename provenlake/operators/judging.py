@@ -107,21 +107,22 @@ def _balanced(want: pa.Array, got: pa.Array) -> float:
 METRICS: dict[str, Callable[[pa.Array, pa.Array], float]] = {"agreement": _agreement, "balanced_accuracy": _balanced}
 
 
+def _grouped(metric: Callable[[pa.Array, pa.Array], float]):
+    """A metric as a grouped aggregate."""
+
+    def of(want: pa.Array, got: pa.Array) -> float:
+        return float(metric(want, got))
+
+    return arrow_udf(of, "double")
+
+
 def register_metrics(spark: SparkSession, names: list[str], metrics: dict[str, Callable] | None = None) -> list[str]:
     """Registers grouped metrics for SQL; unknown names are an error. A group's verdicts are held by one task, as short words."""
     known = METRICS | (metrics or {})
     if unknown := sorted(set(names) - set(known)):
         raise ValueError(f"unknown metrics: {', '.join(unknown)}")
     for name in names:
-        own = known[name]
-
-        def metric(want: pa.Array, got: pa.Array, own=own) -> float:
-            return float(own(want, got))
-
-        def typed(want: pa.Array, got: pa.Array) -> float:
-            return metric(want, got)
-
-        spark.udf.register(name, arrow_udf(typed, "double"))
+        spark.udf.register(name, _grouped(known[name]))
     return names
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenlake.functions.periods import _calendar_quarter, matching_dates
+from provenlake.functions.periods import calendar_quarter
 from provenlake.operators import scoring
 from provenlake.plans.store import settled
 
@@ -32,7 +32,7 @@ def _own(kind: str, values: Column) -> Column:
 
 def _wider(dates: Column, fiscal: bool) -> Column:
     """Calendar quarters of months, and (of a passage) the fiscal years of fiscal quarters."""
-    quarters = F.transform(F.filter(dates, lambda t: t.startswith("month:")), _calendar_quarter)
+    quarters = F.transform(F.filter(dates, lambda t: t.startswith("month:")), calendar_quarter)
     if not fiscal:
         return quarters
     return F.concat(quarters, F.transform(F.filter(dates, lambda t: t.startswith("quarter:fiscal:")), lambda t: F.concat(F.lit("fiscal_year:"), F.split_part(t, F.lit(":"), F.lit(4)))))

@@ -44,7 +44,6 @@ MOST_COLUMNS = 1000
 #: (n) of the innermost open one, 0 for none; of a table its own, of a block the one around it.
 FIELDS = {"source_id": pa.string(), "page": pa.int64(), "n": pa.int32(), "kind": pa.string(), "tag": pa.string(), "in_table": pa.int32(), "in_block": pa.int32(), "upto": pa.int32(), "text": pa.string(), "cols": pa.int32(), "spans": pa.int32()}
 EVENTS = "source_id string, page long, n int, kind string, tag string, in_table int, in_block int, upto int, text string, cols int, spans int"
-BLOCK = "source_id string, block_ord int, block_id string, text string, heading string, page int, span string"
 
 #: What kind of element a tag makes. (Regions that are not read are told apart first.)
 KINDS = {"main": "main", "table": "table"} | dict.fromkeys(HEADINGS | BLOCKS | CONTAINERS, "block") | dict.fromkeys(TABLE_PARTS | {"tr", "td", "th", "caption"}, "part")
