@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenlake.functions import fixed
-from provenlake.functions.anchors import anchors
+from provenlake.functions.anchors import anchors, entities
 from provenlake.functions.periods import matching_dates
 from provenlake.functions.text import collapse, identity_terms, tokens
 
@@ -87,8 +87,10 @@ def penalties(q: Column, c: Column, cov: Column) -> Column:
 
 
 def claims_read(claims: DataFrame) -> DataFrame:
-    """claims (claim_id, source_id, claim_text, local_context) with their anchors q, their context's x, and identity terms q_terms."""
-    return claims.select("claim_id", "source_id", anchors(F.col("claim_text")).alias("q"), anchors(F.coalesce("local_context", F.lit(""))).alias("x"), identity_terms(F.col("claim_text")).alias("q_terms"))
+    """claims (claim_id, source_id, claim_text, local_context) with their anchors q, the keywords and entities x of their
+    context, and identity terms q_terms."""
+    near = F.coalesce("local_context", F.lit(""))
+    return claims.select("claim_id", "source_id", anchors(F.col("claim_text")).alias("q"), F.struct(tokens(near).alias("keywords"), entities(near).alias("entities")).alias("x"), identity_terms(F.col("claim_text")).alias("q_terms"))
 
 
 def passages_read(passages: DataFrame) -> DataFrame:
