@@ -135,16 +135,26 @@ class Fragments:
 # -- the index ------------------------------------------------------------------------------------------------------------
 
 
+def to_separator(text: np.ndarray) -> np.ndarray:
+    """How far it is from each place to the next separator (0, the last symbol)."""
+    ends = np.flatnonzero(text == 0)
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(text))
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols at least; equal ones by place. Symbols are 0..256."""
+    """Suffixes in the order of their first ``depth`` symbols at least. Symbols are 0..256; 0 separates, and no two separators are
+    equal: they come in the order of their places, so that what stands behind them orders nothing. With a depth over the
+    longest part the order is total, which the steps from a row to that of the symbol before it rely on."""
     n = len(text)
     padded = np.concatenate([text.astype(np.int64), np.zeros(8, np.int64)])
     key = np.zeros(n, np.int64)
     have = 6
+    reach = to_separator(text)
     for i in range(have):
-        key = key * 512 + padded[i : i + n]
+        key = key * 512 + np.where(reach < i, 0, padded[i : i + n])
     order = np.argsort(key, kind="stable")
-    head = grouped(key[order])
+    key = key[order]
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (reach[order[1:]] < have)]))
     rank = np.empty(n, np.int64)  # the first place of the suffix's group
     rank[order] = np.repeat(head, np.diff(np.append(head, n)))
     while have < depth:
@@ -166,8 +176,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Symbols that each suffix shares with the one before it in order, counted up to 255 or so, four at a time."""
+    """Symbols that each suffix shares with the one before it in order, up to a separator, counted four at a time."""
     n = len(text)
+    reach = to_separator(text)[order]
     raw = np.concatenate([text.astype(np.uint16), np.zeros(4, np.uint16)])
     four = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 4)[:n]).view(np.uint64).ravel()
     out = np.zeros(n, np.int64)
@@ -176,9 +187,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
         x = four[left] ^ four[right]
         low = x & (~x + U64(1))
         out[at] += np.where(x == 0, 4, np.searchsorted(np.array([1 << 16, 1 << 32, 1 << 48], np.uint64), low, "right"))
-        on = (x == 0) & (out[at] < 252) & (left + 4 < n) & (right + 4 < n)
+        on = (x == 0) & (out[at] < reach[at]) & (left + 4 < n) & (right + 4 < n)
         at, left, right = at[on], left[on] + 4, right[on] + 4
-    return out
+    return np.minimum(out, reach)
 
 
 class RunLengthIndex:
@@ -277,6 +288,7 @@ class EarlierText:
         self.heads = np.flatnonzero(prefixes < length)
         self.least = np.minimum.reduceat(of_place[order], self.heads)
         (self.windows,) = gram_hashes(joined, length)
+        self.whole = to_separator(text) >= length  # no separator within the window: in bytes it would pass for a NUL
 
     def marks(self, fragments: list[bytes], rank: np.ndarray) -> np.ndarray:
         """Which windows of the fragments, one after another, match a window of the index that has a lower rank."""
@@ -287,7 +299,8 @@ class EarlierText:
         rows, places = rows[at], places[at]
         (own,) = gram_hashes(joined, self.length)
         fits = (places >= 0) & (places < len(self.windows))
-        long = fits & (self.windows[np.where(fits, places, 0)] == own[at])
+        place = np.where(fits, places, 0)
+        long = fits & self.whole[place] & (self.windows[place] == own[at])
         least = self.least[np.searchsorted(self.heads, np.maximum(rows, 0), "right") - 1]
         return long & (least < np.repeat(rank, count))
 

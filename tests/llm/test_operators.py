@@ -154,6 +154,53 @@ def test_index_decides(monkeypatch):
     assert not any(x.any() for x in suffix_dedup.repeated_windows(fragments, rank, key, 20))
 
 
+def marked_by_hand(fragments, rank, length):
+    return [[any(rank[j] < rank[k] and w[i : i + length] in x for j, x in enumerate(fragments)) for i in range(len(w) - length + 1)] for k, w in enumerate(fragments)]
+
+
+def test_index_keeps_fragments_apart():
+    """Separators are no bytes and no two are equal: neither NULs nor what stands behind a fragment decide anything in it."""
+    few = [b"x" * 12 + b"y" * 4 + b"\0" * 4, b"y" * 3 + b"\0" * 17, b"x" * 11 + b"y" * 4 + b"\0" * 5]
+    got = suffix_dedup.repeated_windows(few, np.arange(3), np.zeros(3, np.uint64), 20)
+    assert [x.tolist() for x in got] == marked_by_hand(few, np.arange(3), 20) == [[False], [False], [False]]
+    _, text, ends, sizes = suffix_dedup._laid_out([b"ab" * 8, b"b" + b"ab" * 8, b"ab" * 8 + b"c", b"b"])
+    of = lambda i: [(x, i + k if not x else 0) for k, x in enumerate(text[i : ends[np.searchsorted(ends, i)] + 1].tolist())]
+    order = suffix_dedup.suffix_array(text, int(sizes.max()) + 2)
+    assert order.tolist() == sorted(range(len(text)), key=of)
+    shared = [next((k for k, (x, y) in enumerate(zip(of(i), of(j), strict=False)) if x != y), 0) for i, j in zip(order, order[1:], strict=False)]
+    assert suffix_dedup.common_prefixes(text, order).tolist() == [0, *shared]
+
+
+def test_index_misses_no_window():
+    """Fragments cut from one text and from periodic ones, where many suffixes agree over more than a fragment."""
+    wrong = 0
+    for seed in range(150):
+        r = random.Random(seed)
+        letters = r.choice([b"ab", b"a\0", b"\0ab "])
+        core = bytes(r.choice(letters) for _ in range(r.choice([2, 5, 30, 60]))) * 40
+        core = core[:60] + bytes(r.choice(letters) for _ in range(r.choice([0, 1, 30]))) + core[:60]
+        fragments = list(dict.fromkeys(core[a : a + r.randint(20, 32)] for a in (r.randint(0, len(core) - 32) for _ in range(14))))
+        rank, key = np.array(r.sample(range(len(fragments)), len(fragments))), np.array([r.randrange(3) for _ in fragments], np.uint64)
+        got = suffix_dedup.repeated_windows(fragments, rank, key, 20)
+        # what is marked occurs before; what occurs before within the anchor is marked
+        every = marked_by_hand(fragments, rank, 20)
+        for k in range(len(fragments)):
+            own = [j for j in range(len(fragments)) if key[j] == key[k]]
+            least = marked_by_hand([fragments[j] for j in own], rank[own], 20)[own.index(k)]
+            wrong += any(g < n or g > e for g, n, e in zip(got[k].tolist(), least, every[k], strict=True))
+    assert wrong == 0
+
+
+def test_repeats_of_texts_with_nul(spark):
+    """A text's NULs are bytes like others, and end nothing."""
+    r = random.Random(5)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    core = part(100)
+    rows = [(k, core[: r.randint(60, 100)] + r.choice(["\0", "\0\0"]) * r.randint(1, 60) + core) for k in range(40)]
+    df = frame(spark, rows).repartition(2)
+    assert {x.doc_id: tuple(x)[1:] for x in suffix_dedup.digest(df).collect()} == repeats(rows, 100)
+
+
 def test_index_statistics():
     r = np.random.default_rng(5)
     text = np.concatenate([r.integers(1, 4, 200), [0]])
