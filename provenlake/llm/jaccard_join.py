@@ -129,7 +129,9 @@ def text_key(text: Column) -> Column:
 #: A key is hot from this many rows on, and with a HOT_PART-th of all rows.
 HOT_ROWS, HOT_PART = 1000, 1000
 #: Rounds after the first: one pivot per bucket in all but the last, which pairs what is left across components.
-PIVOTS = 3
+PIVOTS = 4
+#: First prefix shingles of a node by which the last round makes a pair at one shingle only.
+EARLY = 32
 #: Shingles that a task holds before it sends them off.
 FLUSH = 1_200_000
 #: Bits dropped from a shingle's hash in a token. Two shingles of one token only make candidates that verification drops.
@@ -360,14 +362,26 @@ class JaccardJoin:
             held = [open_]
             if open_.limit(1).isEmpty():
                 break
-            x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component", *maps)))
+            cols = ["node", "n", "pos", "component", *maps]
             if last:
-                y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component", *maps)))
+                # at each pair's first common shingle only, where both have it early: else it is made once for every one they share
+                first_ones = open_.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("e")).select("node", F.slice(F.transform("e", lambda e: e["token"]), 1, EARLY).alias("early"))
+                open_, cols = open_.join(stash(first_ones, "early"), "node"), [*cols, "early"]
+            x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in cols))
+            if last:
+                y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in cols))
                 both = x.join(y, "token").where("x_node < y_node")
             else:
-                y = open_.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "component", *maps)).alias("p"))
-                both = beside(x, y.select("token", "rows", *(F.col(f"p.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "component", *maps))), "token")
-            both = both.where(f"x_component != y_component AND {self._may_link('x_', 'y_')} AND {self._bitmaps_allow('x_', 'y_')}")
+                if turn:  # nodes that agree on the least shingle by another hash are more alike: a part of a bucket has its own pivot
+                    picks = open_.groupBy("node").agg(F.min(F.xxhash64("token", F.lit(turn))).alias("pick"))
+                    open_ = open_.join(picks, "node").withColumn("part", F.xxhash64("token", "pick")).drop("pick")
+                    x = x.join(picks.withColumnRenamed("node", "x_node"), "x_node").withColumn("part", F.xxhash64("token", "pick")).drop("pick")
+                else:
+                    open_, x = open_.withColumn("part", F.col("token")), x.withColumn("part", F.col("token"))
+                y = open_.groupBy("part").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), *cols)).alias("p"))
+                both = beside(x, y.select("part", "rows", *(F.col(f"p.{c}").alias(f"y_{c}") for c in cols)), "part")
+                open_ = open_.drop("part")
+            both = both.where(f"x_component != y_component AND {self._may_link('x_', 'y_')} AND {self._bitmaps_allow('x_', 'y_')}" + last * " AND coalesce(get(array_intersect(x_early, y_early), 0), token) = token")
             pairs = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
             pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-across")
             more = self._checked(pairs, first)

@@ -330,6 +330,38 @@ def test_one_of_each_tells_texts_of_a_doc_id_apart(spark):
         assert sorted(f"{x.doc_id} {x.text}" for x in jaccard_join.one_of_each(frame(spark, rows).repartition(n), 3, 80).collect()) == want
 
 
+def test_last_round_makes_each_pair_once(spark, monkeypatch):
+    """Texts close under the threshold share many prefix shingles; what is made grows with the pairs, not with the shingles of each."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(20):
+        own = list(base)
+        for i in r.sample(range(2, 400, 5), 5):
+            own[i] = f"x{k}y{i}"
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    made, distinct, across = [], type(frame(spark, rows)).distinct, []
+    monkeypatch.setattr(type(frame(spark, rows)), "distinct", lambda self: (made.append(self) if self.columns == ["a", "b"] else None, distinct(self))[1])
+    stash = jaccard_join.stash
+
+    def seen(df, name):
+        if name == "pairs-across":
+            across.append((made[-1].count(), distinct(made[-1]).count()))
+        return stash(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stash", seen)
+    got = {x.doc_id: x.component_id for x in jaccard_join.group_documents(frame(spark, rows), words=5, per=80).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    want = list(range(20))
+    for i in range(20):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert got == dict(enumerate(want))
+    assert len(across) == 1 and across[-1][0] == across[-1][1] > 10
+
+
 # -- 5 and 8
 
 
