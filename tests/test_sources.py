@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from provenlake.sources import docx, fetch, pdf_lines
+from provenlake.sources import docx, fetch, html, pdf_lines
 from provenlake.sources.html import html_blocks
 from provenlake.streaming import files
 
@@ -152,3 +152,14 @@ def test_stream_of_pages(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["streamed page"]
+
+
+def test_only_elements_are_sorted_for_main_and_only_said_rows_are_laid_out(spark):
+    """Disk: texts and parts of tables do not travel for in_main, and of a long table the rows that are said are laid out, no more."""
+    rows = "".join(f"<tr><td>Line {i}</td><td>{'none' if i % 3 == 0 else i}</td></tr>" for i in range(200))
+    pages = spark.createDataFrame([("a", f"<main><table>{rows}</table></main>")], "source_id string, html string")
+    found = html.events(pages)
+    assert {r.kind for r in html._in_main(found).select("kind").collect()} == {"main", "table"}
+    cells = html.with_header(html.table_cells(found))
+    said = html.row_sentences(cells, html.column_names(html.placed_header(cells))).collect()
+    assert sorted(r.row for r in said) == [i + 1 for i in range(200) if i % 3][: html.MOST_ROWS]
