@@ -1,9 +1,11 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from provenlake.plans import queries
 from provenlake.sources import docx, fetch, html, pdf_lines
 from provenlake.sources.html import html_blocks
 from provenlake.streaming import files
@@ -163,3 +165,15 @@ def test_only_elements_are_sorted_for_main_and_only_said_rows_are_laid_out(spark
     cells = html.with_header(html.table_cells(found))
     said = html.row_sentences(cells, html.column_names(html.placed_header(cells))).collect()
     assert sorted(r.row for r in said) == [i + 1 for i in range(200) if i % 3][: html.MOST_ROWS]
+
+
+def test_header_grid_says_every_row_of_a_long_table(spark, tmp_path):
+    """No row is left out after the 40th, neither by the query nor by its SQL."""
+    rows = [(s, o, k % 7 + 1, float(k), 10.5 * k) for s in (4, 5, 6, 7) for k in range(1, 91) for o in [k // 7 + 1]]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.QUERIES["html_header_grid"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT source_id, block_ord, text, heading FROM ({queries.ORACLE_SQL['html_header_grid']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(want) == sum(k != 7 for _, _, k, _, _ in rows) > 4 * html.MOST_ROWS
