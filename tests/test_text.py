@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from provenlake.functions import anchors, periods, text
+from provenlake.plans import queries
 
 
 def one(spark, column, value):
@@ -97,3 +99,18 @@ def test_every_full_stop_of_a_url_is_kept(spark):
     df = spark.createDataFrame([(said,)], "t string")
     got = df.select(text.sentences(F.col("t"), cited=True).alias("s")).first().s
     assert got[0] == "See https://a.b.c.d.e.f.g.H/x.I and http://q.r.S.T/u.V." and len(got) == 3
+
+
+def test_document_anchors_counts_the_numbers_of_its_sql(spark, tmp_path):
+    """Its SQL reads a number's left neighbour with it; the function itself, without with_left, looks behind as the reference does."""
+    said = [
+        "Call 555-4081 190.137.223.204 now", "4451718024887799 27.65.93.188 end", "5 7 9", "x$5 and $$6, US$7 million USD 8%", "$5 CAD", " 12 people",
+        "1,234.5 million (3) 4bn EUR", "in 2024 5 rose", "", "none", None, "v1.2 and .5 and 6.", "10 % 20 %", "3-4/5",
+    ]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r) for r in queries.QUERIES["document_anchors"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE text IS NOT NULL")
+    want = {r[0]: r for r in con.execute(queries.ORACLE_SQL["document_anchors"]).fetchall()}
+    assert {k: v for k, v in got.items() if said[k] is not None} == want and len(got) == len(said)
+    assert want[0][1] == 2 and one(spark, lambda c: anchors.numbers(anchors.number_records(c)), said[0]) == ["190.137", "4081", "555"]
