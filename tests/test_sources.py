@@ -177,3 +177,15 @@ def test_header_grid_says_every_row_of_a_long_table(spark, tmp_path):
     want = con.execute(f"SELECT source_id, block_ord, text, heading FROM ({queries.ORACLE_SQL['html_header_grid']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert len(want) == sum(k != 7 for _, _, k, _, _ in rows) > 4 * html.MOST_ROWS
+
+
+def test_html_blocks_reads_references_as_its_sql(spark, tmp_path):
+    """Its SQL leaves references without a semicolon as they are, all but &amp; the operator reads them as HTML does."""
+    said = ["<h1>A cut title &quot</h1><p>b &amp c &ampd &lt x &copy z &quot;k&quot;</p>", "<p>k &quot;l&quot &quo &am & &amp;quot &amp;quot; &lt;i&gt;</p><p>x &middot; y &copy;&amp", "<p>&quot</p>", None]
+    spark.createDataFrame(list(enumerate(said)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["html_blocks"]).fetchall()
+    got = queries.QUERIES["html_blocks"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.heading for r in got if r.source_id == "0"} == {"A cut title &quot"}
+    assert [e["text"] for e in html.lexed("<p>&quot</p>") if e["kind"] == "text"] == ['"']
