@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 import duckdb
@@ -189,3 +190,14 @@ def test_html_blocks_reads_references_as_its_sql(spark, tmp_path):
     got = queries.QUERIES["html_blocks"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {r.heading for r in got if r.source_id == "0"} == {"A cut title &quot"}
     assert [e["text"] for e in html.lexed("<p>&quot</p>") if e["kind"] == "text"] == ['"']
+
+
+def test_columns_without_a_name_between_named_ones(spark):
+    """Names reach rows by place, also where some columns have none; rows are laid out without another exchange."""
+    page = "<table><tr><th>a</th><th>b</th><th></th><th colspan=2>d</th></tr><tr><td>r</td><td>1</td><td>2</td><td>3</td><td></td><td>4</td></tr></table>"
+    found = html.events(spark.createDataFrame([("p", page)], "source_id string, html string"))
+    cells = html.with_header(html.table_cells(found).where("cell > 0").repartition("page", "in_table"))
+    said = html.row_sentences(cells, html.column_names(html.placed_header(cells)), None)
+    assert [r.text for r in said.collect()] == ["Row: r. b: 1. Column 3: 2. d: 3. Column 6: 4."]
+    plan = re.sub(r"#\d+L?", "", said._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(page, in_table" in plan and "hashpartitioning(page, in_table, row" not in plan
